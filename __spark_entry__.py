@@ -20,6 +20,7 @@ from ledgerloom.functions.labels import as_indicators  # noqa: E402
 from ledgerloom.models import evaluation, glm, scoring  # noqa: E402
 from ledgerloom.models.design import assemble, design  # noqa: E402
 from ledgerloom.models.group_lasso import group_lasso_cv, selected_groups  # noqa: E402
+from ledgerloom.models.newton import fit_matrix  # noqa: E402
 from ledgerloom.models.penalized import (  # noqa: E402
     nonzero,
     penalized_cv,
@@ -34,6 +35,7 @@ from ledgerloom.operators.columns import column_fill, drop_matching, fill  # noq
 from ledgerloom.operators.filters import where_abs_over  # noqa: E402
 from ledgerloom.operators.ordering import first_rows  # noqa: E402
 from ledgerloom.operators.windows import row_id  # noqa: E402
+from ledgerloom.sources.frames import rows_to_df  # noqa: E402
 from ledgerloom.plans import contributions as contrib  # noqa: E402
 from ledgerloom.plans import onboarding, reconciliation as recon  # noqa: E402
 from ledgerloom.plans import survey as surveys  # noqa: E402
@@ -391,11 +393,13 @@ def glm_two_designs(spark, sf):
     """The same model from a formula and from a matrix with a constant column."""
     _, by_formula = _two_column_fit(spark, sf)
     with_constant = _survey(spark, sf).withColumn("(Intercept)", F.lit(1.0))
-    by_matrix = glm.fit_logistic(
-        assemble(with_constant, "preference", ["(Intercept)", *TWO], intercept=False)
-    )
+    plain = assemble(with_constant, "preference", ["(Intercept)", *TWO], intercept=False)
     a = by_formula.coefficients(spark).select("term", F.col("estimate").alias("by_formula"))
-    b = by_matrix.coefficients(spark).select("term", F.col("estimate").alias("by_matrix"))
+    b = (
+        fit_matrix(plain)
+        .coefficients(spark, plain.names)
+        .select("term", F.col("estimate").alias("by_matrix"))
+    )
     return _rounded(a.join(b, "term"), 4, "by_formula", "by_matrix")
 
 
@@ -428,6 +432,11 @@ def glm_significant(spark, sf):
     return where_abs_over(glm.significant(glm_summary(spark, sf), 0.01), "z_value", 2.0)
 
 
+def step_both_significant(spark, sf):
+    chosen = stepwise(_full_design(spark, sf), direction="both")
+    return glm.significant(chosen.coefficients(spark), 0.01)
+
+
 def _step(direction: str) -> Query:
     def run(spark, sf):
         return stepwise(_full_design(spark, sf), direction=direction).steps(spark)
@@ -490,7 +499,7 @@ def ridge_fixed_penalty(spark, sf):
 def lasso_penalty_grid(spark, sf):
     d = design(_survey(spark, sf), "preference", ["age", "salary", *TWO], intercept=False)
     grid = penalty_grid(d, "row_id", 1.0)
-    rows = spark.createDataFrame(list(enumerate(grid)), "step bigint, lambda double")
+    rows = rows_to_df(spark, enumerate(grid), "step bigint, lambda double")
     return _rounded(rows, 6, "lambda")
 
 
@@ -521,11 +530,8 @@ def fitted_model_metrics(spark, sf):
         "decision_tree": tree_cv(d, "row_id").model.bestModel,
     }
     steps = {
-        f"stepwise_{way}": dict(zip(
-            ["(Intercept)" if s < 0 else d.names[s] for s in fit.slots], fit.estimates
-        ))
+        f"stepwise_{way}": stepwise(d, direction=way).fit.named(d.names)
         for way in ("forward", "backward", "both")
-        for fit in [stepwise(d, direction=way).fit]
     }
     paths = {
         name: path.terms_at(path.best)
@@ -572,7 +578,7 @@ def queries() -> dict[str, Query]:
         pref_percent, satisfied_hours_mean_sd, train_test_split_sizes, survey_row_numbers,
         score_given_model, mean_probability, classify_last_ten, classification_metrics,
         best_recall_model, glm_two_predictors, glm_two_designs, glm_deviance, glm_criteria,
-        lrt_null_vs_two, glm_summary, glm_odds, glm_significant, lrt_full_vs_reduced,
+        lrt_null_vs_two, glm_summary, glm_odds, glm_significant, step_both_significant, lrt_full_vs_reduced,
         tree_accuracy, tree_document_quality, ridge_path, lasso_path, enet_path, lasso_cv,
         lasso_selected, coef_magnitudes, ridge_fixed_penalty, lasso_penalty_grid,
         group_lasso_path, group_lasso_selected, fitted_model_metrics,

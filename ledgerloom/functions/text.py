@@ -36,8 +36,8 @@ def period(ts: Column, grain: str) -> Column:
 
 
 def base_schema(name: Column) -> Column:
-    """Text before the first ``__``."""
-    return F.substring_index(name, "__", 1)
+    """Trimmed text before the first ``__``."""
+    return F.trim(F.substring_index(name, "__", 1))
 
 
 def standard_base(name: Column) -> Column:

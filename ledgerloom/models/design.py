@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
 from pyspark.ml.base import Transformer
-from pyspark.ml.feature import RFormula, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ class Design:
     names: list[str]
     terms: dict[str, list[int]]
     encoder: Transformer
-    intercept: bool = field(default=True)
+    label: str
+    intercept: bool = True
 
     def encode(self, df: DataFrame) -> DataFrame:
         return self.encoder.transform(df)
@@ -36,40 +38,65 @@ class Design:
         """``x`` (array of slots), ``y`` and any further columns to keep."""
         rows = self.frame if df is None else self.encode(df)
         return rows.select(
-            vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), *keep
+            vector_to_array("features").alias("x"), F.col(self.label).cast("double").alias("y"), *keep
         )
 
 
 def design(
     df: DataFrame, label: str, terms: Sequence[str], intercept: bool = True
 ) -> Design:
-    """Treatment coding from a formula.
+    """Treatment coding of the terms, in their order.
 
     Text columns are factors that drop their alphabetically first level. Without
     an intercept the first factor keeps all its levels. Rows with a null in any
-    input are left out; a level not seen here is left out when encoding.
+    input are left out; so are rows with an unknown level when encoding.
+
+    Only the factor levels have to be learned, and one pass finds those of all
+    factors together.
     """
     inputs = complete_cases(df, [label, *terms])
-    formula = f"{label} ~ {' + '.join(terms)}" + ("" if intercept else " - 1")
-    encoder = RFormula(
-        formula=formula,
-        featuresCol="features",
-        labelCol="label",
-        stringIndexerOrderType="alphabetDesc",
-        handleInvalid="skip",
-    ).fit(inputs)
-    frame = encoder.transform(inputs)
-    names = slot_names(frame)
-    factors = {c for c, kind in df.dtypes if kind == "string"}
+    kinds = dict(df.dtypes)
+    factors = [t for t in terms if kinds[t] == "string"]
+    whole = [] if intercept else factors[:1]
+    stages: list = []
+    if factors:
+        stages.append(
+            StringIndexer(
+                inputCols=factors,
+                outputCols=[f"{f}_index" for f in factors],
+                stringOrderType="alphabetDesc",
+                handleInvalid="skip",
+            )
+        )
+    for group, drop in ((whole, False), ([f for f in factors if f not in whole], True)):
+        if group:
+            stages.append(
+                OneHotEncoder(
+                    inputCols=[f"{f}_index" for f in group],
+                    outputCols=[f"{f}_slots" for f in group],
+                    dropLast=drop,
+                )
+            )
+    stages.append(
+        VectorAssembler(
+            inputCols=[f"{t}_slots" if t in factors else t for t in terms],
+            outputCol="features",
+            handleInvalid="skip",
+        )
+    )
+    encoder = Pipeline(stages=stages).fit(inputs)
+    levels = dict(zip(factors, encoder.stages[0].labelsArray)) if factors else {}
+    names: list[str] = []
     slots: dict[str, list[int]] = {}
-    at = 0
-    for term in terms:  # slots come in term order
-        width = 1
+    for term in terms:
+        own = [term]
         if term in factors:
-            width = sum(1 for n in names[at:] if n.startswith(f"{term}_"))
-        slots[term] = list(range(at, at + width))
-        at += width
-    return Design(frame, names, slots, encoder, intercept)
+            kept = levels[term] if term in whole else levels[term][:-1]
+            own = [f"{term}_{level}" for level in kept]
+        slots[term] = list(range(len(names), len(names) + len(own)))
+        names += own
+    frame = encoder.transform(inputs).withColumn("label", F.col(label).cast("double"))
+    return Design(frame, names, slots, encoder, label, intercept)
 
 
 def assemble(df: DataFrame, label: str, cols: Sequence[str], intercept: bool = True) -> Design:
@@ -78,12 +105,7 @@ def assemble(df: DataFrame, label: str, cols: Sequence[str], intercept: bool = T
     encoder = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip")
     labelled = inputs.withColumn("label", F.col(label).cast("double"))
     return Design(
-        encoder.transform(labelled), list(cols), {c: [i] for i, c in enumerate(cols)}, encoder, intercept
+        encoder.transform(labelled), list(cols), {c: [i] for i, c in enumerate(cols)}, encoder, label,
+        intercept,
     )
 
-
-def slot_names(frame: DataFrame, col: str = "features") -> list[str]:
-    """Slot names from the vector column's metadata."""
-    attrs = frame.schema[col].metadata["ml_attr"]["attrs"]
-    by_slot = {a["idx"]: a["name"] for kind in attrs.values() for a in kind}
-    return [by_slot[i] for i in sorted(by_slot)]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.models.design import Design
+from ledgerloom.sources.frames import rows_to_df
 from ledgerloom.storage import held
 
 COEFFICIENT_ROWS = (
@@ -48,7 +49,7 @@ class LogisticFit:
             estimates.append(float(m.intercept))
             terms.append("(Intercept)")
         rows = zip(terms, estimates, s.coefficientStandardErrors, s.tValues, s.pValues)
-        return spark.createDataFrame([tuple(r) for r in rows], COEFFICIENT_ROWS)
+        return rows_to_df(spark, [tuple(r) for r in rows], COEFFICIENT_ROWS)
 
 
 def fit_logistic(d: Design, intercept: bool | None = None) -> LogisticFit:
@@ -74,7 +75,8 @@ def fit_logistic(d: Design, intercept: bool | None = None) -> LogisticFit:
 def deviance_table(spark: SparkSession, fit: LogisticFit) -> DataFrame:
     """Null and residual deviance with their degrees of freedom."""
     shift = 1 if fit.model.getFitIntercept() else 0
-    return spark.createDataFrame(
+    return rows_to_df(
+        spark,
         [
             ("null", fit.null_deviance, fit.n - shift),
             ("residual", fit.deviance, fit.n - fit.rank),
@@ -96,7 +98,8 @@ def significant(coefs: DataFrame, alpha: float = 0.01) -> DataFrame:
 
 def information_criteria(spark: SparkSession, fits: dict[str, LogisticFit]) -> DataFrame:
     """Rank, deviance, AIC and BIC of named fits."""
-    return spark.createDataFrame(
+    return rows_to_df(
+        spark,
         [(name, f.rank, f.deviance, f.aic, f.bic) for name, f in fits.items()],
         "model string, n_coefficients int, deviance double, aic double, bic double",
     )
@@ -109,7 +112,8 @@ def likelihood_ratio(
 ) -> DataFrame:
     """Nested models given as (deviance, number of coefficients)."""
     statistic, df = max(small[0] - full[0], 0.0), full[1] - small[1]
-    return spark.createDataFrame(
+    return rows_to_df(
+        spark,
         [(statistic, df, chi_square_tail(statistic, df))],
         "statistic double, df int, p_value double",
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.models.design import Design
 from ledgerloom.models.penalized import PenaltyPath, _solve
+from ledgerloom.sources.frames import rows_to_df
 
 
 def group_lasso_cv(
@@ -41,5 +42,5 @@ def selected_groups(
         (label, len(cols), math.sqrt(sum(at[c] ** 2 for c in cols)))
         for label, cols in groups.items()
     ]
-    frame = spark.createDataFrame(rows, "group_label string, n_columns int, norm double")
+    frame = rows_to_df(spark, rows, "group_label string, n_columns int, norm double")
     return frame.withColumn("selected", F.col("norm") > 0)

@@ -29,6 +29,7 @@ from ledgerloom.models.design import Design
 from ledgerloom.models.passes import RowBlocks
 from ledgerloom.models.split import fold_of
 from ledgerloom.operators.ordering import by_magnitude
+from ledgerloom.sources.frames import rows_to_df
 from ledgerloom.storage import held
 
 TOL = 1e-7
@@ -63,7 +64,8 @@ class PenaltyPath:
 
     def path(self, spark: SparkSession) -> DataFrame:
         """``(lambda, term, coefficient)``."""
-        return spark.createDataFrame(
+        return rows_to_df(
+            spark,
             [
                 (lam, term, value)
                 for i, lam in enumerate(self.lambdas)
@@ -74,14 +76,16 @@ class PenaltyPath:
 
     def at_best(self, spark: SparkSession) -> DataFrame:
         """``(term, coefficient)`` at the chosen penalty."""
-        return spark.createDataFrame(
+        return rows_to_df(
+            spark,
             list(self.terms_at(self.best).items()), "term string, coefficient double"
         )
 
     def cv_table(self, spark: SparkSession) -> DataFrame:
         """``(lambda, deviance, std_error, is_best)``."""
         best = self.best
-        return spark.createDataFrame(
+        return rows_to_df(
+            spark,
             [(lam, *self.cv[i], i == best) for i, lam in enumerate(self.lambdas)],
             "lambda double, deviance double, std_error double, is_best boolean",
         )
@@ -244,7 +248,7 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l2, lams):
     z, z0 = b.copy(), b0.copy()
     t = np.ones((n_heads, n_lams))
     active = np.ones((n_heads, n_lams), dtype=bool)
-    passes = 0
+    passes, inner = 0, 1e-3
     while active.any() and passes < MAX_PASSES:
         head, lam = np.nonzero(active)
         sums = _gradient_sums(blocks, heads.raw(z0, z)[head, lam].T, heads.out[head])
@@ -252,7 +256,7 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l2, lams):
         g0, g = heads.gradient(sums, head)
         at, at0 = z[head, lam], z0[head, lam]
         new0 = at0 - 4 * g0
-        new = _proximal(heads.bound[head], g, at, groups, weights, l2, lams[lam])
+        new = _proximal(heads.bound[head], g, at, groups, weights, l2, lams[lam], inner)
 
         # momentum, dropped where it points uphill
         old, old0 = b[head, lam], b0[head, lam]
@@ -269,37 +273,51 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l2, lams):
             np.abs((new - at) * heads.unit[head]).max(axis=1), np.abs(new0 - at0)
         )
         active[head, lam] = moved > TOL
+        # the inner problem is solved only as well as the outer step deserves
+        inner = max(1e-3 * float(moved.max()), 1e-3 * TOL)
     if active.any():
         raise RuntimeError(f"{int(active.sum())} penalized fits did not settle")
     return heads.raw(b0, b), passes
 
 
-def _proximal(bound, g, start, groups, weights, l2, lam):
+def _proximal(bound, g, start, groups, weights, l2, lam, tol):
     """Minimize the bounded quadratic plus the penalty, one group at a time, for
-    all problems at once (first axis)."""
+    all problems at once. Inside, slots come first and problems last; problems
+    leave the loop as they settle."""
     import numpy as np
 
-    b, r = start.copy(), g.copy()
-    curvature = []
+    done = start.T.copy()
+    b, r = start.T.copy(), g.T.copy()
+    columns = np.ascontiguousarray(bound.transpose(2, 1, 0))  # (slot, slot, problem)
+    unit = np.sqrt(np.einsum("jjk->jk", columns))
+    top = []
     for group in groups:
         sub = bound[:, group][:, :, group]
-        top = np.linalg.eigvalsh(sub)[:, -1] if len(group) > 1 else sub[:, 0, 0]
-        curvature.append(np.where(top > 0, top, 1.0))
-    scale = np.sqrt(np.maximum(np.einsum("kjj->kj", bound), 1e-300))
-    for _ in range(1_000):
-        change = 0.0
-        for group, weight, c in zip(groups, weights, curvature):
-            u = c[:, None] * b[:, group] - r[:, group]
-            size = np.sqrt((u**2).sum(axis=1))
-            keep = np.maximum(0.0, 1 - lam * weight / np.where(size > 0, size, 1.0))
-            new = u * (keep / (c + lam * l2))[:, None]
-            delta = new - b[:, group]
-            b[:, group] = new
-            r += np.einsum("kjg,kg->kj", bound[:, :, group], delta)
-            change = max(change, float(np.abs(delta * scale[:, group]).max()))
-        if change < 1e-3 * TOL:
-            break
-    return b
+        largest = np.linalg.eigvalsh(sub)[:, -1] if len(group) > 1 else sub[:, 0, 0]
+        top.append(np.where(largest > 0, largest, 1.0))
+    curvature = np.array(top)
+    left = np.arange(len(lam))
+    for sweep in range(1, 1_001):
+        change = np.zeros(len(left))
+        for i, (group, weight) in enumerate(zip(groups, weights)):
+            u = curvature[i] * b[group] - r[group]
+            size = np.abs(u[0]) if len(group) == 1 else np.sqrt((u**2).sum(axis=0))
+            keep = np.maximum(size - lam * weight, 0.0) / np.where(size > 0, size, 1.0)
+            delta = u * (keep / (curvature[i] + lam * l2)) - b[group]
+            b[group] += delta
+            for j, d in zip(group, delta):
+                r += columns[j] * d
+            np.maximum(change, np.abs(delta * unit[group]).max(axis=0), out=change)
+        busy = change >= tol
+        if sweep % 8 == 0 or not busy.any():
+            done[:, left] = b
+            if not busy.any():
+                break
+            left, lam = left[busy], lam[busy]
+            b, r, unit, curvature = b[:, busy], r[:, busy], unit[:, busy], curvature[:, busy]
+            columns = columns[:, :, busy]
+    done[:, left] = b
+    return done.T
 
 
 def _gradient_sums(blocks: RowBlocks, coefs, out):

@@ -59,7 +59,7 @@ def score_fitted(
             p = F.col(model.getPredictionCol())
         extra = [c for c in scored.columns if c not in rows.columns]
         rows = scored.withColumn(name, p).drop(*[c for c in extra if c != name])
-    return rows.select(*keep, F.col("label").cast("double").alias("y"), *models)
+    return rows.select(*keep, F.col(d.label).cast("double").alias("y"), *models)
 
 
 def long_scores(scores: DataFrame, models: Sequence[str], ids: Sequence[str]) -> DataFrame:

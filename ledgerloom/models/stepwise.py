@@ -1,13 +1,11 @@
 """Stepwise selection by AIC, whole terms at a time.
 
-All candidates of a step are fitted together by Newton's method: each iteration
-is one pass that returns every candidate's deviance, gradient and information
-matrix. A step costs about five passes however many terms could move.
+All candidates of a step are fitted together, so a step costs about five passes
+over the rows however many terms could move.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,30 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.models.design import Design
+from ledgerloom.models.newton import Fit, fit_many
 from ledgerloom.models.passes import RowBlocks
+from ledgerloom.sources.frames import rows_to_df
 from ledgerloom.storage import held
 
 
-@dataclass(frozen=True)
-class Fit:
-    """Maximum-likelihood fit on some slots; slot -1 is the intercept."""
-
-    terms: tuple[str, ...]
-    slots: tuple[int, ...]
-    estimates: tuple[float, ...]
-    deviance: float
-    rank: int
-    n: int
-
-    @property
-    def aic(self) -> float:
-        return self.deviance + 2 * self.rank
-
-    @property
-    def bic(self) -> float:
-        return self.deviance + math.log(self.n) * self.rank
-
-
 @dataclass(frozen=True)
 class Selection:
     """Final fit and the path of accepted moves."""
@@ -49,7 +29,8 @@ class Selection:
 
     def steps(self, spark: SparkSession) -> DataFrame:
         """``(step, action, term, n_coefficients, deviance, aic, bic)``."""
-        return spark.createDataFrame(
+        return rows_to_df(
+            spark,
             [
                 (i, action, term, f.rank, f.deviance, f.aic, f.bic)
                 for i, (action, term, f) in enumerate(self.path)
@@ -59,13 +40,8 @@ class Selection:
         )
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            [
-                ("(Intercept)" if s < 0 else self.names[s], b)
-                for s, b in zip(self.fit.slots, self.fit.estimates)
-            ],
-            "term string, estimate double",
-        )
+        """Wald table of the final fit."""
+        return self.fit.coefficients(spark, self.names)
 
 
 def stepwise(
@@ -104,88 +80,3 @@ def stepwise(
             current = fits[best]
             path.append((*moves[best], current))
     return Selection(current, path, d.names)
-
-
-def fit_many(
-    blocks: RowBlocks,
-    d: Design,
-    term_sets: Sequence[tuple[str, ...]],
-    warm: Fit | None = None,
-    tol: float = 1e-10,
-    max_passes: int = 50,
-) -> list[Fit]:
-    """Logistic fits with intercept of several term sets over the same rows."""
-    import numpy as np
-
-    width = len(d.names)
-    known = dict(zip(warm.slots, warm.estimates)) if warm else {}
-    slots = [[-1] + [s for t in ts for s in d.terms[t]] for ts in term_sets]
-    trial = [np.array([known.get(s, 0.0) for s in ss]) for ss in slots]
-    accepted = [(b, math.inf, 0, 0) for b in trial]  # estimates, deviance, rank, rows
-    active = list(range(len(slots)))
-    for _ in range(max_passes):
-        sums = _newton_sums(blocks, [slots[k] for k in active], [trial[k] for k in active], width)
-        still = []
-        for k, (deviance, n, gradient, information) in zip(active, sums):
-            before, previous = accepted[k][:2]
-            close = abs(previous - deviance) <= tol * (abs(deviance) + 0.1)
-            if deviance > previous and not close:
-                trial[k] = (trial[k] + before) / 2  # overshot: halve the step
-                still.append(k)
-                continue
-            step, _, rank, _ = np.linalg.lstsq(information, gradient, rcond=1e-12)
-            accepted[k] = (trial[k], deviance, int(rank), n)
-            if not close:
-                trial[k] = trial[k] + step
-                still.append(k)
-        active = still
-        if not active:
-            break
-    return [
-        Fit(ts, tuple(ss), tuple(float(v) for v in b), deviance, rank, n)
-        for ts, ss, (b, deviance, rank, n) in zip(term_sets, slots, accepted)
-    ]
-
-
-def _newton_sums(blocks: RowBlocks, slots, betas, width):
-    """Per candidate: deviance, rows, gradient and information matrix."""
-    import numpy as np
-
-    coef = np.zeros((width + 1, len(slots)))  # row 0 is the intercept
-    for k, (ss, b) in enumerate(zip(slots, betas)):
-        coef[[s + 1 for s in ss], k] = b
-    picks = [[s + 1 for s in ss] for ss in slots]
-    offsets = np.cumsum([0] + [2 + len(p) + len(p) ** 2 for p in picks]).tolist()
-
-    def block(x, y, fold):
-        import numpy as np
-
-        full = np.column_stack([np.ones(len(y)), x])
-        eta = full @ coef
-        mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-        # log(1 + exp(eta)) - y * eta, without overflow
-        loss = np.logaddexp(0, eta) - y[:, None] * eta
-        out = np.empty(offsets[-1])
-        for k, pick in enumerate(picks):
-            sub = full[:, pick]
-            at, p = offsets[k], len(pick)
-            w = mu[:, k] * (1 - mu[:, k])
-            out[at] = 2 * loss[:, k].sum()
-            out[at + 1] = len(y)
-            out[at + 2 : at + 2 + p] = sub.T @ (y - mu[:, k])
-            out[at + 2 + p : offsets[k + 1]] = (sub.T @ (sub * w[:, None])).ravel()
-        return out
-
-    total = blocks.sum(block, offsets[-1])
-    results = []
-    for k, pick in enumerate(picks):
-        at, p = offsets[k], len(pick)
-        results.append(
-            (
-                float(total[at]),
-                int(round(total[at + 1])),
-                total[at + 2 : at + 2 + p],
-                total[at + 2 + p : offsets[k + 1]].reshape(p, p),
-            )
-        )
-    return results

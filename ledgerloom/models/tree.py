@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.models.design import Design
 from ledgerloom.models.split import fold_of
+from ledgerloom.sources.frames import rows_to_df
 from ledgerloom.storage import held
 
 
@@ -21,17 +22,18 @@ class TreeFit:
 
     @property
     def best_accuracy(self) -> float:
-        return max(self.model.avgMetrics)
+        return float(max(self.model.avgMetrics))
 
     def results(self, spark: SparkSession) -> DataFrame:
         """``(max_depth, min_info_gain, accuracy, is_best)`` over the grid."""
-        scores = self.model.avgMetrics
+        scores = [float(v) for v in self.model.avgMetrics]
         first_best = scores.index(max(scores))
         rows = []
         for i, (params, score) in enumerate(zip(self.model.getEstimatorParamMaps(), scores)):
             named = {p.name: v for p, v in params.items()}
             rows.append((named["maxDepth"], named["minInfoGain"], score, i == first_best))
-        return spark.createDataFrame(
+        return rows_to_df(
+            spark,
             rows, "max_depth int, min_info_gain double, accuracy double, is_best boolean"
         )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import period
+from ledgerloom.sources.frames import rows_to_df
 
 
 def with_period(df: DataFrame, ts: str, grain: str, name: str = "period") -> DataFrame:
@@ -23,7 +24,7 @@ def drop_matching(df: DataFrame, part: str) -> DataFrame:
 def column_fill(df: DataFrame) -> DataFrame:
     """``(column_name, n_values)``: non-null count of each column, in one pass."""
     if not df.columns:
-        return df.sparkSession.createDataFrame([], "column_name string, n_values bigint")
+        return rows_to_df(df.sparkSession, [], "column_name string, n_values bigint")
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
     return counts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column_name", "n_values")
 

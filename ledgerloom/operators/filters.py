@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.sources.frames import rows_to_df
+
 # Literal lists up to this length become a pushed-down IN; longer ones a join.
 MAX_LITERALS = 1_000
 
@@ -18,9 +20,8 @@ def where_in(df: DataFrame, col: str, values: Sequence[object]) -> DataFrame:
     """Rows whose value is in the list; null never is."""
     if len(values) <= MAX_LITERALS:
         return df.where(F.col(col).isin(list(values)))
-    keys = df.sparkSession.createDataFrame(
-        [(v,) for v in values], T.StructType([T.StructField(col, df.schema[col].dataType)])
-    )
+    kind = T.StructType([T.StructField(col, df.schema[col].dataType)])
+    keys = rows_to_df(df.sparkSession, [(v,) for v in values], kind)
     return df.join(keys, col, "left_semi")
 
 
@@ -33,7 +34,7 @@ def tag_cohort(
     them if they fit its threshold; short lists also reach the scan as an IN.
     """
     pairs = [(k, c) for c, keys in cohorts.items() for k in keys]
-    members = df.sparkSession.createDataFrame(pairs, f"`{key}` string, `{name}` string")
+    members = rows_to_df(df.sparkSession, pairs, f"`{key}` string, `{name}` string")
     return where_in(df, key, [k for k, _ in pairs]).join(members, key)
 
 

@@ -44,14 +44,25 @@ def keep_false_or_first(
     flag: str,
     order: Sequence[str],
     prefer: str = "False",
+    small_groups: bool = False,
 ) -> DataFrame:
     """Per group: every row flagged ``prefer`` if there is one, else the first
     row in ascending ``order`` (null first).
 
     Two branches instead of a window: the flagged rows pass through untouched,
     and groups without any are reduced to their first row by a partial
-    aggregate. A group of any size stays spread over the map tasks.
+    aggregate. A group of any size stays spread over the map tasks. Where the
+    caller knows that groups hold a handful of rows, ``small_groups`` reads the
+    input once, with a window.
     """
+    if small_groups:
+        whole = Window.partitionBy(*group)
+        return (
+            df.withColumn("_any", F.bool_or(F.col(flag) == prefer).over(whole))
+            .withColumn("_rank", F.row_number().over(whole.orderBy(*order)))
+            .where(F.when(F.col("_any"), F.col(flag) == prefer).otherwise(F.col("_rank") == 1))
+            .drop("_any", "_rank")
+        )
     flagged = df.where(F.col(flag) == prefer)
     rest = [c for c in df.columns if c not in group]
     firsts = (

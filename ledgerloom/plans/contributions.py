@@ -25,6 +25,7 @@ from ledgerloom.operators.joins import exclude_keys
 from ledgerloom.operators.ordering import top_totals
 from ledgerloom.operators.sets import stack
 from ledgerloom.operators.windows import percent_of_total
+from ledgerloom.sources.frames import rows_to_df
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 Cuts = Sequence[tuple[object, str]]
@@ -182,7 +183,7 @@ def cohort_totals(
 
     A cohort without any row still shows, with total 0.
     """
-    names = df.sparkSession.createDataFrame([(c,) for c in cohorts], "cohort string")
+    names = rows_to_df(df.sparkSession, [(c,) for c in cohorts], "cohort string")
     tagged = tag_cohort(df, cohorts, key)
     sums = tagged.groupBy("cohort").agg(F.sum(amount).alias("total_amount"))
     totals = names.join(sums, "cohort", "left").withColumn(

@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerloom.functions.labels import bool_text, override_where, same_type_label, type_code
 from ledgerloom.functions.predicates import (
@@ -20,7 +19,8 @@ from ledgerloom.functions.text import base_schema, standard_base, type_message
 from ledgerloom.operators.aggregates import any_populated, has_tables, size_by
 from ledgerloom.operators.joins import distinct_keys, exclude_keys, flag_exists
 from ledgerloom.operators.windows import keep_false_or_first
-from ledgerloom.sources.catalog import quoted
+from ledgerloom.sources.catalog import TABLE_ROWS, quoted
+from ledgerloom.sources.frames import rows_to_df
 
 CODES = ("835", "837")
 
@@ -63,12 +63,7 @@ def probe_tables(
     Each table gives at most one populated row, and every task of its scan stops
     at the first it meets. A table without the column is not populated.
     """
-    rows = spark.createDataFrame(
-        list(names),
-        T.StructType(
-            [T.StructField("schema_name", T.StringType()), T.StructField("table_name", T.StringType())]
-        ),
-    )
+    rows = rows_to_df(spark, names, TABLE_ROWS)
     hits = []
     for schema, name in names:
         table = spark.table(quoted(catalog, schema, name))
@@ -167,63 +162,45 @@ def status(
     to all types of a partner unless ``per_type`` is set. Where a partner's
     lines differ in linking, those equal to ``prefer`` stay.
 
-    The right sides are made distinct per base schema before the joins, so a
-    line fans out by at most two flags on each.
+    Everything known about a partner is folded into one row per base schema
+    before the joins, so that a line fans out only by its own flags: two for
+    shared and two for linked at most.
     """
-    standardized = links.select(
-        base_schema(F.col("schema_name")).alias("base_schema"), "type_code", "linked"
-    )
-    base = ["base_schema"]
-    on = [*base, "type_ingested"] if per_type else base
-    flags = standardized.withColumnRenamed("type_code", "type_ingested").select(*on, "linked").distinct()
-
-    # ordering by the first schema name settles which shared flag comes first
-    shared = (
-        schema_flags(schemas, tables, "shared")
-        .groupBy("base_schema", bool_text(F.col("has_tables")).alias("shared_completed"))
-        .agg(F.min("schema_name").alias("_first_shared"))
-    )
-    has_standard_schema = schemas.where(F.col("schema_name").contains("standardized")).select(
-        standard_base(F.col("schema_name")).alias("partner")
-    )
-
+    linked = F.col("_links")
+    if per_type:
+        linked = F.filter(linked, lambda s: s["type_code"] == F.col("type_ingested"))
     lines = (
         ingested_types(tables, codes)
-        .join(shared, base, "left")
-        .join(flags, on, "left")
-        .withColumn("partner", F.trim("base_schema"))
-    )
-    lines = flag_exists(lines, standardized, base, "_any_type")
-    lines = flag_exists(lines, has_standard_schema, "partner", "_schema")
-    lines = flag_exists(
-        lines,
-        standardized.select(
-            F.col("base_schema").alias("partner"), F.col("type_code").alias("type_ingested")
-        ),
-        ["partner", "type_ingested"],
-        "_type",
-    )
-    lines = lines.select(
-        "partner",
-        "type_ingested",
-        F.when(~F.col("_any_type") & ~F.col("_schema"), NO_STANDARDIZED)
-        .when(F.col("_type"), "True")
-        .otherwise(type_message(F.col("type_ingested"), F.lit(False)))
-        .alias("standardized_completed"),
-        F.coalesce("shared_completed", F.lit(NO_SHARED)).alias("shared_completed"),
-        F.coalesce("linked", F.lit("False")).alias("account_linking_completed"),
-        "_first_shared",
+        .join(_schema_facts(schemas, tables), "base_schema", "left")
+        .join(_link_facts(links), "base_schema", "left")
+        .select(
+            F.col("base_schema").alias("partner"),
+            "type_ingested",
+            F.when(F.col("_links").isNull() & ~F.coalesce("_standard", F.lit(False)), NO_STANDARDIZED)
+            .when(F.exists("_links", lambda s: s["type_code"] == F.col("type_ingested")), "True")
+            .otherwise(type_message(F.col("type_ingested"), F.lit(False)))
+            .alias("standardized_completed"),
+            F.array_distinct(F.transform(linked, lambda s: s["linked"])).alias("_linked"),
+            F.explode_outer("_shared").alias("_shared"),
+        )
+        .select(
+            "partner",
+            "type_ingested",
+            "standardized_completed",
+            F.coalesce("_shared.flag", F.lit(NO_SHARED)).alias("shared_completed"),
+            F.col("_shared.first_schema").alias("_first_shared"),
+            F.explode_outer("_linked").alias("_flag"),
+        )
+        .withColumn("account_linking_completed", F.coalesce("_flag", F.lit("False")))
+        .drop("_flag")
     )
-    # lines equal in every shown column are one line; a later override may make
-    # kept lines equal again, and those stay
-    shown = [c for c in lines.columns if c != "_first_shared"]
-    lines = lines.groupBy(*shown).agg(F.min("_first_shared").alias("_first_shared"))
     kept = keep_false_or_first(
         lines,
         ["partner", "type_ingested"],
         "account_linking_completed",
-        ["_first_shared", "shared_completed", "account_linking_completed"],
+        ["_first_shared", "shared_completed"],
         prefer,
+        small_groups=True,
     )
     missing = F.col("standardized_completed")
     return kept.select(
@@ -239,6 +216,63 @@ def status(
     )
 
 
+def _schema_facts(schemas: DataFrame, tables: DataFrame) -> DataFrame:
+    """Per base schema: shared flags, each with its first schema name, and
+    whether a standardized schema exists.
+
+    The order of schema names settles which shared flag comes first. The two
+    layers cut names by different rules, so each adds its own key.
+    """
+    layers = F.col("schema_name").contains("shared") | F.col("schema_name").contains("standardized")
+    named = has_tables(schemas.where(layers), tables)
+    shared = F.when(F.col("schema_name").contains("shared"), F.col("schema_name"))
+    per_key = named.select(
+        F.explode(
+            F.array(
+                F.struct(
+                    base_schema(shared).alias("base_schema"),
+                    F.when(F.col("has_tables"), shared).alias("with_tables"),
+                    F.when(~F.col("has_tables"), shared).alias("without"),
+                    F.lit(False).alias("standard"),
+                ),
+                F.struct(
+                    F.when(
+                        F.col("schema_name").contains("standardized"),
+                        standard_base(F.col("schema_name")),
+                    ).alias("base_schema"),
+                    F.lit(None).cast("string").alias("with_tables"),
+                    F.lit(None).cast("string").alias("without"),
+                    F.lit(True).alias("standard"),
+                ),
+            )
+        ).alias("fact")
+    ).select("fact.*")
+    firsts = [F.min("with_tables"), F.min("without")]
+    return (
+        per_key.where(F.col("base_schema").isNotNull())
+        .groupBy("base_schema")
+        .agg(
+            F.filter(
+                F.array(
+                    *[
+                        F.struct(first.alias("first_schema"), F.lit(flag).alias("flag"))
+                        for first, flag in zip(firsts, ("True", "False"))
+                    ]
+                ),
+                lambda s: s["first_schema"].isNotNull(),
+            ).alias("_shared"),
+            F.bool_or("standard").alias("_standard"),
+        )
+    )
+
+
+def _link_facts(links: DataFrame) -> DataFrame:
+    """Per base schema, its (type, linked) pairs: two flags per known code."""
+    return links.groupBy(base_schema(F.col("schema_name")).alias("base_schema")).agg(
+        F.collect_set(F.struct("type_code", "linked")).alias("_links")
+    )
+
+
 def funnel(lines: DataFrame) -> DataFrame:
     """Lines per feed type at each stage, from one pass over the status table.
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.sources.frames import rows_to_df
+
 _PART = re.compile(r"[A-Za-z0-9_]+")
 
 SCHEMA_ROWS = T.StructType([T.StructField("schema_name", T.StringType())])
@@ -52,11 +54,6 @@ def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
-def rows_to_df(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
-    """Small local rows with a declared schema, so no rows is fine too."""
-    return spark.createDataFrame(rows, schema)
-
-
 def _schema_names(spark: SparkSession, catalog: str) -> list[str]:
     listing = spark.sql(f"SHOW SCHEMAS IN {quoted(catalog)}")
     name = "namespace" if "namespace" in listing.columns else "databaseName"
