@@ -24,6 +24,7 @@ from ledgerloom.models.newton import fit_matrix  # noqa: E402
 from ledgerloom.models.penalized import (  # noqa: E402
     nonzero,
     penalized_cv,
+    penalized_cvs,
     penalty_grid,
     split_by_size,
 )
@@ -533,10 +534,10 @@ def fitted_model_metrics(spark, sf):
         f"stepwise_{way}": stepwise(d, direction=way).fit.named(d.names)
         for way in ("forward", "backward", "both")
     }
+    kinds = {0.0: "ridge", 1.0: "lasso", 0.5: "elastic_net"}
     paths = {
-        name: path.terms_at(path.best)
-        for name, alpha in (("ridge", 0.0), ("lasso", 1.0), ("elastic_net", 0.5))
-        for path in [penalized_cv(bare, "row_id", alpha)]
+        kinds[alpha]: path.terms_at(path.best)
+        for alpha, path in penalized_cvs(bare, "row_id", list(kinds)).items()
     }
     group_path = group_lasso_cv(grouped, "row_id", GROUPS)
     scores = (

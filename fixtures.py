@@ -8,11 +8,59 @@ keeps as the stored timestamp so that year filters reach the scan.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
 
+# (schema suffix, condition on the supplier) and (suffix, table, condition)
+_SCHEMAS = [
+    ("__ingested", "true"),
+    ("__claims__standardized", "s_suppkey % 5 <> 0"),
+    ("__claims__shared", "s_suppkey % 3 <> 0"),
+    ("__physician__shared", "s_suppkey % 7 = 0"),
+]
+_TABLES = [
+    ("__ingested", "835__history", "s_suppkey % 2 = 0 or s_suppkey % 3 = 0"),
+    ("__ingested", "837__history", "s_suppkey % 2 = 1"),
+    ("__ingested", "eligibility__history", "true"),
+    (
+        "__claims__standardized",
+        "835__claims_advice_payment__history",
+        "s_suppkey % 5 <> 0 and s_suppkey % 2 = 0",
+    ),
+    (
+        "__claims__standardized",
+        "835__claims_account_crosswalk",
+        "s_suppkey % 5 <> 0 and s_suppkey % 4 = 0",
+    ),
+    ("__claims__standardized", "crosswalk_b_835", "s_suppkey % 5 <> 0 and s_suppkey % 12 = 0"),
+    (
+        "__claims__standardized",
+        "837__claims_account_crosswalk",
+        "s_suppkey % 5 <> 0 and s_suppkey % 2 = 1 and s_suppkey % 9 <> 0",
+    ),
+    ("__claims__shared", "clm02e", "s_suppkey % 3 <> 0 and s_suppkey % 8 <> 0"),
+    ("__physician__shared", "phys", "s_suppkey % 7 = 0"),
+]
+
+
+def _listing(rules: list[tuple[str, ...]], spark: bool) -> str:
+    """Catalog rows per supplier: one exploding scan for Spark, a union otherwise."""
+    columns = ("schema_name", "table_name")[: len(rules[0]) - 1]
+
+    def values(rule: tuple[str, ...]) -> str:
+        schema = f"'tp' || cast(s_suppkey as TEXT) || '{rule[0]}'"
+        named = zip((schema, *[f"'{t}'" for t in rule[1:-1]]), columns)
+        return ", ".join(f"{v} as {c}" for v, c in named)
+
+    if not spark:
+        return "\nunion all ".join(f"select {values(r)} from supplier where {r[-1]}" for r in rules)
+    items = ",\n  ".join(f"case when {r[-1]} then struct({values(r)}) end" for r in rules)
+    return f"select inline(array_compact(array(\n  {items}))) from supplier"
+
+
 # p_partkey < 200 follows from the join key; stated, it bounds that side.
 FIXTURES = {
     "contributions": """
@@ -57,23 +105,6 @@ select * from layer_ingested where meta_lineage_source_name not like '%7.txt%'
     "layer_shared": """
 select meta_lineage_source_name as FileName
 from layer_standardized where meta_lineage_source_name not like '%/f1%'
-""",
-    "catalog_schemas": """
-select 'tp' || cast(s_suppkey as TEXT) || '__ingested' as schema_name from supplier
-union all select 'tp' || cast(s_suppkey as TEXT) || '__claims__standardized' from supplier where s_suppkey % 5 <> 0
-union all select 'tp' || cast(s_suppkey as TEXT) || '__claims__shared' from supplier where s_suppkey % 3 <> 0
-union all select 'tp' || cast(s_suppkey as TEXT) || '__physician__shared' from supplier where s_suppkey % 7 = 0
-""",
-    "catalog_tables": """
-select 'tp' || cast(s_suppkey as TEXT) || '__ingested' as schema_name, '835__history' as table_name from supplier where s_suppkey % 2 = 0 or s_suppkey % 3 = 0
-union all select 'tp' || cast(s_suppkey as TEXT) || '__ingested', '837__history' from supplier where s_suppkey % 2 = 1
-union all select 'tp' || cast(s_suppkey as TEXT) || '__ingested', 'eligibility__history' from supplier
-union all select 'tp' || cast(s_suppkey as TEXT) || '__claims__standardized', '835__claims_advice_payment__history' from supplier where s_suppkey % 5 <> 0 and s_suppkey % 2 = 0
-union all select 'tp' || cast(s_suppkey as TEXT) || '__claims__standardized', '835__claims_account_crosswalk' from supplier where s_suppkey % 5 <> 0 and s_suppkey % 4 = 0
-union all select 'tp' || cast(s_suppkey as TEXT) || '__claims__standardized', 'crosswalk_b_835' from supplier where s_suppkey % 5 <> 0 and s_suppkey % 12 = 0
-union all select 'tp' || cast(s_suppkey as TEXT) || '__claims__standardized', '837__claims_account_crosswalk' from supplier where s_suppkey % 5 <> 0 and s_suppkey % 2 = 1 and s_suppkey % 9 <> 0
-union all select 'tp' || cast(s_suppkey as TEXT) || '__claims__shared', 'clm02e' from supplier where s_suppkey % 3 <> 0 and s_suppkey % 8 <> 0
-union all select 'tp' || cast(s_suppkey as TEXT) || '__physician__shared', 'phys' from supplier where s_suppkey % 7 = 0
 """,
     "crosswalk_rows": """
 select t.schema_name, t.table_name,
@@ -115,26 +146,40 @@ _NEEDS = {
 }
 
 
-def _text(name: str, text: str, stamp: str) -> str:
-    return FIXTURES[name].replace("TEXT", text).replace("STAMP", stamp).strip()
+def _text(name: str, spark: bool) -> str:
+    if name == "catalog_schemas":
+        body = _listing(_SCHEMAS, spark)
+    elif name == "catalog_tables":
+        body = _listing(_TABLES, spark)
+    else:
+        body = FIXTURES[name]
+    stamp = "o_orderdate" if spark else "cast(o_orderdate as varchar)"
+    return body.replace("TEXT", "string" if spark else "varchar").replace("STAMP", stamp).strip()
 
 
-def ctes(names: tuple[str, ...], text: str = "varchar", stamp: str = "cast(o_orderdate as varchar)") -> str:
+def ctes(names: tuple[str, ...], spark: bool = False) -> str:
     """``name as (select ...)`` for fixtures and whatever they build on."""
     ordered: list[str] = []
     for name in names:
         for needed in (*_NEEDS.get(name, ()), name):
             if needed not in ordered:
                 ordered.append(needed)
-    return ",\n".join(f"{n} as (\n{_text(n, text, stamp)}\n)" for n in ordered)
+    return ",\n".join(f"{n} as (\n{_text(n, spark)}\n)" for n in ordered)
+
+
+@lru_cache(maxsize=64)
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture as a Spark frame over the parquet tables."""
-    body = f"with {ctes((name,), 'string', 'o_orderdate')}\nselect * from {name}"
-    body = re.sub(
-        rf"\b(from|join) ({'|'.join(TABLES)})\b",
-        lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`",
-        body,
-    )
-    return spark.sql(body)
+    used: set[str] = set()
+
+    def placed(m: re.Match) -> str:
+        used.add(m[2])
+        return f"{m[1]} {{{m[2]}}}"
+
+    body = f"with {ctes((name,), spark=True)}\nselect * from {name}"
+    body = re.sub(rf"\b(from|join) ({'|'.join(TABLES)})\b", placed, body)
+    return spark.sql(body, **{t: _table(spark, f"{sf_dir}/{t}.parquet") for t in used})

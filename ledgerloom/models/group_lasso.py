@@ -30,7 +30,9 @@ def group_lasso_cv(
     if sorted(s for g in slots for s in g) != list(range(len(d.names))):
         raise ValueError("groups must cover each column once")
     weights = [math.sqrt(len(g)) for g in slots]
-    return _solve(d, id_col, slots, weights, 0.0, False, folds, n_lambda, ratio, seed, lambdas)
+    return _solve(
+        d, id_col, slots, weights, [1.0], False, folds, n_lambda, ratio, seed, lambdas
+    )[0]
 
 
 def selected_groups(

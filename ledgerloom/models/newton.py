@@ -61,7 +61,7 @@ class Fit:
 
 def fit_matrix(d: Design, intercept: bool | None = None) -> Fit:
     """One fit on all columns of a design, as they are."""
-    with held(d.matrix().withColumn("fold", F.lit(0))) as matrix:
+    with held(d.matrix().withColumn("fold", F.lit(0)), spread=True) as matrix:
         free = d.intercept if intercept is None else intercept
         return fit_many(RowBlocks(matrix), d, [tuple(d.terms)], intercept=free)[0]
 

@@ -3,7 +3,7 @@
 Objective, for rows i and coefficients b with a free intercept::
 
     mean(log(1 + exp(f_i)) - y_i f_i)
-        + lambda * (l2 / 2 * sum b_j^2 + sum_g w_g * |b_g|)
+        + lambda * ((1 - alpha) / 2 * sum b_j^2 + alpha * sum_g w_g * |b_g|)
 
 Ridge, lasso and elastic net use groups of one column on standardized columns
 (population deviation); the group lasso uses wider groups on raw columns.
@@ -103,11 +103,26 @@ def penalized_cv(
 ) -> PenaltyPath:
     """Elastic-net path: ``alpha`` 0 is ridge, 1 is lasso. ``folds=0`` skips
     cross-validation. Folds hang on a hash of ``id_col``."""
+    return penalized_cvs(d, id_col, [alpha], folds, n_lambda, ratio, seed, lambdas)[alpha]
+
+
+def penalized_cvs(
+    d: Design,
+    id_col: str,
+    alphas: Sequence[float],
+    folds: int = 10,
+    n_lambda: int = 100,
+    ratio: float = 1e-4,
+    seed: int = 100,
+    lambdas: Sequence[float] | None = None,
+) -> dict[float, PenaltyPath]:
+    """Several elastic-net paths that share their passes, each over its own
+    penalties unless ``lambdas`` gives them."""
     groups = [[i] for i in range(len(d.names))]
-    return _solve(
-        d, id_col, groups, [alpha] * len(groups), 1 - alpha, True, folds, n_lambda, ratio,
-        seed, lambdas,
+    paths = _solve(
+        d, id_col, groups, [1.0] * len(groups), alphas, True, folds, n_lambda, ratio, seed, lambdas
     )
+    return dict(zip(alphas, paths))
 
 
 def coef_path(
@@ -141,32 +156,47 @@ def penalty_grid(
     groups = [[i] for i in range(len(d.names))]
     rows = d.matrix(None, id_col).select("x", "y", F.lit(0).alias("fold"))
     heads = _Heads(_moments(RowBlocks(rows), len(d.names), 1), 0, True)
-    return lambda_grid(_largest(heads, groups, [alpha] * len(groups)), n_lambda, ratio)
+    return lambda_grid(_largest(heads, groups, [1.0] * len(groups), alpha), n_lambda, ratio)
 
 
-def _largest(heads: _Heads, groups, weights) -> float:
-    """The least penalty at which every group is zero. Weights below 0.001 count
-    as 0.001, so that ridge has a finite start."""
+def _largest(heads: _Heads, groups, weights, alpha: float) -> float:
+    """The least penalty at which every group is zero. ``alpha`` below 0.001
+    counts as 0.001, so that ridge has a finite start."""
     import numpy as np
 
     c = heads.null_gradient[0]
-    top = max(float(np.linalg.norm(c[g])) / max(w, 1e-3) for g, w in zip(groups, weights))
-    return top * (1 + 1e-9)
+    top = max(float(np.linalg.norm(c[g])) / w for g, w in zip(groups, weights))
+    return top / max(alpha, 1e-3) * (1 + 1e-9)
 
 
-def _solve(d, id_col, groups, weights, l2, standardize, folds, n_lambda, ratio, seed, lambdas):
+def _solve(
+    d, id_col, groups, weights, alphas, standardize, folds, n_lambda, ratio, seed, lambdas=None
+) -> list[PenaltyPath]:
+    """One path per alpha: ``alpha`` of the penalty on group norms, the rest on
+    squares."""
     import numpy as np
 
     fold = fold_of(id_col, folds, seed) if folds else F.lit(0)
-    with held(d.matrix(None, id_col).select("x", "y", fold.alias("fold"))) as matrix:
+    rows = d.matrix(None, id_col).select("x", "y", fold.alias("fold"))
+    with held(rows, spread=True) as matrix:
         blocks = RowBlocks(matrix)
         heads = _Heads(_moments(blocks, len(d.names), max(folds, 1)), folds, standardize)
-        if lambdas is None:
-            lambdas = lambda_grid(_largest(heads, groups, weights), n_lambda, ratio)
-        lams = np.array(sorted(lambdas, reverse=True), dtype=float)
-        raw, passes = _descend(blocks, heads, groups, weights, l2, lams)
+        grids = [
+            sorted(lambdas, reverse=True)
+            if lambdas is not None
+            else lambda_grid(_largest(heads, groups, weights, a), n_lambda, ratio)
+            for a in alphas
+        ]
+        lam = np.concatenate(grids)
+        part = np.repeat(alphas, [len(g) for g in grids])
+        raw, passes = _descend(blocks, heads, groups, weights, lam * part, lam * (1 - part))
         cv = _held_out(blocks, heads, raw) if folds else None
-    return PenaltyPath(lams.tolist(), d.names, raw[0], cv, passes + 1)
+    paths, at = [], 0
+    for grid in grids:
+        own = slice(at, at + len(grid))
+        paths.append(PenaltyPath(list(grid), d.names, raw[0, own], cv and cv[own], passes + 1))
+        at += len(grid)
+    return paths
 
 
 def _moments(blocks: RowBlocks, width: int, folds: int):
@@ -237,12 +267,13 @@ class _Heads:
         return g0, np.where(self.constant[head], 0.0, slopes / self.scale[head])
 
 
-def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l2, lams):
-    """Accelerated proximal steps until every (head, penalty) has settled."""
+def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2):
+    """Accelerated proximal steps until every (head, penalty) has settled; ``l1``
+    and ``l2`` are the two parts of each penalty."""
     import numpy as np
 
     n_heads, width = heads.mean.shape
-    n_lams = len(lams)
+    n_lams = len(l1)
     b = np.zeros((n_heads, n_lams, width))
     b0 = np.repeat(heads.start[:, None], n_lams, axis=1)
     z, z0 = b.copy(), b0.copy()
@@ -256,7 +287,7 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l2, lams):
         g0, g = heads.gradient(sums, head)
         at, at0 = z[head, lam], z0[head, lam]
         new0 = at0 - 4 * g0
-        new = _proximal(heads.bound[head], g, at, groups, weights, l2, lams[lam], inner)
+        new = _proximal(heads.bound[head], g, at, groups, weights, l1[lam], l2[lam], inner)
 
         # momentum, dropped where it points uphill
         old, old0 = b[head, lam], b0[head, lam]
@@ -280,7 +311,7 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l2, lams):
     return heads.raw(b0, b), passes
 
 
-def _proximal(bound, g, start, groups, weights, l2, lam, tol):
+def _proximal(bound, g, start, groups, weights, l1, l2, tol):
     """Minimize the bounded quadratic plus the penalty, one group at a time, for
     all problems at once. Inside, slots come first and problems last; problems
     leave the loop as they settle."""
@@ -296,14 +327,14 @@ def _proximal(bound, g, start, groups, weights, l2, lam, tol):
         largest = np.linalg.eigvalsh(sub)[:, -1] if len(group) > 1 else sub[:, 0, 0]
         top.append(np.where(largest > 0, largest, 1.0))
     curvature = np.array(top)
-    left = np.arange(len(lam))
+    left = np.arange(len(l1))
     for sweep in range(1, 1_001):
         change = np.zeros(len(left))
         for i, (group, weight) in enumerate(zip(groups, weights)):
             u = curvature[i] * b[group] - r[group]
             size = np.abs(u[0]) if len(group) == 1 else np.sqrt((u**2).sum(axis=0))
-            keep = np.maximum(size - lam * weight, 0.0) / np.where(size > 0, size, 1.0)
-            delta = u * (keep / (curvature[i] + lam * l2)) - b[group]
+            keep = np.maximum(size - l1 * weight, 0.0) / np.where(size > 0, size, 1.0)
+            delta = u * (keep / (curvature[i] + l2)) - b[group]
             b[group] += delta
             for j, d in zip(group, delta):
                 r += columns[j] * d
@@ -313,7 +344,7 @@ def _proximal(bound, g, start, groups, weights, l2, lam, tol):
             done[:, left] = b
             if not busy.any():
                 break
-            left, lam = left[busy], lam[busy]
+            left, l1, l2 = left[busy], l1[busy], l2[busy]
             b, r, unit, curvature = b[:, busy], r[:, busy], unit[:, busy], curvature[:, busy]
             columns = columns[:, :, busy]
     done[:, left] = b

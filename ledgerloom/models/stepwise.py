@@ -56,7 +56,7 @@ def stepwise(
         raise ValueError(f"unknown direction {direction!r}")
     terms = list(terms or d.terms)
     start = start or ("null" if direction == "forward" else "full")
-    with held(d.matrix().withColumn("fold", F.lit(0))) as matrix:
+    with held(d.matrix().withColumn("fold", F.lit(0)), spread=True) as matrix:
         blocks = RowBlocks(matrix)
         chosen = [] if start == "null" else list(terms)
         current = fit_many(blocks, d, [tuple(chosen)])[0]

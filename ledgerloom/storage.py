@@ -29,10 +29,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def held(df: DataFrame) -> Iterator[DataFrame]:
+def held(df: DataFrame, spread: bool = False) -> Iterator[DataFrame]:
     """``df`` materialized for repeated passes: checkpointed, so a lost executor
-    costs a re-read and not a recomputation, and cached on top for speed."""
-    kept = cut_lineage(df).persist(StorageLevel.MEMORY_AND_DISK)
+    costs a re-read and not a recomputation, and cached on top for speed.
+
+    ``spread`` is for passes that are heavy on computation: data too small to
+    fill the cores by its bytes is dealt out to all of them.
+    """
+    kept = cut_lineage(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if spread and kept.rdd.getNumPartitions() < cores:
+        kept = kept.repartition(cores)
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
