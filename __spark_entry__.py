@@ -158,6 +158,13 @@ def _layer_query(layer: str, grain: str) -> Query:
     return run
 
 
+def ingested_files_both_grains(spark, sf):
+    return recon.layer_files_both(
+        fixture(spark, sf, "acquisition"), fixture(spark, sf, "layer_ingested"),
+        partner="TP_A", feed="835",
+    )
+
+
 def layer_coverage_by_year(spark, sf):
     return _coverage(spark, sf, "year")
 
@@ -526,10 +533,9 @@ def fitted_model_metrics(spark, sf):
     cols = [c for group in GROUPS.values() for c in group]
     grouped = assemble(train, "preference", cols)
 
-    fitted = {
-        "full_logistic": glm.fit_logistic(d).model,
-        "decision_tree": tree_cv(d, "row_id").model.bestModel,
-    }
+    full = glm.fit_logistic(d).coefficients(spark)
+    logistic = {"full_logistic": {r.term: r.estimate for r in full.collect()}}
+    tree = {"decision_tree": tree_cv(d, "row_id").model.bestModel}
     steps = {
         f"stepwise_{way}": stepwise(d, direction=way).fit.named(d.names)
         for way in ("forward", "backward", "both")
@@ -540,18 +546,17 @@ def fitted_model_metrics(spark, sf):
         for alpha, path in penalized_cvs(bare, "row_id", list(kinds)).items()
     }
     group_path = group_lasso_cv(grouped, "row_id", GROUPS)
-    scores = (
-        scoring.score_fitted(test, d, fitted, "row_id")
-        .join(scoring.score_coefficients(test, d, steps, "row_id").drop("y"), "row_id")
-        .join(scoring.score_coefficients(test, bare, paths, "row_id").drop("y"), "row_id")
-        .join(
-            scoring.score_coefficients(
-                test, grouped, {"group_lasso": group_path.terms_at(group_path.best)}, "row_id"
-            ).drop("y"),
-            "row_id",
-        )
+    group = {"group_lasso": group_path.terms_at(group_path.best)}
+    # one scan of the test rows: only the tree needs coded features
+    scores = scoring.score_fitted(test, d, tree, *test.columns).select(
+        "row_id",
+        "y",
+        *tree,
+        *scoring.score_columns(d, logistic | steps),
+        *scoring.score_columns(bare, paths),
+        *scoring.score_columns(grouped, group),
     )
-    names = [*fitted, *steps, *paths, "group_lasso"]
+    names = [*tree, *logistic, *steps, *paths, *group]
     classes = scoring.classify_models(scores, names)
     return evaluation.metrics(evaluation.confusion(classes, names, "y")).join(
         evaluation.mean_probability(scores, names), "model"
@@ -568,7 +573,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        acq_files_by_month, acq_files_by_year, layer_coverage_by_year, layer_coverage_by_month,
+        acq_files_by_month, acq_files_by_year, ingested_files_both_grains, layer_coverage_by_year, layer_coverage_by_month,
         catalog_typed_inventory, ingested_feed_types, account_link_status, schema_has_tables,
         onboarding_type_labels, onboarding_status, onboarding_funnel, shared_not_linked,
         linked_by_type, contrib_by_code, contrib_org_columns, contrib_org_totals,

@@ -9,10 +9,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.base import Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.columns import complete_cases
+from ledgerloom.operators.filters import where_in
 
 
 @dataclass(frozen=True)
@@ -20,17 +21,37 @@ class Design:
     """A frame with ``features`` and ``label``, and what its slots mean.
 
     ``names`` are the slot names, ``terms`` maps each term to its slots, so a
-    factor can be added or dropped as a whole. ``encoder`` codes other rows the
-    same way.
+    factor can be added or dropped as a whole, and ``levels`` holds the known
+    levels of each factor. ``encoder`` codes other rows the same way.
     """
 
     frame: DataFrame
     names: list[str]
     terms: dict[str, list[int]]
+    levels: dict[str, list[str]]
     encoder: Transformer
     label: str
     intercept: bool = True
 
+    def columns(self) -> dict[str, Column]:
+        """Each slot as an expression over the uncoded columns."""
+        out = {}
+        for term, slots in self.terms.items():
+            for slot in slots:
+                name = self.names[slot]
+                col = F.col(f"`{term}`")
+                if term in self.levels:
+                    col = col == name.removeprefix(f"{term}_")
+                out[name] = col.cast("double")
+        return out
+
+    def usable(self, df: DataFrame) -> DataFrame:
+        """Rows the encoder would keep: no null input, no unknown level."""
+        rows = complete_cases(df, list(self.terms))
+        for term, levels in self.levels.items():
+            rows = where_in(rows, term, levels)
+        return rows
+
     def encode(self, df: DataFrame) -> DataFrame:
         return self.encoder.transform(df)
 
@@ -96,7 +117,7 @@ def design(
         slots[term] = list(range(len(names), len(names) + len(own)))
         names += own
     frame = encoder.transform(inputs).withColumn("label", F.col(label).cast("double"))
-    return Design(frame, names, slots, encoder, label, intercept)
+    return Design(frame, names, slots, levels, encoder, label, intercept)
 
 
 def assemble(df: DataFrame, label: str, cols: Sequence[str], intercept: bool = True) -> Design:
@@ -105,7 +126,7 @@ def assemble(df: DataFrame, label: str, cols: Sequence[str], intercept: bool = T
     encoder = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip")
     labelled = inputs.withColumn("label", F.col(label).cast("double"))
     return Design(
-        encoder.transform(labelled), list(cols), {c: [i] for i, c in enumerate(cols)}, encoder, label,
-        intercept,
+        encoder.transform(labelled), list(cols), {c: [i] for i, c in enumerate(cols)}, {}, encoder,
+        label, intercept,
     )
 

@@ -142,7 +142,7 @@ def _newton_sums(blocks: RowBlocks, slots, betas, width):
             out[at + 2 + p : offsets[k + 1]] = (sub.T @ (sub * w[:, None])).ravel()
         return out
 
-    total = blocks.sum(block, offsets[-1])
+    total = blocks.sum(block, offsets[-1], len(slots))
     results = []
     for k, pick in enumerate(picks):
         at, p = offsets[k], len(pick)

@@ -17,8 +17,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# rows of a block handled at once inside a task; bounds the block's memory
-BLOCK = 2_048
+# numbers per row block inside a task (rows times candidates); bounds its memory
+BLOCK = 2_000_000
 # up to this many partial arrays go straight to the driver
 DIRECT = 64
 
@@ -30,7 +30,7 @@ class RowBlocks:
         self.rows = matrix.select("x", F.col("y").cast("double"), F.col("fold").cast("int"))
         self.tasks = matrix.rdd.getNumPartitions()
 
-    def sum(self, block: Callable[..., Any], size: int):
+    def sum(self, block: Callable[..., Any], size: int, candidates: int = 1):
         """Sum of ``block(x, y, fold)`` over all row blocks.
 
         ``block`` gets numpy arrays and returns a flat array of ``size``
@@ -43,7 +43,7 @@ class RowBlocks:
         """
         import numpy as np
 
-        step = BLOCK
+        step = min(max(BLOCK // candidates, 64), 16_384)
 
         def partials(batches):
             import numpy as np

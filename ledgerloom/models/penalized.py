@@ -234,6 +234,8 @@ class _Heads:
         self.held_n = np.array([moments[f][0, 0] for f in range(folds)])
         self.mean = m[:, 0, 1:-1] / self.n[:, None]
         rate = m[:, 0, -1] / self.n
+        if not ((0 < rate) & (rate < 1)).all():
+            raise ValueError("both outcomes must occur in every training set")
         self.start = np.log(rate / (1 - rate))
         centred = m[:, 1:, 1:-1] / self.n[:, None, None] - (
             self.mean[:, :, None] * self.mean[:, None, :]
@@ -364,7 +366,7 @@ def _gradient_sums(blocks: RowBlocks, coefs, out):
         residual[fold[:, None] == out[None, :]] = 0.0
         return (full.T @ residual).ravel()
 
-    return blocks.sum(block, shape[0] * shape[1]).reshape(shape)
+    return blocks.sum(block, shape[0] * shape[1], shape[1]).reshape(shape)
 
 
 def _held_out(blocks: RowBlocks, heads: _Heads, raw):
@@ -385,7 +387,7 @@ def _held_out(blocks: RowBlocks, heads: _Heads, raw):
             loss[f] = (np.logaddexp(0, eta) - y[rows, None] * eta).sum(axis=0)
         return loss.ravel()
 
-    sums = 2 * blocks.sum(block, (n_heads - 1) * n_lams).reshape(n_heads - 1, n_lams)
+    sums = 2 * blocks.sum(block, (n_heads - 1) * n_lams, n_lams).reshape(n_heads - 1, n_lams)
     n = heads.held_n[:, None]
     mean = sums.sum(axis=0) / n.sum()
     filled = heads.held_n > 0

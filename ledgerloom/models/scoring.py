@@ -27,20 +27,19 @@ def probability(score: Column) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
-def slot_columns(d: Design, array: str = "x") -> dict[str, Column]:
-    """Each slot of an encoded matrix as a column."""
-    return {name: F.col(array)[i] for i, name in enumerate(d.names)}
+def score_columns(d: Design, models: Mapping[str, Mapping[str, float]]) -> list[Column]:
+    """One probability expression per model given as named coefficients, over
+    the uncoded columns: no encoding step, no Python, one projection."""
+    cols = d.columns()
+    return [probability(linear_score(c, cols)).alias(m) for m, c in models.items()]
 
 
 def score_coefficients(
     df: DataFrame, d: Design, models: Mapping[str, Mapping[str, float]], *keep: str
 ) -> DataFrame:
-    """One probability column per model given as named coefficients."""
-    cols = slot_columns(d)
-    return d.matrix(df, *keep).select(
-        *keep,
-        F.col("y"),
-        *[probability(linear_score(c, cols)).alias(m) for m, c in models.items()],
+    """``keep`` columns, the outcome ``y`` and one probability per model."""
+    return d.usable(df).select(
+        *keep, F.col(d.label).cast("double").alias("y"), *score_columns(d, models)
     )
 
 

@@ -25,25 +25,24 @@ def train_test(
     if not exact:
         chosen = F.pmod(_rank_key(id_col, seed), F.lit(1_000_000)) < int(test * 1_000_000)
     else:
-        n = df.where(F.col(id_col).isNotNull()).count()
-        chosen = _smallest(df, id_col, seed, int(test * n))
+        chosen = _smallest(df, id_col, seed, test)
     return df.where(~chosen), df.where(chosen)
 
 
-def _smallest(df: DataFrame, id_col: str, seed: int, k: int) -> Column:
-    """Test for the ``k`` rows with the smallest (hash, id)."""
-    if k == 0:
-        return F.lit(False)
+def _smallest(df: DataFrame, id_col: str, seed: int, share: float) -> Column:
+    """Test for the ``floor(share * n)`` rows with the smallest (hash, id)."""
     key = _rank_key(id_col, seed)
     # the signed hash is walked from its top bits; `left` rows are still to be
     # placed among those sharing the prefix found so far
-    left, prefix, rows = k, None, df.where(F.col(id_col).isNotNull())
+    left, prefix, rows = None, None, df.where(F.col(id_col).isNotNull())
     for shift in range(64 - _STEP, -1, -_STEP):
         prefixes = F.shiftright(key, shift)
-        counts = sorted(
-            (r.prefix, r.n)
-            for r in rows.groupBy(prefixes.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect()
-        )
+        histogram = rows.groupBy(prefixes.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        counts = sorted((r.prefix, r.n) for r in histogram.collect())
+        if left is None:
+            left = int(share * sum(n for _, n in counts))
+            if left == 0:
+                return F.lit(False)
         for prefix, n in counts:
             if left <= n:
                 break

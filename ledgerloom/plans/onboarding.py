@@ -19,7 +19,7 @@ from ledgerloom.functions.text import base_schema, standard_base, type_message
 from ledgerloom.operators.aggregates import any_populated, has_tables, size_by
 from ledgerloom.operators.joins import distinct_keys, exclude_keys, flag_exists
 from ledgerloom.operators.windows import keep_false_or_first
-from ledgerloom.sources.catalog import TABLE_ROWS, quoted
+from ledgerloom.sources.catalog import TABLE_ROWS, inventory, quoted
 from ledgerloom.sources.frames import rows_to_df
 
 CODES = ("835", "837")
@@ -216,6 +216,22 @@ def status(
     )
 
 
+def catalog_status(
+    spark: SparkSession,
+    catalog: str,
+    codes: Sequence[str] = CODES,
+    col: str = "account_number",
+    **options: object,
+) -> DataFrame:
+    """:func:`status` of a live catalog: one metadata listing, one job over the
+    crosswalk tables. Only names from the listing reach the driver."""
+    found = inventory(spark, catalog)
+    crosswalks = typed_inventory(found.tables, codes).where("is_standardized and is_crosswalk")
+    names = [tuple(r) for r in crosswalks.select("schema_name", "table_name").collect()]
+    links = account_link(found.tables, probe_tables(spark, names, catalog, col), codes)
+    return status(found.schemas, found.tables, links, codes, **options)
+
+
 def _schema_facts(schemas: DataFrame, tables: DataFrame) -> DataFrame:
     """Per base schema: shared flags, each with its first schema name, and
     whether a standardized schema exists.

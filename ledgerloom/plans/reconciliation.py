@@ -119,6 +119,33 @@ def layer_files_by_period(
     )
 
 
+def layer_files_both(
+    acq: DataFrame,
+    layer: DataFrame,
+    name_col: str = "meta_lineage_source_name",
+    partner: str = "",
+    feed: str = "",
+) -> DataFrame:
+    """Month and year counts of a layer from one scan of each side, as
+    ``(grain, period, unique_file_paths)``. A year is not the sum of its months,
+    so keys are made distinct again per grain; they already sit together by key
+    after the join."""
+    month = F.col("period")
+    grains = F.array(
+        F.struct(F.lit("month").alias("grain"), month.alias("period")),
+        F.struct(F.lit("year").alias("grain"), F.left(month, F.lit(4)).alias("period")),
+    )
+    return (
+        match_files(acq, layer, "month", name_col, partner, feed)
+        .select("file_key", "n_names", F.explode(grains).alias("at"))
+        .select("file_key", "n_names", "at.*")
+        .distinct()
+        .groupBy("grain", "period")
+        .agg(F.sum("n_names").alias("unique_file_paths"))
+        .orderBy("grain", "period")
+    )
+
+
 def coverage(
     acq: DataFrame,
     layers: Mapping[str, tuple[DataFrame, str]],

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.labels import binary_label
+from ledgerloom.operators.columns import as_factor
 from ledgerloom.operators.windows import share_overall, share_within
 
 
+def prepare(
+    df: DataFrame, label: str, positive: str, factors: Sequence[str], id_col: str = "row_id"
+) -> DataFrame:
+    """Raw survey rows ready for models: factors as text, the label as 1/0, and
+    a hash of the answers as row id where there is none.
+
+    Equal rows share such an id and so land in the same split and fold.
+    """
+    ready = as_factor(df, factors).withColumn(label, binary_label(F.col(label), positive))
+    if id_col in df.columns:
+        return ready
+    return ready.withColumn(id_col, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def preference_shares(
     df: DataFrame, group: str, label: str = "preference", within: bool = True
 ) -> DataFrame:

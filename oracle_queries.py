@@ -590,3 +590,7 @@ for _name, (_table, _column) in {
 }.items():
     ORACLE[f"{_name}_files_by_month"] = _layer(_table, _column, 7)
     ORACLE[f"{_name}_files_by_year"] = _layer(_table, _column, 4)
+ORACLE["ingested_files_both_grains"] = f"""
+select 'month' as grain, * from ({ORACLE["ingested_files_by_month"]})
+union all select 'year', * from ({ORACLE["ingested_files_by_year"]})
+"""

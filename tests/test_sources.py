@@ -99,3 +99,27 @@ def test_rows_to_df(spark):
     assert [tuple(r) for r in rows_to_df(spark, [("x", None)], "a string, n double").collect()] == [
         ("x", None)
     ]
+
+
+def test_status_of_a_live_catalog(spark, lake):
+    from ledgerloom.plans.onboarding import catalog_status
+
+    found = [tuple(r) for r in catalog_status(spark, lake).collect()]
+    # 835 is linked; the 837 crosswalk lacks the column, and that reaches all lines
+    assert found == [("tp1", "835", "True", "False", "False")]
+    per_type = [tuple(r) for r in catalog_status(spark, lake, per_type=True).collect()]
+    assert per_type == [("tp1", "835", "True", "False", "False")]
+
+
+def test_survey_from_csv_to_model_input(spark, tmp_path):
+    from ledgerloom.models.design import design
+    from ledgerloom.plans.survey import prepare
+
+    path = tmp_path / "s.csv"
+    lines = [f"{20 + i},{'FM'[i % 2]},{'yes' if i % 3 else 'no'}" for i in range(12)]
+    path.write_text("Age ,Gender,Prefers \n" + "\n".join(lines) + "\n,F,yes\n30,F,\n")
+    rows = prepare(files.read_survey(spark, str(path)), "Prefers", "yes", ["Gender"])
+    assert {r.Prefers for r in rows.collect()} == {0, 1, None}
+    d = design(rows, "Prefers", ["Age", "Gender"])
+    assert d.names == ["Age", "Gender_M"] and d.frame.count() == 12
+    assert rows.select("row_id").distinct().count() == 14
