@@ -72,7 +72,7 @@ def fit_many(
     term_sets: Sequence[tuple[str, ...]],
     warm: Fit | None = None,
     intercept: bool = True,
-    tol: float = 1e-10,
+    tol: float = 1e-8,
     max_passes: int = 50,
 ) -> list[Fit]:
     """Fits of several term sets over the same rows, started from ``warm``."""
@@ -91,16 +91,19 @@ def fit_many(
         still = []
         for k, (deviance, n, gradient, information) in zip(active, sums):
             before, previous = accepted[k][:2]
-            close = abs(previous - deviance) <= tol * (abs(deviance) + 0.1)
-            if deviance > previous and not close:
+            if deviance > previous + tol * (abs(deviance) + 0.1):
                 trial[k] = (trial[k] + before) / 2  # overshot: halve the step
                 still.append(k)
                 continue
             step, _, rank, _ = np.linalg.lstsq(information, gradient, rcond=1e-12)
+            gain = float(gradient @ step)  # deviance the step takes off
+            if gain <= tol * (abs(deviance) + 0.1):
+                # so close that the step's result is known without another pass
+                accepted[k] = (trial[k] + step, deviance - gain, int(rank), n, information)
+                continue
             accepted[k] = (trial[k], deviance, int(rank), n, information)
-            if not close:
-                trial[k] = trial[k] + step
-                still.append(k)
+            trial[k] = trial[k] + step
+            still.append(k)
         active = still
         if not active:
             break
