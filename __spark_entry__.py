@@ -22,6 +22,7 @@ from ledgerloom.models.design import assemble, design  # noqa: E402
 from ledgerloom.models.group_lasso import group_lasso_cv, selected_groups  # noqa: E402
 from ledgerloom.models.newton import fit_matrix  # noqa: E402
 from ledgerloom.models.penalized import (  # noqa: E402
+    coef_path,
     nonzero,
     penalized_cv,
     penalized_cvs,
@@ -498,9 +499,17 @@ def coef_magnitudes(spark, sf):
     return split_by_size(_penalized(spark, sf, 0.0).at_best(spark))
 
 
-def ridge_fixed_penalty(spark, sf):
-    d = design(_survey(spark, sf), "preference", TWO, intercept=False)
-    path = penalized_cv(d, "row_id", 0.0, folds=0, lambdas=[0.1])
+def _fixed_penalty(alpha: float, lam: float) -> Query:
+    def run(spark, sf):
+        d = design(_survey(spark, sf), "preference", TWO, intercept=False)
+        return _rounded(coef_path(d, "row_id", alpha, [lam]).path(spark), 4, "coefficient")
+
+    return run
+
+
+def group_lasso_fixed_penalty(spark, sf):
+    d = assemble(_survey(spark, sf), "preference", TWO)
+    path = group_lasso_cv(d, "row_id", {"both": TWO}, folds=0, lambdas=[0.02])
     return _rounded(path.path(spark), 4, "coefficient")
 
 
@@ -586,13 +595,15 @@ def queries() -> dict[str, Query]:
         best_recall_model, glm_two_predictors, glm_two_designs, glm_deviance, glm_criteria,
         lrt_null_vs_two, glm_summary, glm_odds, glm_significant, step_both_significant, lrt_full_vs_reduced,
         tree_accuracy, tree_document_quality, ridge_path, lasso_path, enet_path, lasso_cv,
-        lasso_selected, coef_magnitudes, ridge_fixed_penalty, lasso_penalty_grid,
-        group_lasso_path, group_lasso_selected, fitted_model_metrics,
+        lasso_selected, coef_magnitudes, lasso_penalty_grid,
+        group_lasso_path, group_lasso_selected, group_lasso_fixed_penalty, fitted_model_metrics,
     ]
     out = {f.__name__: f for f in named}
     for layer in LAYERS:
         for grain in ("month", "year"):
             out[f"{layer}_files_by_{grain}"] = _layer_query(layer, grain)
+    for kind, alpha, lam in (("ridge", 0.0, 0.1), ("lasso", 1.0, 0.02), ("enet", 0.5, 0.02)):
+        out[f"{kind}_fixed_penalty"] = _fixed_penalty(alpha, lam)
     for direction in ("forward", "backward", "both"):
         out[f"step_{direction}"] = _step(direction)
     return out

@@ -22,7 +22,7 @@ def where_in(df: DataFrame, col: str, values: Sequence[object]) -> DataFrame:
         return df.where(F.col(col).isin(list(values)))
     kind = T.StructType([T.StructField(col, df.schema[col].dataType)])
     keys = rows_to_df(df.sparkSession, [(v,) for v in values], kind)
-    return df.join(keys, col, "left_semi")
+    return df.join(keys, col, "left_semi").select(*df.columns)
 
 
 def tag_cohort(

@@ -21,7 +21,7 @@ def distinct_keys(df: DataFrame, keys: Sequence[str] | str) -> DataFrame:
 def exclude_keys(df: DataFrame, other: DataFrame, keys: Sequence[str] | str) -> DataFrame:
     """Rows of ``df`` without a partner in ``other``; null keys are kept."""
     on = [keys] if isinstance(keys, str) else list(keys)
-    return df.join(distinct_keys(other, on), on, "left_anti")
+    return df.join(distinct_keys(other, on), on, "left_anti").select(*df.columns)
 
 
 def flag_exists(
@@ -30,4 +30,6 @@ def flag_exists(
     """``df`` plus a boolean telling whether its key occurs in ``other``."""
     on = [keys] if isinstance(keys, str) else list(keys)
     present = distinct_keys(other, on).withColumn(flag, F.lit(True))
-    return df.join(present, on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return df.join(present, on, "left").select(
+        *df.columns, F.coalesce(flag, F.lit(False)).alias(flag)
+    )

@@ -19,14 +19,19 @@ SURVEY_TYPES = {
 
 
 def read_csv(
-    spark: SparkSession, path: str, types: Mapping[str, str], trim_names: bool = False
+    spark: SparkSession,
+    path: str,
+    types: Mapping[str, str],
+    trim_names: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV with a header; empty fields are null, columns outside ``types`` are text.
 
     Only the header line is looked at while planning. Columns are typed by name,
-    and a value that does not fit its type becomes null.
+    and a value that does not fit its type becomes null. ``multiline`` allows line
+    breaks inside quotes, at the price that a file is then read by one task.
     """
-    raw = spark.read.csv(path, header=True, nullValue="", quote='"', escape='"')
+    raw = spark.read.csv(path, header=True, nullValue="", quote='"', escape='"', multiLine=multiline)
     if trim_names:
         raw = raw.toDF(*[c.rstrip() for c in raw.columns])
     return raw.select(

@@ -262,10 +262,11 @@ rates as (
 
 # Newton's method for intercept and two slopes: each recursion step is one
 # aggregate over the survey and a three by three solve by cofactors. The slopes
-# carry a ridge penalty of `lam` per row on columns x1 and x2.
+# carry a penalty per row, given by its gradient Q1, Q2 and curvature P11, P12,
+# P22. The two signals are positive, which makes every penalty smooth here.
 _NEWTON = """,
 fit(i, b0, b1, b2, c00, c11, c22) as (
-  select 0, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double
+  select 0, 0::double, START::double, START::double, 0::double, 0::double, 0::double
   union all
   select i + 1, b0 + (k00 * g0 + k01 * g1 + k02 * g2) / det, b1 + (k01 * g0 + k11 * g1 + k12 * g2) / det,
          b2 + (k02 * g0 + k12 * g1 + k22 * g2) / det, k00 / det, k11 / det, k22 / det
@@ -276,25 +277,25 @@ fit(i, b0, b1, b2, c00, c11, c22) as (
              h00 * h22 - h02 * h02 as k11, h01 * h02 - h00 * h12 as k12, h00 * h11 - h01 * h01 as k22
       from (
         select i, b0, b1, b2, sum(w) as h00, sum(w * x1) as h01, sum(w * x2) as h02,
-               sum(w * x1 * x1 + lam) as h11, sum(w * x1 * x2) as h12, sum(w * x2 * x2 + lam) as h22,
-               sum(y - p) as g0, sum((y - p) * x1 - lam * b1) as g1, sum((y - p) * x2 - lam * b2) as g2
+               sum(w * x1 * x1 + P11) as h11, sum(w * x1 * x2 + P12) as h12, sum(w * x2 * x2 + P22) as h22,
+               sum(y - p) as g0, sum((y - p) * x1 - Q1) as g1, sum((y - p) * x2 - Q2) as g2
         from (
           select *, p * (1 - p) as w
           from (
-            select f.i, f.b0, f.b1, f.b2, d.x1, d.x2, d.y, d.lam,
+            select f.i, f.b0, f.b1, f.b2, d.x1, d.x2, d.y,
                    1 / (1 + exp(-(f.b0 + f.b1 * d.x1 + f.b2 * d.x2))) as p
-            from fit f, data d where f.i < 12
+            from fit f, data d where f.i < 20
           )
         ) group by i, b0, b1, b2
       )
     )
   )
 ),
-final as (select * from fit where i = 12)"""
+final as (select * from fit where i = 20)"""
 _TWO = """,
 data as (
   select cast(preference as double) as y, cast(job_satisfaction as double) as x1,
-         cast(remote_hours as double) as x2, 0::double as lam from survey
+         cast(remote_hours as double) as x2 from survey
 )"""
 _DEVIANCES = """,
 deviances as (
@@ -309,13 +310,45 @@ stats as (
          avg(remote_hours) as m2, stddev_pop(remote_hours) as s2 from survey
 ),
 data as (
-  select cast(preference as double) as y, (job_satisfaction - m1) / s1 as x1, (remote_hours - m2) / s2 as x2,
-         0.1::double as lam from survey, stats
+  select cast(preference as double) as y, (job_satisfaction - m1) / s1 as x1, (remote_hours - m2) / s2 as x2
+  from survey, stats
 )"""
 
 
-def _fit(body: str, data: str = _TWO) -> str:
-    return _q("survey", data + _NEWTON + body, recursive=True)
+_FREE = ("0", "0", "0", "0", "0")
+
+
+def _fit(body: str, data: str = _TWO, penalty: tuple[str, ...] = _FREE, start: str = "0") -> str:
+    newton = _NEWTON.replace("START", start)
+    for mark, text in zip(("Q1", "Q2", "P11", "P12", "P22"), penalty):
+        newton = newton.replace(mark, f"({text})")
+    return _q("survey", data + newton + body, recursive=True)
+
+
+def _elastic(lam: float, alpha: float) -> str:
+    """Coefficients at one penalty on scaled columns, given back unscaled."""
+    l1, l2 = f"{lam * alpha}::double", f"{lam * (1 - alpha)}::double"
+    return _fit(
+        f"""
+select {lam}::double as lambda, '(Intercept)' as term, round(b0 - b1 * m1 / s1 - b2 * m2 / s2, 4) as coefficient
+from final, stats
+union all select {lam}, 'job_satisfaction', round(b1 / s1, 4) from final, stats
+union all select {lam}, 'remote_hours', round(b2 / s2, 4) from final, stats
+""",
+        _SCALED,
+        (f"{l1} + {l2} * b1", f"{l1} + {l2} * b2", l2, "0", l2),
+    )
+
+
+_R = "sqrt(b1 * b1 + b2 * b2)"
+_W = "0.02 * sqrt(2)"
+_GROUP = (
+    f"{_W} * b1 / {_R}",
+    f"{_W} * b2 / {_R}",
+    f"{_W} * (1 / {_R} - b1 * b1 / power({_R}, 3))",
+    f"-{_W} * b1 * b2 / power({_R}, 3)",
+    f"{_W} * (1 / {_R} - b2 * b2 / power({_R}, 3))",
+)
 
 
 ORACLE: dict[str, str] = {
@@ -554,14 +587,17 @@ select round(null_dev - dev, 4) as statistic, 2 as df, round(exp(-(null_dev - de
 from deviances
 """
     ),
-    "ridge_fixed_penalty": _fit(
+    "ridge_fixed_penalty": _elastic(0.1, 0.0),
+    "lasso_fixed_penalty": _elastic(0.02, 1.0),
+    "enet_fixed_penalty": _elastic(0.02, 0.5),
+    "group_lasso_fixed_penalty": _fit(
         """
-select 0.1::double as lambda, '(Intercept)' as term, round(b0 - b1 * m1 / s1 - b2 * m2 / s2, 4) as coefficient
-from final, stats
-union all select 0.1, 'job_satisfaction', round(b1 / s1, 4) from final, stats
-union all select 0.1, 'remote_hours', round(b2 / s2, 4) from final, stats
+select 0.02::double as lambda, '(Intercept)' as term, round(b0, 4) as coefficient from final
+union all select 0.02, 'job_satisfaction', round(b1, 4) from final
+union all select 0.02, 'remote_hours', round(b2, 4) from final
 """,
-        _SCALED,
+        penalty=_GROUP,
+        start="0.01",
     ),
     "lasso_penalty_grid": _q(
         "survey",
