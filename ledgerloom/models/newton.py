@@ -79,7 +79,11 @@ def fit_many(
     import numpy as np
 
     width = len(d.names)
+    # columns are counted from a typical row where an intercept can absorb that
+    shift = blocks.typical() if intercept else np.zeros(width)
     known = dict(zip(warm.slots, warm.estimates)) if warm else {}
+    if intercept and known:
+        known[-1] += sum(b * shift[s] for s, b in known.items() if s >= 0)
     free = [-1] if intercept else []
     slots = [free + [s for t in ts for s in d.terms[t]] for ts in term_sets]
     trial = [np.array([known.get(s, 0.0) for s in ss]) for ss in slots]
@@ -87,7 +91,7 @@ def fit_many(
     accepted = [(b, math.inf, 0, 0, None) for b in trial]
     active = list(range(len(slots)))
     for _ in range(max_passes):
-        sums = _newton_sums(blocks, [slots[k] for k in active], [trial[k] for k in active], width)
+        sums = _newton_sums(blocks, [slots[k] for k in active], [trial[k] for k in active], shift)
         still = []
         for k, (deviance, n, gradient, information) in zip(active, sums):
             before, previous = accepted[k][:2]
@@ -95,7 +99,11 @@ def fit_many(
                 trial[k] = (trial[k] + before) / 2  # overshot: halve the step
                 still.append(k)
                 continue
-            step, _, rank, _ = np.linalg.lstsq(information, gradient, rcond=1e-12)
+            unit = _units(information)
+            step, _, rank, _ = np.linalg.lstsq(
+                information / np.outer(unit, unit), gradient / unit, rcond=1e-10
+            )
+            step = step / unit
             gain = float(gradient @ step)  # deviance the step takes off
             if gain <= tol * (abs(deviance) + 0.1):
                 # so close that the step's result is known without another pass
@@ -111,16 +119,29 @@ def fit_many(
         raise RuntimeError(f"{len(active)} logistic fits did not settle")
     fits = []
     for ts, ss, (b, deviance, rank, n, information) in zip(term_sets, slots, accepted):
-        errors = np.sqrt(np.diag(np.linalg.pinv(information, hermitian=True)))
+        unit = np.outer(*[_units(information)] * 2)
+        covariance = np.linalg.pinv(information / unit, rcond=1e-10, hermitian=True) / unit
+        back = np.eye(len(ss))
+        if intercept:
+            back[0, 1:] = -shift[ss[1:]]
+        b, errors = back @ b, np.sqrt(np.diag(back @ covariance @ back.T))
         fits.append(Fit(ts, tuple(ss), tuple(b.tolist()), tuple(errors.tolist()), deviance, rank, n))
     return fits
 
 
-def _newton_sums(blocks: RowBlocks, slots, betas, width):
+def _units(information):
+    """Scale of each slot, so that columns of any size count alike."""
+    import numpy as np
+
+    diagonal = np.sqrt(np.diag(information))
+    return np.where(diagonal > 0, diagonal, 1.0)
+
+
+def _newton_sums(blocks: RowBlocks, slots, betas, shift):
     """Per candidate: deviance, rows, gradient and information matrix."""
     import numpy as np
 
-    coef = np.zeros((width + 1, len(slots)))  # row 0 is the intercept
+    coef = np.zeros((len(shift) + 1, len(slots)))  # row 0 is the intercept
     for k, (ss, b) in enumerate(zip(slots, betas)):
         coef[[s + 1 for s in ss], k] = b
     picks = [[s + 1 for s in ss] for ss in slots]
@@ -129,7 +150,7 @@ def _newton_sums(blocks: RowBlocks, slots, betas, width):
     def block(x, y, fold):
         import numpy as np
 
-        full = np.column_stack([np.ones(len(y)), x])
+        full = np.column_stack([np.ones(len(y)), x - shift])
         eta = full @ coef
         mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
         # log(1 + exp(eta)) - y * eta, without overflow

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 # numbers per row block inside a task (rows times candidates); bounds its memory
 BLOCK = 2_000_000
-# up to this many partial arrays go straight to the driver
-DIRECT = 64
+# partial arrays added at once, in a task or on the driver
+FAN = 64
 
 
 class RowBlocks:
@@ -37,9 +37,8 @@ class RowBlocks:
         doubles. It must be a nested function over plain values, so that tasks
         need numpy only.
 
-        With many partitions the partial arrays are added in a second round of
-        about sqrt(partitions) tasks, so neither a task nor the driver ever
-        holds all of them.
+        The partial arrays of many partitions are added in rounds of about
+        ``FAN`` each, so neither a task nor the driver ever holds more.
         """
         import numpy as np
 
@@ -68,18 +67,32 @@ class RowBlocks:
         def add(batches):
             import numpy as np
             import pyarrow as pa
+            from pyspark import TaskContext
 
             out = np.zeros(size)
             for batch in batches:
                 for part in batch.column("part"):
                     out += np.frombuffer(part.as_buffer())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([out.tobytes()], pa.binary())})
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict(
+                {"task": pa.array([task], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())}
+            )
 
-        parts = self.rows.mapInArrow(partials, "task int, part binary")
-        if self.tasks > DIRECT:
-            groups = math.isqrt(self.tasks) + 1
-            parts = parts.repartition(groups, "task").mapInArrow(add, "part binary")
+        parts, left = self.rows.mapInArrow(partials, "task int, part binary"), self.tasks
+        while left > FAN:
+            left = math.ceil(left / FAN)
+            parts = parts.repartition(left, "task").mapInArrow(add, "task int, part binary")
         total = np.zeros(size)
         for row in parts.select("part").collect():
             total += np.frombuffer(row.part)
         return total
+
+    def typical(self):
+        """The columns of some row: a shift that keeps sums of squares precise
+        where values are large and differ little. Empty data gives none."""
+        import numpy as np
+
+        row = self.rows.select("x").first()
+        if row is None:
+            raise ValueError("no complete row to fit on")
+        return np.array(row.x)

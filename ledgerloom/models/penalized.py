@@ -155,7 +155,7 @@ def penalty_grid(
     """The data-derived penalties of :func:`penalized_cv`, from one pass."""
     groups = [[i] for i in range(len(d.names))]
     rows = d.matrix(None, id_col).select("x", "y", F.lit(0).alias("fold"))
-    heads = _Heads(_moments(RowBlocks(rows), len(d.names), 1), 0, True)
+    heads = _Heads(*_moments(RowBlocks(rows), len(d.names), 1), 0, True)
     return lambda_grid(_largest(heads, groups, [1.0] * len(groups), alpha), n_lambda, ratio)
 
 
@@ -180,7 +180,7 @@ def _solve(
     rows = d.matrix(None, id_col).select("x", "y", fold.alias("fold"))
     with held(rows, spread=True) as matrix:
         blocks = RowBlocks(matrix)
-        heads = _Heads(_moments(blocks, len(d.names), max(folds, 1)), folds, standardize)
+        heads = _Heads(*_moments(blocks, len(d.names), max(folds, 1)), folds, standardize)
         grids = [
             sorted(lambdas, reverse=True)
             if lambdas is not None
@@ -200,15 +200,16 @@ def _solve(
 
 
 def _moments(blocks: RowBlocks, width: int, folds: int):
-    """Per fold: products of (1, x) with (1, x, y)."""
+    """Per fold: products of (1, x) with (1, x, y), x counted from a shift."""
     import numpy as np
 
     shape = (folds, width + 1, width + 2)
+    shift = blocks.typical()
 
     def block(x, y, fold):
         import numpy as np
 
-        left = np.column_stack([np.ones(len(y)), x])
+        left = np.column_stack([np.ones(len(y)), x - shift])
         right = np.column_stack([left, y])
         out = np.zeros(shape)
         for f in np.unique(fold):
@@ -216,14 +217,14 @@ def _moments(blocks: RowBlocks, width: int, folds: int):
             out[f] = left[rows].T @ right[rows]
         return out.ravel()
 
-    return blocks.sum(block, int(np.prod(shape))).reshape(shape)
+    return blocks.sum(block, int(np.prod(shape))).reshape(shape), shift
 
 
 class _Heads:
     """Training sets: all rows first, then the rows outside each fold. Holds
     their sizes, column means and scales and curvature bounds."""
 
-    def __init__(self, moments, folds: int, standardize: bool):
+    def __init__(self, moments, shift, folds: int, standardize: bool):
         import numpy as np
 
         everything = moments.sum(axis=0)
@@ -232,23 +233,24 @@ class _Heads:
         self.out = np.array([-1, *range(folds)])
         self.n = m[:, 0, 0]
         self.held_n = np.array([moments[f][0, 0] for f in range(folds)])
-        self.mean = m[:, 0, 1:-1] / self.n[:, None]
+        off = m[:, 0, 1:-1] / self.n[:, None]
+        self.mean = off + shift
         rate = m[:, 0, -1] / self.n
         if not ((0 < rate) & (rate < 1)).all():
             raise ValueError("both outcomes must occur in every training set")
         self.start = np.log(rate / (1 - rate))
         centred = m[:, 1:, 1:-1] / self.n[:, None, None] - (
-            self.mean[:, :, None] * self.mean[:, None, :]
+            off[:, :, None] * off[:, None, :]
         )
         deviation = np.sqrt(np.maximum(np.einsum("hjj->hj", centred), 0))
         # a column constant within the set has no coefficient
-        self.constant = deviation <= 1e-9 * (1 + np.abs(self.mean))
+        self.constant = deviation <= 1e-7 * np.abs(off)
         self.scale = np.where(standardize & ~self.constant, deviation, 1.0)
         self.unit = np.where(self.constant, 1.0, deviation) / self.scale
         bound = centred / 4 / (self.scale[:, :, None] * self.scale[:, None, :])
         keep = ~self.constant
         self.bound = bound * (keep[:, :, None] & keep[:, None, :])
-        null = m[:, 1:, -1] / self.n[:, None] - self.mean * rate[:, None]
+        null = m[:, 1:, -1] / self.n[:, None] - off * rate[:, None]
         self.null_gradient = np.where(keep, null / self.scale, 0.0)
 
     def raw(self, b0, b):
