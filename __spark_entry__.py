@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from fixtures import ctes, fixture  # noqa: E402
+from fixtures import fixture  # noqa: E402
 from ledgerloom.functions.labels import as_indicators  # noqa: E402
 from ledgerloom.models import evaluation, glm, scoring  # noqa: E402
 from ledgerloom.models.design import assemble, design  # noqa: E402

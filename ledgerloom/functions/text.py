@@ -45,7 +45,12 @@ def standard_base(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"^__|__.*$", ""))
 
 
+# Result texts of the existence check.
+TYPE_EXISTS = "Table %s type exists"
+TYPE_MISSING = "Table %s type does not exist - need to investigate"
+
+
 def type_message(code: Column, exists: Column) -> Column:
-    return F.when(
-        exists, F.format_string("Table %s type exists", code)
-    ).otherwise(F.format_string("Table %s type does not exist - need to investigate", code))
+    return F.when(exists, F.format_string(TYPE_EXISTS, code)).otherwise(
+        F.format_string(TYPE_MISSING, code)
+    )

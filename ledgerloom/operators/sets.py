@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,5 +17,13 @@ def stack(parts: Sequence[tuple[DataFrame, str]], label: str, measures: Sequence
 
 
 def stack_results(parts: Sequence[DataFrame]) -> DataFrame:
-    """One union of all parts, matched by column name."""
-    return reduce(DataFrame.unionByName, parts)
+    """One union of all parts, matched by column name.
+
+    Parts are paired up level by level: a chain over thousands of parts would be
+    analyzed again, whole, at every link.
+    """
+    level = list(parts)
+    while len(level) > 1:
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return level[0]

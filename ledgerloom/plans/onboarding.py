@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from ledgerloom.functions.predicates import (
 from ledgerloom.functions.text import base_schema, standard_base, type_message
 from ledgerloom.operators.aggregates import any_populated, has_tables, size_by
 from ledgerloom.operators.joins import distinct_keys, exclude_keys, flag_exists
+from ledgerloom.operators.sets import stack_results
 from ledgerloom.operators.windows import keep_false_or_first
 from ledgerloom.sources.catalog import TABLE_ROWS, inventory, quoted
 from ledgerloom.sources.frames import rows_to_df
@@ -75,7 +75,7 @@ def probe_tables(
             )
     if not hits:
         return rows.withColumn("populated", F.lit(False))
-    return flag_exists(rows, reduce(DataFrame.unionAll, hits), ["schema_name", "table_name"], "populated")
+    return flag_exists(rows, stack_results(hits), ["schema_name", "table_name"], "populated")
 
 
 def account_link(

@@ -8,7 +8,6 @@ before they meet; the join then moves files, never records.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from ledgerloom.functions.text import (
     period,
 )
 from ledgerloom.operators.filters import in_years
+from ledgerloom.operators.sets import stack_results
 
 
 def acquired(acq: DataFrame, partner: str = "", feed: str = "") -> DataFrame:
@@ -71,13 +71,18 @@ def acquisition_keys(
 
 
 def layer_keys(layer: DataFrame, name_col: str) -> DataFrame:
-    """``(file_key, n_names)``: distinct stored file names behind each key."""
-    name = base_name(F.col(name_col))
+    """``(file_key, n_names)``: distinct stored file names behind each key.
+
+    Names are made distinct first and keys derived after, so the shuffle out of
+    the records carries one text per file.
+    """
+    names = layer.where(F.col(name_col).isNotNull()).select(
+        base_name(F.col(name_col)).alias("name")
+    )
     return (
-        layer.where(F.col(name_col).isNotNull())
-        .select(downstream_key(name).alias("file_key"), name.alias("name"))
-        .groupBy("file_key")
-        .agg(F.count_distinct("name").alias("n_names"))
+        names.distinct()
+        .groupBy(downstream_key(F.col("name")).alias("file_key"))
+        .agg(F.count(F.lit(1)).alias("n_names"))
     )
 
 
@@ -160,14 +165,13 @@ def coverage(
     one aggregate per key and meet the ledger in one join.
     """
     labels = list(layers)
-    seen = reduce(
-        DataFrame.unionAll,
+    seen = stack_results(
         [
             layers[label][0].select(
                 canonical_key(F.col(layers[label][1])).alias("file_key"), F.lit(i).alias("layer")
             )
             for i, label in enumerate(labels)
-        ],
+        ]
     )
     found = (
         seen.where(F.col("file_key").isNotNull())
