@@ -453,6 +453,11 @@ def _step(direction: str) -> Query:
     return run
 
 
+def step_forward_two(spark, sf):
+    chosen = stepwise(design(_survey(spark, sf), "preference", TWO), direction="forward")
+    return _rounded(chosen.steps(spark), 4, "deviance", "aic", "bic")
+
+
 def lrt_full_vs_reduced(spark, sf):
     d = _full_design(spark, sf)
     chosen = stepwise(d, direction="both")
@@ -593,7 +598,8 @@ def queries() -> dict[str, Query]:
         pref_percent, satisfied_hours_mean_sd, train_test_split_sizes, survey_row_numbers,
         score_given_model, mean_probability, classify_last_ten, classification_metrics,
         best_recall_model, glm_two_predictors, glm_two_designs, glm_deviance, glm_criteria,
-        lrt_null_vs_two, glm_summary, glm_odds, glm_significant, step_both_significant, lrt_full_vs_reduced,
+        lrt_null_vs_two, glm_summary, glm_odds, glm_significant, step_both_significant, step_forward_two,
+        lrt_full_vs_reduced,
         tree_accuracy, tree_document_quality, ridge_path, lasso_path, enet_path, lasso_cv,
         lasso_selected, coef_magnitudes, lasso_penalty_grid,
         group_lasso_path, group_lasso_selected, group_lasso_fixed_penalty, fitted_model_metrics,

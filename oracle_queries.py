@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from fixtures import ctes
 
 
@@ -325,6 +327,54 @@ def _fit(body: str, data: str = _TWO, penalty: tuple[str, ...] = _FREE, start: s
     return _q("survey", data + newton + body, recursive=True)
 
 
+def _deviance_of(tag: str, x1: str, x2: str) -> str:
+    """Newton's fit on up to two columns as CTEs with a tag; a column given as 0
+    gets a curvature of its own, which keeps its slope at 0."""
+    penalty = ["0", "0", "0", "0", "0"]
+    for i, x in enumerate((x1, x2)):
+        if x == "0":
+            penalty[i], penalty[2 * i + 2] = f"b{i + 1}", "1"
+    newton = _NEWTON.replace("START", "0")
+    for mark, text in zip(("Q1", "Q2", "P11", "P12", "P22"), penalty):
+        newton = newton.replace(mark, f"({text})")
+    for name in ("fit(", "from fit ", "data d", "final as"):
+        newton = newton.replace(name, re.sub(r"^(from )?(fit|data|final)", rf"\1\2_{tag}", name))
+    return f""",
+data_{tag} as (
+  select cast(preference as double) as y, cast({x1} as double) as x1, cast({x2} as double) as x2 from survey
+){newton},
+dev_{tag} as (
+  select -2 * sum(y * ln(p) + (1 - y) * ln(1 - p)) as dev
+  from (select y, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) as p from data_{tag}, final_{tag})
+)"""
+
+
+_STEPS = (
+    _deviance_of("none", "0", "0")
+    + _deviance_of("one", "job_satisfaction", "0")
+    + _deviance_of("two", "0", "remote_hours")
+    + _deviance_of("both", "job_satisfaction", "remote_hours")
+    + """,
+first as (
+  select * from (select 'job_satisfaction' as term, 'remote_hours' as other, dev from dev_one
+                 union all select 'remote_hours', 'job_satisfaction', dev from dev_two)
+  order by dev limit 1
+),
+steps as (
+  select 0 as step, 'start' as action, '' as term, 1 as k, dev from dev_none
+  union all
+  select 1, 'add', f.term, 2, f.dev from first f, dev_none n where f.dev + 4 < n.dev + 2
+  union all
+  select 2, 'add', f.other, 3, b.dev from first f, dev_none n, dev_both b
+  where f.dev + 4 < n.dev + 2 and b.dev + 6 < f.dev + 4
+)
+select step, action, term, k as n_coefficients, round(dev, 4) as deviance, round(dev + 2 * k, 4) as aic,
+       round(dev + k * ln((select count(*) from survey)), 4) as bic
+from steps
+"""
+)
+
+
 def _elastic(lam: float, alpha: float) -> str:
     """Coefficients at one penalty on scaled columns, given back unscaled."""
     l1, l2 = f"{lam * alpha}::double", f"{lam * (1 - alpha)}::double"
@@ -617,6 +667,7 @@ _COMBINED = f"""
 select category as label, {_MONEY}, {_PCT}
 from (select category, total_amount from industries union all select category, total_amount from bins)
 """
+ORACLE["step_forward_two"] = _q("survey", _STEPS, recursive=True)
 ORACLE["contrib_combined_share"] = _contrib(_COMBINED)
 ORACLE["contrib_stacked_share"] = _contrib(_COMBINED)
 for _name, (_table, _column) in {
