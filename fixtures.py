@@ -61,7 +61,8 @@ def _listing(rules: list[tuple[str, ...]], spark: bool) -> str:
     return f"select inline(array_compact(array(\n  {items}))) from supplier"
 
 
-# p_partkey < 200 follows from the join key; stated, it bounds that side.
+# The part key is a remainder of 200, so p_partkey < 200 drops no joined row; said
+# out loud, it bounds that side of the join whatever the table's size.
 FIXTURES = {
     "contributions": """
 select d.filer, d.filer_id,
