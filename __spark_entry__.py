@@ -507,14 +507,14 @@ def coef_magnitudes(spark, sf):
 def _fixed_penalty(alpha: float, lam: float) -> Query:
     def run(spark, sf):
         d = design(_survey(spark, sf), "preference", TWO, intercept=False)
-        return _rounded(coef_path(d, "row_id", alpha, [lam]).path(spark), 4, "coefficient")
+        return _rounded(coef_path(d, "row_id", alpha, [lam], tol=1e-9).path(spark), 4, "coefficient")
 
     return run
 
 
 def group_lasso_fixed_penalty(spark, sf):
     d = assemble(_survey(spark, sf), "preference", TWO)
-    path = group_lasso_cv(d, "row_id", {"both": TWO}, folds=0, lambdas=[0.02])
+    path = group_lasso_cv(d, "row_id", {"both": TWO}, folds=0, lambdas=[0.02], tol=1e-9)
     return _rounded(path.path(spark), 4, "coefficient")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.models.design import Design
-from ledgerloom.models.penalized import PenaltyPath, _solve
+from ledgerloom.models.penalized import TOL, PenaltyPath, _solve
 from ledgerloom.sources.frames import rows_to_df
 
 
@@ -22,6 +22,7 @@ def group_lasso_cv(
     ratio: float = 1e-3,
     seed: int = 100,
     lambdas: Sequence[float] | None = None,
+    tol: float = TOL,
 ) -> PenaltyPath:
     """Path and cross-validation over raw columns; a group of size s is
     penalized by ``sqrt(s) * |b_g|``. ``groups`` maps a label to its columns and
@@ -31,7 +32,7 @@ def group_lasso_cv(
         raise ValueError("groups must cover each column once")
     weights = [math.sqrt(len(g)) for g in slots]
     return _solve(
-        d, id_col, slots, weights, [1.0], False, folds, n_lambda, ratio, seed, lambdas
+        d, id_col, slots, weights, [1.0], False, folds, n_lambda, ratio, seed, lambdas, tol
     )[0]
 
 

@@ -100,10 +100,12 @@ def penalized_cv(
     ratio: float = 1e-4,
     seed: int = 100,
     lambdas: Sequence[float] | None = None,
+    tol: float = TOL,
 ) -> PenaltyPath:
     """Elastic-net path: ``alpha`` 0 is ridge, 1 is lasso. ``folds=0`` skips
-    cross-validation. Folds hang on a hash of ``id_col``."""
-    return penalized_cvs(d, id_col, [alpha], folds, n_lambda, ratio, seed, lambdas)[alpha]
+    cross-validation. Folds hang on a hash of ``id_col``. Passes end once no
+    standardized coefficient moves by more than ``tol``."""
+    return penalized_cvs(d, id_col, [alpha], folds, n_lambda, ratio, seed, lambdas, tol)[alpha]
 
 
 def penalized_cvs(
@@ -115,12 +117,14 @@ def penalized_cvs(
     ratio: float = 1e-4,
     seed: int = 100,
     lambdas: Sequence[float] | None = None,
+    tol: float = TOL,
 ) -> dict[float, PenaltyPath]:
     """Several elastic-net paths that share their passes, each over its own
     penalties unless ``lambdas`` gives them."""
     groups = [[i] for i in range(len(d.names))]
     paths = _solve(
-        d, id_col, groups, [1.0] * len(groups), alphas, True, folds, n_lambda, ratio, seed, lambdas
+        d, id_col, groups, [1.0] * len(groups), alphas, True, folds, n_lambda, ratio, seed,
+        lambdas, tol,
     )
     return dict(zip(alphas, paths))
 
@@ -170,7 +174,7 @@ def _largest(heads: _Heads, groups, weights, alpha: float) -> float:
 
 
 def _solve(
-    d, id_col, groups, weights, alphas, standardize, folds, n_lambda, ratio, seed, lambdas=None
+    d, id_col, groups, weights, alphas, standardize, folds, n_lambda, ratio, seed, lambdas, tol
 ) -> list[PenaltyPath]:
     """One path per alpha: ``alpha`` of the penalty on group norms, the rest on
     squares."""
@@ -189,7 +193,7 @@ def _solve(
         ]
         lam = np.concatenate(grids)
         part = np.repeat(alphas, [len(g) for g in grids])
-        raw, passes = _descend(blocks, heads, groups, weights, lam * part, lam * (1 - part))
+        raw, passes = _descend(blocks, heads, groups, weights, lam * part, lam * (1 - part), tol)
         cv = _held_out(blocks, heads, raw) if folds else None
     paths, at = [], 0
     for grid in grids:
@@ -271,7 +275,7 @@ class _Heads:
         return g0, np.where(self.constant[head], 0.0, slopes / self.scale[head])
 
 
-def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2):
+def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, tol):
     """Accelerated proximal steps until every (head, penalty) has settled; ``l1``
     and ``l2`` are the two parts of each penalty."""
     import numpy as np
@@ -307,9 +311,9 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2):
         moved = np.maximum(
             np.abs((new - at) * heads.unit[head]).max(axis=1), np.abs(new0 - at0)
         )
-        active[head, lam] = moved > TOL
+        active[head, lam] = moved > tol
         # the inner problem is solved only as well as the outer step deserves
-        inner = max(1e-3 * float(moved.max()), 1e-3 * TOL)
+        inner = 1e-3 * max(float(moved.max()), tol)
     if active.any():
         raise RuntimeError(f"{int(active.sum())} penalized fits did not settle")
     return heads.raw(b0, b), passes
