@@ -7,7 +7,7 @@ from fixtures import fixture
 from ledgerloom.plans import contributions as contrib
 
 ROWS = [
-    ("A1", "IND", "Ann", "Lee", "Chico", 100), ("A1", "IND", "Bob", "Red", "chico", 50),
+    ("A1", "IND", "Ann", "Lee", "Elmton", 100), ("A1", "IND", "Bob", "Red", "elmton", 50),
     ("A2", "OTH", None, "Red Plate Co", "Oro", 700), ("A2", "OTH", "", "Red Plate Co", None, None),
     ("A2", None, "", "Lee", "Oro", 10), ("B1", "IND", "Cy", "Day", "ORO", 30),
     ("C", "IND", "No", "Body", "Oro", 1), ("A1", "OTH", "", None, "Oro", 5),
@@ -61,12 +61,12 @@ def test_combined_adds_up(spark, sf):
 
 def test_cities(gifts):
     assert totals(contrib.city_totals(gifts, normalize=True), "contributor_city") == {
-        "chico": 150.0, "oro": 746.0, "far": 0.0,
+        "elmton": 150.0, "oro": 746.0, "far": 0.0,
     }
     labels = ("home", "near", "other")
-    plain = totals(contrib.city_classes(gifts, "Chico", ["Oro"], labels), "category")
+    plain = totals(contrib.city_classes(gifts, "Elmton", ["Oro"], labels), "category")
     assert plain == {"home": 100.0, "near": 716.0, "other": 80.0}
-    folded = totals(contrib.city_classes(gifts, "Chico", ["Oro"], labels, normalize=True), "category")
+    folded = totals(contrib.city_classes(gifts, "Elmton", ["Oro"], labels, normalize=True), "category")
     assert folded == {"home": 150.0, "near": 746.0, "other": 0.0}
 
 
