@@ -44,6 +44,25 @@ from ledgerloom.plans import survey as surveys  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# the training-text operators are an optional part: without them the rest works
+try:
+    from ledgerloom.llm.queries import ORACLE as LLM_ORACLE  # noqa: E402
+    from ledgerloom.llm.queries import QUERIES as LLM_QUERIES  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not str(missing.name).startswith("ledgerloom.llm"):
+        raise
+    LLM_QUERIES, LLM_ORACLE = {}, {}
+try:
+    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL  # noqa: E402
+    from corpus_pipeline import run as pipeline  # noqa: E402
+
+    LLM_QUERIES = LLM_QUERIES | {"pipeline": pipeline}
+    if PIPELINE_SQL is not None:
+        LLM_ORACLE = LLM_ORACLE | {"pipeline": PIPELINE_SQL}
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline" and not str(missing.name).startswith("ledgerloom.llm"):
+        raise
+
 # --- fixed parameters of the registered queries -----------------------------
 
 YEARS = (1996, 1997, 1998, 1999, 2000)
@@ -612,10 +631,10 @@ def queries() -> dict[str, Query]:
         out[f"{kind}_fixed_penalty"] = _fixed_penalty(alpha, lam)
     for direction in ("forward", "backward", "both"):
         out[f"step_{direction}"] = _step(direction)
-    return out
+    return out | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import ORACLE
 
-    return dict(ORACLE)
+    return ORACLE | LLM_ORACLE
