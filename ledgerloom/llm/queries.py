@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_file
+
+from ledgerloom.llm import token_store
 from ledgerloom.llm.common import table
 from ledgerloom.llm.oracles import QUALITY_RULES
+from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality_rules import quality_rules
 
+TOKENIZER = tokenizer_file("word_bpe_49k.json")
+
 
 def op1_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op2_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=1)
+
+
+def op3_token_store(spark, sf_dir):
+    path = token_store.new_folder(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
+    return token_store.read_documents(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_token_store)}
 
 ORACLE = {"op1_quality_rules": QUALITY_RULES}
