@@ -9,6 +9,7 @@ from ledgerloom.llm.common import table
 from ledgerloom.llm.oracles import QUALITY_RULES
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality_rules import quality_rules
+from ledgerloom.llm.simhash import near_duplicates
 
 TOKENIZER = tokenizer_file("word_bpe_49k.json")
 
@@ -27,6 +28,13 @@ def op3_token_store(spark, sf_dir):
     return token_store.read_documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_token_store)}
+def op6_simhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), most=4, width=4, seed=42)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_packing, op3_token_store, op6_simhash_near_dedup)
+}
 
 ORACLE = {"op1_quality_rules": QUALITY_RULES}
