@@ -6,6 +6,7 @@ from public_tokenizers import path as tokenizer_file
 
 from ledgerloom.llm import token_store
 from ledgerloom.llm.common import table
+from ledgerloom.llm.line_templates import line_report
 from ledgerloom.llm.oracles import QUALITY_RULES
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality_rules import quality_rules
@@ -32,9 +33,15 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), most=4, width=4, seed=42)
 
 
+def op8_line_dedup(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents"), min_docs=3, similar=0.7)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_packing, op3_token_store, op6_simhash_near_dedup)
+    for f in (
+        op1_quality_rules, op2_packing, op3_token_store, op6_simhash_near_dedup, op8_line_dedup,
+    )
 }
 
 ORACLE = {"op1_quality_rules": QUALITY_RULES}
