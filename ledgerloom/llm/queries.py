@@ -7,6 +7,7 @@ from public_tokenizers import path as tokenizer_file
 from ledgerloom.llm import token_store
 from ledgerloom.llm.common import table
 from ledgerloom.llm.line_templates import line_report
+from ledgerloom.llm.lm_scoring import lm_scores
 from ledgerloom.llm.oracles import QUALITY_RULES
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality_rules import quality_rules
@@ -37,10 +38,15 @@ def op8_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"), min_docs=3, similar=0.7)
 
 
+def op10_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"), order=4, modulus=7, held=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_packing, op3_token_store, op6_simhash_near_dedup, op8_line_dedup,
+        op10_lm_scoring,
     )
 }
 
