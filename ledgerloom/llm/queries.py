@@ -39,7 +39,7 @@ def op8_line_dedup(spark, sf_dir):
 
 
 def op10_lm_scoring(spark, sf_dir):
-    return lm_scores(table(spark, sf_dir, "documents"), order=4, modulus=7, held=2)
+    return lm_scores(table(spark, sf_dir, "documents"), order=6, modulus=7, held=2)
 
 
 QUERIES = {
