@@ -41,7 +41,7 @@ def write_tokens(
     path: str,
     tokenizer_path: str,
     end_id: int = 2,
-    shard_tokens: int = 4_000_000,
+    shard_tokens: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
@@ -82,12 +82,17 @@ def write_tokens(
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """Ids before each shard. One row of four numbers for each shard is ordered
-    here, as many as there are files; the shards themselves are not read."""
-    order = Window.orderBy("task", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return spark.read.parquet(path).select(
-        "task", "shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("first")
+    """Ids before each shard, from the shards' counts alone. One row for each
+    writing task is ordered as a whole; its shards are ordered within the task."""
+    shards = spark.read.parquet(path).select("task", "shard", "n_tokens")
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = shards.groupBy("task").agg(F.sum("n_tokens").alias("n")).select(
+        "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("task_first")
     )
+    within = Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(
+        tasks, "task"
+    ).select("task", "shard", (F.col("task_first") + F.col("inner")).alias("first"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -38,7 +38,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, doc_tokens: np.ndarray) -> bytes
     cur = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     zeros, planes = [], []
     for level in range(levels):
-        ones = (cur >> (levels - 1 - level)) & 1 == 1
+        ones = (cur & cur.dtype.type(1 << (levels - 1 - level))).astype(bool)
         plane = np.packbits(ones, bitorder="little")
         blocks = [plane[i : i + BLOCK] for i in range(0, len(plane), BLOCK)]
         sums = np.cumsum([0, *(int(np.bitwise_count(b).sum()) for b in blocks)])
