@@ -6,6 +6,7 @@ from public_tokenizers import path as tokenizer_file
 
 from ledgerloom.llm import token_store
 from ledgerloom.llm.common import table
+from ledgerloom.llm.latent import contaminated
 from ledgerloom.llm.line_templates import line_report
 from ledgerloom.llm.lm_scoring import lm_scores
 from ledgerloom.llm.oracles import QUALITY_RULES
@@ -38,6 +39,10 @@ def op8_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"), min_docs=3, similar=0.7)
 
 
+def op9_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"), order=6, modulus=7, held=2)
 
@@ -46,7 +51,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_packing, op3_token_store, op6_simhash_near_dedup, op8_line_dedup,
-        op10_lm_scoring,
+        op9_decontamination, op10_lm_scoring,
     )
 }
 
