@@ -299,11 +299,11 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    rank: int = 64,
+    rank: int = 128,
     buckets: int = 1 << 15,
     passage: int = 48,
     fit_docs: int = 4_000,
-    min_cosine: float = 0.55,
+    min_cosine: float = 0.42,
     min_common: float = 0.6,
     sure_common: float = 0.8,
     min_answer: float = 0.5,
