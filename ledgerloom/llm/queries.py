@@ -7,12 +7,14 @@ from public_tokenizers import path as tokenizer_file
 from ledgerloom.llm import token_store
 from ledgerloom.llm.common import table
 from ledgerloom.llm.latent import contaminated
+from ledgerloom.llm.line_crf import line_quality
 from ledgerloom.llm.line_templates import line_report
 from ledgerloom.llm.lm_scoring import lm_scores
 from ledgerloom.llm.oracles import QUALITY_RULES
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality_rules import quality_rules
 from ledgerloom.llm.simhash import near_duplicates
+from ledgerloom.llm.toxicity import toxicity
 
 TOKENIZER = tokenizer_file("word_bpe_49k.json")
 
@@ -31,10 +33,18 @@ def op3_token_store(spark, sf_dir):
     return token_store.read_documents(spark, path)
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), most=4, width=4, seed=42)
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"), min_docs=3, similar=0.7)
 
@@ -50,8 +60,9 @@ def op10_lm_scoring(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_packing, op3_token_store, op6_simhash_near_dedup, op8_line_dedup,
-        op9_decontamination, op10_lm_scoring,
+        op1_quality_rules, op2_packing, op3_token_store, op4_quality_classifier,
+        op6_simhash_near_dedup, op7_toxicity, op8_line_dedup, op9_decontamination,
+        op10_lm_scoring,
     )
 }
 
