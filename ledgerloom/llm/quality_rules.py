@@ -133,13 +133,19 @@ def quality_rules(
         "CAST(size(_lines) AS BIGINT) AS n_lines",
         "CAST(size(_good) AS BIGINT) AS n_kept_lines",
     )
-    judged = facts.selectExpr(
+    measured = facts.selectExpr(
         "*",
         """CAST(aggregate(transform(_lines, l -> length(l)), 0L, (a, x) -> a + x)
            + greatest(n_lines - 1, 0) AS BIGINT) AS line_chars""",
         "CAST(length(clean_text) AS BIGINT) AS kept_chars",
-        f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeated} * n_words AS base_failed",
     ).drop("_lines")
+    # a filter on the verdict must not be pushed below this, where it would repeat
+    # the work of every array within the next one; it stops at a generator
+    one = measured.select(F.inline(F.array(F.struct(*measured.columns))))
+    judged = one.selectExpr(
+        "*",
+        f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeated} * n_words AS base_failed",
+    )
     return judged.selectExpr(
         "doc_id",
         "n_words",
