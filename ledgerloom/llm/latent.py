@@ -35,28 +35,41 @@ from ledgerloom.llm.common import id_and_text
 
 EDGE = b".,;:!?\"'()[]"
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
-BLOCK_WORDS = 8_192  # words of a text looked at together
+PART_WORDS = 8_192  # words looked at together
+STEP = 6  # words that window lengths and starts are multiples of
+FIT_TASKS = 4  # tasks that add up the fit's sums, each of a fixed size
 BLOCK_ROWS = 1_024  # buckets of a partial sum in one row
 
 
+def raw_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
 def terms(text: str | None) -> list[bytes]:
-    return [w.strip(EDGE) or w for w in (text or "").encode("utf-8", "replace").lower().split()]
+    return stripped(raw_words(text))
+
 
+def stripped(words: list[bytes]) -> list[bytes]:
+    return [w.strip(EDGE) or w for w in words]
+
+
+class Buckets(dict):
+    """Bucket of a word, punctuation around it aside; ``trim`` keeps it small."""
 
-class Hasher:
     def __init__(self, buckets: int) -> None:
-        self.buckets, self.memo = buckets, {}
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = crc32(word.strip(EDGE) or word) % self.buckets
+        return found
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        try:
-            return np.array([memo[w] for w in words], dtype=np.int64)
-        except KeyError:
-            if len(memo) > 400_000:
-                memo.clear()
-            for w in words:
-                memo[w] = crc32(w) % self.buckets
-            return np.array([memo[w] for w in words], dtype=np.int64)
+    def trim(self, most: int = 400_000) -> None:
+        if len(self) > most:
+            self.clear()
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.array([self[w] for w in words], dtype=np.int64)
 
 
 @dataclass
@@ -95,12 +108,12 @@ def common_subsequence(masks: dict[bytes, int], size: int, words: list[bytes]) -
     return size - open_.bit_count()
 
 
-def scale_of(n: int, base: float = 1.5) -> int:
-    """Window length for an item of ``n`` words: the next power of ``base``."""
-    scale = 8.0
+def scale_of(n: int) -> int:
+    """Window length for an item of ``n`` words: 2, 3, 4, 6, 8, 12, 16, .. steps."""
+    scale = 2 * STEP
     while scale < n:
-        scale *= base
-    return int(scale)
+        scale = scale * 3 // 2 if (scale // STEP) & (scale // STEP - 1) == 0 else scale * 4 // 3
+    return scale
 
 
 # --- the latent space --------------------------------------------------------
@@ -110,11 +123,13 @@ def document_frequencies(narrow: DataFrame, buckets: int) -> tuple[int, np.ndarr
     """Documents, and how many of them hold a word of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts, n = Hasher(buckets), np.zeros(buckets, dtype=np.int64), 0
+        memo, counts, n = Buckets(buckets), np.zeros(buckets, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                counts[np.unique(hasher(list(set(terms(text)))))] += 1
+                found = {memo[w] for w in set(raw_words(text))}
+                counts[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
                 n += 1
+                memo.trim()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(-1, at)), pa.array(np.append(n, counts[at]))], ["bucket", "n"]
@@ -163,30 +178,30 @@ def latent_space(
     holds the leading directions, and the small matrix Q' A' A Q puts them in order.
     """
     buckets, wide = len(idf), rank + 16
-    rng = np.random.default_rng(seed)
-    random = rng.standard_normal((buckets, wide)).astype(np.float32)
+
+    def random() -> np.ndarray:  # drawn again by every task, not sent
+        return np.random.default_rng(seed).standard_normal((buckets, wide)).astype(np.float32)
+
     shared = sample.sparkSession.sparkContext.broadcast
     idf_of = shared(idf)
 
     def rows_of(batches):
-        hasher = Hasher(buckets)
+        memo = Buckets(buckets)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                yield from passages(hasher(terms(text)), idf_of.value, length)
-
-    def sketch(basis):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((buckets, wide), dtype=np.float32)
-            for at, row in rows_of(batches):
-                total[at] += np.outer(row, row @ basis.value[at])
-            blocks = range(0, buckets, BLOCK_ROWS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b // BLOCK_ROWS for b in blocks], pa.int32()),
-                 pa.array([total[b : b + BLOCK_ROWS].tobytes() for b in blocks], pa.binary())],
-                ["block", "data"],
-            )
-
-        return sample.select("text").mapInArrow(run, "block int, data binary")
+                yield from passages(memo.of(raw_words(text)), idf_of.value, length)
+                memo.trim()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, basis = np.zeros((buckets, wide), dtype=np.float32), random()
+        for at, row in rows_of(batches):
+            total[at] += np.outer(row, row @ basis[at])
+        blocks = range(0, buckets, BLOCK_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b // BLOCK_ROWS for b in blocks], pa.int32()),
+             pa.array([total[b : b + BLOCK_ROWS].tobytes() for b in blocks], pa.binary())],
+            ["block", "data"],
+        )
 
     def gram(basis):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +224,9 @@ def latent_space(
         return total
 
     # the items weigh as much as the sampled passages, so their directions are kept
-    blocks = _sum_arrays(sketch(shared(random)), wide)
+    blocks = _sum_arrays(sample.select("text").mapInArrow(sketch, "block int, data binary"), wide)
     y = np.concatenate([blocks[b] for b in sorted(blocks)]) if blocks else np.zeros((buckets, wide))
-    alone = add_items(np.zeros((buckets, wide)), random.astype(np.float64), 1.0)
+    alone = add_items(np.zeros((buckets, wide)), random().astype(np.float64), 1.0)
     weight = max(1.0, np.linalg.norm(y) / max(np.linalg.norm(alone), 1e-9))
     q, _ = np.linalg.qr(y + weight * alone)
     q32 = np.ascontiguousarray(q, dtype=np.float32)
@@ -227,12 +242,16 @@ def latent_space(
 
 
 class Searcher:
-    """Finds the items of one block list in texts."""
+    """Finds the items in texts, many texts at a time.
+
+    Texts lie one after the other, each begun at a multiple of ``STEP`` and followed
+    by as much nothing as the longest window, so a window holds words of one text.
+    """
 
     def __init__(self, items: list[Item], vectors: np.ndarray, min_cosine: float,
                  min_common: float, sure_common: float, min_answer: float) -> None:
-        self.hasher = Hasher(len(vectors))
-        self.vectors = vectors.astype(np.float32)  # of words, idf included
+        self.buckets = Buckets(len(vectors))
+        self.vectors = np.append(vectors, np.zeros((1, vectors.shape[1])), axis=0).astype(np.float32)
         self.min_cosine, self.min_common = min_cosine, min_common
         self.sure_common, self.min_answer = sure_common, min_answer
         by_scale: dict[int, list[Item]] = {}
@@ -241,49 +260,77 @@ class Searcher:
                 by_scale.setdefault(scale_of(len(item.words)), []).append(item)
         self.blocks = []
         for scale, group in sorted(by_scale.items()):
-            rows = np.stack([self.vectors[self.hasher(i.words)].sum(axis=0) for i in group])
+            rows = np.stack([self.vectors[self.buckets.of(i.words)].sum(axis=0) for i in group])
             norms = np.linalg.norm(rows, axis=1, keepdims=True)
             self.blocks.append((scale, group, (rows / np.maximum(norms, 1e-9)).T.copy()))
-        self.longest = max((scale for scale, _, _ in self.blocks), default=1)
-
-    def search(self, text: str | None) -> list[tuple[object, float, float, bool]]:
-        """``item, cosine, common share, answer found`` of the items in a text."""
-        words = terms(text)
-        found: dict[int, tuple[Item, float, float, bool]] = {}
-        step = BLOCK_WORDS - self.longest
-        for start in range(0, max(len(words) - self.longest, 1), step):
-            part = words[start : start + BLOCK_WORDS]
-            if part:
-                self._search_block(part, words, start, found)
-        return [(item.item_id, c, s, a) for item, c, s, a in found.values()]
-
-    def _search_block(self, part, words, start, found) -> None:
-        sums = np.cumsum(self.vectors[self.hasher(part)], axis=0, dtype=np.float64)
-        sums = np.concatenate([np.zeros((1, sums.shape[1])), sums])
-        n = len(part)
+        self.longest = max((scale for scale, _, _ in self.blocks), default=STEP)
+
+    def search(self, texts: list[str | None]) -> list[dict[int, tuple[object, float, float, bool]]]:
+        """For each text its items: ``item, cosine, common share, answer found``."""
+        found: list[dict[int, tuple[object, float, float, bool]]] = [{} for _ in texts]
+        part: list[tuple[int, list[bytes], int, int]] = []
+        size = 0
+        for t, text in enumerate(texts):
+            words = raw_words(text)
+            self.buckets.trim()
+            # a long text comes in portions that overlap by the longest window
+            for start in range(0, len(words), PART_WORDS - self.longest):
+                end = min(start + PART_WORDS, len(words))
+                part.append((t, words, start, end))
+                size += end - start
+                if size >= PART_WORDS:
+                    self._search_part(part, found)
+                    part, size = [], 0
+                if end == len(words):
+                    break
+        self._search_part(part, found)
+        return found
+
+    def _search_part(self, part, found) -> None:
+        if not part or not self.blocks:
+            return
+        nothing = len(self.vectors) - 1
+        ids, firsts, at = [], [], 0
+        for _, words, start, end in part:
+            own = [self.buckets[w] for w in words[start:end]]
+            own += [nothing] * (-len(own) % STEP + self.longest)
+            ids += own
+            firsts.append(at)
+            at += len(own) // STEP
+        gathered = self.vectors[np.array(ids, dtype=np.int64)]
+        steps = gathered.reshape(-1, STEP, gathered.shape[1]).sum(axis=1)
+        sums = np.zeros((len(steps) + 1, steps.shape[1]))
+        np.cumsum(steps, axis=0, dtype=np.float64, out=sums[1:])
+        clean: dict[int, tuple[int, list[bytes]]] = {}  # of portions with candidates
         for scale, items, wanted in self.blocks:
-            size = min(scale, n)
-            at = np.arange(0, n - size + 1, max(1, scale // 3))
-            if at[-1] != n - size:
-                at = np.append(at, n - size)
-            rows = (sums[at + size] - sums[at]).astype(np.float32)
+            width, stride = scale // STEP, max(1, scale // (3 * STEP))
+            rows = (sums[width::stride] - sums[: len(sums) - width : stride]).astype(np.float32)
             norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-            near = rows @ wanted >= (self.min_cosine * np.maximum(norms, 1e-9))[:, None]
+            near = rows @ wanted >= (self.min_cosine * np.maximum(norms, 1e-6))[:, None]
             for w, k in zip(*np.nonzero(near), strict=True):
-                item = items[k]
-                first = max(0, start + int(at[w]) - scale // 2)
-                region = words[first : start + int(at[w]) + size + scale // 2]
-                share, answer = self.verify(item, region)
-                old = found.get(id(item))
+                step = int(w) * stride
+                place = int(np.searchsorted(firsts, step, side="right")) - 1
+                t, words, start, end = part[place]
+                if place not in clean:
+                    low = max(0, start - self.longest)
+                    clean[place] = low, stripped(words[low : end + self.longest])
+                low, near_words = clean[place]
+                start += (step - firsts[place]) * STEP - low
+                region = near_words[max(0, start - scale // 2) : start + scale + scale // 2]
+                share, answer = self.verify(items[k], region)
+                old = found[t].get(id(items[k]))
                 if share and (old is None or share > old[2]):
-                    cosine = float(rows[w] @ wanted[:, k] / max(norms[w], 1e-9))
-                    found[id(item)] = (item, cosine, share, answer)
+                    cosine = float(rows[w] @ wanted[:, k] / max(norms[w], 1e-6))
+                    found[t][id(items[k])] = (items[k].item_id, cosine, share, answer)
 
     def verify(self, item: Item, region: list[bytes]) -> tuple[float, bool]:
         """Share of the item that the region holds in order, and whether it holds
         the answer; a share of 0 if that is no match."""
         size = len(item.words)
-        share = common_subsequence(item.masks, size, region) / size
+        shared = [w for w in region if w in item.masks]
+        if len(shared) < self.min_common * size:
+            return 0.0, False
+        share = common_subsequence(item.masks, size, shared) / size
         if share < self.min_common:
             return 0.0, False
         m = len(item.answer)
@@ -300,10 +347,10 @@ def contaminated(
     item_col: str = "item_id",
     item_text: str = "text",
     rank: int = 128,
-    buckets: int = 1 << 15,
+    buckets: int = 1 << 14,
     passage: int = 48,
     fit_docs: int = 4_000,
-    min_cosine: float = 0.42,
+    min_cosine: float = 0.4,
     min_common: float = 0.6,
     sure_common: float = 0.8,
     min_answer: float = 0.5,
@@ -322,9 +369,9 @@ def contaminated(
     idf = np.log((total + 1) / (counts + 1)) + 0.05
     every = max(1, total // fit_docs)
     sample = narrow.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(every)) == 0)
-    hasher = Hasher(buckets)
+    memo = Buckets(buckets)
     space = latent_space(
-        sample.select("text").repartition(8), [hasher(i.words) for i in items], idf, rank, passage, seed
+        sample.select("text").repartition(FIT_TASKS), [memo.of(i.words) for i in items], idf, rank, passage, seed
     )
     shared = docs.sparkSession.sparkContext.broadcast(
         (items, (space * idf[:, None]).astype(np.float32))
@@ -333,11 +380,11 @@ def contaminated(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*shared.value, min_cosine, min_common, sure_common, min_answer)
         for batch in batches:
+            found = searcher.search(batch.column("text").to_pylist())
             rows = [
                 (doc_id, *hit)
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(),
-                                        batch.column("text").to_pylist(), strict=True)
-                for hit in searcher.search(text)
+                for doc_id, hits in zip(batch.column("doc_id").to_pylist(), found, strict=True)
+                for hit in hits.values()
             ]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (batch.schema.field("doc_id").type, item_kind, pa.float64(), pa.float64(),
