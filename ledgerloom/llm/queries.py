@@ -6,6 +6,7 @@ from public_tokenizers import path as tokenizer_file
 
 from ledgerloom.llm import token_store
 from ledgerloom.llm.common import table
+from ledgerloom.llm.language_id import page_language
 from ledgerloom.llm.latent import contaminated
 from ledgerloom.llm.line_crf import line_quality
 from ledgerloom.llm.line_templates import line_report
@@ -37,6 +38,10 @@ def op4_quality_classifier(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language_id(spark, sf_dir):
+    return page_language(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), most=4, width=4, seed=42)
 
@@ -61,8 +66,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_packing, op3_token_store, op4_quality_classifier,
-        op6_simhash_near_dedup, op7_toxicity, op8_line_dedup, op9_decontamination,
-        op10_lm_scoring,
+        op5_language_id, op6_simhash_near_dedup, op7_toxicity, op8_line_dedup,
+        op9_decontamination, op10_lm_scoring,
     )
 }
 
