@@ -377,6 +377,17 @@ def train_test_split_sizes(spark, sf):
     )
 
 
+def train_test_repeated_ids(spark, sf):
+    """A split by an id of few values keeps its exact size."""
+    df = _survey(spark, sf).select((F.col("row_id") % 3).alias("few"), "row_id")
+    df = df.withColumn("few", F.when(F.col("few") > 0, F.col("few")))
+    train, test = train_test(df, "few", 0.2, seed=100)
+    both = train.select(F.lit("train").alias("part"), "row_id").unionAll(
+        test.select(F.lit("test").alias("part"), "row_id")
+    )
+    return both.groupBy("part").agg(F.count_distinct("row_id").alias("n_rows"))
+
+
 def survey_row_numbers(spark, sf):
     return row_id(_survey(spark, sf).select("row_id", "age"), ["age", "row_id"])
 
@@ -614,7 +625,7 @@ def queries() -> dict[str, Query]:
         contrib_industry_share, contrib_size_bins, contrib_combined_share, contrib_stacked_share,
         contrib_city_totals, contrib_city_class, contrib_city_class_normalized,
         contrib_cohort_totals, pref_share_overall, pref_share_within, pref_subset_stats,
-        pref_percent, satisfied_hours_mean_sd, train_test_split_sizes, survey_row_numbers,
+        pref_percent, satisfied_hours_mean_sd, train_test_split_sizes, train_test_repeated_ids, survey_row_numbers,
         score_given_model, mean_probability, classify_last_ten, classification_metrics,
         best_recall_model, glm_two_predictors, glm_two_designs, glm_deviance, glm_criteria,
         lrt_null_vs_two, glm_summary, glm_odds, glm_significant, step_both_significant, step_forward_two,

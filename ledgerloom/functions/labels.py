@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.predicates import contains_any
+from ledgerloom.functions.predicates import contains_any, nan_to_null
 
 
 def _chain(branches: Sequence[tuple[Column, object]], default: object) -> Column:
@@ -43,7 +43,8 @@ def keyword_class(
 
 
 def size_bin(col: Column, cuts: Sequence[tuple[object, str]], lowest: str) -> Column:
-    """``cuts`` are (inclusive lower bound, label); null falls to ``lowest``."""
+    """``cuts`` are (inclusive lower bound, label); null and NaN fall to ``lowest``."""
+    col = nan_to_null(col)
     ordered = sorted(cuts, key=lambda c: c[0], reverse=True)
     return _chain([(col >= F.lit(bound), label) for bound, label in ordered], lowest)
 

@@ -51,4 +51,4 @@ def matches_param(col: Column, value: str) -> Column:
 
 def nan_to_null(col: Column) -> Column:
     """NaN sorts above every number in Spark; null falls to the lowest bin."""
-    return F.when(~F.isnan(col), col)
+    return F.when(~F.isnan(col.cast("double")), col)

@@ -52,9 +52,16 @@ class LogisticFit:
         return rows_to_df(spark, [tuple(r) for r in rows], COEFFICIENT_ROWS)
 
 
-def fit_logistic(d: Design, intercept: bool | None = None) -> LogisticFit:
+def fit_logistic(
+    d: Design, intercept: bool | None = None, max_iter: int = 50
+) -> LogisticFit:
     """Fit on a design; ``intercept`` overrides the design's own choice, for a
-    matrix that already holds a constant column."""
+    matrix that already holds a constant column.
+
+    A fit that has not settled within ``max_iter`` steps is an error: its
+    estimates, errors and p-values would be those of an unfinished fit, as on
+    rows that the predictors separate perfectly.
+    """
     glr = GeneralizedLinearRegression(
         family="binomial",
         link="logit",
@@ -62,11 +69,14 @@ def fit_logistic(d: Design, intercept: bool | None = None) -> LogisticFit:
         labelCol="label",
         fitIntercept=d.intercept if intercept is None else intercept,
         tol=1e-10,
+        maxIter=max_iter,
     )
     # every iteration reads the matrix once
     with held(d.frame.select("features", "label")) as matrix:
         model = glr.fit(matrix)
         s = model.summary
+        if s.numIterations >= max_iter:
+            raise RuntimeError(f"the logistic fit did not settle in {max_iter} steps")
         return LogisticFit(
             model, d.names, s.nullDeviance, s.deviance, s.aic, s.numInstances
         )

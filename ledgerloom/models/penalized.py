@@ -295,7 +295,9 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, tol):
         g0, g = heads.gradient(sums, head)
         at, at0 = z[head, lam], z0[head, lam]
         new0 = at0 - 4 * g0
-        new = _proximal(heads.bound[head], g, at, groups, weights, l1[lam], l2[lam], inner)
+        new, solved = _proximal(
+            heads.bound[head], g, at, groups, weights, l1[lam], l2[lam], inner
+        )
 
         # momentum, dropped where it points uphill
         old, old0 = b[head, lam], b0[head, lam]
@@ -311,7 +313,8 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, tol):
         moved = np.maximum(
             np.abs((new - at) * heads.unit[head]).max(axis=1), np.abs(new0 - at0)
         )
-        active[head, lam] = moved > tol
+        # a step that was not solved settles nothing, however small it was
+        active[head, lam] = (moved > tol) | ~solved
         # the inner problem is solved only as well as the outer step deserves
         inner = 1e-3 * max(float(moved.max()), tol)
     if active.any():
@@ -319,10 +322,11 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, tol):
     return heads.raw(b0, b), passes
 
 
-def _proximal(bound, g, start, groups, weights, l1, l2, tol):
+def _proximal(bound, g, start, groups, weights, l1, l2, tol, sweeps=1_000):
     """Minimize the bounded quadratic plus the penalty, one group at a time, for
     all problems at once. Inside, slots come first and problems last; problems
-    leave the loop as they settle."""
+    leave the loop as they settle. Also says which ones did within ``sweeps``; the
+    others go on from where they are in the caller's next pass."""
     import numpy as np
 
     done = start.T.copy()
@@ -336,7 +340,8 @@ def _proximal(bound, g, start, groups, weights, l1, l2, tol):
         top.append(np.where(largest > 0, largest, 1.0))
     curvature = np.array(top)
     left = np.arange(len(l1))
-    for sweep in range(1, 1_001):
+    solved = np.zeros(len(l1), dtype=bool)
+    for sweep in range(1, sweeps + 1):
         change = np.zeros(len(left))
         for i, (group, weight) in enumerate(zip(groups, weights)):
             u = curvature[i] * b[group] - r[group]
@@ -350,13 +355,14 @@ def _proximal(bound, g, start, groups, weights, l1, l2, tol):
         busy = change >= tol
         if sweep % 8 == 0 or not busy.any():
             done[:, left] = b
+            solved[left[~busy]] = True
             if not busy.any():
                 break
             left, l1, l2 = left[busy], l1[busy], l2[busy]
             b, r, unit, curvature = b[:, busy], r[:, busy], unit[:, busy], curvature[:, busy]
             columns = columns[:, :, busy]
     done[:, left] = b
-    return done.T
+    return done.T, solved
 
 
 def _gradient_sums(blocks: RowBlocks, coefs, out):

@@ -11,12 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.predicates import is_populated
+from ledgerloom.functions.predicates import is_populated, nan_to_null
 
 
 def total(amount: Column) -> Column:
-    """Sum that is 0 when every value is null."""
-    summed = F.sum(amount)
+    """Sum of the values there are, null and NaN aside; 0 without any."""
+    summed = F.sum(nan_to_null(amount))
     return F.coalesce(summed, F.lit(0))
 
 

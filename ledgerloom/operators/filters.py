@@ -12,28 +12,42 @@ from pyspark.sql import types as T
 
 from ledgerloom.sources.frames import rows_to_df
 
-# Literal lists up to this length become a pushed-down IN; longer ones a join.
-MAX_LITERALS = 1_000
+MAX_LITERALS = 1_000  # default of the longest list that becomes an IN
 
 
-def where_in(df: DataFrame, col: str, values: Sequence[object]) -> DataFrame:
-    """Rows whose value is in the list; null never is."""
-    if len(values) <= MAX_LITERALS:
-        return df.where(F.col(col).isin(list(values)))
-    kind = T.StructType([T.StructField(col, df.schema[col].dataType)])
-    keys = rows_to_df(df.sparkSession, [(v,) for v in values], kind)
-    return df.join(keys, col, "left_semi").select(*df.columns)
+def where_in(
+    df: DataFrame, col: str, values: Sequence[object], max_literals: int = MAX_LITERALS
+) -> DataFrame:
+    """Rows whose value is in the list; null never is.
+
+    Values are cast to the column's type as text or numbers are. Up to
+    ``max_literals`` of them become an IN that reaches the scan, longer lists a
+    join with the same result.
+    """
+    kind = df.schema[col].dataType
+    listed = [v for v in dict.fromkeys(values) if v is not None]
+    if len(listed) <= max_literals:
+        return df.where(F.col(col).isin([F.lit(v).cast(kind) for v in listed]))
+    by_type: dict[type, list[tuple[object]]] = {}
+    for v in listed:
+        by_type.setdefault(type(v), []).append((v,))
+    keys = [
+        df.sparkSession.createDataFrame(rows, [col]).select(F.col(col).cast(kind))
+        for rows in by_type.values()
+    ]
+    return df.join(reduce(DataFrame.unionAll, keys), col, "left_semi").select(*df.columns)
 
 
 def tag_cohort(
     df: DataFrame, cohorts: Mapping[str, Sequence[str]], key: str, name: str = "cohort"
 ) -> DataFrame:
-    """One row per cohort the key belongs to; rows of no cohort are dropped.
+    """One row per cohort the key belongs to; rows of no cohort are dropped, and a
+    key listed twice in a cohort counts once.
 
     The pairs are literals of the call. Spark knows their size and broadcasts
     them if they fit its threshold; short lists also reach the scan as an IN.
     """
-    pairs = [(k, c) for c, keys in cohorts.items() for k in keys]
+    pairs = [(k, c) for c, keys in cohorts.items() for k in dict.fromkeys(keys)]
     members = rows_to_df(df.sparkSession, pairs, f"`{key}` string, `{name}` string")
     return where_in(df, key, [k for k, _ in pairs]).join(members, key)
 

@@ -16,7 +16,7 @@ from ledgerloom.functions.predicates import (
 )
 from ledgerloom.functions.text import base_schema, standard_base, type_message
 from ledgerloom.operators.aggregates import any_populated, has_tables, size_by
-from ledgerloom.operators.joins import distinct_keys, exclude_keys, flag_exists
+from ledgerloom.operators.joins import flag_exists
 from ledgerloom.operators.sets import stack_results
 from ledgerloom.operators.windows import keep_false_or_first
 from ledgerloom.sources.catalog import TABLE_ROWS, inventory, quoted
@@ -224,12 +224,32 @@ def catalog_status(
     **options: object,
 ) -> DataFrame:
     """:func:`status` of a live catalog: one metadata listing, one job over the
-    crosswalk tables. Only names from the listing reach the driver."""
+    crosswalk tables. Only names from the listing reach the driver.
+
+    What a schema that could not be listed holds is unknown, so a partner with
+    such a schema has ``Unknown`` wherever its lines would not be ``True``.
+    """
     found = inventory(spark, catalog)
     crosswalks = typed_inventory(found.tables, codes).where("is_standardized and is_crosswalk")
     names = [tuple(r) for r in crosswalks.select("schema_name", "table_name").collect()]
     links = account_link(found.tables, probe_tables(spark, names, catalog, col), codes)
-    return status(found.schemas, found.tables, links, codes, **options)
+    lines = status(found.schemas, found.tables, links, codes, **options)
+    return mark_unknown(lines, found.errors)
+
+
+def mark_unknown(lines: DataFrame, errors: DataFrame) -> DataFrame:
+    """Status lines in which nothing is denied of partners with unread schemas."""
+    bases = F.array(base_schema(F.col("schema_name")), standard_base(F.col("schema_name")))
+    unread = errors.select(F.explode(bases).alias("trading_partner_id")).distinct()
+    flagged = flag_exists(lines, unread, ["trading_partner_id"], "_unread")
+    return flagged.select(
+        *[
+            F.when(F.col("_unread") & (F.col(c) != "True"), "Unknown").otherwise(F.col(c)).alias(c)
+            if c.endswith("_completed")
+            else F.col(c)
+            for c in lines.columns
+        ]
+    )
 
 
 def _schema_facts(schemas: DataFrame, tables: DataFrame) -> DataFrame:
@@ -307,14 +327,11 @@ def funnel(lines: DataFrame) -> DataFrame:
 
 
 def shared_not_linked(lines: DataFrame) -> DataFrame:
-    """Shared lines whose partner and type have no linked line."""
-    keys = ["trading_partner_id", "table_type_ingested"]
-    linked = distinct_keys(lines.where(F.col("account_linking_completed") == "True"), keys)
-    return exclude_keys(
-        lines.where(F.col("shared_completed") == "True").select(*keys, "shared_completed"),
-        linked,
-        keys,
-    )
+    """Shared lines whose partner and type have no linked line: a linked partner
+    and type has a single line, so this is a test of the line itself."""
+    return lines.where(
+        (F.col("shared_completed") == "True") & (F.col("account_linking_completed") != "True")
+    ).select("trading_partner_id", "table_type_ingested", "shared_completed")
 
 
 def stage_counts(lines: DataFrame, column: str, value: str, name: str) -> DataFrame:

@@ -6,7 +6,6 @@ driver ever holds here; table data is never collected.
 
 from __future__ import annotations
 
-import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -16,8 +15,6 @@ from pyspark.sql import types as T
 
 from ledgerloom.sources.frames import rows_to_df
 
-_PART = re.compile(r"[A-Za-z0-9_]+")
-
 SCHEMA_ROWS = T.StructType([T.StructField("schema_name", T.StringType())])
 TABLE_ROWS = T.StructType(
     [T.StructField("schema_name", T.StringType()), T.StructField("table_name", T.StringType())]
@@ -28,9 +25,9 @@ ERROR_ROWS = T.StructType(
 
 
 def quoted(*parts: str) -> str:
-    """Back-ticked multi-part name; each part must be letters, digits or ``_``."""
+    """Back-ticked multi-part name; a part may hold any character but a back-tick."""
     for part in parts:
-        if not _PART.fullmatch(part):
+        if not part or "`" in part:
             raise ValueError(f"not a valid identifier part: {part!r}")
     return ".".join(f"`{p}`" for p in parts)
 
@@ -109,5 +106,6 @@ def inventory(
 
 
 def list_tables(spark: SparkSession, catalog: str) -> DataFrame:
-    """``(schema_name, table_name)`` rows; unreadable schemas are skipped."""
-    return inventory(spark, catalog).tables
+    """``(schema_name, table_name)`` rows; a schema that cannot be listed is an
+    error. ``inventory`` reports such schemas and goes on."""
+    return inventory(spark, catalog, skip_errors=False).tables

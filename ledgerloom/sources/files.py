@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.frames import rows_to_df
+
 CONTRIBUTION_TYPES = {"AmountReceivedThisPeriod": "decimal(18,2)"}
 SURVEY_TYPES = {
     "Age": "int",
@@ -24,22 +26,62 @@ def read_csv(
     types: Mapping[str, str],
     trim_names: bool = False,
     multiline: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """CSV with a header; empty fields are null, columns outside ``types`` are text.
 
     Only the header line is looked at while planning. Columns are typed by name,
-    and a value that does not fit its type becomes null. ``multiline`` allows line
-    breaks inside quotes, at the price that a file is then read by one task.
+    and a value that does not fit its type becomes null; ``rejected_values`` counts
+    such values, and ``strict`` makes the first one an error. A decimal with more
+    digits than its type is rounded. ``multiline`` allows line breaks inside quotes,
+    at the price that a file is then read by one task.
     """
+    raw = _raw_csv(spark, path, trim_names, multiline)
+    typed = []
+    for c in raw.columns:
+        text = F.col(f"`{c}`")
+        if c in types:
+            fits = text.try_cast(types[c])
+            if strict:
+                said = F.concat(F.lit(f"{c}: not a {types[c]}: "), text)
+                fits = F.when(fits.isNull() & text.isNotNull(), F.raise_error(said)).otherwise(fits)
+            text = fits.alias(c)
+        typed.append(text)
+    return raw.select(*typed)
+
+
+def _raw_csv(spark: SparkSession, path: str, trim_names: bool, multiline: bool) -> DataFrame:
     raw = spark.read.csv(path, header=True, nullValue="", quote='"', escape='"', multiLine=multiline)
-    if trim_names:
-        raw = raw.toDF(*[c.rstrip() for c in raw.columns])
-    return raw.select(
-        *[
-            F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
-            for c in raw.columns
-        ]
-    )
+    return raw.toDF(*[c.rstrip() for c in raw.columns]) if trim_names else raw
+
+
+def rejected_values(
+    spark: SparkSession,
+    path: str,
+    types: Mapping[str, str],
+    trim_names: bool = False,
+    multiline: bool = False,
+) -> DataFrame:
+    """``(column_name, n_rejected, n_rounded)``: values of each typed column that do
+    not fit its type, and decimals that lose digits to it; one pass over the file."""
+    raw = _raw_csv(spark, path, trim_names, multiline)
+    facts = []
+    for c in (c for c in raw.columns if c in types):
+        text, fits = F.col(f"`{c}`"), F.col(f"`{c}`").try_cast(types[c])
+        whole = text.try_cast("decimal(38,18)")
+        rounded = fits.isNotNull() & (whole != fits.cast("decimal(38,18)"))
+        if not types[c].startswith("decimal"):
+            rounded = F.lit(False)
+        facts.append(
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count_if(text.isNotNull() & fits.isNull()).alias("n_rejected"),
+                F.count_if(rounded).alias("n_rounded"),
+            )
+        )
+    if not facts:
+        return rows_to_df(spark, [], "column_name string, n_rejected long, n_rounded long")
+    return raw.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 
 def read_contributions(

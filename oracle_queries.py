@@ -560,6 +560,13 @@ from survey where job_satisfaction >= 8
         """
 select 'test' as part, cast(floor(0.2 * count(*)) as bigint) as n_rows from survey
 union all select 'train', count(*) - cast(floor(0.2 * count(*)) as bigint) from survey
+""",
+    ),
+    "train_test_repeated_ids": _q(
+        "survey",
+        """
+select 'test' as part, cast(floor(0.2 * count(*)) as bigint) as n_rows from survey
+union all select 'train', count(*) - cast(floor(0.2 * count(*)) as bigint) from survey
 """,
     ),
     "survey_row_numbers": _q(
