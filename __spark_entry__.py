@@ -428,6 +428,23 @@ def glm_two_predictors(spark, sf):
     return _rounded(table, 4, "estimate", "std_error", "z_value")
 
 
+def glm_odds_two(spark, sf):
+    _, fit = _two_column_fit(spark, sf)
+    return _rounded(glm.odds_ratios(fit.coefficients(spark)), 4, "odds_ratio", "percent_change")
+
+
+def glm_significant_two(spark, sf):
+    _, fit = _two_column_fit(spark, sf)
+    table = where_abs_over(glm.significant(fit.coefficients(spark), 0.01), "z_value", 2.0)
+    return _rounded(table.select("term", "z_value"), 4, "z_value")
+
+
+def lasso_nonzero_two(spark, sf):
+    d = design(_survey(spark, sf), "preference", TWO, intercept=False)
+    path = coef_path(d, "row_id", 1.0, [0.02], tol=1e-9).path(spark)
+    return _rounded(nonzero(path).select("term", "coefficient"), 4, "coefficient")
+
+
 def glm_two_designs(spark, sf):
     """The same model from a formula and from a matrix with a constant column."""
     _, by_formula = _two_column_fit(spark, sf)
@@ -483,9 +500,12 @@ def _step(direction: str) -> Query:
     return run
 
 
-def step_forward_two(spark, sf):
-    chosen = stepwise(design(_survey(spark, sf), "preference", TWO), direction="forward")
-    return _rounded(chosen.steps(spark), 4, "deviance", "aic", "bic")
+def _step_two(direction: str) -> Query:
+    def run(spark, sf):
+        chosen = stepwise(design(_survey(spark, sf), "preference", TWO), direction=direction)
+        return _rounded(chosen.steps(spark), 4, "deviance", "aic", "bic")
+
+    return run
 
 
 def lrt_full_vs_reduced(spark, sf):
@@ -628,7 +648,7 @@ def queries() -> dict[str, Query]:
         pref_percent, satisfied_hours_mean_sd, train_test_split_sizes, train_test_repeated_ids, survey_row_numbers,
         score_given_model, mean_probability, classify_last_ten, classification_metrics,
         best_recall_model, glm_two_predictors, glm_two_designs, glm_deviance, glm_criteria,
-        lrt_null_vs_two, glm_summary, glm_odds, glm_significant, step_both_significant, step_forward_two,
+        lrt_null_vs_two, glm_summary, glm_odds, glm_significant, step_both_significant, glm_odds_two, glm_significant_two, lasso_nonzero_two,
         lrt_full_vs_reduced,
         tree_accuracy, tree_document_quality, ridge_path, lasso_path, enet_path, lasso_cv,
         lasso_selected, coef_magnitudes, lasso_penalty_grid,
@@ -642,6 +662,7 @@ def queries() -> dict[str, Query]:
         out[f"{kind}_fixed_penalty"] = _fixed_penalty(alpha, lam)
     for direction in ("forward", "backward", "both"):
         out[f"step_{direction}"] = _step(direction)
+        out[f"step_{direction}_two"] = _step_two(direction)
     return out | LLM_QUERIES
 
 

@@ -349,11 +349,37 @@ dev_{tag} as (
 )"""
 
 
-_STEPS = (
+_FOUR_FITS = (
     _deviance_of("none", "0", "0")
     + _deviance_of("one", "job_satisfaction", "0")
     + _deviance_of("two", "0", "remote_hours")
     + _deviance_of("both", "job_satisfaction", "remote_hours")
+)
+_STEP_ROWS = """
+select step, action, term, k as n_coefficients, round(dev, 4) as deviance, round(dev + 2 * k, 4) as aic,
+       round(dev + k * ln((select count(*) from survey)), 4) as bic
+from steps
+"""
+_STEPS_BACK = (
+    _FOUR_FITS
+    + """,
+first as (
+  select * from (select 'remote_hours' as term, 'job_satisfaction' as other, dev from dev_one
+                 union all select 'job_satisfaction', 'remote_hours', dev from dev_two)
+  order by dev limit 1
+),
+steps as (
+  select 0 as step, 'start' as action, '' as term, 3 as k, dev from dev_both
+  union all
+  select 1, 'drop', f.term, 2, f.dev from first f, dev_both b where f.dev + 4 < b.dev + 6
+  union all
+  select 2, 'drop', f.other, 1, n.dev from first f, dev_none n, dev_both b
+  where f.dev + 4 < b.dev + 6 and n.dev + 2 < f.dev + 4
+)"""
+    + _STEP_ROWS
+)
+_STEPS = (
+    _FOUR_FITS
     + """,
 first as (
   select * from (select 'job_satisfaction' as term, 'remote_hours' as other, dev from dev_one
@@ -367,11 +393,8 @@ steps as (
   union all
   select 2, 'add', f.other, 3, b.dev from first f, dev_none n, dev_both b
   where f.dev + 4 < n.dev + 2 and b.dev + 6 < f.dev + 4
-)
-select step, action, term, k as n_coefficients, round(dev, 4) as deviance, round(dev + 2 * k, 4) as aic,
-       round(dev + k * ln((select count(*) from survey)), 4) as bic
-from steps
-"""
+)"""
+    + _STEP_ROWS
 )
 
 
@@ -614,6 +637,24 @@ select '(Intercept)' as term, round(b0, 4) as estimate, round(sqrt(c00), 4) as s
        round(b0 / sqrt(c00), 4) as z_value from final
 union all select 'job_satisfaction', round(b1, 4), round(sqrt(c11), 4), round(b1 / sqrt(c11), 4) from final
 union all select 'remote_hours', round(b2, 4), round(sqrt(c22), 4), round(b2 / sqrt(c22), 4) from final
+"""
+    ),
+    "glm_odds_two": _fit(
+        """
+select term, round(exp(b), 4) as odds_ratio, round(100 * (exp(b) - 1), 4) as percent_change
+from (select '(Intercept)' as term, b0 as b from final
+      union all select 'job_satisfaction', b1 from final
+      union all select 'remote_hours', b2 from final)
+"""
+    ),
+    # p < 0.01 for a normal z: its absolute value is over the quantile
+    "glm_significant_two": _fit(
+        """
+select term, round(z, 4) as z_value
+from (select '(Intercept)' as term, b0 / sqrt(c00) as z from final
+      union all select 'job_satisfaction', b1 / sqrt(c11) from final
+      union all select 'remote_hours', b2 / sqrt(c22) from final)
+where abs(z) > 2.5758293035489004
 """
     ),
     "glm_two_designs": _fit(
@@ -675,6 +716,11 @@ select category as label, {_MONEY}, {_PCT}
 from (select category, total_amount from industries union all select category, total_amount from bins)
 """
 ORACLE["step_forward_two"] = _q("survey", _STEPS, recursive=True)
+ORACLE["step_backward_two"] = _q("survey", _STEPS_BACK, recursive=True)
+ORACLE["step_both_two"] = ORACLE["step_backward_two"]  # what was dropped never pays again
+ORACLE["lasso_nonzero_two"] = (
+    f"select term, coefficient from ({_elastic(0.02, 1.0)}) where abs(coefficient) > 0"
+)
 ORACLE["contrib_combined_share"] = _contrib(_COMBINED)
 ORACLE["contrib_stacked_share"] = _contrib(_COMBINED)
 for _name, (_table, _column) in {
