@@ -235,7 +235,11 @@ def latent_space(
         p = row @ q[at]
         small += weight * np.outer(p, p)
     values, vectors = np.linalg.eigh(small)
-    return q @ vectors[:, np.argsort(values)[::-1][:rank]]
+    best = np.argsort(values)[::-1][:rank]
+    # texts are folded in by the inverse singular values, or what nearly all texts
+    # share would make all of them alike
+    strength = np.sqrt(np.maximum(values[best], 1e-9 * max(values.max(), 1e-9)))
+    return q @ vectors[:, best] / strength
 
 
 # --- search and verification -------------------------------------------------
@@ -350,7 +354,7 @@ def contaminated(
     buckets: int = 1 << 14,
     passage: int = 48,
     fit_docs: int = 4_000,
-    min_cosine: float = 0.4,
+    min_cosine: float = 0.45,
     min_common: float = 0.6,
     sure_common: float = 0.8,
     min_answer: float = 0.5,
