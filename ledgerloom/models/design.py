@@ -64,7 +64,11 @@ class Design:
 
 
 def design(
-    df: DataFrame, label: str, terms: Sequence[str], intercept: bool = True
+    df: DataFrame,
+    label: str,
+    terms: Sequence[str],
+    intercept: bool = True,
+    max_levels: int = 10_000,
 ) -> Design:
     """Treatment coding of the terms, in their order.
 
@@ -73,11 +77,17 @@ def design(
     input are left out; so are rows with an unknown level when encoding.
 
     Only the factor levels have to be learned, and one pass finds those of all
-    factors together.
+    factors together. They live on the driver, so a factor that has more than about
+    ``max_levels`` (counted approximately first) is refused.
     """
     inputs = complete_cases(df, [label, *terms])
     kinds = dict(df.dtypes)
     factors = [t for t in terms if kinds[t] == "string"]
+    if factors:
+        found = inputs.agg(*[F.approx_count_distinct(f, 0.02).alias(f) for f in factors]).first()
+        wide = {f: found[f] for f in factors if found[f] > max_levels}
+        if wide:
+            raise ValueError(f"more than {max_levels} levels: {wide}")
     whole = [] if intercept else factors[:1]
     stages: list = []
     if factors:

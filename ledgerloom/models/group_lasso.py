@@ -23,6 +23,7 @@ def group_lasso_cv(
     seed: int = 100,
     lambdas: Sequence[float] | None = None,
     tol: float = TOL,
+    fold_col: str | None = None,
 ) -> PenaltyPath:
     """Path and cross-validation over raw columns; a group of size s is
     penalized by ``sqrt(s) * |b_g|``. ``groups`` maps a label to its columns and
@@ -32,7 +33,8 @@ def group_lasso_cv(
         raise ValueError("groups must cover each column once")
     weights = [math.sqrt(len(g)) for g in slots]
     return _solve(
-        d, id_col, slots, weights, [1.0], False, folds, n_lambda, ratio, seed, lambdas, tol
+        d, id_col, slots, weights, [1.0], False, folds, n_lambda, ratio, seed, lambdas, tol,
+        fold_col,
     )[0]
 
 

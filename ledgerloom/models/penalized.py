@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.models.design import Design
 from ledgerloom.models.passes import RowBlocks
-from ledgerloom.models.split import fold_of
+from ledgerloom.models.split import fold_in
 from ledgerloom.operators.ordering import by_magnitude
 from ledgerloom.sources.frames import rows_to_df
 from ledgerloom.storage import held
@@ -101,11 +101,15 @@ def penalized_cv(
     seed: int = 100,
     lambdas: Sequence[float] | None = None,
     tol: float = TOL,
+    fold_col: str | None = None,
 ) -> PenaltyPath:
     """Elastic-net path: ``alpha`` 0 is ridge, 1 is lasso. ``folds=0`` skips
-    cross-validation. Folds hang on a hash of ``id_col``. Passes end once no
+    cross-validation. Folds are those of the column ``fold_col``, numbered from 0
+    below ``folds``, or hang on a hash of ``id_col``. Passes end once no
     standardized coefficient moves by more than ``tol``."""
-    return penalized_cvs(d, id_col, [alpha], folds, n_lambda, ratio, seed, lambdas, tol)[alpha]
+    return penalized_cvs(
+        d, id_col, [alpha], folds, n_lambda, ratio, seed, lambdas, tol, fold_col
+    )[alpha]
 
 
 def penalized_cvs(
@@ -118,13 +122,14 @@ def penalized_cvs(
     seed: int = 100,
     lambdas: Sequence[float] | None = None,
     tol: float = TOL,
+    fold_col: str | None = None,
 ) -> dict[float, PenaltyPath]:
     """Several elastic-net paths that share their passes, each over its own
     penalties unless ``lambdas`` gives them."""
     groups = [[i] for i in range(len(d.names))]
     paths = _solve(
         d, id_col, groups, [1.0] * len(groups), alphas, True, folds, n_lambda, ratio, seed,
-        lambdas, tol,
+        lambdas, tol, fold_col,
     )
     return dict(zip(alphas, paths))
 
@@ -174,14 +179,16 @@ def _largest(heads: _Heads, groups, weights, alpha: float) -> float:
 
 
 def _solve(
-    d, id_col, groups, weights, alphas, standardize, folds, n_lambda, ratio, seed, lambdas, tol
+    d, id_col, groups, weights, alphas, standardize, folds, n_lambda, ratio, seed, lambdas, tol,
+    fold_col=None,
 ) -> list[PenaltyPath]:
     """One path per alpha: ``alpha`` of the penalty on group norms, the rest on
     squares."""
     import numpy as np
 
-    fold = fold_of(id_col, folds, seed) if folds else F.lit(0)
-    rows = d.matrix(None, id_col).select("x", "y", fold.alias("fold"))
+    fold = fold_in(id_col, folds, seed, fold_col) if folds else F.lit(0)
+    keep = dict.fromkeys([id_col, *([fold_col] if fold_col else [])])
+    rows = d.matrix(None, *keep).select("x", "y", fold.alias("fold"))
     with held(rows, spread=True) as matrix:
         blocks = RowBlocks(matrix)
         heads = _Heads(*_moments(blocks, len(d.names), max(folds, 1)), folds, standardize)

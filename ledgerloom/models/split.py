@@ -63,6 +63,15 @@ def _cut_off(df: DataFrame, key: Column, share: float) -> tuple[Column, Column |
     return key < prefix, key == prefix, left
 
 
+def fold_in(id_col: str, folds: int, seed: int, fold_col: str | None) -> Column:
+    """Folds given by a column, or else by a hash of the id."""
+    if fold_col is None:
+        return fold_of(id_col, folds, seed)
+    given = F.col(fold_col).cast("int")
+    wrong = F.concat(F.lit(f"{fold_col} is no fold below {folds}: "), F.coalesce(given, F.lit(-1)))
+    return F.when(given.between(0, folds - 1), given).otherwise(F.raise_error(wrong).cast("int"))
+
+
 def fold_of(id_col: str, folds: int, seed: int = 100) -> Column:
     """Fold number 0..folds-1 of a row, the same on every evaluation."""
     return F.pmod(_rank_key(id_col, seed + 1), F.lit(folds)).cast("int")

@@ -11,7 +11,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.models.design import Design
-from ledgerloom.models.split import fold_of
+from ledgerloom.models.split import fold_in
 from ledgerloom.sources.frames import rows_to_df
 from ledgerloom.storage import held
 
@@ -46,18 +46,24 @@ def tree_cv(
     gains: Sequence[float] = (0.0, 0.005, 0.02),
     seed: int = 100,
     parallelism: int = 4,
+    fold_col: str | None = None,
+    max_bins: int = 32,
 ) -> TreeFit:
     """Mean accuracy over the folds for each grid point; the best is refitted on
-    all rows. Folds come from a hash of the id, so they do not change when rows
-    are read again."""
-    tree = DecisionTreeClassifier(featuresCol="features", labelCol="label", seed=seed)
+    all rows. Folds are those of ``fold_col`` or come from a hash of the id, so they
+    do not change when rows are read again. ``max_bins`` bounds the split points
+    tried for a column."""
+    tree = DecisionTreeClassifier(
+        featuresCol="features", labelCol="label", seed=seed, maxBins=max_bins
+    )
     grid = (
         ParamGridBuilder()
         .addGrid(tree.maxDepth, list(depths))
         .addGrid(tree.minInfoGain, list(gains))
         .build()
     )
-    rows = d.frame.select("features", "label", fold_of(id_col, folds, seed).alias("fold"))
+    fold = fold_in(id_col, folds, seed, fold_col)
+    rows = d.frame.select("features", "label", fold.alias("fold"))
     with held(rows) as matrix:
         cv = CrossValidator(
             estimator=tree,

@@ -58,6 +58,33 @@ def test_unfinished_fits_raise(spark):
         fit_logistic(design(df, "y", ["x"]), max_iter=10)
 
 
+def test_folds_can_be_given(spark):
+    from ledgerloom.models.penalized import penalized_cv
+    from ledgerloom.models.split import fold_of
+    from ledgerloom.models.tree import tree_cv
+
+    df = spark.range(200).select(
+        F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("x"),
+        ((F.col("id") % 7 > 3) != (F.col("id") % 11 == 0)).cast("int").alias("y"),
+    ).withColumn("own", fold_of("row_id", 3, 100)).withColumn("odd", F.col("row_id") % 5)
+    d = design(df, "y", ["x"], intercept=False)
+    how = dict(folds=3, lambdas=[0.1, 0.01])
+    hashed = penalized_cv(d, "row_id", 1.0, **how).cv_table(spark).collect()
+    given = penalized_cv(d, "row_id", 1.0, **how, fold_col="own").cv_table(spark).collect()
+    assert hashed == given
+    one = dict(depths=(1,), gains=(0.0,))
+    a = tree_cv(d, "row_id", **one).results(spark).collect()
+    assert a == tree_cv(d, "row_id", **one, fold_col="own").results(spark).collect()
+    with pytest.raises(Exception, match="no fold below 3"):
+        penalized_cv(d, "row_id", 1.0, **how, fold_col="odd")
+
+
+def test_wide_factors_are_refused(spark):
+    df = spark.range(500).select(F.concat(F.lit("v"), "id").alias("f"), (F.col("id") % 2).alias("y"))
+    with pytest.raises(ValueError, match="levels"):
+        design(df, "y", ["f"], max_levels=100)
+
+
 def test_an_unsolved_step_is_not_settled():
     import numpy as np
 
