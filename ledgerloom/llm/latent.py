@@ -35,7 +35,7 @@ from ledgerloom.llm.common import id_and_text
 
 EDGE = b".,;:!?\"'()[]"
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
-PART_WORDS = 8_192  # words looked at together
+PART_WORDS = 8_192  # words looked at together, or two of the longest windows
 STEP = 6  # words that window lengths and starts are multiples of
 FIT_TASKS = 4  # tasks that add up the fit's sums, each of a fixed size
 BLOCK_ROWS = 1_024  # buckets of a partial sum in one row
@@ -248,8 +248,9 @@ def latent_space(
 class Searcher:
     """Finds the items in texts, many texts at a time.
 
-    Texts lie one after the other, each begun at a multiple of ``STEP`` and followed
-    by as much nothing as the longest window, so a window holds words of one text.
+    Texts lie one after the other, each begun at a multiple of ``STEP``; a window
+    ends with its text, so it holds words of one text. A portion of a text is at
+    least two of the longest windows.
     """
 
     def __init__(self, items: list[Item], vectors: np.ndarray, min_cosine: float,
@@ -268,6 +269,7 @@ class Searcher:
             norms = np.linalg.norm(rows, axis=1, keepdims=True)
             self.blocks.append((scale, group, (rows / np.maximum(norms, 1e-9)).T.copy()))
         self.longest = max((scale for scale, _, _ in self.blocks), default=STEP)
+        self.portion = max(PART_WORDS, 2 * self.longest)
 
     def search(self, texts: list[str | None]) -> list[dict[int, tuple[object, float, float, bool]]]:
         """For each text its items: ``item, cosine, common share, answer found``."""
@@ -278,8 +280,8 @@ class Searcher:
             words = raw_words(text)
             self.buckets.trim()
             # a long text comes in portions that overlap by the longest window
-            for start in range(0, len(words), PART_WORDS - self.longest):
-                end = min(start + PART_WORDS, len(words))
+            for start in range(0, len(words), self.portion - self.longest):
+                end = min(start + self.portion, len(words))
                 part.append((t, words, start, end))
                 size += end - start
                 if size >= PART_WORDS:
@@ -294,25 +296,30 @@ class Searcher:
         if not part or not self.blocks:
             return
         nothing = len(self.vectors) - 1
-        ids, firsts, at = [], [], 0
+        ids, firsts, sizes, at = [], [], [], 0
         for _, words, start, end in part:
             own = [self.buckets[w] for w in words[start:end]]
-            own += [nothing] * (-len(own) % STEP + self.longest)
+            own += [nothing] * (-len(own) % STEP)
             ids += own
             firsts.append(at)
-            at += len(own) // STEP
+            sizes.append(len(own) // STEP)
+            at += sizes[-1]
         gathered = self.vectors[np.array(ids, dtype=np.int64)]
         steps = gathered.reshape(-1, STEP, gathered.shape[1]).sum(axis=1)
         sums = np.zeros((len(steps) + 1, steps.shape[1]))
         np.cumsum(steps, axis=0, dtype=np.float64, out=sums[1:])
+        first = np.repeat(firsts, sizes)
+        stop, offset = first + np.repeat(sizes, sizes), np.arange(at) - first
         clean: dict[int, tuple[int, list[bytes]]] = {}  # of portions with candidates
         for scale, items, wanted in self.blocks:
             width, stride = scale // STEP, max(1, scale // (3 * STEP))
-            rows = (sums[width::stride] - sums[: len(sums) - width : stride]).astype(np.float32)
+            starts = np.flatnonzero(offset % stride == 0)
+            ends = np.minimum(starts + width, stop[starts])
+            rows = (sums[ends] - sums[starts]).astype(np.float32)
             norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
             near = rows @ wanted >= (self.min_cosine * np.maximum(norms, 1e-6))[:, None]
             for w, k in zip(*np.nonzero(near), strict=True):
-                step = int(w) * stride
+                step = int(starts[w])
                 place = int(np.searchsorted(firsts, step, side="right")) - 1
                 t, words, start, end = part[place]
                 if place not in clean:

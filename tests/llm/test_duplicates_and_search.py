@@ -207,3 +207,17 @@ def test_search_of_odd_rows(spark, odd, none):
     assert len(found) == 5 * 3  # every row that holds it, for every item row
     assert contaminated(none, items).count() == 0
     assert contaminated(odd, items.where("false")).count() == 0
+
+
+def test_items_longer_than_a_portion(spark):
+    """One very long item hides no other, and is found itself."""
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(3_000)}" for _ in range(10_000))
+    short = "the quick brown fox jumps over the lazy dog near the old river bank. answer: a fox"
+    docs = spark.createDataFrame(
+        [(1, f"some words come first. {short} and others follow."), (2, f"before it {long} after it"),
+         (3, "nothing of the kind is in this text, whatever else it may hold")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()} == {(1, 1), (2, 2)}
