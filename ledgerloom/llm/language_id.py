@@ -11,8 +11,8 @@ towards all pages, and a page's own share is taken out of its priors.
 Sums by host are partial aggregates, and their table, one row per host, is joined
 back: a host with a third of all pages is a skewed key of a plain join.
 
-The text model is fitted on a bounded sample: texts picked by a hash of their ids,
-about ``fit_docs`` of them. A null page or address, or one without text, is judged by
+The text model counts the n-grams of all texts of known language, a sum for each
+language and bucket, so a rare language is learned from all it has. A null page or address, or one without text, is judged by
 the evidence it has. Repeated rows are judged one by one. An empty table gives no
 rows, and without texts of known language no page has a language.
 """
@@ -80,16 +80,12 @@ def grams(text: str, buckets: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def gram_counts(
-    docs: DataFrame, buckets: int, fit_docs: int, max_langs: int, seed: int = 3
-) -> tuple[list[str], np.ndarray]:
-    """Languages, and their counts of buckets, from a sample of labelled texts."""
+def gram_counts(docs: DataFrame, buckets: int, max_langs: int) -> tuple[list[str], np.ndarray]:
+    """Languages, and their counts of buckets, from all labelled texts."""
     known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != ""))
     langs = [r["lang"] for r in known.select("lang").distinct().limit(max_langs + 1).collect()]
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    every = max(1, known.count() // fit_docs)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -106,7 +102,7 @@ def gram_counts(
                 ["lang", "bucket", "n"],
             )
 
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long")
+    rows = known.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long")
     summed = rows.groupBy("lang", "bucket").agg(F.sum("n"))
     langs = sorted(langs)
     counts = np.zeros((len(langs), buckets))
@@ -159,14 +155,13 @@ def page_language(
     docs: DataFrame,
     id_col: str = "page_id",
     buckets: int = 1 << 14,
-    fit_docs: int = 2_000,
     max_langs: int = 64,
     most_grams: float = 60.0,
     strength: float = 5.0,
 ) -> DataFrame:
     """``page_id, lang, confidence, text_lang, declared, suffix, host`` of every page.
     ``strength`` is the number of pages the next wider prior counts as."""
-    langs, counts = gram_counts(docs, buckets, fit_docs, max_langs)
+    langs, counts = gram_counts(docs, buckets, max_langs)
     if not langs:
         return pages.select(
             F.col(id_col).alias("page_id"), F.lit(None).cast("string").alias("lang"),

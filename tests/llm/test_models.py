@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.language_id import address, declared, page_language, visible
+from ledgerloom.llm.language_id import (
+    address, declared, gram_counts, grams, page_language, visible,
+)
 from ledgerloom.llm.line_crf import Field, line_quality, lines_of
 from ledgerloom.llm.lm_scoring import lm_scores
 from ledgerloom.llm.ppm import END, Trie, stream
@@ -233,3 +235,15 @@ def test_evidence_is_fused(spark, documents, none):
     assert by[100].declared == by[100].host == "-"
     assert page_language(pages.where("false"), documents).count() == 0
     assert {r.lang for r in page_language(pages, none).collect()} == {None}
+
+
+def test_a_rare_language_is_learned_in_full(spark):
+    """One text among thousands counts, and so does every text of the others."""
+    rows = [(i, "the same plain words of a page", "en") for i in range(6_000)]
+    rows += [(10_000 + i, f"y{'abcdefghij'[i]}z qwx jkq", "xx") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, counts = gram_counts(docs, 1 << 12, 64)
+    assert langs == ["en", "xx"]
+    for lang, found in zip(langs, counts, strict=True):
+        wanted = sum(np.bincount(grams(t, 1 << 12), minlength=1 << 12) for _, t, k in rows if k == lang)
+        assert (found == wanted).all()
