@@ -2,10 +2,9 @@
 
 Words are hashed to ``buckets`` and weighted by their inverse document frequency,
 counted over all documents. A randomised SVD finds ``rank`` directions of the
-TF-IDF passages: it is fitted on all benchmark items and on the passages of a
-bounded sample of documents (``fit_docs`` is the expected size of the sample), two
-distributed passes over sparse rows with sums of fixed size. With these, every
-window of every document becomes a short vector, as the sum of its words' vectors.
+TF-IDF passages of all documents and benchmark items, by two distributed passes
+over sparse rows with sums of fixed size. With these, every window of every
+document becomes a short vector, as the sum of its words' vectors.
 
 Each item is compared, by cosine, with all windows of about its own length; the
 items are a given query set that goes to every task in blocks of one length. A
@@ -28,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ EDGE = b".,;:!?\"'()[]"
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
 PART_WORDS = 8_192  # words looked at together, or two of the longest windows
 STEP = 6  # words that window lengths and starts are multiples of
-FIT_TASKS = 4  # tasks that add up the fit's sums, each of a fixed size
+FAN_IN = 32  # tasks whose sums of the fit are added up first
 BLOCK_ROWS = 1_024  # buckets of a partial sum in one row
 
 
@@ -158,19 +158,39 @@ def passages(words: np.ndarray, idf: np.ndarray, length: int) -> Iterator[tuple[
 
 
 def _sum_arrays(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums of float32 blocks by their number, added up by Spark."""
+    """Sums of float32 blocks by their number, added up by Spark in two rounds: those
+    of one ``part``, then those of all parts."""
     import pandas as pd
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(d, dtype=np.float32).astype(np.float64) for d in group["data"])
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "data": [total.tobytes()]})
+    def adder(kind):
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(d, dtype=kind).astype(np.float64) for d in group["data"])
+            row = {"part": group["part"].iloc[0], "block": group["block"].iloc[0]}
+            return pd.DataFrame({**row, "data": [total.tobytes()]})
 
-    rows = partial.groupBy("block").applyInPandas(add, "block int, data binary").collect()
+        return add
+
+    kinds = "part int, block int, data binary"
+    first = partial.groupBy("part", "block").applyInPandas(adder(np.float32), kinds)
+    rows = first.groupBy("block").applyInPandas(adder(np.float64), kinds).collect()
     return {r["block"]: np.frombuffer(r["data"], dtype=np.float64).reshape(-1, width) for r in rows}
 
 
+def _blocks_of(total: np.ndarray) -> pa.RecordBatch:
+    """A task's sum as rows of ``part, block, data``."""
+    starts = range(0, len(total), BLOCK_ROWS)
+    part = TaskContext.get().partitionId() // FAN_IN
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part] * len(starts), pa.int32()),
+         pa.array([b // BLOCK_ROWS for b in starts], pa.int32()),
+         pa.array([total[b : b + BLOCK_ROWS].astype(np.float32).tobytes() for b in starts],
+                  pa.binary())],
+        ["part", "block", "data"],
+    )
+
+
 def latent_space(
-    sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, length: int, seed: int
+    narrow: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, length: int, seed: int
 ) -> np.ndarray:
     """``buckets x rank``: leading right singular vectors of the passages' matrix A.
 
@@ -182,7 +202,7 @@ def latent_space(
     def random() -> np.ndarray:  # drawn again by every task, not sent
         return np.random.default_rng(seed).standard_normal((buckets, wide)).astype(np.float32)
 
-    shared = sample.sparkSession.sparkContext.broadcast
+    shared = narrow.sparkSession.sparkContext.broadcast
     idf_of = shared(idf)
 
     def rows_of(batches):
@@ -193,28 +213,21 @@ def latent_space(
                 memo.trim()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, basis = np.zeros((buckets, wide), dtype=np.float32), random()
+        total, basis = np.zeros((buckets, wide)), random()
         for at, row in rows_of(batches):
+            row = row.astype(np.float32)
             total[at] += np.outer(row, row @ basis[at])
-        blocks = range(0, buckets, BLOCK_ROWS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b // BLOCK_ROWS for b in blocks], pa.int32()),
-             pa.array([total[b : b + BLOCK_ROWS].tobytes() for b in blocks], pa.binary())],
-            ["block", "data"],
-        )
+        yield _blocks_of(total)
 
     def gram(basis):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((wide, wide), dtype=np.float32)
+            total, own_basis = np.zeros((wide, wide)), basis.value
             for at, row in rows_of(batches):
-                p = row @ basis.value[at]
+                p = row.astype(np.float32) @ own_basis[at]
                 total += np.outer(p, p)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())],
-                ["block", "data"],
-            )
+            yield _blocks_of(total)
 
-        return sample.select("text").mapInArrow(run, "block int, data binary")
+        return narrow.select("text").mapInArrow(run, "part int, block int, data binary")
 
     own = [r for words in items for r in passages(words, idf, max(length, len(words)))]
 
@@ -223,8 +236,10 @@ def latent_space(
             total[at] += weight * np.outer(row, row @ basis[at])
         return total
 
-    # the items weigh as much as the sampled passages, so their directions are kept
-    blocks = _sum_arrays(sample.select("text").mapInArrow(sketch, "block int, data binary"), wide)
+    # the items weigh as much as the documents' passages, so their directions are kept
+    blocks = _sum_arrays(
+        narrow.select("text").mapInArrow(sketch, "part int, block int, data binary"), wide
+    )
     y = np.concatenate([blocks[b] for b in sorted(blocks)]) if blocks else np.zeros((buckets, wide))
     alone = add_items(np.zeros((buckets, wide)), random().astype(np.float64), 1.0)
     weight = max(1.0, np.linalg.norm(y) / max(np.linalg.norm(alone), 1e-9))
@@ -360,7 +375,6 @@ def contaminated(
     rank: int = 128,
     buckets: int = 1 << 14,
     passage: int = 48,
-    fit_docs: int = 4_000,
     min_cosine: float = 0.45,
     min_common: float = 0.6,
     sure_common: float = 0.8,
@@ -378,12 +392,8 @@ def contaminated(
     items = [Item(i, terms(t), terms(answer_of(t))) for i, t in listed if t]
     total, counts = document_frequencies(narrow, buckets)
     idf = np.log((total + 1) / (counts + 1)) + 0.05
-    every = max(1, total // fit_docs)
-    sample = narrow.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(every)) == 0)
     memo = Buckets(buckets)
-    space = latent_space(
-        sample.select("text").repartition(FIT_TASKS), [memo.of(i.words) for i in items], idf, rank, passage, seed
-    )
+    space = latent_space(narrow, [memo.of(i.words) for i in items], idf, rank, passage, seed)
     shared = docs.sparkSession.sparkContext.broadcast(
         (items, (space * idf[:, None]).astype(np.float32))
     )

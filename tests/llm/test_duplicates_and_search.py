@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerloom.llm import simhash
+from ledgerloom.llm import latent, simhash
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.latent import answer_of, common_subsequence, contaminated
 from ledgerloom.llm.line_templates import line_report, parse_leaf, without_recurring_lines
@@ -221,3 +221,29 @@ def test_items_longer_than_a_portion(spark):
     )
     items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()} == {(1, 1), (2, 2)}
+
+
+def test_the_latent_space_is_of_all_documents(spark, monkeypatch):
+    """Every row reaches both passes of the fit, and the sums are those of all passages."""
+    texts = [f"text{i} of words{i % 7} about topic{i % 40} and more" for i in range(9_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    items = spark.createDataFrame([(1, "an item of its own words. answer: yes")],
+                                  "item_id long, text string")
+    seen = []
+
+    def sums(partial, width, before=latent._sum_arrays):
+        seen.append(before(partial, width))
+        return seen[-1]
+
+    monkeypatch.setattr(latent, "_sum_arrays", sums)
+    contaminated(docs, items, rank=8, buckets=256)
+    total, counts = latent.document_frequencies(docs, 256)
+    idf, memo = np.log((total + 1) / (counts + 1)) + 0.05, latent.Buckets(256)
+    basis = np.random.default_rng(7).standard_normal((256, 24)).astype(np.float32)
+    wanted = np.zeros((256, 24))
+    for text in texts:
+        for at, row in latent.passages(memo.of(latent.raw_words(text)), idf, 48):
+            wanted[at] += np.outer(row, row @ basis[at])
+    got = np.concatenate([seen[0][b] for b in sorted(seen[0])])
+    assert np.allclose(got, wanted, rtol=1e-4, atol=1e-3)
+    assert len(seen) == 2
