@@ -247,3 +247,26 @@ def test_the_latent_space_is_of_all_documents(spark, monkeypatch):
     got = np.concatenate([seen[0][b] for b in sorted(seen[0])])
     assert np.allclose(got, wanted, rtol=1e-4, atol=1e-3)
     assert len(seen) == 2
+
+
+@pytest.mark.parametrize("share", [0.6, 0.7, 0.8])
+def test_no_paraphrase_is_lost_to_the_cosine(spark, sf, documents, share):
+    """All that a comparison with every window finds, the words kept lying far apart."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rng, texts = random.Random(11), [r.text for r in documents.limit(60).collect()]
+    pool = [w for t in texts for w in t.split()]
+    rows = []
+    for item in items.collect():
+        words = item.text.split()
+        for far in (0.0, 0.4, 0.55, 0.6):
+            kept = set(rng.sample(range(len(words)), -int(-share * len(words) // 1)))
+            out = rng.sample(pool, 20)
+            for i, w in enumerate(words):
+                out += [w] * (i in kept)
+                while rng.random() < far:
+                    out.append(rng.choice(pool))
+            rows.append((len(rows), " ".join(out + rng.sample(pool, 20))))
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in contaminated(planted, items, min_cosine=-2.0).collect()}
+    assert len(whole) > 0.5 * len(rows)
+    assert {(r.doc_id, r.item_id) for r in contaminated(planted, items).collect()} == whole
