@@ -144,6 +144,18 @@ def test_recurring_lines(spark):
     assert all(deeper[i] == [1] for i in range(4))
 
 
+def test_short_digit_and_long_lines_recur(spark):
+    """Lines without a template recur as they stand, long ones from two texts on."""
+    long = " ".join(f"word{'abcdefghij'[i % 10]}{'xyzuvw'[i % 6]}" for i in range(60))
+    own = ("ann went", "bob stayed", "eve slept", "dan ate")
+    rows = [(i, f"Les.\n{w} for a while\n2020 31\n{i}{i} 7\n\n{w}") for i, w in enumerate(own)]
+    rows += [(10 + i, f"{w} twice\n{long}\nonly {'ab'[i]} two") for i, w in enumerate(own[:2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = {r.doc_id: r.dropped_lines for r in line_report(df).collect()}
+    assert all(dropped[i] == [0, 2] for i in range(4))
+    assert all(dropped[i] == [1] for i in (10, 11))
+
+
 def test_lines_of_odd_rows(odd, none):
     report = line_report(odd).collect()
     assert len(report) == len(ROWS)
