@@ -85,10 +85,17 @@ def row_id(df: DataFrame, order: Sequence[str], name: str = "row_number") -> Dat
     before it. The sorted rows are checkpointed between the two uses, because
     range bounds are sampled anew on every run. Only one count per partition is
     ever gathered.
+
+    Rows with equal ``order`` values are ranged by a hash of the whole row and, where
+    that is equal as well, by the task they come from: a value that a third of all
+    rows share, or all of them, is spread over tasks like any other range.
     """
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    ties = [F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.spark_partition_id()]
+    tied = df.withColumns({"_tie": ties[0], "_from": ties[1]})
     placed = cut_lineage(
-        df.repartitionByRange(*[F.col(c) for c in order])
-        .sortWithinPartitions(*order)
+        tied.repartitionByRange(*[F.col(c) for c in order], "_tie", "_from")
+        .sortWithinPartitions(*order, "_tie", "_from")
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )

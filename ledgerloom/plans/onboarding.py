@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,12 @@ from ledgerloom.functions.predicates import (
 from ledgerloom.functions.text import base_schema, standard_base, type_message
 from ledgerloom.operators.aggregates import any_populated, has_tables, size_by
 from ledgerloom.operators.joins import flag_exists
-from ledgerloom.operators.sets import stack_results
 from ledgerloom.operators.windows import keep_false_or_first
-from ledgerloom.sources.catalog import TABLE_ROWS, inventory, quoted
+from ledgerloom.sources.catalog import inventory, quoted
 from ledgerloom.sources.frames import rows_to_df
 
 CODES = ("835", "837")
+PROBED_ROWS = "schema_name string, table_name string, populated boolean"
 
 # Result texts of the status table.
 NO_STANDARDIZED = "No Standardized schemas exist"
@@ -56,26 +57,29 @@ def ingested_types(tables: DataFrame, codes: Sequence[str] = CODES) -> DataFrame
 
 
 def probe_tables(
-    spark: SparkSession, names: Sequence[tuple[str, str]], catalog: str, col: str = "account_number"
+    spark: SparkSession,
+    names: Sequence[tuple[str, str]],
+    catalog: str,
+    col: str = "account_number",
+    parallelism: int = 16,
 ) -> DataFrame:
-    """``(schema_name, table_name, populated)`` for catalog tables, in one job.
+    """``(schema_name, table_name, populated)`` for catalog tables.
 
-    Each table gives at most one populated row, and every task of its scan stops
-    at the first it meets. A table without the column is not populated.
+    A probe is a plan over one table, whatever their number, and stops early: it looks
+    at one partition, then at four times as many, until it meets a populated row. So
+    ``parallelism`` probes run at a time. What comes back is one flag a table. A table
+    without the column is not populated.
     """
-    rows = rows_to_df(spark, names, TABLE_ROWS)
-    hits = []
-    for schema, name in names:
-        table = spark.table(quoted(catalog, schema, name))
-        if col in table.columns:
-            hits.append(
-                table.where(is_populated(F.col(col)))
-                .select(F.lit(schema).alias("schema_name"), F.lit(name).alias("table_name"))
-                .limit(1)
-            )
-    if not hits:
-        return rows.withColumn("populated", F.lit(False))
-    return flag_exists(rows, stack_results(hits), ["schema_name", "table_name"], "populated")
+
+    def probed(pair: tuple[str, str]) -> tuple[str, str, bool]:
+        table = spark.table(quoted(catalog, *pair))
+        if col not in table.columns:
+            return (*pair, False)
+        return (*pair, not table.where(is_populated(F.col(col))).select(col).isEmpty())
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(probed, dict.fromkeys(map(tuple, names))))
+    return rows_to_df(spark, found, PROBED_ROWS)
 
 
 def account_link(
@@ -223,8 +227,8 @@ def catalog_status(
     col: str = "account_number",
     **options: object,
 ) -> DataFrame:
-    """:func:`status` of a live catalog: one metadata listing, one job over the
-    crosswalk tables. Only names from the listing reach the driver.
+    """:func:`status` of a live catalog: one metadata listing, a probe of each
+    crosswalk table. Only names from the listing reach the driver.
 
     What a schema that could not be listed holds is unknown, so a partner with
     such a schema has ``Unknown`` wherever its lines would not be ``True``.

@@ -6,6 +6,7 @@ driver ever holds here; table data is never collected.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.sets import union_sources
 from ledgerloom.sources.frames import rows_to_df
 
 SCHEMA_ROWS = T.StructType([T.StructField("schema_name", T.StringType())])
@@ -47,6 +49,24 @@ def layer_table(
     )
 
 
+def layer_tables(
+    spark: SparkSession,
+    catalog: str,
+    schema_pattern: str,
+    table_pattern: str,
+    choices: Sequence[Mapping[str, str]],
+    source: str = "source_table",
+) -> DataFrame:
+    """Scan several tables of one layer as one, for each of ``choices`` the parameters
+    of the patterns; see :func:`ledgerloom.operators.sets.union_sources`. The source
+    is the table's schema and name with a dot between."""
+    tables = {}
+    for params in choices:
+        schema, name = schema_pattern.format(**params), table_pattern.format(**params)
+        tables[f"{schema}.{name}"] = spark.table(quoted(catalog, schema, name))
+    return union_sources(tables, source)
+
+
 def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
 

@@ -161,3 +161,32 @@ def test_stacking(spark):
     b = spark.createDataFrame([(1.0, "x")], "total double, bin string")
     assert rows(sets.stack([(a, "category"), (b, "bin")], "label", ["total"])) == [("x", 1.0)] * 2
     assert sets.stack_results([a, a, a]).count() == 3
+
+
+def test_row_numbers_of_one_value_spread_over_tasks(spark, request):
+    """A column of a single value is dealt out evenly, its numbers are a permutation."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    same = spark.range(0, 4_000, 1, 8).select(F.lit(7).alias("v"), F.col("id"))
+    numbered = windows.row_id(same, ["v"])
+    sizes = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2 * 4_000 / len(sizes)
+    numbers = sorted(r.row_number for r in numbered.collect())
+    assert numbers == list(range(1, 4_001))
+    # rows that are equal in every column as well
+    alone = windows.row_id(same.select("v"), ["v"])
+    sizes = [r["count"] for r in alone.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and sorted(r.row_number for r in alone.collect()) == list(range(1, 4_001))
+    ordered = windows.row_id(spark.range(100).select((F.col("id") % 7).alias("v"), "id"), ["v"])
+    values = [r.v for r in ordered.orderBy("row_number").collect()]
+    assert values == sorted(values)
+
+
+def test_union_of_sources(spark):
+    a, b = spark.range(2).withColumn("x", F.lit("p")), spark.range(3).withColumn("y", F.lit(1))
+    both = sets.union_sources({"a": a, "b": b})
+    assert sorted(map(tuple, both.where("source_table = 'b'").collect())) == [
+        (i, None, "b", 1) for i in range(3)
+    ]
+    assert both.count() == 5
+    assert sets.union_sources({"a": a}, "from").columns == ["id", "x", "from"]

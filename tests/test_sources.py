@@ -123,3 +123,64 @@ def test_survey_from_csv_to_model_input(spark, tmp_path):
     d = design(rows, "Prefers", ["Age", "Gender"])
     assert d.names == ["Age", "Gender_M"] and d.frame.count() == 12
     assert rows.select("row_id").distinct().count() == 14
+
+
+def test_rows_with_other_numbers_of_fields(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text('name,amount,note\na,1.50,x\nb,2.00\nc,3.00,y,extra,more\n"d, e",bad,\n,,\n')
+    path, types = str(path), {"amount": "decimal(18,2)"}
+    read = files.read_csv(spark, path, types).collect()
+    assert [(r.name, r.note) for r in read] == [
+        ("a", "x"), ("b", None), ("c", "y"), ("d, e", None), (None, None),
+    ]
+    odd = {(r.record, r.reason) for r in files.corrupt_rows(spark, path, types).collect()}
+    assert {("b,2.00", "fields"), ("c,3.00,y,extra,more", "fields")} <= odd
+    assert {reason for _, reason in odd} == {"fields", "amount"} and len(odd) == 3
+    with pytest.raises(Exception, match="not as many fields"):
+        files.read_csv(spark, path, {}, strict=True).collect()
+    with pytest.raises(Exception, match="not as many fields"):
+        files.read_csv(spark, path, {}, strict=True).select("name").collect()
+    good = tmp_path / "good.csv"
+    good.write_text("name ,amount\na,1\nb,\n")
+    assert files.read_csv(spark, str(good), types, trim_names=True, strict=True).count() == 2
+    assert files.corrupt_rows(spark, str(good), types, trim_names=True).count() == 0
+
+
+def test_several_tables_of_a_layer(spark, lake):
+    choices = [{"partner": "tp1", "feed": f} for f in ("835__b", "837_", "835_")]
+    both = catalog.layer_tables(
+        spark, lake, "{partner}__claims__standardized", "{feed}_crosswalk", choices
+    )
+    assert both.columns == ["account_number", "source_table", "other"]
+    rows = {(r.source_table, r.account_number) for r in both.collect()}
+    first = "tp1__claims__standardized.835__crosswalk"
+    assert (first, "A1") in rows and len(rows) == 5
+    # a filter on the source leaves the other tables unread
+    plan = both.where(both.source_table == first)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+    with pytest.raises(ValueError):
+        catalog.layer_tables(spark, lake, "{p}", "{t}", [])
+    with pytest.raises(ValueError):
+        catalog.layer_tables(
+            spark, lake, "{partner}__claims__standardized", "{feed}_crosswalk", choices, "account_number"
+        )
+
+
+def test_probes_are_plans_of_one_table(spark, monkeypatch):
+    """Two thousand names: no plan holds more than one of them, same rows."""
+    from ledgerloom.plans import onboarding
+
+    seen = []
+
+    class Tables:
+        def table(self, name):
+            seen.append(name)
+            return spark.createDataFrame([("A1" if name.endswith("7`") else " ",)], "account_number string")
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    names = [("s", f"t{i}") for i in range(60)] * 2
+    found = onboarding.probe_tables(Tables(), names, "c").collect()
+    assert len(seen) == 60 and len(found) == 60
+    assert {r.table_name for r in found if r.populated} == {f"t{i}" for i in range(7, 60, 10)}
