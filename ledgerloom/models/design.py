@@ -55,6 +55,30 @@ class Design:
     def encode(self, df: DataFrame) -> DataFrame:
         return self.encoder.transform(df)
 
+    @property
+    def dense(self) -> list[int]:
+        """The slots of terms that are no factors."""
+        return [s for t, slots in self.terms.items() if t not in self.levels for s in slots]
+
+    def rows(self, df: DataFrame | None = None, *keep: str | Column) -> DataFrame:
+        """``x`` (the numbers, in the order of ``dense``), ``slots`` (of each factor the
+        slot that is set, if any), ``y`` and any further columns to keep. A factor
+        costs a row one whole number, however many levels it has."""
+        coded = self.frame if df is None else self.encode(df)
+        numbers = [F.col(f"`{t}`").cast("double") for t in self.terms if t not in self.levels]
+        set_slots = []
+        for term in self.levels:
+            own, index = self.terms[term], F.col(f"`{term}_index`").cast("int")
+            if own:
+                set_slots.append(F.when(index < len(own), index + own[0]))
+        empty = F.array().cast("array<int>")
+        return coded.select(
+            (F.array(*numbers) if numbers else F.array().cast("array<double>")).alias("x"),
+            (F.array_compact(F.array(*set_slots)) if set_slots else empty).alias("slots"),
+            F.col(self.label).cast("double").alias("y"),
+            *keep,
+        )
+
     def matrix(self, df: DataFrame | None = None, *keep: str) -> DataFrame:
         """``x`` (array of slots), ``y`` and any further columns to keep."""
         rows = self.frame if df is None else self.encode(df)

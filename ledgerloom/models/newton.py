@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.models.design import Design
-from ledgerloom.models.passes import RowBlocks
+from ledgerloom.models.passes import RowBlocks, packed, triangle, unpacked
 from ledgerloom.sources.frames import rows_to_df
 from ledgerloom.storage import held
 
 INTERCEPT = "(Intercept)"
+# sums of candidates that are taken in one pass; more of them take several
+PASS_BYTES = 32 << 20
 WALD_ROWS = "term string, estimate double, std_error double, z_value double, p_value double"
 
 
@@ -61,9 +63,10 @@ class Fit:
 
 def fit_matrix(d: Design, intercept: bool | None = None) -> Fit:
     """One fit on all columns of a design, as they are."""
-    with held(d.matrix().withColumn("fold", F.lit(0))) as matrix:
+    with held(d.rows().withColumn("fold", F.lit(0))) as matrix:
         free = d.intercept if intercept is None else intercept
-        return fit_many(RowBlocks(matrix), d, [tuple(d.terms)], intercept=free)[0]
+        blocks = RowBlocks(matrix, len(d.names), d.dense)
+        return fit_many(blocks, d, [tuple(d.terms)], intercept=free)[0]
 
 
 def fit_many(
@@ -75,7 +78,8 @@ def fit_many(
     tol: float = 1e-8,
     max_passes: int = 50,
 ) -> list[Fit]:
-    """Fits of several term sets over the same rows, started from ``warm``."""
+    """Fits of several term sets over the same rows, started from ``warm``. Candidates
+    go through the rows together, as many as ``PASS_BYTES`` of sums allow."""
     import numpy as np
 
     width = len(d.names)
@@ -137,45 +141,71 @@ def _units(information):
     return np.where(diagonal > 0, diagonal, 1.0)
 
 
+def batches_of(sizes: Sequence[int], most: int) -> list[range]:
+    """Neighbours that together have at most ``most`` numbers, or one that has more."""
+    out, first, total = [], 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and total + size > most:
+            out.append(range(first, k))
+            first, total = k, 0
+        total += size
+    return [*out, range(first, len(sizes))] if sizes else []
+
+
 def _newton_sums(blocks: RowBlocks, slots, betas, shift):
     """Per candidate: deviance, rows, gradient and information matrix."""
+    sizes = [2 + len(ss) + triangle(len(ss)) for ss in slots]
+    out = []
+    for some in batches_of(sizes, PASS_BYTES // 8):
+        out += _sums_of(blocks, [slots[k] for k in some], [betas[k] for k in some], shift)
+    return out
+
+
+def _sums_of(blocks: RowBlocks, slots, betas, shift):
+    """One pass; information matrices travel as their upper triangles."""
     import numpy as np
 
-    coef = np.zeros((len(shift) + 1, len(slots)))  # row 0 is the intercept
+    coef, constant = np.zeros((len(shift), len(slots))), np.zeros(len(slots))
+    picks, free = [], []
     for k, (ss, b) in enumerate(zip(slots, betas)):
-        coef[[s + 1 for s in ss], k] = b
-    picks = [[s + 1 for s in ss] for ss in slots]
-    offsets = np.cumsum([0] + [2 + len(p) + len(p) ** 2 for p in picks]).tolist()
+        free.append(1 if ss and ss[0] < 0 else 0)  # the intercept, if there is one
+        constant[k] = b[0] if free[k] else 0.0
+        picks.append(ss[free[k] :])
+        coef[picks[k], k] = b[free[k] :]
+    widths = [len(p) + f for p, f in zip(picks, free)]
+    offsets = np.cumsum([0] + [2 + w + triangle(w) for w in widths]).tolist()
 
     def block(x, y, fold):
         import numpy as np
 
-        full = np.column_stack([np.ones(len(y)), x - shift])
-        eta = full @ coef
+        x = x.less(shift)
+        eta = x.times(coef) + constant
         mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
         # log(1 + exp(eta)) - y * eta, without overflow
         loss = np.logaddexp(0, eta) - y[:, None] * eta
         out = np.empty(offsets[-1])
         for k, pick in enumerate(picks):
-            sub = full[:, pick]
-            at, p = offsets[k], len(pick)
+            sub, p, at = x.pick(pick), widths[k], offsets[k]
             w = mu[:, k] * (1 - mu[:, k])
+            sums = sub.sums(np.column_stack([y - mu[:, k], w]))
+            information = np.empty((p, p))
+            information[free[k] :, free[k] :] = sub.cross(w)
+            if free[k]:
+                information[0] = information[:, 0] = np.append(w.sum(), sums[:, 1])
             out[at] = 2 * loss[:, k].sum()
             out[at + 1] = len(y)
-            out[at + 2 : at + 2 + p] = sub.T @ (y - mu[:, k])
-            out[at + 2 + p : offsets[k + 1]] = (sub.T @ (sub * w[:, None])).ravel()
+            head = [(y - mu[:, k]).sum()] * free[k]
+            out[at + 2 : at + 2 + p] = np.append(head, sums[:, 0])
+            out[at + 2 + p : offsets[k + 1]] = packed(information)
         return out
 
     total = blocks.sum(block, offsets[-1], len(slots))
-    results = []
-    for k, pick in enumerate(picks):
-        at, p = offsets[k], len(pick)
-        results.append(
-            (
-                float(total[at]),
-                int(round(total[at + 1])),
-                total[at + 2 : at + 2 + p],
-                total[at + 2 + p : offsets[k + 1]].reshape(p, p),
-            )
+    return [
+        (
+            float(total[at]),
+            int(round(total[at + 1])),
+            total[at + 2 : at + 2 + p],
+            unpacked(total[at + 2 + p : end], p),
         )
-    return results
+        for at, p, end in zip(offsets, widths, offsets[1:])
+    ]

@@ -9,11 +9,17 @@ Ridge, lasso and elastic net use groups of one column on standardized columns
 (population deviation); the group lasso uses wider groups on raw columns.
 
 The curvature of the log loss never exceeds a quarter, so ``X'X / 4n`` bounds it
-everywhere. That matrix comes from one pass; afterwards every iteration is one
-gradient pass for all penalties and fold sets together, followed by an
-accelerated proximal step on arrays as long as the column count. A path of 100
-penalties with 10 folds takes some tens of passes in all, where fitting each of
-its 1,100 models by itself would take that many each.
+everywhere. Those matrices, one for each training set, come from two passes (means,
+then products about them); afterwards every iteration is one gradient pass for all
+penalties and training sets together, followed by an accelerated proximal step on
+arrays as long as the column count. A path of 100 penalties with 10 folds takes some
+tens of passes in all, where fitting each of its 1,100 models by itself would take
+that many each.
+
+Within a proximal step a problem works on few slots: those that are not zero, and
+those that the strong rule keeps (gradient at least twice the penalty less the one
+before it on the path). The others stay at zero, every one of them is held against
+the optimality conditions afterwards, and those that fail take part in another go.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.models.design import Design
-from ledgerloom.models.passes import RowBlocks
+from ledgerloom.models.passes import RowBlocks, packed, triangle, unpacked
 from ledgerloom.models.split import fold_in
 from ledgerloom.operators.ordering import by_magnitude
 from ledgerloom.sources.frames import rows_to_df
@@ -34,6 +40,10 @@ from ledgerloom.storage import held
 
 TOL = 1e-7
 MAX_PASSES = 500
+# numbers of the matrices that a group of problems works on together
+TOGETHER = 4_000_000
+# slots that are stepped along before the others hear of it
+SLOTS = 8
 
 
 @dataclass(frozen=True)
@@ -163,8 +173,9 @@ def penalty_grid(
 ) -> list[float]:
     """The data-derived penalties of :func:`penalized_cv`, from one pass."""
     groups = [[i] for i in range(len(d.names))]
-    rows = d.matrix(None, id_col).select("x", "y", F.lit(0).alias("fold"))
-    heads = _Heads(*_moments(RowBlocks(rows), len(d.names), 1), 0, True)
+    rows = d.rows(None, id_col).withColumn("fold", F.lit(0))
+    blocks = RowBlocks(rows, len(d.names), d.dense)
+    heads = _Heads(*_moments(blocks, 1), 0, True)
     return lambda_grid(_largest(heads, groups, [1.0] * len(groups), alpha), n_lambda, ratio)
 
 
@@ -188,10 +199,10 @@ def _solve(
 
     fold = fold_in(id_col, folds, seed, fold_col) if folds else F.lit(0)
     keep = dict.fromkeys([id_col, *([fold_col] if fold_col else [])])
-    rows = d.matrix(None, *keep).select("x", "y", fold.alias("fold"))
+    rows = d.rows(None, *keep).select("x", "slots", "y", fold.alias("fold"))
     with held(rows, spread=True) as matrix:
-        blocks = RowBlocks(matrix)
-        heads = _Heads(*_moments(blocks, len(d.names), max(folds, 1)), folds, standardize)
+        blocks = RowBlocks(matrix, len(d.names), d.dense)
+        heads = _Heads(*_moments(blocks, max(folds, 1)), folds, standardize)
         grids = [
             sorted(lambdas, reverse=True)
             if lambdas is not None
@@ -200,115 +211,175 @@ def _solve(
         ]
         lam = np.concatenate(grids)
         part = np.repeat(alphas, [len(g) for g in grids])
-        raw, passes = _descend(blocks, heads, groups, weights, lam * part, lam * (1 - part), tol)
+        before = np.concatenate([[g[0], *g[:-1]] for g in grids])
+        raw, passes = _descend(
+            blocks, heads, groups, weights, lam * part, lam * (1 - part), before * part, tol
+        )
         cv = _held_out(blocks, heads, raw) if folds else None
     paths, at = [], 0
     for grid in grids:
         own = slice(at, at + len(grid))
-        paths.append(PenaltyPath(list(grid), d.names, raw[0, own], cv and cv[own], passes + 1))
+        paths.append(PenaltyPath(list(grid), d.names, raw[0, own], cv and cv[own], passes + 2))
         at += len(grid)
     return paths
 
 
-def _moments(blocks: RowBlocks, width: int, folds: int):
-    """Per fold: products of (1, x) with (1, x, y), x counted from a shift."""
+def _moments(blocks: RowBlocks, folds: int):
+    """Per fold: rows, rate of the outcome, means, and sums of products about the
+    means, of the columns with each other and with the outcome."""
     import numpy as np
 
-    shape = (folds, width + 1, width + 2)
-    shift = blocks.typical()
+    width, shift = blocks.width, blocks.typical()
 
-    def block(x, y, fold):
+    def first(x, y, fold):
         import numpy as np
 
-        left = np.column_stack([np.ones(len(y)), x - shift])
-        right = np.column_stack([left, y])
-        out = np.zeros(shape)
+        inside = (fold[:, None] == np.arange(folds)).astype(float)
+        sums = x.less(shift).sums(inside)
+        return np.concatenate([[inside.sum(0), inside.T @ y], sums]).ravel()
+
+    sums = blocks.sum(first, (width + 2) * folds, folds).reshape(width + 2, folds)
+    n, rows = sums[0], np.maximum(sums[0], 1)
+    rate, mean = sums[1] / rows, sums[2:].T / rows[:, None] + shift
+    # numbers are counted from their own fold's mean, slots of factors from zero
+    middle = np.zeros_like(mean)
+    middle[:, blocks.dense] = mean[:, blocks.dense]
+    size = width + triangle(width)
+
+    def second(x, y, fold):
+        import numpy as np
+
+        out = np.zeros((folds, size))
         for f in np.unique(fold):
             rows = fold == f
-            out[f] = left[rows].T @ right[rows]
+            own = x.where(rows).less(middle[f])
+            out[f, :width] = own.sums((y[rows] - rate[f])[:, None])[:, 0]
+            out[f, width:] = packed(own.cross())
         return out.ravel()
 
-    return blocks.sum(block, int(np.prod(shape))).reshape(shape), shift
+    found = blocks.sum(second, folds * size).reshape(folds, size)
+    off = mean - middle
+    cross = np.array([
+        unpacked(found[f, width:], width) - n[f] * np.outer(off[f], off[f]) for f in range(folds)
+    ])
+    return n, rate, mean, found[:, :width], cross
 
 
 class _Heads:
     """Training sets: all rows first, then the rows outside each fold. Holds
-    their sizes, column means and scales and curvature bounds."""
+    their sizes, column means and scales and one curvature bound for each.
+
+    A set's figures are added up from those of its folds, each about its own means:
+    nothing is taken off a sum, so a fold with very large values leaves the sets
+    without it as precise as they are."""
 
-    def __init__(self, moments, shift, folds: int, standardize: bool):
+    def __init__(self, n, rate, mean, with_y, cross, folds: int, standardize: bool):
         import numpy as np
 
-        everything = moments.sum(axis=0)
-        sets = [everything] + [everything - moments[f] for f in range(folds)]
-        m = np.array(sets)
-        self.out = np.array([-1, *range(folds)])
-        self.n = m[:, 0, 0]
-        self.held_n = np.array([moments[f][0, 0] for f in range(folds)])
-        off = m[:, 0, 1:-1] / self.n[:, None]
-        self.mean = off + shift
-        rate = m[:, 0, -1] / self.n
-        if not ((0 < rate) & (rate < 1)).all():
+        count = len(n)
+        sets = [np.ones(count, bool)] + [np.arange(count) != f for f in range(folds)]
+        self.out, self.bases = np.array([-1, *range(folds)]), {}
+        self.held_n = n[:folds]
+        self.n = np.array([n[s].sum() for s in sets])
+        if not self.n.all():
+            raise ValueError("no complete row to fit on")
+        self.mean = np.array([n[s] @ mean[s] / k for s, k in zip(sets, self.n)])
+        rates = np.array([n[s] @ rate[s] / k for s, k in zip(sets, self.n)])
+        if not ((0 < rates) & (rates < 1)).all():
             raise ValueError("both outcomes must occur in every training set")
-        self.start = np.log(rate / (1 - rate))
-        centred = m[:, 1:, 1:-1] / self.n[:, None, None] - (
-            off[:, :, None] * off[:, None, :]
-        )
-        deviation = np.sqrt(np.maximum(np.einsum("hjj->hj", centred), 0))
+        self.start = np.log(rates / (1 - rates))
+        self.bound = np.empty((len(sets), *cross.shape[1:]))
+        null = np.empty_like(self.mean)
+        for h, own in enumerate(sets):
+            off = mean[own] - self.mean[h]
+            self.bound[h] = (cross[own].sum(axis=0) + (off.T * n[own]) @ off) / self.n[h]
+            null[h] = with_y[own].sum(axis=0) + (off.T * n[own]) @ (rate[own] - rates[h])
+        deviation = np.sqrt(np.maximum(np.einsum("hjj->hj", self.bound), 0))
         # a column constant within the set has no coefficient
-        self.constant = deviation <= 1e-7 * np.abs(off)
+        self.constant = deviation <= 1e-12 * np.abs(self.mean)
         self.scale = np.where(standardize & ~self.constant, deviation, 1.0)
         self.unit = np.where(self.constant, 1.0, deviation) / self.scale
-        bound = centred / 4 / (self.scale[:, :, None] * self.scale[:, None, :])
-        keep = ~self.constant
-        self.bound = bound * (keep[:, :, None] & keep[:, None, :])
-        null = m[:, 1:, -1] / self.n[:, None] - off * rate[:, None]
-        self.null_gradient = np.where(keep, null / self.scale, 0.0)
-
-    def raw(self, b0, b):
-        """Coefficients for unscaled columns, intercept first: (head, penalty, slot)."""
+        factor = np.where(self.constant, 0.0, 0.5 / self.scale)
+        self.bound *= factor[:, :, None]
+        self.bound *= factor[:, None, :]
+        self.null_gradient = np.where(self.constant, 0.0, null / self.n[:, None] / self.scale)
+
+    def raw(self, b0, b, origin=0.0):
+        """Coefficients for unscaled columns counted from ``origin``, intercept first:
+        (head, penalty, slot)."""
         import numpy as np
 
         slopes = b / self.scale[:, None, :]
-        return np.concatenate(
-            [(b0 - (slopes * self.mean[:, None, :]).sum(-1))[..., None], slopes], axis=-1
-        )
+        middle = (self.mean - origin)[:, None, :]
+        return np.concatenate([(b0 - (slopes * middle).sum(-1))[..., None], slopes], axis=-1)
 
-    def gradient(self, sums, head):
-        """Gradients on centred, scaled columns from raw sums (slot, problem)."""
+    def gradient(self, sums, head, origin):
+        """Gradients on centred, scaled columns from sums (slot, problem) of columns
+        counted from ``origin``."""
         import numpy as np
 
         g0 = sums[0] / self.n[head]
-        slopes = sums[1:].T / self.n[head][:, None] - self.mean[head] * g0[:, None]
+        slopes = sums[1:].T / self.n[head][:, None] - (self.mean - origin)[head] * g0[:, None]
         return g0, np.where(self.constant[head], 0.0, slopes / self.scale[head])
 
+    def ridge_step(self, head, g, start, l2):
+        """The minima of bounded quadratics with squares alone as penalty: a linear
+        system each, solved for all penalties of a head in one basis."""
+        import numpy as np
+
+        out = np.empty_like(start)
+        for h in np.unique(head):
+            if h not in self.bases:
+                self.bases[h] = np.linalg.eigh(self.bound[h])
+            values, basis = self.bases[h]
+            values, own = np.maximum(values, 0.0), head == h
+            turned = values * (start[own] @ basis) - g[own] @ basis
+            out[own] = (turned / (values + l2[own, None])) @ basis.T
+        return np.where(self.constant[head], 0.0, out)
+
+    def bent(self, head, b):
+        """Each problem's curvature matrix times its row of ``b``."""
+        import numpy as np
+
+        out = np.empty_like(b)
+        for h in np.unique(head):
+            own = head == h
+            out[own] = b[own] @ self.bound[h]
+        return out
+
 
-def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, tol):
+def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, before, tol):
     """Accelerated proximal steps until every (head, penalty) has settled; ``l1``
-    and ``l2`` are the two parts of each penalty."""
+    and ``l2`` are the two parts of each penalty, ``before`` is the first part of the
+    next larger one on its path."""
     import numpy as np
 
     n_heads, width = heads.mean.shape
     n_lams = len(l1)
+    origin = np.zeros(width)
+    origin[blocks.dense] = heads.mean[0, blocks.dense]
     b = np.zeros((n_heads, n_lams, width))
     b0 = np.repeat(heads.start[:, None], n_lams, axis=1)
     z, z0 = b.copy(), b0.copy()
     t = np.ones((n_heads, n_lams))
     active = np.ones((n_heads, n_lams), dtype=bool)
     passes, inner = 0, 1e-3
+    top = _largest_curvature(heads.bound, groups)
     while active.any() and passes < MAX_PASSES:
         head, lam = np.nonzero(active)
-        sums = _gradient_sums(blocks, heads.raw(z0, z)[head, lam].T, heads.out[head])
+        coefs = heads.raw(z0, z, origin)[head, lam].T
+        sums = _gradient_sums(blocks, coefs, heads.out[head], origin)
         passes += 1
-        g0, g = heads.gradient(sums, head)
+        g0, g = heads.gradient(sums, head, origin)
         at, at0 = z[head, lam], z0[head, lam]
         new0 = at0 - 4 * g0
         new, solved = _proximal(
-            heads.bound[head], g, at, groups, weights, l1[lam], l2[lam], inner
+            heads, top, head, g, at, groups, weights, l1[lam], l2[lam], before[lam], inner
         )
 
         # momentum, dropped where it points uphill
         old, old0 = b[head, lam], b0[head, lam]
-        uphill = np.einsum("kj,kji,ki->k", at - new, heads.bound[head], new - old)
+        uphill = ((at - new) * heads.bent(head, new - old)).sum(axis=1)
         uphill += (at0 - new0) * (new0 - old0) / 4
         tk = np.where(uphill > 0, 1.0, t[head, lam])
         tn = (1 + np.sqrt(1 + 4 * tk**2)) / 2
@@ -329,61 +400,141 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, tol):
     return heads.raw(b0, b), passes
 
 
-def _proximal(bound, g, start, groups, weights, l1, l2, tol, sweeps=1_000):
-    """Minimize the bounded quadratic plus the penalty, one group at a time, for
-    all problems at once. Inside, slots come first and problems last; problems
-    leave the loop as they settle. Also says which ones did within ``sweeps``; the
-    others go on from where they are in the caller's next pass."""
+def _largest_curvature(bound, groups):
+    """By group and head: the largest eigenvalue of the group's own block."""
     import numpy as np
 
-    done = start.T.copy()
-    b, r = start.T.copy(), g.T.copy()
-    columns = np.ascontiguousarray(bound.transpose(2, 1, 0))  # (slot, slot, problem)
-    unit = np.sqrt(np.einsum("jjk->jk", columns))
-    top = []
-    for group in groups:
-        sub = bound[:, group][:, :, group]
-        largest = np.linalg.eigvalsh(sub)[:, -1] if len(group) > 1 else sub[:, 0, 0]
-        top.append(np.where(largest > 0, largest, 1.0))
-    curvature = np.array(top)
-    left = np.arange(len(l1))
-    solved = np.zeros(len(l1), dtype=bool)
+    out = np.empty((len(groups), len(bound)))
+    for i, group in enumerate(groups):
+        own = bound[:, group][:, :, group]
+        out[i] = np.linalg.eigvalsh(own)[:, -1] if len(group) > 1 else own[:, 0, 0]
+    return np.where(out > 0, out, 1.0)
+
+
+def _norms(r, groups):
+    """Of each group's rows of ``r`` (slot, problem)."""
+    import numpy as np
+
+    if all(len(g) == 1 for g in groups):
+        return np.abs(r[[g[0] for g in groups]])
+    return np.array([np.sqrt((r[g] ** 2).sum(axis=0)) for g in groups])
+
+
+def _proximal(heads: _Heads, top, head, g, start, groups, weights, l1, l2, before, tol, sweeps=1_000):
+    """Minimize the bounded quadratic plus the penalty for all problems. Problems
+    that together need matrices of ``TOGETHER`` numbers at most go through the sweeps
+    at once. Also says which ones settled within ``sweeps``; the others go on from
+    where they are in the caller's next pass."""
+    import numpy as np
+
+    weight = np.array(weights)[:, None]
+    done, solved = start.T.copy(), np.zeros(len(l1), dtype=bool)
+    # slots that are not zero, and those the strong rule keeps
+    works = (_norms(done, groups) > 0) | (_norms(g.T, groups) >= (2 * l1 - before) * weight)
+    # neighbours on a path have like sets of slots
+    order = np.lexsort((head, -l1))
+    smooth = (l1 == 0) & (l2 > 0)
+    if smooth.any():
+        done[:, smooth] = heads.ridge_step(head[smooth], g[smooth], start[smooth], l2[smooth]).T
+        solved |= smooth
+        order = order[~smooth[order]]
+    share = max(len(heads.n), TOGETHER // max(1, len(done)) ** 2)
+    for i in range(0, len(order), share):
+        left = order[i : i + share]
+        while len(left):
+            done[:, left], solved[left] = _sweeps(
+                heads, top, head[left], g[left].T, start[left].T, done[:, left], works[:, left],
+                groups, weights, l1[left], l2[left], tol, sweeps,
+            )
+            # every slot left out must be zero at the minimum as well
+            moved = heads.bent(head[left], (done[:, left] - start[left].T).T).T
+            size = _norms(g[left].T + moved, groups)
+            wrong = ~works[:, left] & (size > l1[left] * weight * (1 + 1e-12))
+            works[:, left] |= wrong
+            left = left[wrong.any(axis=0)]
+    return done.T, solved
+
+
+def _sweeps(heads, top, head, g, start, b, works, groups, weights, l1, l2, tol, sweeps):
+    """Coordinate descent, one group of slots at a time, for all problems at once, each
+    on the groups it ``works`` on. Slots come first and problems last; problems leave
+    the loop as they settle. Curvature matrices are shared, never copied by problem:
+    groups are taken ``SLOTS`` slots or so at a time, what their steps do to the other
+    slots is one matrix product for each training set."""
+    import numpy as np
+
+    used = np.flatnonzero(works.any(axis=1))
+    if not len(used):
+        return b, np.ones(len(l1), dtype=bool)
+    held = np.concatenate([groups[i] for i in used]).astype(int)
+    blocks, own, at = [], [], 0  # of each block its groups as (row of works, slots in the block)
+    first = 0
+    for k, i in enumerate(used):
+        own.append((k, list(range(at - first, at - first + len(groups[i])))))
+        at += len(groups[i])
+        if at - first >= SLOTS or k == len(used) - 1:
+            blocks.append((slice(first, at), own))
+            own, first = [], at
+    whole = len(held) == len(g) and (held == np.arange(len(g))).all()
+    bound = heads.bound if whole else heads.bound[:, held][:, :, held]
+    done, solved = b.copy(), np.zeros(len(l1), dtype=bool)
+    moved = heads.bent(head, (b - start).T).T
+    left = np.argsort(head, kind="stable")  # problems of one training set side by side
+    b, r = b[np.ix_(held, left)], (g + moved)[np.ix_(held, left)]
+    unit = np.sqrt(np.einsum("hjj->jh", bound))
+    curvature, works, weight = top[used], works[np.ix_(used, left)], np.array(weights)[used]
+    l1, l2, head = l1[left], l2[left], head[left]
+    parts = close = None
     for sweep in range(1, sweeps + 1):
+        if parts is None:  # problems are as they were after the last that left
+            sets, froms = np.unique(head, return_index=True)
+            parts = list(zip(sets, map(slice, froms, [*froms[1:], len(head)])))
+            close = [bound[:, s, s].transpose(1, 2, 0)[:, :, head] for s, _ in blocks]
+            units, bends = unit[:, head], curvature[:, head]
         change = np.zeros(len(left))
-        for i, (group, weight) in enumerate(zip(groups, weights)):
-            u = curvature[i] * b[group] - r[group]
-            size = np.abs(u[0]) if len(group) == 1 else np.sqrt((u**2).sum(axis=0))
-            keep = np.maximum(size - l1 * weight, 0.0) / np.where(size > 0, size, 1.0)
-            delta = u * (keep / (curvature[i] + l2)) - b[group]
-            b[group] += delta
-            for j, d in zip(group, delta):
-                r += columns[j] * d
-            np.maximum(change, np.abs(delta * unit[group]).max(axis=0), out=change)
+        for (span, members), near in zip(blocks, close):
+            local, steps = r[span].copy(), np.zeros((span.stop - span.start, len(left)))
+            for k, slots in members:
+                rows = slice(span.start + slots[0], span.start + slots[-1] + 1)
+                u = bends[k] * b[rows] - local[slots]
+                size = np.abs(u[0]) if len(slots) == 1 else np.sqrt((u**2).sum(axis=0))
+                keep = np.maximum(size - l1 * weight[k], 0.0) / np.where(size > 0, size, 1.0)
+                delta = (u * (keep / (bends[k] + l2)) - b[rows]) * works[k]
+                if not delta.any():
+                    continue
+                b[rows] += delta
+                steps[slots] = delta
+                for j, d in zip(slots, delta):
+                    local += near[j] * d
+                np.maximum(change, np.abs(delta * units[rows]).max(axis=0), out=change)
+            for h, part in parts:
+                r[:, part] += bound[h][:, span] @ steps[:, part]
         busy = change >= tol
         if sweep % 8 == 0 or not busy.any():
-            done[:, left] = b
+            done[np.ix_(held, left)] = b
             solved[left[~busy]] = True
             if not busy.any():
                 break
-            left, l1, l2 = left[busy], l1[busy], l2[busy]
-            b, r, unit, curvature = b[:, busy], r[:, busy], unit[:, busy], curvature[:, busy]
-            columns = columns[:, :, busy]
-    done[:, left] = b
-    return done.T, solved
+            if not busy.all():
+                left, l1, l2, head = left[busy], l1[busy], l2[busy], head[busy]
+                b, r, works, parts = b[:, busy], r[:, busy], works[:, busy], None
+    done[np.ix_(held, left)] = b
+    return done, solved
 
 
-def _gradient_sums(blocks: RowBlocks, coefs, out):
-    """Per problem: sum of (mu - y) * (1, x) over the rows outside its fold."""
+def _gradient_sums(blocks: RowBlocks, coefs, out, origin):
+    """Per problem: sum of (mu - y) * (1, x) over the rows outside its fold, x counted
+    from ``origin``."""
     shape = coefs.shape
 
     def block(x, y, fold):
         import numpy as np
 
-        full = np.column_stack([np.ones(len(y)), x])
+        x = x.less(origin)
         with np.errstate(over="ignore"):
-            residual = 1 / (1 + np.exp(-(full @ coefs))) - y[:, None]
+            residual = 1 / (1 + np.exp(-(x.times(coefs[1:]) + coefs[0]))) - y[:, None]
         residual[fold[:, None] == out[None, :]] = 0.0
-        return (full.T @ residual).ravel()
+        return np.concatenate([residual.sum(axis=0)[None], x.sums(residual)]).ravel()
 
     return blocks.sum(block, shape[0] * shape[1], shape[1]).reshape(shape)
 
@@ -398,11 +549,10 @@ def _held_out(blocks: RowBlocks, heads: _Heads, raw):
     def block(x, y, fold):
         import numpy as np
 
-        full = np.column_stack([np.ones(len(y)), x])
         loss = np.zeros((n_heads - 1, n_lams))
         for f in np.unique(fold):
             rows = fold == f
-            eta = full[rows] @ coefs[f].T
+            eta = x.where(rows).times(coefs[f][:, 1:].T) + coefs[f][:, 0]
             loss[f] = (np.logaddexp(0, eta) - y[rows, None] * eta).sum(axis=0)
         return loss.ravel()
 

@@ -52,31 +52,54 @@ def stepwise(
     ``forward`` starts from the intercept, ``backward`` and ``both`` from all
     terms unless ``start`` says ``null`` or ``full``. Ties go to the earlier term.
     """
-    if direction not in ("forward", "backward", "both"):
-        raise ValueError(f"unknown direction {direction!r}")
+    return stepwise_all(d, terms, [direction], start)[direction]
+
+
+def stepwise_all(
+    d: Design,
+    terms: Sequence[str] | None = None,
+    directions: Sequence[str] = ("forward", "backward", "both"),
+    start: str | None = None,
+) -> dict[str, Selection]:
+    """Selections in several directions over rows that are held once; a set of terms
+    that two of them come to is fitted once."""
+    for direction in directions:
+        if direction not in ("forward", "backward", "both"):
+            raise ValueError(f"unknown direction {direction!r}")
     terms = list(terms or d.terms)
+    with held(d.rows().withColumn("fold", F.lit(0))) as matrix:
+        blocks = RowBlocks(matrix, len(d.names), d.dense)
+        known: dict[tuple[str, ...], Fit] = {}
+
+        def fits_of(sets: Sequence[tuple[str, ...]], warm: Fit | None = None) -> list[Fit]:
+            new = [ts for ts in dict.fromkeys(sets) if ts not in known]
+            known.update(zip(new, fit_many(blocks, d, new, warm=warm) if new else []))
+            return [known[ts] for ts in sets]
+
+        return {
+            direction: _selected(d, terms, direction, start, fits_of) for direction in directions
+        }
+
+
+def _selected(d: Design, terms, direction: str, start: str | None, fits_of) -> Selection:
     start = start or ("null" if direction == "forward" else "full")
-    with held(d.matrix().withColumn("fold", F.lit(0))) as matrix:
-        blocks = RowBlocks(matrix)
-        chosen = [] if start == "null" else list(terms)
-        current = fit_many(blocks, d, [tuple(chosen)])[0]
-        path = [("start", "", current)]
-        while True:
-            moves = []
-            if direction != "backward":
-                moves += [("add", t) for t in terms if t not in current.terms]
-            if direction != "forward":
-                moves += [("drop", t) for t in terms if t in current.terms]
-            if not moves:
-                break
-            sets = [
-                tuple(t for t in terms if (t in current.terms) != (t == moved))
-                for _, moved in moves
-            ]
-            fits = fit_many(blocks, d, sets, warm=current)
-            best = min(range(len(moves)), key=lambda i: (fits[i].aic, i))
-            if fits[best].aic >= current.aic - 1e-9:
-                break
-            current = fits[best]
-            path.append((*moves[best], current))
+    current = fits_of([() if start == "null" else tuple(terms)])[0]
+    path = [("start", "", current)]
+    while True:
+        moves = []
+        if direction != "backward":
+            moves += [("add", t) for t in terms if t not in current.terms]
+        if direction != "forward":
+            moves += [("drop", t) for t in terms if t in current.terms]
+        if not moves:
+            break
+        sets = [
+            tuple(t for t in terms if (t in current.terms) != (t == moved)) for _, moved in moves
+        ]
+        fits = fits_of(sets, current)
+        best = min(range(len(moves)), key=lambda i: (fits[i].aic, i))
+        if fits[best].aic >= current.aic - 1e-9:
+            break
+        current = fits[best]
+        path.append((*moves[best], current))
     return Selection(current, path, d.names)
