@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from pathlib import Path
+from zlib import crc32
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from fixtures import fixture  # noqa: E402
 from ledgerloom.functions.labels import as_indicators  # noqa: E402
-from ledgerloom.models import evaluation, glm, scoring  # noqa: E402
+from ledgerloom.models import evaluation, glm, scoring, stored  # noqa: E402
 from ledgerloom.models.design import assemble, design  # noqa: E402
 from ledgerloom.models.group_lasso import group_lasso_cv, selected_groups  # noqa: E402
 from ledgerloom.models.newton import fit_matrix  # noqa: E402
+from ledgerloom.models.passes import RowBlocks, column_sums  # noqa: E402
 from ledgerloom.models.penalized import (  # noqa: E402
     coef_path,
     nonzero,
@@ -30,17 +32,20 @@ from ledgerloom.models.penalized import (  # noqa: E402
     split_by_size,
 )
 from ledgerloom.models.split import train_test  # noqa: E402
-from ledgerloom.models.stepwise import stepwise  # noqa: E402
+from ledgerloom.models.stepwise import stepwise, stepwise_all  # noqa: E402
 from ledgerloom.models.tree import tree_cv  # noqa: E402
 from ledgerloom.operators.aggregates import mean_sd, percent_where  # noqa: E402
-from ledgerloom.operators.columns import column_fill, drop_matching, fill  # noqa: E402
+from ledgerloom.operators.columns import column_fill, drop_all_null, drop_matching, fill  # noqa: E402
 from ledgerloom.operators.filters import where_abs_over  # noqa: E402
+from ledgerloom.operators.joins import exclude_keys  # noqa: E402
 from ledgerloom.operators.ordering import first_rows  # noqa: E402
+from ledgerloom.operators.sets import stack_results, union_sources  # noqa: E402
 from ledgerloom.operators.windows import row_id  # noqa: E402
 from ledgerloom.sources.frames import rows_to_df  # noqa: E402
 from ledgerloom.plans import contributions as contrib  # noqa: E402
 from ledgerloom.plans import onboarding, reconciliation as recon  # noqa: E402
 from ledgerloom.plans import survey as surveys  # noqa: E402
+from ledgerloom.storage import shared_folder  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -199,6 +204,28 @@ def _coverage(spark, sf, grain):
     return _rounded(result, 6, *[f"{k}_coverage" for k in LAYERS])
 
 
+def layer_list_by_year(spark, sf):
+    """A layer that is stored as two tables of different columns: files by year in
+    both, and in one of them alone."""
+    layer, name = fixture(spark, sf, "layer_ingested"), F.col("meta_lineage_source_name")
+    both = union_sources(
+        {
+            "packed": layer.where(name.endswith(".bz2")).withColumn("packer", F.lit("bzip2")),
+            "plain": layer.where(~name.endswith(".bz2")),
+        }
+    )
+    parts = {"all": both, "packed": both.where("source_table = 'packed'")}
+    return stack_results(
+        [
+            recon.layer_files_by_period(
+                fixture(spark, sf, "acquisition"), rows, "year", "meta_lineage_source_name",
+                partner="TP_A", feed="835",
+            ).select(F.lit(label).alias("tables"), "period", "unique_file_paths")
+            for label, rows in parts.items()
+        ]
+    )
+
+
 # --- (b) onboarding ---------------------------------------------------------
 
 
@@ -240,6 +267,15 @@ def shared_not_linked(spark, sf):
     return onboarding.shared_not_linked(_status(spark, sf))
 
 
+def shared_not_linked_pairs(spark, sf):
+    """Shared lines less those whose partner and type are linked on any line."""
+    lines = _status(spark, sf)
+    linked = lines.where("account_linking_completed = 'True'")
+    pair = ["trading_partner_id", "table_type_ingested"]
+    shared = lines.where("shared_completed = 'True'").select(*pair, "shared_completed")
+    return exclude_keys(shared, linked, pair)
+
+
 def linked_by_type(spark, sf):
     return onboarding.stage_counts(
         _status(spark, sf), "account_linking_completed", "True", "total_linked"
@@ -262,6 +298,11 @@ def contrib_org_columns(spark, sf):
     return column_fill(contrib.organizations(_cohort(spark, sf, "A")))
 
 
+def contrib_org_rows(spark, sf):
+    """Rows of organizations, without the columns that hold no value among them."""
+    return _doubles(drop_all_null(contrib.organizations(_cohort(spark, sf, "A"))), "amount")
+
+
 def contrib_org_totals(spark, sf):
     return _doubles(contrib.org_totals(_cohort(spark, sf, "A")), "total_amount")
 
@@ -575,6 +616,54 @@ def lasso_penalty_grid(spark, sf):
     return _rounded(rows, 6, "lambda")
 
 
+def _cv_two(alpha: float, lambdas: list[float]) -> Query:
+    """Cross-validated deviance with folds given by a column."""
+
+    def run(spark, sf):
+        df = _survey(spark, sf).withColumn("third", (F.col("row_id") % 3).cast("int"))
+        d = design(df, "preference", TWO, intercept=False)
+        path = penalized_cv(
+            d, "row_id", alpha, folds=3, lambdas=lambdas, tol=1e-9, fold_col="third"
+        )
+        return _rounded(path.cv_table(spark), 4, "deviance", "std_error")
+
+    return run
+
+
+def group_lasso_cv_two(spark, sf):
+    df = _survey(spark, sf).withColumn("third", (F.col("row_id") % 3).cast("int"))
+    path = group_lasso_cv(
+        assemble(df, "preference", TWO), "row_id", {"both": TWO}, folds=3, lambdas=[0.05, 0.01],
+        tol=1e-9, fold_col="third",
+    )
+    return _rounded(path.cv_table(spark), 4, "deviance", "std_error")
+
+
+def coef_sizes_two(spark, sf):
+    d = design(_survey(spark, sf), "preference", TWO, intercept=False)
+    path = coef_path(d, "row_id", 0.0, [0.1], tol=1e-9).path(spark).select("term", "coefficient")
+    return _rounded(split_by_size(path, 0.1), 4, "coefficient")
+
+
+def factor_design_sums(spark, sf):
+    """Column sums of the coded survey, with an intercept and without."""
+    parts = []
+    for coding, intercept in (("intercept", True), ("no intercept", False)):
+        d = _full_design(spark, sf, intercept)
+        rows = d.rows().select("x", "slots", "y", F.lit(0).alias("fold"))
+        blocks = RowBlocks(rows, len(d.names), d.dense)
+        totals = blocks.sum(column_sums, len(d.names)).tolist()
+        parts += [(coding, name, total) for name, total in zip(d.names, totals)]
+    return _rounded(rows_to_df(spark, parts, "coding string, slot string, total double"), 4, "total")
+
+
+def tree_stump_two(spark, sf):
+    df = _survey(spark, sf).withColumn("third", (F.col("row_id") % 3).cast("int"))
+    d = design(df, "preference", ["job_satisfaction", "tech_tools"])
+    fit = tree_cv(d, "row_id", folds=3, depths=(1,), gains=(0.0,), fold_col="third")
+    return _rounded(fit.results(spark), 6, "accuracy")
+
+
 def _group_lasso(spark, sf):
     cols = [c for group in GROUPS.values() for c in group]
     return group_lasso_cv(assemble(_survey(spark, sf), "preference", cols), "row_id", GROUPS)
@@ -589,44 +678,77 @@ def group_lasso_selected(spark, sf):
     return selected_groups(spark, path, GROUPS, path.best)
 
 
-def fitted_model_metrics(spark, sf):
-    """Nine fitted models on held-out rows: mean probability and metrics."""
-    train, test = train_test(_survey(spark, sf), "row_id", 0.2, seed=100)
+def _fitted_models(spark, sf) -> DataFrame:
+    """The stored table of nine models fitted on the training rows."""
+    train, _ = train_test(_survey(spark, sf), "row_id", 0.2, seed=100)
     d = design(train, "preference", TERMS)
     bare = design(train, "preference", TERMS, intercept=False)
     cols = [c for group in GROUPS.values() for c in group]
     grouped = assemble(train, "preference", cols)
 
     full = glm.fit_logistic(d).coefficients(spark)
-    logistic = {"full_logistic": {r.term: r.estimate for r in full.collect()}}
-    tree = {"decision_tree": tree_cv(d, "row_id").model.bestModel}
-    steps = {
-        f"stepwise_{way}": stepwise(d, direction=way).fit.named(d.names)
-        for way in ("forward", "backward", "both")
-    }
+    coefs = {"full_logistic": (d, {r.term: r.estimate for r in full.collect()})}
+    for way, chosen in stepwise_all(d).items():
+        coefs[f"stepwise_{way}"] = (d, chosen.fit.named(d.names))
     kinds = {0.0: "ridge", 1.0: "lasso", 0.5: "elastic_net"}
-    paths = {
-        kinds[alpha]: path.terms_at(path.best)
-        for alpha, path in penalized_cvs(bare, "row_id", list(kinds)).items()
-    }
+    for alpha, path in penalized_cvs(bare, "row_id", list(kinds)).items():
+        coefs[kinds[alpha]] = (bare, path.terms_at(path.best))
     group_path = group_lasso_cv(grouped, "row_id", GROUPS)
-    group = {"group_lasso": group_path.terms_at(group_path.best)}
-    # one scan of the test rows: only the tree needs coded features
-    scores = scoring.score_fitted(test, d, tree, *test.columns).select(
-        "row_id",
-        "y",
-        *tree,
-        *scoring.score_columns(d, logistic | steps),
-        *scoring.score_columns(bare, paths),
-        *scoring.score_columns(grouped, group),
-    )
-    names = [*tree, *logistic, *steps, *paths, *group]
+    coefs["group_lasso"] = (grouped, group_path.terms_at(group_path.best))
+    rows = stored.tree_rows("decision_tree", d, tree_cv(d, "row_id").nodes)
+    for model, (own, terms) in coefs.items():
+        rows += stored.coefficient_rows(model, own, terms)
+    return stored.model_table(spark, rows)
+
+
+def stored_models(spark, sf) -> DataFrame:
+    """The models as they were written: fitted once in a session for a folder of
+    tables, read back by whoever scores with them."""
+    made_by = f"{spark.sparkContext.applicationId}-{crc32(sf.encode()):08x}"
+    path = f"{shared_folder(spark)}/models-{made_by}"
+    known = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not known.getFileSystem(spark._jsc.hadoopConfiguration()).exists(known):
+        _fitted_models(spark, sf).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _fitted_scores(spark, sf) -> tuple[DataFrame, list[str]]:
+    """Probabilities of the held-out rows that all stored models can score."""
+    train, test = train_test(_survey(spark, sf), "row_id", 0.2, seed=100)
+    table = stored_models(spark, sf)
+    names = list(stored.stored_columns(table))
+    factors = [c for c, kind in test.dtypes if c in TERMS and kind == "string"]
+    seen = {f: train.select(f).distinct() for f in factors}
+    for factor, levels in seen.items():
+        test = test.join(levels, factor, "left_semi")
+    known = stored.known_rows(test, table, {})
+    y = F.col("preference").cast("double").alias("y")
+    return stored.score_stored(known.withColumn("y", y), table, "row_id", "y"), names
+
+
+def fitted_model_metrics(spark, sf):
+    """Nine fitted models on held-out rows: mean probability and metrics."""
+    scores, names = _fitted_scores(spark, sf)
     classes = scoring.classify_models(scores, names)
     return evaluation.metrics(evaluation.confusion(classes, names, "y")).join(
         evaluation.mean_probability(scores, names), "model"
     )
 
 
+def fitted_last_ten(spark, sf):
+    """Classes of the last ten held-out rows by each fitted model."""
+    scores, names = _fitted_scores(spark, sf)
+    return scoring.last_classes(scores, names, ["row_id"])
+
+
+def fitted_best_recall(spark, sf):
+    """The fitted model that finds most of the positive held-out rows."""
+    scores, names = _fitted_scores(spark, sf)
+    classes = scoring.classify_models(scores, names)
+    found = evaluation.metrics(evaluation.confusion(classes, names, "y"))
+    return evaluation.best_recall(found).select("model", "recall")
+
+
 # --- contract ---------------------------------------------------------------
 
 
@@ -638,6 +760,8 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         acq_files_by_month, acq_files_by_year, ingested_files_both_grains, layer_coverage_by_year, layer_coverage_by_month,
+        layer_list_by_year, contrib_org_rows, shared_not_linked_pairs, coef_sizes_two,
+        factor_design_sums, tree_stump_two, group_lasso_cv_two,
         catalog_typed_inventory, ingested_feed_types, account_link_status, schema_has_tables,
         onboarding_type_labels, onboarding_status, onboarding_funnel, shared_not_linked,
         linked_by_type, contrib_by_code, contrib_org_columns, contrib_org_totals,
@@ -652,7 +776,8 @@ def queries() -> dict[str, Query]:
         lrt_full_vs_reduced,
         tree_accuracy, tree_document_quality, ridge_path, lasso_path, enet_path, lasso_cv,
         lasso_selected, coef_magnitudes, lasso_penalty_grid,
-        group_lasso_path, group_lasso_selected, group_lasso_fixed_penalty, fitted_model_metrics,
+        group_lasso_path, group_lasso_selected, group_lasso_fixed_penalty, stored_models,
+        fitted_model_metrics, fitted_last_ten, fitted_best_recall,
     ]
     out = {f.__name__: f for f in named}
     for layer in LAYERS:
@@ -660,6 +785,8 @@ def queries() -> dict[str, Query]:
             out[f"{layer}_files_by_{grain}"] = _layer_query(layer, grain)
     for kind, alpha, lam in (("ridge", 0.0, 0.1), ("lasso", 1.0, 0.02), ("enet", 0.5, 0.02)):
         out[f"{kind}_fixed_penalty"] = _fixed_penalty(alpha, lam)
+    for kind, alpha, lams in (("ridge", 0.0, [0.1, 0.01]), ("lasso", 1.0, [0.05, 0.01]), ("enet", 0.5, [0.05, 0.01])):
+        out[f"{kind}_cv_two"] = _cv_two(alpha, lams)
     for direction in ("forward", "backward", "both"):
         out[f"step_{direction}"] = _step(direction)
         out[f"step_{direction}_two"] = _step_two(direction)

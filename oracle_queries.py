@@ -734,3 +734,167 @@ ORACLE["ingested_files_both_grains"] = f"""
 select 'month' as grain, * from ({ORACLE["ingested_files_by_month"]})
 union all select 'year', * from ({ORACLE["ingested_files_by_year"]})
 """
+
+# a layer of two tables, apart and together
+_NAME = "meta_lineage_source_name"
+_INGESTED = _layer("layer_ingested", _NAME, 4)
+
+
+def _only(condition: str) -> str:
+    return _INGESTED.replace("from layer_ingested) l", f"from layer_ingested where {condition}) l")
+
+
+ORACLE["layer_list_by_year"] = f"""
+select 'all' as tables, * from ({_INGESTED})
+union all select 'packed', * from ({_only(f"{_NAME} like '%.bz2'")})
+"""
+ORACLE["contrib_org_rows"] = _contrib(
+    """
+select filer, filer_id, contributor_code, contributor_first, contributor_last, contributor_city,
+       cast(amount as double) as amount
+from rows_a where (contributor_first is null or contributor_first = '')
+"""
+)
+ORACLE["shared_not_linked_pairs"] = _status(
+    """
+select trading_partner_id, table_type_ingested, shared_completed from status s
+where shared_completed = 'True' and not exists (
+  select 1 from status k where k.account_linking_completed = 'True'
+    and k.trading_partner_id = s.trading_partner_id and k.table_type_ingested = s.table_type_ingested)
+"""
+)
+ORACLE["coef_sizes_two"] = f"""
+select term, coefficient, case when abs(coefficient) > 0.1 then 'large' else 'near zero' end as size
+from ({_elastic(0.1, 0.0)})
+"""
+
+
+def _slots(coding: str, whole: str | None) -> str:
+    """Sums of a design's columns: numbers, and factors without their first level."""
+    numbers = ["age", "experience_years", "remote_hours", "job_satisfaction", "tech_tools", "salary"]
+    parts = [f"select '{n}' as slot, cast(sum({n}) as double) as total from survey" for n in numbers]
+    for f in ("country", "job_role", "company_size"):
+        first = "" if f == whole else f" where {f} > (select min({f}) from survey)"
+        parts.append(f"select '{f}_' || {f}, cast(count(*) as double) from survey{first} group by {f}")
+    body = " union all ".join(parts)
+    return f"select '{coding}' as coding, slot, round(total, 4) as total from ({body})"
+
+
+ORACLE["factor_design_sums"] = _q(
+    "survey", f"\n{_slots('intercept', None)}\nunion all {_slots('no intercept', 'country')}"
+)
+# one split in each of three folds, chosen by the impurity left on the other two
+ORACLE["tree_stump_two"] = _q(
+    "survey",
+    """,
+folds(f) as (select * from range(3)),
+train as (select f, preference as y, job_satisfaction, tech_tools from survey, folds where row_id % 3 <> f),
+points as (
+  select f, 0 as place, job_satisfaction as x, y from train
+  union all select f, 1, tech_tools, y from train
+),
+cuts as (select distinct f, place, x as cut from points),
+sides as (
+  select c.f, c.place, c.cut, count(*) as n, sum(y) as p,
+         count(*) filter (where x <= cut) as nl, coalesce(sum(y) filter (where x <= cut), 0) as pl
+  from cuts c join points t on t.f = c.f and t.place = c.place group by 1, 2, 3
+),
+best as (
+  select * from (
+    select *, row_number() over (partition by f order by
+        nl * 2.0 * (pl / nl) * (1 - pl / nl) + (n - nl) * 2.0 * ((p - pl) / (n - nl)) * (1 - (p - pl) / (n - nl)),
+        place, cut) as r
+    from sides where nl < n
+  ) where r = 1
+),
+hits as (
+  select b.f, avg(case when s.preference = (case
+           when (case when b.place = 0 then s.job_satisfaction else s.tech_tools end) <= b.cut
+             then cast(2 * b.pl > b.nl as int)
+           else cast(2 * (b.p - b.pl) > b.n - b.nl as int) end) then 1.0 else 0.0 end) as share
+  from best b join survey s on s.row_id % 3 = b.f group by b.f
+)
+select 1 as max_depth, 0.0::double as min_info_gain, round(avg(share), 6) as accuracy, true as is_best from hits
+""",
+)
+
+
+def _cv(penalty: tuple[str, ...], scaled: bool, lambdas: tuple[float, ...], start: str) -> str:
+    """Held-out deviance at each penalty over three folds, by Newton's method for all
+    of them at once; see ``_NEWTON``."""
+    q1, q2, p11, p12, p22 = penalty
+    lams = ", ".join(f"({lam}::double)" for lam in lambdas)
+    where = "filter (where row_id % 3 <> f)"
+    m = (lambda c: f"avg({c}) {where}") if scaled else (lambda c: "0::double")
+    sd = (lambda c: f"stddev_pop({c}) {where}") if scaled else (lambda c: "1::double")
+    return _q(
+        "survey",
+        f""",
+folds(f) as (select * from range(3)),
+lams(lam) as (values {lams}),
+stats as (
+  select f, {m("job_satisfaction")} as m1, {sd("job_satisfaction")} as s1,
+         {m("remote_hours")} as m2, {sd("remote_hours")} as s2
+  from survey, folds group by f
+),
+data as (
+  select lam, f, row_id % 3 = f as held, cast(preference as double) as y,
+         (job_satisfaction - m1) / s1 as x1, (remote_hours - m2) / s2 as x2
+  from survey, stats, lams
+),
+fit(i, lam, f, b0, b1, b2) as (
+  select 0, lam, f, 0::double, {start}::double, {start}::double from lams, folds
+  union all
+  select i + 1, lam, f, b0 + (k00 * g0 + k01 * g1 + k02 * g2) / det,
+         b1 + (k01 * g0 + k11 * g1 + k12 * g2) / det, b2 + (k02 * g0 + k12 * g1 + k22 * g2) / det
+  from (
+    select *, h00 * k00 + h01 * k01 + h02 * k02 as det
+    from (
+      select *, h11 * h22 - h12 * h12 as k00, h02 * h12 - h01 * h22 as k01, h01 * h12 - h02 * h11 as k02,
+             h00 * h22 - h02 * h02 as k11, h01 * h02 - h00 * h12 as k12, h00 * h11 - h01 * h01 as k22
+      from (
+        select i, lam, f, b0, b1, b2, sum(w) as h00, sum(w * x1) as h01, sum(w * x2) as h02,
+               sum(w * x1 * x1 + ({p11})) as h11, sum(w * x1 * x2 + ({p12})) as h12,
+               sum(w * x2 * x2 + ({p22})) as h22,
+               sum(y - p) as g0, sum((y - p) * x1 - ({q1})) as g1, sum((y - p) * x2 - ({q2})) as g2
+        from (
+          select *, p * (1 - p) as w
+          from (
+            select t.i, t.lam, t.f, t.b0, t.b1, t.b2, d.x1, d.x2, d.y,
+                   1 / (1 + exp(-(t.b0 + t.b1 * d.x1 + t.b2 * d.x2))) as p
+            from fit t join data d on d.lam = t.lam and d.f = t.f where t.i < 20 and not d.held
+          )
+        ) group by i, lam, f, b0, b1, b2
+      )
+    )
+  )
+),
+losses as (
+  select d.lam, d.f, count(*) as n,
+         sum(2 * (ln(1 + exp(b0 + b1 * x1 + b2 * x2)) - y * (b0 + b1 * x1 + b2 * x2))) as loss
+  from data d join fit t on t.lam = d.lam and t.f = d.f where d.held and t.i = 20 group by 1, 2
+),
+means as (select lam, sum(loss) / sum(n) as mean from losses group by lam),
+rows as (
+  select lam, mean, sqrt(sum(n * power(loss / n - mean, 2)) / sum(n) / 2) as err
+  from losses join means using (lam) group by lam, mean
+)
+select lam as lambda, round(mean, 4) as deviance, round(err, 4) as std_error,
+       mean = min(mean) over () as is_best
+from rows
+""",
+        recursive=True,
+    )
+
+
+def _elastic_penalty(alpha: float) -> tuple[str, ...]:
+    l1, l2 = f"lam * {alpha}", f"lam * {1 - alpha}"
+    return (f"{l1} + {l2} * b1", f"{l1} + {l2} * b2", l2, "0", l2)
+
+
+ORACLE["ridge_cv_two"] = _cv(_elastic_penalty(0.0), True, (0.1, 0.01), "0")
+ORACLE["lasso_cv_two"] = _cv(_elastic_penalty(1.0), True, (0.05, 0.01), "0")
+ORACLE["enet_cv_two"] = _cv(_elastic_penalty(0.5), True, (0.05, 0.01), "0")
+ORACLE["group_lasso_cv_two"] = _cv(
+    tuple(p.replace(_W, "lam * sqrt(2)") for p in _GROUP), False, (0.05, 0.01), "0.01"
+)
