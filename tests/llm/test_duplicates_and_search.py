@@ -144,6 +144,38 @@ def test_recurring_lines(spark):
     assert all(deeper[i] == [1] for i in range(4))
 
 
+def names_of(n):
+    return ["".join("abcdefghijklmnopqrstuvwxyz"[n // 26**k % 26] for k in range(4)) for n in range(n)]
+
+
+@pytest.mark.parametrize("count,crowded", [(190, 2_000), (210, 64), (900, 64), (2_100, 2_000)])
+def test_a_template_is_found_in_leaves_of_any_size(spark, count, crowded):
+    """Whatever the number of variants against the limit of a leaf, all are dropped."""
+    rows = [(i, f"text {w} of its own {w}{w}\nposted today by {w} on our page") for i, w in enumerate(names_of(count))]
+    rows += [(10_000 + i, f"posted today by nobody at all {w} {w}{w}") for i, w in enumerate(names_of(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = {r.doc_id: r.dropped_lines for r in line_report(df, crowded=crowded).collect()}
+    assert all(1 in dropped[i] for i in range(count))
+
+
+def test_crowded_leaves_keep_other_templates_apart(spark):
+    """One leaf of several templates and of lines alike to nothing."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, wanted = [], {}
+    for i in range(300):
+        kind = i % 4
+        line = ["news of the {0} week are out now", "news of the old {0} {1} go on here",
+                "news of the {0} {1} {2} {3} {4}", "news of the town say {0} is in"][kind]
+        rows.append((i, line.format(*[word() for _ in range(5)])))
+        wanted[i] = kind in (0, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowded in (2_000, 64):
+        found = {r.doc_id: r.n_dropped for r in line_report(df, crowded=crowded).collect()}
+        assert all(found[i] == 1 for i in wanted if wanted[i])
+        assert not any(found[i] for i in wanted if i % 4 == 2)
+
+
 def test_short_digit_and_long_lines_recur(spark):
     """Lines without a template recur as they stand, long ones from two texts on."""
     long = " ".join(f"word{'abcdefghij'[i % 10]}{'xyzuvw'[i % 6]}" for i in range(60))
