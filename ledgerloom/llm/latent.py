@@ -255,7 +255,8 @@ def latent_space(
     best = np.argsort(values)[::-1][:rank]
     # texts are folded in by the inverse singular values, or what nearly all texts
     # share would make all of them alike
-    strength = np.sqrt(np.maximum(values[best], 1e-9 * max(values.max(), 1e-9)))
+    # (within limits: a direction that hardly any passage has would drown the others)
+    strength = np.sqrt(np.maximum(values[best], 1e-2 * max(values.max(), 1e-9)))
     return q @ vectors[:, best] / strength
 
 
