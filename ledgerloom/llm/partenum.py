@@ -278,34 +278,23 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_id long, elements binary")
 
 
-def jaccard_links(
+def links_within(
     df: DataFrame,
-    rows: DataFrame,
-    percent: int = 90,
-    width: int = 3,
+    members: DataFrame,
+    percent: int,
+    width: int,
     block: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``a, b``: links that span the components of similar sets of ``df``; ``rows`` are
-    its ``signed_sets``."""
-    tied = cut_lineage(connected_components(candidate_ties(rows)))
-    member = cut_lineage(
-        tied.unionAll(tied.select(F.col("root").alias("node"), "root"))
-        .distinct()
-        .withColumnRenamed("node", "set_id")
-    )
-    # a row to compute each set from: texts are read again, sets are not kept
-    sets = rows.join(member, "set_id").groupBy("set_id", "root").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n")
-    )
-    sets = cut_lineage(sets)
-    ids = sets.select(F.col("doc_id").alias("wanted")).distinct()
+    """``a, b``: links that span the components of similar sets among ``members
+    (set_id, root, doc_id, n)``, of which those of one ``root`` meet. Sets are computed
+    from the texts of the rows named, of which they are not kept."""
+    members = cut_lineage(members)
+    ids = members.select(F.col("doc_id").alias("wanted")).distinct()
     texts = id_and_text(df, id_col, text_col)
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["wanted"]), "left_semi")
-    blocks = sets.groupBy("root").agg(
-        F.ceil(F.sum("n") / block).cast("int").alias("blocks")
-    )
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     # a set meets its own block with every other one; one block is a meeting by itself
     meetings = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
@@ -316,9 +305,9 @@ def jaccard_links(
     )
     groups = (
         sets_of(texts, width)
-        .join(sets.join(blocks, "root").select("set_id", "root", "blocks"), "set_id")
+        .join(members.join(blocks, "root").select("set_id", "root", "blocks"), "set_id")
         .groupBy("set_id")
-        .agg(F.first("root").alias("root"), F.first("blocks").alias("blocks"), F.first("elements").alias("elements"))
+        .agg(*[F.first(c).alias(c) for c in ("root", "blocks", "elements")])
         .withColumn("own", own)
         .select("set_id", "elements", "root", F.explode(meetings).alias("part"))
         .select(F.xxhash64("root", "part").alias("meeting"), "set_id", "elements")
@@ -326,6 +315,25 @@ def jaccard_links(
     return compared(groups, percent)
 
 
+def jaccard_links(
+    df: DataFrame,
+    rows: DataFrame,
+    percent: int = 90,
+    width: int = 3,
+    block: int = 1 << 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``a, b``: links that span the components of similar sets of ``df``; ``rows`` are
+    its ``signed_sets``."""
+    tied = cut_lineage(connected_components(candidate_ties(rows)))
+    member = tied.unionAll(tied.select(F.col("root").alias("node"), "root")).distinct()
+    members = rows.join(member.withColumnRenamed("node", "set_id"), "set_id").groupBy(
+        "set_id", "root"
+    ).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    return links_within(df, members, percent, width, block, id_col, text_col)
+
+
 def similar_groups(
     df: DataFrame,
     percent: int = 90,
