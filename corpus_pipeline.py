@@ -6,65 +6,84 @@ a benchmark item go, and what is left is packed. Every stage works on all rows i
 predecessor kept.
 
 Rows with a null or empty text are rejected by the first stage. A document whose
-lines all recur elsewhere is dropped with them. Repeated rows are near copies of
-each other: rows of one id and one text are made one before one of a group is
-chosen. Extra columns pass through. An empty table gives no rows.
+lines all recur elsewhere is dropped with them. Rows are told apart by id and text;
+repeated rows are copies, of which one stays. Extra columns of any name pass through.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
 from ledgerloom.llm.latent import contaminated
 from ledgerloom.llm.line_templates import without_recurring_lines
+from ledgerloom.llm.near_copies import first_of_groups, near_copy_groups
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality_rules import quality_rules
 from ledgerloom.llm.queries import TOKENIZER
-from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_store import new_folder
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """``docs`` with another text, its characters counted anew."""
-    out = docs.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.length("text").cast(kind))
-    return out
+def _packed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns), ``doc_id``, ``text``: whatever a document carries besides
+    cannot clash with what a stage adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+def _unpacked(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """The documents again, with another text and its characters counted anew, if one
+    is given."""
+    row = F.col("row")
+    if text is not None:
+        row = row.withField("text", text)
+        if "n_chars" in rows.schema["row"].dataType.names:
+            kind = rows.schema["row"].dataType["n_chars"].dataType
+            row = row.withField("n_chars", F.length(text).cast(kind))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that failed."""
-    packed = docs.withColumn("_row", F.struct(*docs.columns))
-    judged = quality_rules(packed, id_col="_row").where("kept")
-    return _with_text(judged.select("doc_id.*", "clean_text"), F.col("clean_text")).drop("clean_text")
+    judged = quality_rules(_packed(docs), id_col="row").where("kept")
+    return _unpacked(
+        judged.select(F.col("doc_id").alias("row"), F.col("clean_text").alias("text")), F.col("text")
+    )
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, from all documents but the first. Lines that
     are left without text take their document with them."""
-    cut = without_recurring_lines(docs, min_docs=3, similar=0.7, keep_first=True)
-    return _with_text(cut, F.col("text")).where(F.trim("text") != "")
+    cut = without_recurring_lines(_packed(docs), min_docs=3, similar=0.7, keep_first=True)
+    return _unpacked(cut.where(F.trim("text") != ""), F.col("text"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Packed documents with the hash that tells rows of one id apart."""
+    return _packed(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return (a["text_hash"] == b["text_hash"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    found = near_duplicates(docs, most=4, width=4, seed=42)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_stays")
-    ).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of texts that share 0.8 of their five-word shingles, the one with the smallest
+    id stays; candidates are fingerprints of at most 6 differing bits."""
+    rows = _keyed(docs)
+    stays = first_of_groups(near_copy_groups(docs, most=6, percent=80, width=5))
+    kept = rows.join(stays, _same(rows, stays), "left_semi")
+    return _unpacked(kept.dropDuplicates(["doc_id", "text_hash"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select(
-        F.col("doc_id").alias("_hit")
-    )
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """Documents that hold a benchmark item go, each judged by its own text."""
+    rows = _keyed(docs)
+    keys = rows.select(F.struct("doc_id", "text_hash").alias("key"), "text")
+    hits = contaminated(keys, table(spark, sf_dir, "benchmark"), id_col="key")
+    hits = hits.select("doc_id.doc_id", "doc_id.text_hash").distinct()
+    return _unpacked(rows.join(hits, _same(rows, hits), "left_anti"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
