@@ -17,7 +17,12 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from fixtures import fixture  # noqa: E402
-from ledgerloom.functions.labels import as_indicators  # noqa: E402
+from ledgerloom.functions.labels import (  # noqa: E402
+    as_indicators,
+    binary_label,
+    signed_label,
+    to_number,
+)
 from ledgerloom.models import evaluation, glm, scoring, stored  # noqa: E402
 from ledgerloom.models.design import assemble, design  # noqa: E402
 from ledgerloom.models.group_lasso import group_lasso_cv, selected_groups  # noqa: E402
@@ -34,13 +39,21 @@ from ledgerloom.models.penalized import (  # noqa: E402
 from ledgerloom.models.split import train_test  # noqa: E402
 from ledgerloom.models.stepwise import stepwise, stepwise_all  # noqa: E402
 from ledgerloom.models.tree import tree_cv  # noqa: E402
+from ledgerloom.models.wide import wide_design, wide_path  # noqa: E402
 from ledgerloom.operators.aggregates import mean_sd, percent_where  # noqa: E402
-from ledgerloom.operators.columns import column_fill, drop_all_null, drop_matching, fill  # noqa: E402
+from ledgerloom.operators.columns import (  # noqa: E402
+    as_levels,
+    column_fill,
+    drop_all_null,
+    drop_matching,
+    fill,
+)
 from ledgerloom.operators.filters import where_abs_over  # noqa: E402
 from ledgerloom.operators.joins import exclude_keys  # noqa: E402
 from ledgerloom.operators.ordering import first_rows  # noqa: E402
 from ledgerloom.operators.sets import stack_results, union_sources  # noqa: E402
 from ledgerloom.operators.windows import row_id  # noqa: E402
+from ledgerloom.sources.files import read_csv  # noqa: E402
 from ledgerloom.sources.frames import rows_to_df  # noqa: E402
 from ledgerloom.plans import contributions as contrib  # noqa: E402
 from ledgerloom.plans import onboarding, reconciliation as recon  # noqa: E402
@@ -303,6 +316,16 @@ def contrib_org_rows(spark, sf):
     return _doubles(drop_all_null(contrib.organizations(_cohort(spark, sf, "A"))), "amount")
 
 
+def contributions_from_csv(spark, sf):
+    """Rows and total by code, of rows that went through a CSV file."""
+    rows = _cohort(spark, sf, "A").select("filer", "contributor_code", F.col("amount").alias("amount "))
+    made_by = f"{spark.sparkContext.applicationId}-{crc32(sf.encode()):08x}"
+    path = f"{shared_folder(spark)}/contributions-{made_by}"
+    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    read = read_csv(spark, path, {"amount": "decimal(18,2)"}, trim_names=True, strict=True)
+    return _doubles(contrib.by_code(read), "total_amount")
+
+
 def contrib_org_totals(spark, sf):
     return _doubles(contrib.org_totals(_cohort(spark, sf, "A")), "total_amount")
 
@@ -433,6 +456,19 @@ def survey_row_numbers(spark, sf):
     return row_id(_survey(spark, sf).select("row_id", "age"), ["age", "row_id"])
 
 
+def survey_recoded(spark, sf):
+    """Labels as 0 and 1 and as -1 and 1, numbers out of text, given levels."""
+    df = _survey(spark, sf)
+    text = F.when(F.col("row_id") % 2 == 0, F.col("salary").cast("string")).otherwise("none")
+    return as_levels(df, "country", ["ASIA", "EUROPE"]).select(
+        "row_id",
+        binary_label(F.col("company_size"), "small").alias("is_small"),
+        signed_label(F.col("preference")).alias("signed"),
+        to_number(text).alias("number"),
+        F.col("country").alias("known_country"),
+    )
+
+
 def score_given_model(spark, sf):
     return _rounded(_given_scores(spark, sf), 6, *MODELS)
 
@@ -664,6 +700,27 @@ def tree_stump_two(spark, sf):
     return _rounded(fit.results(spark), 6, "accuracy")
 
 
+def wide_levels_path(spark, sf):
+    """Finished orders by customer, priority and price: a factor with a level for each
+    customer, of which the driver never sees the list."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(
+        (F.col("o_orderstatus") == "F").cast("int").alias("finished"),
+        F.format_string("c%09d", "o_custkey").alias("customer"),
+        F.col("o_orderpriority").alias("priority"),
+        (F.col("o_totalprice") / 1e5).alias("price"),
+    )
+    d = wide_design(orders, "finished", ["customer", "priority", "price"], intercept=False)
+    return wide_path(d, 1.0, [0.005, 0.004], tol=1e-5).path(spark)
+
+
+def _path_two(alpha: float, lambdas: list[float]) -> Query:
+    def run(spark, sf):
+        d = design(_survey(spark, sf), "preference", TWO, intercept=False)
+        return _rounded(coef_path(d, "row_id", alpha, lambdas, tol=1e-9).path(spark), 4, "coefficient")
+
+    return run
+
+
 def _group_lasso(spark, sf):
     cols = [c for group in GROUPS.values() for c in group]
     return group_lasso_cv(assemble(_survey(spark, sf), "preference", cols), "row_id", GROUPS)
@@ -760,8 +817,8 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         acq_files_by_month, acq_files_by_year, ingested_files_both_grains, layer_coverage_by_year, layer_coverage_by_month,
-        layer_list_by_year, contrib_org_rows, shared_not_linked_pairs, coef_sizes_two,
-        factor_design_sums, tree_stump_two, group_lasso_cv_two,
+        survey_recoded, contributions_from_csv, layer_list_by_year, contrib_org_rows, shared_not_linked_pairs, coef_sizes_two,
+        factor_design_sums, tree_stump_two, group_lasso_cv_two, wide_levels_path,
         catalog_typed_inventory, ingested_feed_types, account_link_status, schema_has_tables,
         onboarding_type_labels, onboarding_status, onboarding_funnel, shared_not_linked,
         linked_by_type, contrib_by_code, contrib_org_columns, contrib_org_totals,
@@ -787,6 +844,8 @@ def queries() -> dict[str, Query]:
         out[f"{kind}_fixed_penalty"] = _fixed_penalty(alpha, lam)
     for kind, alpha, lams in (("ridge", 0.0, [0.1, 0.01]), ("lasso", 1.0, [0.05, 0.01]), ("enet", 0.5, [0.05, 0.01])):
         out[f"{kind}_cv_two"] = _cv_two(alpha, lams)
+    out["ridge_path_two"] = _path_two(0.0, [0.1, 0.01])
+    out["enet_path_two"] = _path_two(0.5, [0.05, 0.02])
     for direction in ("forward", "backward", "both"):
         out[f"step_{direction}"] = _step(direction)
         out[f"step_{direction}_two"] = _step_two(direction)

@@ -27,22 +27,22 @@ _TABLES = [
     ("__ingested", "eligibility__history", "true"),
     (
         "__claims__standardized",
-        "835__claims_advice_payment__history",
+        "835__remittance__history",
         "s_suppkey % 5 <> 0 and s_suppkey % 2 = 0",
     ),
     (
         "__claims__standardized",
-        "835__claims_account_crosswalk",
+        "835__id_crosswalk",
         "s_suppkey % 5 <> 0 and s_suppkey % 4 = 0",
     ),
     ("__claims__standardized", "crosswalk_b_835", "s_suppkey % 5 <> 0 and s_suppkey % 12 = 0"),
     (
         "__claims__standardized",
-        "837__claims_account_crosswalk",
+        "837__id_crosswalk",
         "s_suppkey % 5 <> 0 and s_suppkey % 2 = 1 and s_suppkey % 9 <> 0",
     ),
-    ("__claims__shared", "clm02e", "s_suppkey % 3 <> 0 and s_suppkey % 8 <> 0"),
-    ("__physician__shared", "phys", "s_suppkey % 7 = 0"),
+    ("__claims__shared", "claims", "s_suppkey % 3 <> 0 and s_suppkey % 8 <> 0"),
+    ("__physician__shared", "visits", "s_suppkey % 7 = 0"),
 ]
 
 
@@ -94,7 +94,7 @@ select case when o_orderkey % 11 = 0 then 'TP_B_x' else 'TP_A' end as trading_pa
 from orders
 """,
     "layer_ingested": """
-select 's3://raw/' || cast(l_linenumber as TEXT) || '/f' || cast(l_orderkey as TEXT)
+select 'raw/' || cast(l_linenumber as TEXT) || '/f' || cast(l_orderkey as TEXT)
          || case when l_linenumber % 2 = 0 then '.txt.bz2' else '.txt' end as meta_lineage_source_name
 from lineitem
 """,

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Transformer
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,28 +101,18 @@ def design(
     input are left out; so are rows with an unknown level when encoding.
 
     Only the factor levels have to be learned, and one pass finds those of all
-    factors together. They live on the driver, so a factor that has more than about
-    ``max_levels`` (counted approximately first) is refused.
+    factors together. They live on the driver, so a factor that has more than
+    ``max_levels`` is refused (``wide_design`` takes it): no more levels than that are
+    gathered for each.
     """
     inputs = complete_cases(df, [label, *terms])
     kinds = dict(df.dtypes)
     factors = [t for t in terms if kinds[t] == "string"]
-    if factors:
-        found = inputs.agg(*[F.approx_count_distinct(f, 0.02).alias(f) for f in factors]).first()
-        wide = {f: found[f] for f in factors if found[f] > max_levels}
-        if wide:
-            raise ValueError(f"more than {max_levels} levels: {wide}")
+    known = _levels(inputs, factors, max_levels)
     whole = [] if intercept else factors[:1]
     stages: list = []
-    if factors:
-        stages.append(
-            StringIndexer(
-                inputCols=factors,
-                outputCols=[f"{f}_index" for f in factors],
-                stringOrderType="alphabetDesc",
-                handleInvalid="skip",
-            )
-        )
+    for f in factors:
+        stages.append(StringIndexerModel.from_labels(known[f], f, f"{f}_index", "skip"))
     for group, drop in ((whole, False), ([f for f in factors if f not in whole], True)):
         if group:
             stages.append(
@@ -140,7 +130,7 @@ def design(
         )
     )
     encoder = Pipeline(stages=stages).fit(inputs)
-    levels = dict(zip(factors, encoder.stages[0].labelsArray)) if factors else {}
+    levels = known
     names: list[str] = []
     slots: dict[str, list[int]] = {}
     for term in terms:
@@ -154,6 +144,22 @@ def design(
     return Design(frame, names, slots, levels, encoder, label, intercept)
 
 
+def _levels(inputs: DataFrame, factors: Sequence[str], max_levels: int) -> dict[str, list[str]]:
+    """The levels of each factor, the alphabetically last first, from one aggregate."""
+    if not factors:
+        return {}
+    pairs = [F.struct(F.lit(k).alias("k"), F.col(f"`{f}`").alias("v")) for k, f in enumerate(factors)]
+    distinct = inputs.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").distinct()
+    found: dict[str, list[str]] = {f: [] for f in factors}
+    for row in distinct.limit(max_levels * len(factors) + 1).collect():
+        found[factors[row.k]].append(row.v)
+    wide = {f: len(own) for f, own in found.items() if len(own) > max_levels}
+    if wide:
+        raise ValueError(f"more than {max_levels} levels: {wide}")
+    # as the engine compares text
+    return {f: sorted(own, key=lambda v: v.encode("utf-8"), reverse=True) for f, own in found.items()}
+
+
 def assemble(df: DataFrame, label: str, cols: Sequence[str], intercept: bool = True) -> Design:
     """Numeric columns as they are."""
     inputs = complete_cases(df, [label, *cols])

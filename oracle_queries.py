@@ -5,6 +5,13 @@ from __future__ import annotations
 import re
 
 from fixtures import ctes
+from ledgerloom.plans.onboarding import (
+    MISSING_TYPE,
+    NO_SHARED,
+    NO_STANDARDIZED,
+    TYPES_DIFFER,
+    TYPES_MATCH,
+)
 
 
 def _q(fixtures: str | tuple[str, ...], body: str, recursive: bool = False) -> str:
@@ -122,7 +129,7 @@ std_schemas as (
   from catalog_schemas where schema_name like '%standardized%'
 ),
 joined as (
-  select i.base_schema, i.type_ingested, coalesce(h.shared_completed, 'No Shared schemas exist') as shared_completed,
+  select i.base_schema, i.type_ingested, coalesce(h.shared_completed, '@NO_SHARED@') as shared_completed,
          h.schema_name as shared_schema, d.type_code as type_standardized, coalesce(d.linked, 'False') as linked
   from ing i left join shr h on h.base_schema = i.base_schema
   left join std d on d.base_schema = i.base_schema
@@ -130,10 +137,10 @@ joined as (
 labelled as (
   select base_schema as partner, type_ingested, shared_completed, shared_schema, linked,
          case when type_standardized is null and base_schema not in (select partner from std_schemas)
-                then 'No Standardized schemas exist'
+                then '@NO_STANDARDIZED@'
               when exists (select 1 from std s where s.base_schema = j.base_schema and s.type_code = j.type_ingested)
                 then 'True'
-              else 'Table ' || type_ingested || ' type does not exist - need to investigate' end as standardized_completed
+              else 'Table ' || type_ingested || ' @MISSING_TYPE@' end as standardized_completed
   from joined j
 ),
 lines as (
@@ -148,9 +155,9 @@ ranked as (
 ),
 status as (
   select partner as trading_partner_id, type_ingested as table_type_ingested, standardized_completed,
-         case when standardized_completed like '%type does not exist - need to investigate%' then 'False'
+         case when standardized_completed like '%@MISSING_TYPE@%' then 'False'
               else shared_completed end as shared_completed,
-         case when standardized_completed like '%type does not exist - need to investigate%' then 'False'
+         case when standardized_completed like '%@MISSING_TYPE@%' then 'False'
               else linked end as account_linking_completed
   from ranked where (any_false = 1 and linked = 'False') or (any_false = 0 and rn = 1)
 )"""
@@ -461,9 +468,9 @@ group by s.schema_name
 ing as (select distinct base_schema, type_code as type_ingested from typed where is_ingested),
 std as (select distinct split_part(schema_name, '__', 1) as base_schema, type_code as type_standardized from links)
 select i.base_schema, i.type_ingested,
-       coalesce(s.type_standardized, 'No Standardized schemas exist') as type_standardized,
-       case when i.type_ingested = s.type_standardized then 'Std Schema has corresponding Ingested table types'
-            else 'Std Schema doesn''t have any corresponding table types' end as type_label
+       coalesce(s.type_standardized, '@NO_STANDARDIZED@') as type_standardized,
+       case when i.type_ingested = s.type_standardized then '@TYPES_MATCH@'
+            else '@TYPES_DIFFER@' end as type_label
 from ing i left join std s on s.base_schema = i.base_schema
 """,
     ),
@@ -898,3 +905,32 @@ ORACLE["enet_cv_two"] = _cv(_elastic_penalty(0.5), True, (0.05, 0.01), "0")
 ORACLE["group_lasso_cv_two"] = _cv(
     tuple(p.replace(_W, "lam * sqrt(2)") for p in _GROUP), False, (0.05, 0.01), "0.01"
 )
+
+# labels, numbers out of text, and given levels
+ORACLE["survey_recoded"] = _q(
+    "survey",
+    """
+select row_id, cast(company_size = 'small' as int) as is_small,
+       case when preference = 0 then -1 else 1 end as signed,
+       case when row_id % 2 = 0 then cast(salary as double) end as number,
+       case when country in ('ASIA', 'EUROPE') then country end as known_country
+from survey
+""",
+)
+ORACLE["ridge_path_two"] = " union all ".join(
+    f"select * from ({_elastic(lam, 0.0)})" for lam in (0.1, 0.01)
+)
+ORACLE["enet_path_two"] = " union all ".join(
+    f"select * from ({_elastic(lam, 0.5)})" for lam in (0.05, 0.02)
+)
+ORACLE["contributions_from_csv"] = _contrib(
+    """
+select contributor_code, count(*) as n_rows, cast(coalesce(sum(amount), 0) as double) as total_amount
+from rows_a group by 1
+"""
+)
+for _mark, _text in {
+    "NO_SHARED": NO_SHARED, "NO_STANDARDIZED": NO_STANDARDIZED, "MISSING_TYPE": MISSING_TYPE,
+    "TYPES_MATCH": TYPES_MATCH, "TYPES_DIFFER": TYPES_DIFFER,
+}.items():
+    ORACLE = {k: v.replace(f"@{_mark}@", _text.replace("'", "''")) for k, v in ORACLE.items()}

@@ -88,12 +88,19 @@ def test_wide_factors_are_refused(spark):
 def test_an_unsolved_step_is_not_settled():
     import numpy as np
 
-    bound = np.array([[[1.0, 1 - 1e-9], [1 - 1e-9, 1.0]]])
-    args = (bound, np.array([[0.3, -0.2]]), np.zeros((1, 2)), [[0], [1]], [1.0, 1.0],
-            np.array([1e-6]), np.array([0.0]), 1e-14)
-    assert not penalized._proximal(*args, sweeps=5)[1].any()
-    easy = (np.array([[[1.0, 0.0], [0.0, 1.0]]]), *args[1:])
-    assert penalized._proximal(*easy, sweeps=50)[1].all()
+    def solved(bound, sweeps):
+        heads = object.__new__(penalized._Heads)
+        heads.bound, heads.n, heads.bases = np.array([bound]), np.array([2.0]), {}
+        groups = [[0], [1]]
+        top = penalized._largest_curvature(heads.bound, groups)
+        l1 = np.array([1e-6])
+        return penalized._proximal(
+            heads, top, np.array([0]), np.array([[0.3, -0.2]]), np.zeros((1, 2)), groups,
+            [1.0, 1.0], l1, np.array([0.0]), l1, 1e-14, sweeps=sweeps,
+        )[1]
+
+    assert not solved([[1.0, 1 - 1e-9], [1 - 1e-9, 1.0]], 5).any()
+    assert solved([[1.0, 0.0], [0.0, 1.0]], 50).all()
 
 
 def test_values_that_do_not_fit_are_counted(spark, tmp_path):

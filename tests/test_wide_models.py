@@ -15,6 +15,7 @@ from ledgerloom.models.passes import Block, RowBlocks, packed, unpacked
 from ledgerloom.models.penalized import coef_path, penalized_cv
 from ledgerloom.models.split import fold_of
 from ledgerloom.models.stepwise import stepwise, stepwise_all
+from ledgerloom.models.wide import wide_design, wide_path
 from ledgerloom.models.tree import cut_off, nodes_of, tree_column, tree_cv
 
 
@@ -298,3 +299,53 @@ def test_stored_models_score_as_fitted_ones(spark, tmp_path):
         assert r.g == pytest.approx(r.glm, abs=1e-12) and r.t == pytest.approx(r.tree, abs=1e-12)
     holes = df.withColumn("age", F.when(F.col("row_id") > 4, F.col("age")))
     assert stored.known_rows(holes, table, {"kind": ["k1", "k2", "k3", "k0"]}).count() == 695
+
+
+# --- levels as a table
+
+
+@pytest.mark.parametrize("alpha,intercept", [(1.0, True), (0.5, False)])
+def test_wide_path_equals_the_path_on_a_matrix(spark, alpha, intercept):
+    df = rows_of(spark, 900, 20)
+    terms, lambdas = ["town", "age", "kind"], [0.05, 0.01]
+    wide = wide_path(wide_design(df, "label", terms, intercept), alpha, lambdas, tol=1e-9)
+    d = design(df, "label", terms, intercept)
+    path = coef_path(d, "row_id", alpha, lambdas, tol=1e-9)
+    names = ["(Intercept)", *d.names]
+    assert wide.design.width == len(d.names)
+    found = {(r["lambda"], r.term): r.coefficient for r in wide.path(spark).collect()}
+    for lam, row in zip(lambdas, path.coefs):
+        for name, value in zip(names, row):
+            assert found.get((lam, name), 0.0) == pytest.approx(value, abs=2e-5)
+
+
+def test_fifty_thousand_levels(spark):
+    """Fitted without the levels on the driver; every slot meets its condition."""
+    n, levels = 120_000, 50_000
+    df = spark.range(n).select(
+        F.concat(F.lit("u"), F.col("id") % levels).alias("user"),
+        (F.xxhash64("id") % 100 / 25.0).alias("x"),
+        ((F.col("id") % levels < 40) | (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0)).cast("int").alias("y"),
+    )
+    d = wide_design(df, "y", ["user", "x"], intercept=False)
+    assert d.width == levels + 1 and d.levels.count() == levels
+    lam = 0.0025
+    path = wide_path(d, 1.0, [lam], tol=1e-5)
+    row = path.coefs[0]
+    found = {r.term for r in path.path(spark).where("coefficient > 0 and term like 'user%'").collect()}
+    assert {f"user_u{i}" for i in range(40)} <= found and len(found) < 20_000
+    sums = df.withColumn("p", F.lit(0.0))
+    by_user = {r.user: (r.n, r.y) for r in sums.groupBy("user").agg(F.count("y").alias("n"), F.sum("y").alias("y")).collect()}
+    names = {r.slot: r.level for r in d.levels.collect()}
+    xs = {}
+    for r in df.select("user", "x").collect():
+        xs.setdefault(r.user, []).append(r.x)
+    worst = 0.0
+    for slot in range(1, d.width, 97):
+        user = names[slot]
+        count, hits = by_user[user]
+        p = sum(1 / (1 + math.exp(-(row[0] + row[1] * x + row[1 + slot]))) for x in xs[user])
+        share = count / n
+        g = (p - hits) / n / math.sqrt(share * (1 - share))
+        worst = max(worst, abs(g + lam * np.sign(row[1 + slot])) if row[1 + slot] else abs(g) - lam)
+    assert worst < 1e-4
