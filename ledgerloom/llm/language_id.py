@@ -14,7 +14,8 @@ back: a host with a third of all pages is a skewed key of a plain join.
 The text model counts the n-grams of all texts of known language, a sum for each
 language and bucket, so a rare language is learned from all it has. A null page or address, or one without text, is judged by
 the evidence it has. Repeated rows are judged one by one. An empty table gives no
-rows, and without texts of known language no page has a language.
+rows, and without texts of known language no page has a language. Of languages that
+are as likely the first by name is taken. Pages of any length are read in one scan.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.storage import cut_lineage
 
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
+HIDDEN = re.compile(r"<(script|style|noscript|template)\b|<!--", re.I)
+CLOSED = {
+    name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")
+} | {"": re.compile("-->")}
 TAG = re.compile(r"<[^>]*>")
 DECLARED = (
     re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})\b", re.I),
@@ -42,8 +46,24 @@ NONE = "-"  # nothing declared, no address
 GRAMS = (1, 2, 3, 4)
 
 
+def without_hidden(html: str) -> str:
+    """Elements that hold no text and comments as blanks, in one scan forward; what is
+    opened and never closed stays."""
+    out, at, begun, open_ended = [], 0, 0, set()
+    while found := HIDDEN.search(html, at):
+        name = (found[1] or "").lower()
+        end = None if name in open_ended else CLOSED[name].search(html, found.end())
+        if end is None:
+            open_ended.add(name)  # nor is any later one of that name
+            at = found.end()
+            continue
+        out += [html[begun : found.start()], " "]
+        at = begun = end.end()
+    return "".join([*out, html[begun:]])
+
+
 def visible(html: str | None) -> str:
-    return unescape(TAG.sub(" ", HIDDEN.sub(" ", html or "")))
+    return unescape(TAG.sub(" ", without_hidden(html or "")))
 
 
 def declared(html: str | None) -> str:

@@ -192,7 +192,7 @@ def line_quality(
     rows = sample.select("doc_id", "label", "text").mapInArrow(
         describe, f"doc_id {kind}, label int, found binary"
     ).collect()  # at most fit_rows documents
-    rows.sort(key=lambda r: str(r["doc_id"]))
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["found"]))
     texts = [np.frombuffer(r["found"], dtype=np.float32).reshape(-1, WIDTH) for r in rows]
     field = fit(texts, np.array([r["label"] for r in rows], dtype=float), **how)
     shared = docs.sparkSession.sparkContext.broadcast(field)

@@ -9,7 +9,7 @@ than its parts. The pairs are never listed; their sum is half of the squared sum
 less the sum of squares.
 
 The machine is fitted by AdaGrad on a bounded sample of labelled rows: at most
-``fit_rows`` of those not held out, picked by a hash of their ids. Terms found in
+``fit_rows`` different ones of those not held out, picked by hashes of ids and texts. Terms found in
 fewer than ``min_docs`` sampled texts carry no evidence and are left out. Scoring
 covers every whole text and moves nothing.
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import id_and_text, id_remainder, lower_words
+from ledgerloom.storage import cut_lineage
 
 PREFIXES = (3, 5, 7)  # characters of a word's beginning
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation
@@ -130,13 +131,23 @@ def fit(
 def labelled_sample(
     narrow: DataFrame, labels: DataFrame, label: str, fit_rows: int, modulus: int, held: int
 ) -> DataFrame:
-    """Texts with a label that may be learned from: ``fit_rows`` ids at most, the
-    ones with the least hash. Only these ids are sent to the documents."""
+    """Different texts with a label that may be learned from: ``fit_rows`` at most, those
+    of the ids with the least hash, and of the rows of an id those whose texts have it.
+    An id with both labels has label 1. Only these ids are sent to the documents, and
+    their hashes alone meet before the texts are taken."""
     usable = labels.where(
         (id_remainder(F.col("doc_id"), modulus) != held) & F.col(label).isin(0, 1)
-    ).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return narrow.join(F.broadcast(chosen), "doc_id")  # at most fit_rows ids
+    ).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    ids = cut_lineage(chosen)
+    keyed = narrow.withColumn("text_hash", F.xxhash64("text"))
+    keys = (
+        keyed.join(F.broadcast(ids), "doc_id")  # at most fit_rows ids
+        .select("doc_id", "text_hash", "label").distinct()
+        .orderBy(F.xxhash64("doc_id"), F.xxhash64("text_hash")).limit(fit_rows)
+    )
+    rows = keyed.join(F.broadcast(cut_lineage(keys)), ["doc_id", "text_hash"])  # fit_rows rows
+    return rows.dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
 
 
 def train(
@@ -158,7 +169,7 @@ def train(
     rows = sample.select("doc_id", "label", "text").mapInArrow(
         run, f"doc_id {kind}, label int, found array<long>"
     ).collect()  # at most fit_rows documents
-    rows.sort(key=lambda r: str(r["doc_id"]))  # the same fit whatever the partitions
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["found"]))  # the same whatever the partitions
     if not rows:
         return Machine(0.0, np.zeros(buckets), np.zeros((buckets, 1)))
     return fit([np.array(r["found"], dtype=np.int64) for r in rows],

@@ -247,3 +247,43 @@ def test_a_rare_language_is_learned_in_full(spark):
     for lang, found in zip(langs, counts, strict=True):
         wanted = sum(np.bincount(grams(t, 1 << 12), minlength=1 << 12) for _, t, k in rows if k == lang)
         assert (found == wanted).all()
+
+
+# --- bounded samples, linear scans
+
+
+def test_fit_samples_are_bounded_by_rows(spark):
+    """One id on thousands of rows, ids with two labels: at most ``fit_rows`` texts."""
+    from ledgerloom.llm.toxicity import labelled_sample
+
+    docs = spark.createDataFrame(
+        [(1, f"text {i}") for i in range(3_000)] + [(i, "same") for i in range(2, 60)] * 2,
+        "doc_id long, text string",
+    )
+    labels = spark.createDataFrame(
+        [(i, i % 2) for i in range(1, 60)] + [(2, 1), (4, 1)], "doc_id long, toxic int"
+    )
+    some = labelled_sample(docs, labels, "toxic", 100, 5, 0).collect()
+    assert len(some) == len({(r.doc_id, r.text) for r in some}) == 100
+    assert all(r.label == 1 for r in some if r.doc_id in (2, 4))
+    whole = labelled_sample(docs, labels, "toxic", 10_000, 5, 0)
+    assert whole.where("doc_id = 1").count() in (0, 3_000)
+    again = labelled_sample(docs.repartition(7), labels, "toxic", 100, 5, 0).collect()
+    assert {(r.doc_id, r.text) for r in again} == {(r.doc_id, r.text) for r in some}
+
+
+def test_hidden_markup_goes_in_one_scan():
+    import re
+    import time
+
+    from ledgerloom.llm.language_id import without_hidden
+
+    slow = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
+    pieces = ["<script>", "</script>", "</SCRIPT >", "<style x>", "</style>", "<!--", "-->", "a b", "<p>", "<!-->", "<scripts>"]
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        html = "".join(rng.choice(pieces, rng.integers(0, 14)))
+        assert without_hidden(html) == slow.sub(" ", html)
+    began = time.perf_counter()
+    without_hidden("<script> <style> <!-- " * 100_000)
+    assert time.perf_counter() - began < 5
