@@ -2,14 +2,18 @@
 
 Words are hashed to ``buckets`` and weighted by their inverse document frequency,
 counted over all documents. A randomised SVD finds ``rank`` directions of the
-TF-IDF passages of all documents and benchmark items, by two distributed passes
-over sparse rows with sums of fixed size. With these, every window of every
+TF-IDF passages of all documents and benchmark items, by one distributed pass over
+sparse rows: the sketch Y = A'AG alone gives the decomposition, as A'A has no negative
+directions (Nystroem). The sums have a fixed size. With the directions, a window of a
 document becomes a short vector, as the sum of its words' vectors.
 
-Each item is compared, by cosine, with all windows of about its own length; the
-items are a given query set that goes to every task in blocks of one length. A
-window that is near enough is a candidate only: those whose region holds too few of
-the item's words in any order are left out first, exactly. A document is reported for an item
+Each item is compared, by cosine, with the windows of about its own length; the
+items are a given query set that goes to every task in blocks of one length. Windows
+that cannot match are not turned into vectors: prefix sums bound, from above and for all
+windows and items of a block at once, how many of an item's words a region holds
+(words that many documents have count as held). A window that is near enough is a
+candidate only: those whose region holds too few of the item's words in any order are
+left out, exactly. A document is reported for an item
 if the longest common subsequence of words around the window covers enough of the
 item and the item's answer is found in it: the text after an answer mark, or the
 last sentence. A nearly complete match needs no answer.
@@ -39,8 +43,11 @@ ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
 PART_WORDS = 8_192  # words looked at together, or two of the longest windows
 WINDOWS = 256  # windows whose words are looked up together
 STEP = 6  # words that window lengths and starts are multiples of
+FREQUENT = 0.1  # share of documents from which on a word's bucket counts as held
 FAN_IN = 32  # tasks whose sums of the fit are added up first
 BLOCK_ROWS = 1_024  # buckets of a partial sum in one row
+BLOCK_ITEMS = 64  # items whose words are counted together
+SKETCH_WORDS = 16_384  # words whose passages are summed together
 
 
 def raw_words(text: str | None) -> list[bytes]:
@@ -149,33 +156,54 @@ def document_frequencies(narrow: DataFrame, buckets: int) -> tuple[int, np.ndarr
     return total, counts
 
 
-def passages(words: np.ndarray, idf: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sparse unit rows of a text cut into passages."""
-    for start in range(0, len(words), length):
-        at, n = np.unique(words[start : start + length], return_counts=True)
-        row = n * idf[at]
-        norm = np.linalg.norm(row)
-        if norm > 0:
-            yield at, row / norm
+class Passages:
+    """Sparse unit rows of texts cut into passages, all of them together: of row i the
+    columns and values from ``cuts[i]`` on."""
+
+    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, length: int) -> None:
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        words = np.concatenate([np.zeros(0, dtype=np.int64), *texts])
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        passage = np.cumsum(place % length == 0) - 1 if len(words) else words
+        keys, times = np.unique(passage * len(idf) + words, return_counts=True)
+        self.row, self.cols = np.divmod(keys, len(idf))
+        self.cuts = np.flatnonzero(np.diff(self.row, prepend=-1))
+        values = times * idf[self.cols]
+        norms = np.sqrt(np.add.reduceat(values**2, self.cuts)) if len(keys) else values
+        self.values = (values / np.maximum(norms[self.row], 1e-12)).astype(np.float32)
+
+    def add_sketch(self, total: np.ndarray, basis: np.ndarray, weight: float = 1.0) -> None:
+        """Add A'A times ``basis``, of these rows, to ``total``."""
+        if not len(self.cols):
+            return
+        values = self.values[:, None]
+        across = np.add.reduceat(values * basis[self.cols], self.cuts)
+        order = np.argsort(self.cols, kind="stable")
+        cols = self.cols[order]
+        first = np.flatnonzero(np.diff(cols, prepend=-1))
+        back = values[order] * across[self.row[order]]
+        total[cols[first]] += weight * np.add.reduceat(back, first)
 
 
 def _sum_arrays(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums of float32 blocks by their number, added up by Spark in two rounds: those
-    of one ``part``, then those of all parts."""
+    """Sums of float32 blocks by their number, added up by Spark in rounds of at most
+    ``FAN_IN`` arrays each."""
     import pandas as pd
 
-    def adder(kind):
-        def add(group: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(d, dtype=kind).astype(np.float64) for d in group["data"])
-            row = {"part": group["part"].iloc[0], "block": group["block"].iloc[0]}
-            return pd.DataFrame({**row, "data": [total.tobytes()]})
-
-        return add
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(d, dtype=np.float32).astype(np.float64) for d in group["data"])
+        row = {"part": group["part"].iloc[0] // FAN_IN, "block": group["block"].iloc[0]}
+        return pd.DataFrame({**row, "data": [total.astype(np.float32).tobytes()]})
 
     kinds = "part int, block int, data binary"
-    first = partial.groupBy("part", "block").applyInPandas(adder(np.float32), kinds)
-    rows = first.groupBy("block").applyInPandas(adder(np.float64), kinds).collect()
-    return {r["block"]: np.frombuffer(r["data"], dtype=np.float64).reshape(-1, width) for r in rows}
+    left = partial.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // FAN_IN)
+        partial = partial.groupBy("part", "block").applyInPandas(add, kinds)
+    return {
+        r["block"]: np.frombuffer(r["data"], dtype=np.float32).astype(np.float64).reshape(-1, width)
+        for r in partial.collect()
+    }
 
 
 def _blocks_of(total: np.ndarray) -> pa.RecordBatch:
@@ -194,70 +222,60 @@ def _blocks_of(total: np.ndarray) -> pa.RecordBatch:
 def latent_space(
     narrow: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, length: int, seed: int
 ) -> np.ndarray:
-    """``buckets x rank``: leading right singular vectors of the passages' matrix A.
+    """``buckets x rank``: leading right singular vectors of the passages' matrix A,
+    over the singular values.
 
-    Y = A' A G for a random G is summed over the tasks, its orthonormal basis Q
-    holds the leading directions, and the small matrix Q' A' A Q puts them in order.
+    Y = A'AG for a random G is summed over the tasks. With G'Y = LL' the rows of
+    B = Y L'^-1 give A'A = BB', up to what the sketch cannot see.
     """
     buckets, wide = len(idf), rank + 16
 
     def random() -> np.ndarray:  # drawn again by every task, not sent
         return np.random.default_rng(seed).standard_normal((buckets, wide)).astype(np.float32)
 
-    shared = narrow.sparkSession.sparkContext.broadcast
-    idf_of = shared(idf)
+    idf_of = narrow.sparkSession.sparkContext.broadcast(idf)
 
-    def rows_of(batches):
-        memo = Buckets(buckets)
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, basis, memo = np.zeros((buckets, wide)), random(), Buckets(buckets)
+        texts, size = [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                yield from passages(memo.of(raw_words(text)), idf_of.value, length)
+                words = raw_words(text)
+                # a long text in parts of whole passages
+                step = SKETCH_WORDS // length * length or length
+                for start in range(0, len(words), step):
+                    texts.append(memo.of(words[start : start + step]))
+                    size += len(texts[-1])
+                    if size >= SKETCH_WORDS:
+                        Passages(texts, idf_of.value, length).add_sketch(total, basis)
+                        texts, size = [], 0
                 memo.trim()
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, basis = np.zeros((buckets, wide)), random()
-        for at, row in rows_of(batches):
-            row = row.astype(np.float32)
-            total[at] += np.outer(row, row @ basis[at])
+        Passages(texts, idf_of.value, length).add_sketch(total, basis)
         yield _blocks_of(total)
 
-    def gram(basis):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, own_basis = np.zeros((wide, wide)), basis.value
-            for at, row in rows_of(batches):
-                p = row.astype(np.float32) @ own_basis[at]
-                total += np.outer(p, p)
-            yield _blocks_of(total)
-
-        return narrow.select("text").mapInArrow(run, "part int, block int, data binary")
-
-    own = [r for words in items for r in passages(words, idf, max(length, len(words)))]
-
-    def add_items(total: np.ndarray, basis: np.ndarray, weight: float) -> np.ndarray:
-        for at, row in own:
-            total[at] += weight * np.outer(row, row @ basis[at])
-        return total
-
-    # the items weigh as much as the documents' passages, so their directions are kept
-    blocks = _sum_arrays(
-        narrow.select("text").mapInArrow(sketch, "part int, block int, data binary"), wide
-    )
+    kinds = "part int, block int, data binary"
+    blocks = _sum_arrays(narrow.select("text").mapInArrow(sketch, kinds), wide)
     y = np.concatenate([blocks[b] for b in sorted(blocks)]) if blocks else np.zeros((buckets, wide))
-    alone = add_items(np.zeros((buckets, wide)), random().astype(np.float64), 1.0)
+    # the items weigh as much as the documents' passages, so their directions are kept
+    basis, alone = random().astype(np.float64), np.zeros((buckets, wide))
+    for words in items:
+        Passages([words], idf, max(length, len(words))).add_sketch(alone, basis)
     weight = max(1.0, np.linalg.norm(y) / max(np.linalg.norm(alone), 1e-9))
-    q, _ = np.linalg.qr(y + weight * alone)
-    q32 = np.ascontiguousarray(q, dtype=np.float32)
-    small = _sum_arrays(gram(shared(q32)), wide).get(0, np.zeros((wide, wide))).copy()
-    for at, row in own:
-        p = row @ q[at]
-        small += weight * np.outer(p, p)
-    values, vectors = np.linalg.eigh(small)
-    best = np.argsort(values)[::-1][:rank]
+    y = y + weight * alone
+    # a little of the identity keeps the small matrix positive; it is taken off again
+    shift = 1e-6 * max(np.linalg.norm(y), 1e-9) / np.sqrt(buckets)
+    y += shift * basis
+    small = basis.T @ y
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    kept = values > 1e-10 * max(values.max(), 1e-300)
+    wide_of = y @ (vectors[:, kept] / np.sqrt(values[kept]))
+    left, sizes, _ = np.linalg.svd(wide_of, full_matrices=False)
+    found = np.maximum(sizes**2 - shift, 0.0)[:rank]
     # texts are folded in by the inverse singular values, or what nearly all texts
     # share would make all of them alike
     # (within limits: a direction that hardly any passage has would drown the others)
-    strength = np.sqrt(np.maximum(values[best], 1e-2 * max(values.max(), 1e-9)))
-    return q @ vectors[:, best] / strength
+    strength = np.sqrt(np.maximum(found, 1e-2 * max(found.max(initial=0.0), 1e-9)))
+    return left[:, :rank] / strength
 
 
 # --- search and verification -------------------------------------------------
@@ -271,8 +289,9 @@ class Searcher:
     least two of the longest windows.
     """
 
-    def __init__(self, items: list[Item], vectors: np.ndarray, min_cosine: float,
-                 min_common: float, sure_common: float, min_answer: float) -> None:
+    def __init__(self, items: list[Item], vectors: np.ndarray, frequent: np.ndarray,
+                 min_cosine: float, min_common: float, sure_common: float,
+                 min_answer: float) -> None:
         buckets = len(vectors)
         self.buckets = Buckets(buckets)
         self.vectors = np.append(vectors, np.zeros((1, vectors.shape[1])), axis=0).astype(np.float32)
@@ -283,18 +302,33 @@ class Searcher:
             if item.words:
                 by_scale.setdefault(scale_of(len(item.words)), []).append(item)
         self.blocks = []
-        for scale, group in sorted(by_scale.items()):
+        parts = [
+            (scale, group[i : i + BLOCK_ITEMS])
+            for scale, group in sorted(by_scale.items())
+            for i in range(0, len(group), BLOCK_ITEMS)
+        ]
+        for scale, group in parts:
             rows = np.stack([self.vectors[self.buckets.of(i.words)].sum(axis=0) for i in group])
             norms = np.linalg.norm(rows, axis=1, keepdims=True)
             places = np.full((len(group), max(len(i.words) for i in group)), buckets, dtype=np.int32)
             for of, item in zip(places, group, strict=True):
                 of[: len(item.words)] = self.buckets.of(item.words)
-            self.blocks.append((scale, group, (rows / np.maximum(norms, 1e-9)).T.copy(), places))
+            # of each bucket that is not frequent, how many of an item's words it has
+            own = np.setdiff1d(np.unique(places), [buckets])
+            own = own[~frequent[own]]
+            number = np.zeros(buckets + 1, dtype=np.int32)
+            number[own] = np.arange(1, len(own) + 1)
+            times = np.zeros((len(own) + 1, len(group)), dtype=np.int32)
+            for k, of in enumerate(places):
+                np.add.at(times[:, k], number[of], 1)
+            times[0] = 0
+            need = min_common * np.array([len(i.words) for i in group])
+            held = np.array([len(i.words) for i in group]) - times.sum(axis=0)
+            self.blocks.append(
+                (scale, group, (rows / np.maximum(norms, 1e-9)).T.copy(), places,
+                 need, number, times, need - held)
+            )
         self.longest = max((scale for scale, *_ in self.blocks), default=STEP)
-        self.least = {
-            scale: min_common * np.array([len(i.words) for i in group])
-            for scale, group, *_ in self.blocks
-        }
         self.portion = max(PART_WORDS, 2 * self.longest)
 
     def search(self, texts: list[str | None]) -> list[dict[int, tuple[object, float, float, bool]]]:
@@ -338,30 +372,39 @@ class Searcher:
             firsts.append(at)
             sizes.append(-(-len(own) // STEP))
             at += sizes[-1]
-        gathered = self.vectors[np.array(ids, dtype=np.int64)]
-        steps = gathered.reshape(-1, STEP, gathered.shape[1]).sum(axis=1)
-        sums = np.zeros((len(steps) + 1, steps.shape[1]))
-        np.cumsum(steps, axis=0, dtype=np.float64, out=sums[1:])
+        ids = np.array(ids, dtype=np.int64)
         place_of = np.repeat(np.arange(len(part)), sizes)
         offset = np.arange(at) - np.array(firsts)[place_of]
         stop = np.arange(at) - offset + np.array(sizes)[place_of]
         around, lows = np.array(around, dtype=np.int64), np.array(lows)
         bounds = np.array([*froms, upto])
         clean: dict[int, list[bytes]] = {}  # words of portions with candidates
-        for scale, items, wanted, places in self.blocks:
+        for scale, items, wanted, places, least, number, times, rare in self.blocks:
             width, stride = scale // STEP, max(1, scale // (3 * STEP))
             starts = np.flatnonzero(offset % stride == 0)
             ends = np.minimum(starts + width, stop[starts])
-            rows = (sums[ends] - sums[starts]).astype(np.float32)
-            norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-            near = rows @ wanted >= (self.min_cosine * np.maximum(norms, 1e-6))[:, None]
-            of_window, of_item = np.nonzero(near)
             place = place_of[starts]
             first = bounds[place] + lows[place] + offset[starts] * STEP
             low = np.maximum(bounds[place], first - scale // 2)
             high = np.minimum(bounds[place + 1], first + scale + scale // 2)
-            enough = self._enough(around, low, high, of_window, of_item, places, self.least[scale])
-            for w, k in zip(of_window[enough].tolist(), of_item[enough].tolist(), strict=True):
+            # no region holds more of an item's rare words than it has occurrences of them
+            sums = np.zeros((len(around) + 1, len(items)), dtype=np.int32)
+            np.cumsum(times[number[around]], axis=0, out=sums[1:])
+            of_window, of_item = np.nonzero(sums[high] - sums[low] >= rare)
+            if not len(of_window):
+                continue
+            windows, row_of = np.unique(of_window, return_inverse=True)
+            long = (ends - starts)[windows] * STEP
+            heads = np.cumsum(long) - long
+            inside = np.arange(long.sum()) + np.repeat(starts[windows] * STEP - heads, long)
+            rows = np.add.reduceat(self.vectors[ids[inside]], heads)
+            norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-6)
+            cosines = np.einsum("ij,ij->i", rows[row_of], wanted.T[of_item]) / norms[row_of]
+            near = cosines >= self.min_cosine
+            of_window, of_item, cosines = of_window[near], of_item[near], cosines[near]
+            enough = self._enough(around, low, high, of_window, of_item, places, least)
+            for c in enough.tolist():
+                w, k = int(of_window[c]), int(of_item[c])
                 t, words, start, end = part[place[w]]
                 base = bounds[place[w]]
                 if place[w] not in clean:
@@ -370,8 +413,7 @@ class Searcher:
                 share, answer = self.verify(items[k], region)
                 old = found[t].get(id(items[k]))
                 if share and (old is None or share > old[2]):
-                    cosine = float(rows[w] @ wanted[:, k] / max(norms[w], 1e-6))
-                    found[t][id(items[k])] = (items[k].item_id, cosine, share, answer)
+                    found[t][id(items[k])] = (items[k].item_id, float(cosines[c]), share, answer)
 
     def _enough(self, around, low, high, of_window, of_item, places, least) -> np.ndarray:
         """Numbers of the candidates that can match: a region holds no more of an item
@@ -445,7 +487,7 @@ def contaminated(
     memo = Buckets(buckets)
     space = latent_space(narrow, [memo.of(i.words) for i in items], idf, rank, passage, seed)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (items, (space * idf[:, None]).astype(np.float32))
+        (items, (space * idf[:, None]).astype(np.float32), counts > FREQUENT * total)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
