@@ -303,7 +303,7 @@ def lexical_search(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    portion_chars: int = 1 << 24,
+    portion_chars: int = 1 << 22,
 ) -> DataFrame:
     """``item_id, rank, doc_id, score``: the ``top`` documents of every item."""
     spark = df.sparkSession
