@@ -108,9 +108,9 @@ def test_factor_rows_give_the_fits_of_dense_rows(spark):
     assert a.estimates == pytest.approx(b.estimates, abs=1e-7)
     assert a.std_errors == pytest.approx(b.std_errors, rel=1e-5)
     lambdas = [0.05, 0.01]
-    for alpha in (0.0, 0.5, 1.0):
-        p = penalized_cv(d, "row_id", alpha, folds=3, lambdas=lambdas)
-        q = penalized_cv(plain, "row_id", alpha, folds=3, lambdas=lambdas)
+    for alpha in (0.0, 0.5):
+        p = penalized_cv(d, "row_id", alpha, folds=2, lambdas=lambdas)
+        q = penalized_cv(plain, "row_id", alpha, folds=2, lambdas=lambdas)
         assert p.coefs == pytest.approx(q.coefs, abs=1e-5)
         assert [c[0] for c in p.cv] == pytest.approx([c[0] for c in q.cv], rel=1e-6)
 
@@ -306,9 +306,9 @@ def test_stored_models_score_as_fitted_ones(spark, tmp_path):
 
 @pytest.mark.parametrize("alpha,intercept", [(1.0, True), (0.5, False)])
 def test_wide_path_equals_the_path_on_a_matrix(spark, alpha, intercept):
-    df = rows_of(spark, 900, 20)
+    df = rows_of(spark, 500, 12)
     terms, lambdas = ["town", "age", "kind"], [0.05, 0.01]
-    wide = wide_path(wide_design(df, "label", terms, intercept), alpha, lambdas, tol=1e-9)
+    wide = wide_path(wide_design(df, "label", terms, intercept), alpha, lambdas, tol=1e-8)
     d = design(df, "label", terms, intercept)
     path = coef_path(d, "row_id", alpha, lambdas, tol=1e-9)
     names = ["(Intercept)", *d.names]
