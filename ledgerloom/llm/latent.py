@@ -11,7 +11,7 @@ Each item is compared, by cosine, with the windows of about its own length; the
 items are a given query set that goes to every task in blocks of one length. Windows
 that cannot match are not turned into vectors: prefix sums bound, from above and for all
 windows and items of a block at once, how many of an item's words a region holds
-(words that many documents have count as held). A window that is near enough is a
+(the most frequent words count as held). A window that is near enough is a
 candidate only: those whose region holds too few of the item's words in any order are
 left out, exactly. A document is reported for an item
 if the longest common subsequence of words around the window covers enough of the
@@ -40,14 +40,14 @@ from ledgerloom.llm.common import id_and_text
 
 EDGE = b".,;:!?\"'()[]"
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
-PART_WORDS = 8_192  # words looked at together, or two of the longest windows
+PART_WORDS = 32_768  # words looked at together, or two of the longest windows
 WINDOWS = 256  # windows whose words are looked up together
 STEP = 6  # words that window lengths and starts are multiples of
-FREQUENT = 0.1  # share of documents from which on a word's bucket counts as held
+FREQUENT = 0.005  # share of all words from which on a bucket counts as held
 FAN_IN = 32  # tasks whose sums of the fit are added up first
 BLOCK_ROWS = 1_024  # buckets of a partial sum in one row
 BLOCK_ITEMS = 64  # items whose words are counted together
-SKETCH_WORDS = 16_384  # words whose passages are summed together
+SKETCH_WORDS = 65_536  # words whose passages are summed together
 
 
 def raw_words(text: str | None) -> list[bytes]:
@@ -128,32 +128,43 @@ def scale_of(n: int) -> int:
 # --- the latent space --------------------------------------------------------
 
 
-def document_frequencies(narrow: DataFrame, buckets: int) -> tuple[int, np.ndarray]:
-    """Documents, and how many of them hold a word of each bucket."""
+def frequencies(narrow: DataFrame, buckets: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Documents, and for each bucket how many of them hold a word of it and how many
+    words it has in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts, n = Buckets(buckets), np.zeros(buckets, dtype=np.int64), 0
+        memo, n = Buckets(buckets), 0
+        counts, words = (np.zeros(buckets, dtype=np.int64) for _ in range(2))
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = {memo[w] for w in set(raw_words(text))}
-                counts[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
+                at, times = np.unique(memo.of(raw_words(text)), return_counts=True)
+                words[at] += times
+                counts[at] += 1
                 n += 1
                 memo.trim()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(-1, at)), pa.array(np.append(n, counts[at]))], ["bucket", "n"]
+            [pa.array(np.append(-1, at)), pa.array(np.append(n, counts[at])),
+             pa.array(np.append(0, words[at]))],
+            ["bucket", "n", "words"],
         )
 
-    rows = narrow.select("text").mapInArrow(run, "bucket long, n long")
-    found = rows.groupBy("bucket").agg(F.sum("n")).collect()  # a row for each bucket at most
-    counts = np.zeros(buckets)
+    rows = narrow.select("text").mapInArrow(run, "bucket long, n long, words long")
+    # a row for each bucket at most
+    found = rows.groupBy("bucket").agg(F.sum("n"), F.sum("words")).collect()
+    counts, words = np.zeros(buckets), np.zeros(buckets)
     total = 0
-    for at, n in found:
+    for at, n, own in found:
         if at < 0:
             total = n
         else:
-            counts[at] = n
-    return total, counts
+            counts[at], words[at] = n, own
+    return total, counts, words
+
+
+def document_frequencies(narrow: DataFrame, buckets: int) -> tuple[int, np.ndarray]:
+    """Documents, and how many of them hold a word of each bucket."""
+    return frequencies(narrow, buckets)[:2]
 
 
 class Passages:
@@ -176,13 +187,15 @@ class Passages:
         """Add A'A times ``basis``, of these rows, to ``total``."""
         if not len(self.cols):
             return
-        values = self.values[:, None]
-        across = np.add.reduceat(values * basis[self.cols], self.cuts)
+        along = np.take(basis, self.cols, axis=0)
+        along *= self.values[:, None].astype(basis.dtype)
+        across = np.add.reduceat(along, self.cuts)
         order = np.argsort(self.cols, kind="stable")
         cols = self.cols[order]
         first = np.flatnonzero(np.diff(cols, prepend=-1))
-        back = values[order] * across[self.row[order]]
-        total[cols[first]] += weight * np.add.reduceat(back, first)
+        np.take(across, self.row[order], axis=0, out=along)
+        along *= self.values[order][:, None].astype(basis.dtype)
+        total[cols[first]] += weight * np.add.reduceat(along, first)
 
 
 def _sum_arrays(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -322,8 +335,11 @@ class Searcher:
             for k, of in enumerate(places):
                 np.add.at(times[:, k], number[of], 1)
             times[0] = 0
+            # differences of sums are right in 16 bits if they fit
+            if 2 * scale * times.max(initial=0) < 1 << 15:
+                times = times.astype(np.int16)
             need = min_common * np.array([len(i.words) for i in group])
-            held = np.array([len(i.words) for i in group]) - times.sum(axis=0)
+            held = np.array([len(i.words) for i in group]) - times.sum(axis=0, dtype=np.int64)
             self.blocks.append(
                 (scale, group, (rows / np.maximum(norms, 1e-9)).T.copy(), places,
                  need, number, times, need - held)
@@ -388,11 +404,19 @@ class Searcher:
             low = np.maximum(bounds[place], first - scale // 2)
             high = np.minimum(bounds[place + 1], first + scale + scale // 2)
             # no region holds more of an item's rare words than it has occurrences of them
-            sums = np.zeros((len(around) + 1, len(items)), dtype=np.int32)
-            np.cumsum(times[number[around]], axis=0, out=sums[1:])
-            of_window, of_item = np.nonzero(sums[high] - sums[low] >= rare)
+            known = number[around]
+            held = np.flatnonzero(known)
+            before = np.zeros(len(around) + 1, dtype=np.int64)
+            np.cumsum(known > 0, out=before[1:])
+            some = np.flatnonzero((before[high] - before[low]) * times.max(initial=0) >= rare.min())
+            sums = np.zeros((len(held) + 1, len(items)), dtype=times.dtype)
+            np.cumsum(times[known[held]], axis=0, dtype=times.dtype, out=sums[1:])
+            of_window, of_item = np.nonzero(
+                sums[before[high[some]]] - sums[before[low[some]]] >= rare
+            )
             if not len(of_window):
                 continue
+            of_window = some[of_window]
             windows, row_of = np.unique(of_window, return_inverse=True)
             long = (ends - starts)[windows] * STEP
             heads = np.cumsum(long) - long
@@ -460,7 +484,7 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    rank: int = 128,
+    rank: int = 48,
     buckets: int = 1 << 14,
     passage: int = 48,
     min_cosine: float = 0.05,
@@ -482,12 +506,12 @@ def contaminated(
     if len(listed) > max_items:
         raise ValueError(f"more than {max_items} benchmark items: search them in several runs")
     items = [Item(i, terms(t), terms(answer_of(t))) for i, t in listed if t]
-    total, counts = document_frequencies(narrow, buckets)
+    total, counts, words = frequencies(narrow, buckets)
     idf = np.log((total + 1) / (counts + 1)) + 0.05
     memo = Buckets(buckets)
     space = latent_space(narrow, [memo.of(i.words) for i in items], idf, rank, passage, seed)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (items, (space * idf[:, None]).astype(np.float32), counts > FREQUENT * total)
+        (items, (space * idf[:, None]).astype(np.float32), words > FREQUENT * words.sum())
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
