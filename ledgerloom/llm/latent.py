@@ -2,9 +2,10 @@
 
 Words are hashed to ``buckets`` and weighted by their inverse document frequency,
 counted over all documents. A randomised SVD finds ``rank`` directions of the
-TF-IDF passages of all documents and benchmark items, by one distributed pass over
-sparse rows: the sketch Y = A'AG alone gives the decomposition, as A'A has no negative
-directions (Nystroem). The sums have a fixed size. With the directions, a window of a
+TF-IDF passages of all documents and benchmark items. One distributed pass over sparse
+rows both counts and sketches: the sketch Y = A'AG alone gives the decomposition, as A'A
+has no negative directions (Nystroem), and the weights, not known before the counts, can
+be put to it afterwards. The sums have a fixed size. With the directions, a window of a
 document becomes a short vector, as the sum of its words' vectors.
 
 Each item is compared, by cosine, with the windows of about its own length; the
@@ -46,6 +47,7 @@ STEP = 6  # words that window lengths and starts are multiples of
 FREQUENT = 0.005  # share of all words from which on a bucket counts as held
 FAN_IN = 32  # tasks whose sums of the fit are added up first
 BLOCK_ROWS = 1_024  # buckets of a partial sum in one row
+OVERSAMPLED = 8  # directions of the sketch beyond those kept
 BLOCK_ITEMS = 64  # items whose words are counted together
 SKETCH_WORDS = 65_536  # words whose passages are summed together
 
@@ -78,7 +80,7 @@ class Buckets(dict):
             self.clear()
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], dtype=np.int64)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 @dataclass
@@ -128,58 +130,32 @@ def scale_of(n: int) -> int:
 # --- the latent space --------------------------------------------------------
 
 
-def frequencies(narrow: DataFrame, buckets: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Documents, and for each bucket how many of them hold a word of it and how many
-    words it has in all."""
+@dataclass
+class Frequencies:
+    """Documents; for each bucket how many of them hold a word of it, and its words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, n = Buckets(buckets), 0
-        counts, words = (np.zeros(buckets, dtype=np.int64) for _ in range(2))
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                at, times = np.unique(memo.of(raw_words(text)), return_counts=True)
-                words[at] += times
-                counts[at] += 1
-                n += 1
-                memo.trim()
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(-1, at)), pa.array(np.append(n, counts[at])),
-             pa.array(np.append(0, words[at]))],
-            ["bucket", "n", "words"],
-        )
-
-    rows = narrow.select("text").mapInArrow(run, "bucket long, n long, words long")
-    # a row for each bucket at most
-    found = rows.groupBy("bucket").agg(F.sum("n"), F.sum("words")).collect()
-    counts, words = np.zeros(buckets), np.zeros(buckets)
-    total = 0
-    for at, n, own in found:
-        if at < 0:
-            total = n
-        else:
-            counts[at], words[at] = n, own
-    return total, counts, words
-
-
-def document_frequencies(narrow: DataFrame, buckets: int) -> tuple[int, np.ndarray]:
-    """Documents, and how many of them hold a word of each bucket."""
-    return frequencies(narrow, buckets)[:2]
+    total: int
+    documents: np.ndarray
+    words: np.ndarray
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log((self.total + 1) / (self.documents + 1)) + 0.05
 
 
 class Passages:
-    """Sparse unit rows of texts cut into passages, all of them together: of row i the
-    columns and values from ``cuts[i]`` on."""
+    """Word counts of texts cut into passages, as sparse unit rows, all of them together:
+    of row i the columns and values from ``cuts[i]`` on."""
 
-    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, length: int) -> None:
+    def __init__(self, texts: list[np.ndarray], buckets: int, length: int) -> None:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         words = np.concatenate([np.zeros(0, dtype=np.int64), *texts])
         place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         passage = np.cumsum(place % length == 0) - 1 if len(words) else words
-        keys, times = np.unique(passage * len(idf) + words, return_counts=True)
-        self.row, self.cols = np.divmod(keys, len(idf))
+        keys, times = np.unique(passage * buckets + words, return_counts=True)
+        self.row, self.cols = np.divmod(keys, buckets)
         self.cuts = np.flatnonzero(np.diff(self.row, prepend=-1))
-        values = times * idf[self.cols]
+        values = times.astype(np.float64)
         norms = np.sqrt(np.add.reduceat(values**2, self.cuts)) if len(keys) else values
         self.values = (values / np.maximum(norms[self.row], 1e-12)).astype(np.float32)
 
@@ -199,14 +175,14 @@ class Passages:
 
 
 def _sum_arrays(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums of float32 blocks by their number, added up by Spark in rounds of at most
+    """Sums of blocks by their number, added up by Spark in rounds of at most
     ``FAN_IN`` arrays each."""
     import pandas as pd
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(d, dtype=np.float32).astype(np.float64) for d in group["data"])
+        total = sum(np.frombuffer(d) for d in group["data"])
         row = {"part": group["part"].iloc[0] // FAN_IN, "block": group["block"].iloc[0]}
-        return pd.DataFrame({**row, "data": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({**row, "data": [total.tobytes()]})
 
     kinds = "part int, block int, data binary"
     left = partial.rdd.getNumPartitions()
@@ -214,7 +190,7 @@ def _sum_arrays(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
         left = -(-left // FAN_IN)
         partial = partial.groupBy("part", "block").applyInPandas(add, kinds)
     return {
-        r["block"]: np.frombuffer(r["data"], dtype=np.float32).astype(np.float64).reshape(-1, width)
+        r["block"]: np.frombuffer(r["data"]).reshape(-1, width)
         for r in partial.collect()
     }
 
@@ -226,57 +202,72 @@ def _blocks_of(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([part] * len(starts), pa.int32()),
          pa.array([b // BLOCK_ROWS for b in starts], pa.int32()),
-         pa.array([total[b : b + BLOCK_ROWS].astype(np.float32).tobytes() for b in starts],
+         pa.array([total[b : b + BLOCK_ROWS].tobytes() for b in starts],
                   pa.binary())],
         ["part", "block", "data"],
     )
 
 
-def latent_space(
-    narrow: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, length: int, seed: int
-) -> np.ndarray:
-    """``buckets x rank``: leading right singular vectors of the passages' matrix A,
-    over the singular values.
-
-    Y = A'AG for a random G is summed over the tasks. With G'Y = LL' the rows of
-    B = Y L'^-1 give A'A = BB', up to what the sketch cannot see.
-    """
-    buckets, wide = len(idf), rank + 16
-
-    def random() -> np.ndarray:  # drawn again by every task, not sent
-        return np.random.default_rng(seed).standard_normal((buckets, wide)).astype(np.float32)
-
-    idf_of = narrow.sparkSession.sparkContext.broadcast(idf)
+def counted_sketch(
+    narrow: DataFrame, buckets: int, wide: int, length: int, seed: int
+) -> tuple[Frequencies, np.ndarray]:
+    """Counts of all documents, and T'TG for their passages T of word counts and a random
+    G, from one pass."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, basis, memo = np.zeros((buckets, wide)), random(), Buckets(buckets)
-        texts, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, basis, memo = np.zeros((buckets, wide + 2)), random_basis(buckets, wide, seed), Buckets(buckets)
+        sketch, texts, size, n = total[:, :wide], [], 0, 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                words = raw_words(text)
+                ids = memo.of(raw_words(text))
+                at, times = np.unique(ids, return_counts=True)
+                total[at, wide] += 1
+                total[at, wide + 1] += times
+                n += 1
                 # a long text in parts of whole passages
                 step = SKETCH_WORDS // length * length or length
-                for start in range(0, len(words), step):
-                    texts.append(memo.of(words[start : start + step]))
+                for start in range(0, len(ids), step):
+                    texts.append(ids[start : start + step])
                     size += len(texts[-1])
                     if size >= SKETCH_WORDS:
-                        Passages(texts, idf_of.value, length).add_sketch(total, basis)
+                        Passages(texts, buckets, length).add_sketch(sketch, basis)
                         texts, size = [], 0
                 memo.trim()
-        Passages(texts, idf_of.value, length).add_sketch(total, basis)
-        yield _blocks_of(total)
+        Passages(texts, buckets, length).add_sketch(sketch, basis)
+        yield _blocks_of(np.concatenate([total, np.full((1, wide + 2), n)]))
 
     kinds = "part int, block int, data binary"
-    blocks = _sum_arrays(narrow.select("text").mapInArrow(sketch, kinds), wide)
-    y = np.concatenate([blocks[b] for b in sorted(blocks)]) if blocks else np.zeros((buckets, wide))
+    blocks = _sum_arrays(narrow.select("text").mapInArrow(run, kinds), wide + 2)
+    if not blocks:
+        return Frequencies(0, np.zeros(buckets), np.zeros(buckets)), np.zeros((buckets, wide))
+    whole = np.concatenate([blocks[b] for b in sorted(blocks)])
+    return Frequencies(int(whole[-1, 0]), whole[:-1, wide], whole[:-1, wide + 1]), whole[:-1, :wide]
+
+
+def random_basis(buckets: int, wide: int, seed: int) -> np.ndarray:
+    """Drawn again by every task, not sent."""
+    return np.random.default_rng(seed).standard_normal((buckets, wide)).astype(np.float32)
+
+
+def latent_space(
+    sketch: np.ndarray, items: list[np.ndarray], idf: np.ndarray, rank: int, length: int, seed: int
+) -> np.ndarray:
+    """``buckets x rank``: leading right singular vectors of the TF-IDF passages A = TD,
+    D the inverse document frequencies, over the singular values.
+
+    ``sketch`` is T'TG. With G = DH that is D^-1 A'AH, so Y = D T'TG is A'A times a random
+    matrix as well, and H'Y = G'T'TG. With H'Y = LL' the rows of B = Y L'^-1 give
+    A'A = BB', up to what the sketch cannot see.
+    """
+    buckets, wide = sketch.shape
+    basis, alone = random_basis(buckets, wide, seed).astype(np.float64), np.zeros(sketch.shape)
     # the items weigh as much as the documents' passages, so their directions are kept
-    basis, alone = random().astype(np.float64), np.zeros((buckets, wide))
     for words in items:
-        Passages([words], idf, max(length, len(words))).add_sketch(alone, basis)
-    weight = max(1.0, np.linalg.norm(y) / max(np.linalg.norm(alone), 1e-9))
-    y = y + weight * alone
+        Passages([words], buckets, max(length, len(words))).add_sketch(alone, basis)
+    weight = max(1.0, np.linalg.norm(sketch) / max(np.linalg.norm(alone), 1e-9))
+    y, basis = idf[:, None] * (sketch + weight * alone), basis / idf[:, None]
     # a little of the identity keeps the small matrix positive; it is taken off again
-    shift = 1e-6 * max(np.linalg.norm(y), 1e-9) / np.sqrt(buckets)
+    shift = 1e-6 * max(np.linalg.norm(y), 1e-9) / max(np.linalg.norm(basis), 1e-9)
     y += shift * basis
     small = basis.T @ y
     values, vectors = np.linalg.eigh((small + small.T) / 2)
@@ -374,25 +365,24 @@ class Searcher:
         nothing = len(self.vectors) - 1
         ids, firsts, sizes, at = [], [], [], 0
         around, lows, froms, upto = [], [], [], 0  # portions with what may lie in a region
+        pad = np.full(STEP, nothing, dtype=np.int64)
         for _, words, start, end in part:
-            own = [self.buckets[w] for w in words[start:end]]
             low = max(0, start - self.longest)
-            near_ids = own if end - start == len(words) else [
-                self.buckets[w] for w in words[low : end + self.longest]
-            ]
-            around += near_ids
+            near_ids = self.buckets.of(words[low : end + self.longest])
+            own = near_ids[start - low : end - low]
+            around.append(near_ids)
             lows.append(start - low)
             froms.append(upto)
             upto += len(near_ids)
-            ids += own + [nothing] * (-len(own) % STEP)
+            ids += [own, pad[: -len(own) % STEP]]
             firsts.append(at)
             sizes.append(-(-len(own) // STEP))
             at += sizes[-1]
-        ids = np.array(ids, dtype=np.int64)
+        ids = np.concatenate(ids)
         place_of = np.repeat(np.arange(len(part)), sizes)
         offset = np.arange(at) - np.array(firsts)[place_of]
         stop = np.arange(at) - offset + np.array(sizes)[place_of]
-        around, lows = np.array(around, dtype=np.int64), np.array(lows)
+        around, lows = np.concatenate(around), np.array(lows)
         bounds = np.array([*froms, upto])
         clean: dict[int, list[bytes]] = {}  # words of portions with candidates
         for scale, items, wanted, places, least, number, times, rare in self.blocks:
@@ -484,7 +474,7 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    rank: int = 48,
+    rank: int = 32,
     buckets: int = 1 << 14,
     passage: int = 48,
     min_cosine: float = 0.05,
@@ -506,12 +496,11 @@ def contaminated(
     if len(listed) > max_items:
         raise ValueError(f"more than {max_items} benchmark items: search them in several runs")
     items = [Item(i, terms(t), terms(answer_of(t))) for i, t in listed if t]
-    total, counts, words = frequencies(narrow, buckets)
-    idf = np.log((total + 1) / (counts + 1)) + 0.05
-    memo = Buckets(buckets)
-    space = latent_space(narrow, [memo.of(i.words) for i in items], idf, rank, passage, seed)
+    counted, sketch = counted_sketch(narrow, buckets, rank + OVERSAMPLED, passage, seed)
+    idf, memo = counted.idf, Buckets(buckets)
+    space = latent_space(sketch, [memo.of(i.words) for i in items], idf, rank, passage, seed)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (items, (space * idf[:, None]).astype(np.float32), words > FREQUENT * words.sum())
+        (items, (space * idf[:, None]).astype(np.float32), counted.words > FREQUENT * counted.words.sum())
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -281,21 +281,22 @@ def test_the_latent_space_is_of_all_documents(spark, monkeypatch):
         return seen[-1]
 
     monkeypatch.setattr(latent, "_sum_arrays", sums)
-    contaminated(docs, items, rank=8, buckets=256)
-    total, counts = latent.document_frequencies(docs, 256)
-    idf, memo = np.log((total + 1) / (counts + 1)) + 0.05, latent.Buckets(256)
+    contaminated(docs, items, rank=16, buckets=256)
+    counted, sketch = latent.counted_sketch(docs.select("text"), 256, 24, 48, 7)
+    memo = latent.Buckets(256)
     basis = np.random.default_rng(7).standard_normal((256, 24)).astype(np.float32)
-    wanted, rows = np.zeros((256, 24)), []
-    for text in texts:
-        row = np.bincount(memo.of(latent.raw_words(text)), minlength=256) * idf
-        rows.append(row / np.linalg.norm(row))
-        wanted += np.outer(rows[-1], rows[-1] @ basis)
-    got = np.concatenate([seen[0][b] for b in sorted(seen[0])])
-    assert np.allclose(got, wanted, rtol=1e-3, atol=2e-2)
-    assert len(seen) == 1
+    rows = np.array([np.bincount(memo.of(latent.raw_words(t)), minlength=256) for t in texts], float)
+    assert counted.total == 9_000
+    assert np.array_equal(counted.documents, (rows > 0).sum(0))
+    assert np.array_equal(counted.words, rows.sum(0))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    got = np.concatenate([seen[0][b] for b in sorted(seen[0])])[:-1, :24]
+    for found in (got, sketch):
+        assert np.allclose(found, rows.T @ (rows @ basis), rtol=1e-3, atol=2e-2)
+    assert len(seen) == 2  # one pass for each call
     # what the space makes of the texts' likeness is what the whole matrix would
-    space = latent.latent_space(docs.select("doc_id", "text"), [], idf, 16, 48, 7)
-    rows = np.array(rows)
+    space = latent.latent_space(sketch, [], counted.idf, 16, 48, 7)
+    rows *= counted.idf
     values, vectors = np.linalg.eigh(rows.T @ rows)
     exact = vectors / np.sqrt(np.maximum(values, 1e-2 * values.max()))
     some = rows[:60]
@@ -305,18 +306,17 @@ def test_the_latent_space_is_of_all_documents(spark, monkeypatch):
 def test_passages_of_many_texts():
     """Cut, counted and normed as text by text."""
     rng = np.random.default_rng(2)
-    idf = rng.random(50) + 0.1
     texts = [rng.integers(0, 50, n) for n in (0, 1, 7, 8, 9, 40, 0, 3)]
     basis = rng.standard_normal((50, 6)).astype(np.float32)
     got, wanted = np.zeros((50, 6)), np.zeros((50, 6))
-    latent.Passages(texts, idf, 8).add_sketch(got, basis)
+    latent.Passages(texts, 50, 8).add_sketch(got, basis)
     for text in texts:
         for start in range(0, len(text), 8):
-            row = np.bincount(text[start : start + 8], minlength=50) * idf
+            row = np.bincount(text[start : start + 8], minlength=50).astype(float)
             row /= np.linalg.norm(row)
             wanted += np.outer(row, row @ basis)
     assert np.allclose(got, wanted, atol=1e-4)
-    latent.Passages([], idf, 8).add_sketch(got, basis)
+    latent.Passages([], 50, 8).add_sketch(got, basis)
 
 
 @pytest.mark.parametrize("count", [1, 8])
