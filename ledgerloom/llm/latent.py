@@ -12,9 +12,8 @@ Each item is compared, by cosine, with the windows of about its own length; the
 items are a given query set that goes to every task in blocks of one length. Windows
 that cannot match are not turned into vectors: prefix sums bound, from above and for all
 windows and items of a block at once, how many of an item's words a region holds
-(the most frequent words count as held). A window that is near enough is a
-candidate only: those whose region holds too few of the item's words in any order are
-left out, exactly. A document is reported for an item
+(the most frequent words count as held), and where the bound allows it they are counted,
+in any order. A window that is near enough is a candidate only. A document is reported for an item
 if the longest common subsequence of words around the window covers enough of the
 item and the item's answer is found in it: the text after an answer mark, or the
 last sentence. A nearly complete match needs no answer.
@@ -150,6 +149,7 @@ class Passages:
     def __init__(self, texts: list[np.ndarray], buckets: int, length: int) -> None:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         words = np.concatenate([np.zeros(0, dtype=np.int64), *texts])
+        self.words = np.bincount(words, minlength=buckets)
         place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         passage = np.cumsum(place % length == 0) - 1 if len(words) else words
         keys, times = np.unique(passage * buckets + words, return_counts=True)
@@ -159,10 +159,10 @@ class Passages:
         norms = np.sqrt(np.add.reduceat(values**2, self.cuts)) if len(keys) else values
         self.values = (values / np.maximum(norms[self.row], 1e-12)).astype(np.float32)
 
-    def add_sketch(self, total: np.ndarray, basis: np.ndarray, weight: float = 1.0) -> None:
-        """Add A'A times ``basis``, of these rows, to ``total``."""
+    def add_sketch(self, total: np.ndarray, basis: np.ndarray) -> np.ndarray:
+        """Add A'A times ``basis``, of these rows, to ``total``; words by column."""
         if not len(self.cols):
-            return
+            return self.words
         along = np.take(basis, self.cols, axis=0)
         along *= self.values[:, None].astype(basis.dtype)
         across = np.add.reduceat(along, self.cuts)
@@ -171,7 +171,8 @@ class Passages:
         first = np.flatnonzero(np.diff(cols, prepend=-1))
         np.take(across, self.row[order], axis=0, out=along)
         along *= self.values[order][:, None].astype(basis.dtype)
-        total[cols[first]] += weight * np.add.reduceat(along, first)
+        total[cols[first]] += np.add.reduceat(along, first)
+        return self.words
 
 
 def _sum_arrays(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -215,14 +216,13 @@ def counted_sketch(
     G, from one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, basis, memo = np.zeros((buckets, wide + 2)), random_basis(buckets, wide, seed), Buckets(buckets)
-        sketch, texts, size, n = total[:, :wide], [], 0, 0
+        sketch, basis = np.zeros((buckets, wide)), random_basis(buckets, wide, seed)
+        memo, held, words = Buckets(buckets), np.zeros(buckets), np.zeros(buckets)
+        texts, size, n = [], 0, 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 ids = memo.of(raw_words(text))
-                at, times = np.unique(ids, return_counts=True)
-                total[at, wide] += 1
-                total[at, wide + 1] += times
+                held[ids] += 1  # once for each bucket, however often it is named
                 n += 1
                 # a long text in parts of whole passages
                 step = SKETCH_WORDS // length * length or length
@@ -230,11 +230,12 @@ def counted_sketch(
                     texts.append(ids[start : start + step])
                     size += len(texts[-1])
                     if size >= SKETCH_WORDS:
-                        Passages(texts, buckets, length).add_sketch(sketch, basis)
+                        words += Passages(texts, buckets, length).add_sketch(sketch, basis)
                         texts, size = [], 0
                 memo.trim()
-        Passages(texts, buckets, length).add_sketch(sketch, basis)
-        yield _blocks_of(np.concatenate([total, np.full((1, wide + 2), n)]))
+        words += Passages(texts, buckets, length).add_sketch(sketch, basis)
+        whole = np.column_stack([sketch, held, words])
+        yield _blocks_of(np.concatenate([whole, np.full((1, wide + 2), n)]))
 
     kinds = "part int, block int, data binary"
     blocks = _sum_arrays(narrow.select("text").mapInArrow(run, kinds), wide + 2)
@@ -333,7 +334,7 @@ class Searcher:
             held = np.array([len(i.words) for i in group]) - times.sum(axis=0, dtype=np.int64)
             self.blocks.append(
                 (scale, group, (rows / np.maximum(norms, 1e-9)).T.copy(), places,
-                 need, number, times, need - held)
+                 need, number, times, np.ceil(need - held - 1e-9).astype(times.dtype))
             )
         self.longest = max((scale for scale, *_ in self.blocks), default=STEP)
         self.portion = max(PART_WORDS, 2 * self.longest)
@@ -407,6 +408,10 @@ class Searcher:
             if not len(of_window):
                 continue
             of_window = some[of_window]
+            enough = self._enough(around, low, high, of_window, of_item, places, least)
+            if not len(enough):
+                continue
+            of_window, of_item = of_window[enough], of_item[enough]
             windows, row_of = np.unique(of_window, return_inverse=True)
             long = (ends - starts)[windows] * STEP
             heads = np.cumsum(long) - long
@@ -414,10 +419,8 @@ class Searcher:
             rows = np.add.reduceat(self.vectors[ids[inside]], heads)
             norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-6)
             cosines = np.einsum("ij,ij->i", rows[row_of], wanted.T[of_item]) / norms[row_of]
-            near = cosines >= self.min_cosine
-            of_window, of_item, cosines = of_window[near], of_item[near], cosines[near]
-            enough = self._enough(around, low, high, of_window, of_item, places, least)
-            for c in enough.tolist():
+            near = np.flatnonzero(cosines >= self.min_cosine)
+            for c in near.tolist():
                 w, k = int(of_window[c]), int(of_item[c])
                 t, words, start, end = part[place[w]]
                 base = bounds[place[w]]
