@@ -82,6 +82,14 @@ class Buckets(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
+_KNOWN: dict[int, Buckets] = {}
+
+
+def buckets_of(buckets: int) -> Buckets:
+    """The words a worker has met, kept from task to task; bounded by ``trim``."""
+    return _KNOWN.setdefault(buckets, Buckets(buckets))
+
+
 @dataclass
 class Item:
     """A benchmark item, ready for verification."""
@@ -217,7 +225,7 @@ def counted_sketch(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, basis = np.zeros((buckets, wide)), random_basis(buckets, wide, seed)
-        memo, held, words = Buckets(buckets), np.zeros(buckets), np.zeros(buckets)
+        memo, held, words = buckets_of(buckets), np.zeros(buckets), np.zeros(buckets)
         texts, size, n = [], 0, 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -298,7 +306,7 @@ class Searcher:
                  min_cosine: float, min_common: float, sure_common: float,
                  min_answer: float) -> None:
         buckets = len(vectors)
-        self.buckets = Buckets(buckets)
+        self.buckets = buckets_of(buckets)
         self.vectors = np.append(vectors, np.zeros((1, vectors.shape[1])), axis=0).astype(np.float32)
         self.min_cosine, self.min_common = min_cosine, min_common
         self.sure_common, self.min_answer = sure_common, min_answer
