@@ -22,8 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# numbers per row block inside a task (rows times candidates); bounds its memory
-BLOCK = 2_000_000
+# numbers per row block inside a task (rows times candidates); bounds its memory and
+# lets a block's numbers stay near the processor
+BLOCK = 500_000
+# slots up to which a block of rows is one dense matrix
+DENSE = 256
 # partial arrays added at once, in a task or on the driver: so many, and so many bytes
 FAN = 64
 FAN_BYTES = 64 << 20
@@ -47,6 +50,16 @@ class Block:
             self.x - shift[self.dense], self.dense, self.rows, self.slots, self.layers, self.width
         )
 
+    def filled(self) -> Block:
+        """The same rows with every slot among the numbers, for designs of few slots."""
+        if self.width > DENSE or not self.layers:
+            return self
+        x = np.zeros((len(self), self.width))
+        x[:, self.dense] = self.x
+        x[self.rows, self.slots] = 1.0
+        none = np.zeros(0, dtype=np.int64)
+        return Block(x, np.arange(self.width), none, none, [], self.width)
+
     def where(self, mask) -> Block:
         """The rows that ``mask`` marks."""
         number = np.cumsum(mask) - 1

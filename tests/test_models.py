@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import RFormula
 from pyspark.sql import functions as F
 
-from ledgerloom.models import evaluation, glm, newton, passes, scoring
+from ledgerloom.models import evaluation, glm, newton, passes, penalized, scoring
 from ledgerloom.models.design import assemble, design
 from ledgerloom.models.group_lasso import group_lasso_cv, selected_groups
 from ledgerloom.models.penalized import (
@@ -403,3 +403,30 @@ def test_metrics(spark):
     assert (never.tp, never.fp, never.recall) == (0, 0, 0.0)
     assert never.precision is None and never.f1 is None
     assert evaluation.best_recall(table).first().model == "m"
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.5, 1.0])
+def test_newton_starts_change_the_passes_alone(people, monkeypatch, alpha):
+    """Few passes over the rows, and the minima that the descent finds by itself."""
+    d = design(people, "preference", TERMS, intercept=False)
+    found = penalized_cv(d, "row_id", alpha, folds=4, n_lambda=30)
+    assert found.passes <= 14
+    monkeypatch.setattr(penalized, "NEWTON_SLOTS", 0)
+    alone = penalized_cv(d, "row_id", alpha, folds=4, n_lambda=30)
+    assert found.lambdas == alone.lambdas
+    assert np.allclose(found.coefs, alone.coefs, atol=1e-5)
+    assert ((found.coefs == 0) == (alone.coefs == 0)).all()
+    assert np.allclose(found.cv, alone.cv, atol=1e-6)
+    assert found.passes < alone.passes or alpha == 0.0
+
+
+def test_newton_starts_of_groups_and_rare_outcomes(people, monkeypatch):
+    """Groups of raw columns of unlike sizes, and an outcome that few rows have."""
+    rare = people.withColumn("preference", F.when(F.col("row_id") % 7 == 0, F.col("preference")).otherwise(0))
+    d = assemble(rare.withColumn("age", F.col("age") * 1000), "preference", NUMBERS)
+    groups = {"a": NUMBERS[:2], "b": NUMBERS[2:]}
+    found = group_lasso_cv(d, "row_id", groups, folds=3, n_lambda=20, ratio=1e-2)
+    monkeypatch.setattr(penalized, "NEWTON_SLOTS", 0)
+    alone = group_lasso_cv(d, "row_id", groups, folds=3, n_lambda=20, ratio=1e-2)
+    assert np.allclose(found.coefs, alone.coefs, rtol=1e-4, atol=1e-4)
+    assert found.passes < alone.passes
