@@ -33,6 +33,7 @@ from ledgerloom.llm.common import id_and_text, id_remainder, lower_words
 from ledgerloom.storage import cut_lineage
 
 PREFIXES = (3, 5, 7)  # characters of a word's beginning
+PORTION = 100_000  # terms that are scored together; more only where one text has more
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation
 
 
@@ -85,6 +86,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def scores_of(machine: Machine, texts: list[str | None], terms: Terms) -> np.ndarray:
+    """Scores of texts, taken in portions of some terms."""
+    scores, found, starts = [], [], [0]
+
+    def close() -> None:
+        flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+        scores.append(sigmoid(machine.logits(flat, np.array(starts))))
+        found.clear()
+        del starts[1:]
+
+    for text in texts:
+        own = terms(text)
+        if found and starts[-1] + len(own) > PORTION:
+            close()
+        found.append(own)
+        starts.append(starts[-1] + len(own))
+    close()
+    return np.concatenate(scores)
+
+
 def fit(
     docs: list[np.ndarray], labels: np.ndarray, buckets: int, factors: int = 6, epochs: int = 20,
     rate: float = 0.2, penalty: float = 5e-3, min_docs: int = 8, batch: int = 64, seed: int = 11,
@@ -197,12 +218,7 @@ def toxicity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets_of = Terms(buckets)
         for batch in batches:
-            found, starts = [], [0]
-            for text in batch.column("text").to_pylist():
-                found.append(buckets_of(text))
-                starts.append(starts[-1] + len(found[-1]))
-            flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-            scores = sigmoid(shared.value.logits(flat, np.array(starts)))
+            scores = scores_of(shared.value, batch.column("text").to_pylist(), buckets_of)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"]
             )

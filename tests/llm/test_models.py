@@ -287,3 +287,25 @@ def test_hidden_markup_goes_in_one_scan():
     began = time.perf_counter()
     without_hidden("<script> <style> <!-- " * 100_000)
     assert time.perf_counter() - began < 5
+
+
+def test_scoring_holds_few_terms_at_once(monkeypatch):
+    """Portions of a batch are scored one by one, with the scores of the whole."""
+    from ledgerloom.llm import toxicity as tox
+
+    rng = np.random.default_rng(3)
+    terms = tox.Terms(1 << 10)
+    machine = tox.Machine(0.1, rng.normal(size=1 << 10), rng.normal(0, 0.1, (1 << 10, 4)))
+    texts = [" ".join(f"w{rng.integers(500)}" for _ in range(int(n))) for n in rng.integers(0, 60, 80)]
+    texts += [None, "", "w1"]
+    whole, sizes, before = tox.scores_of(machine, texts, terms), [], tox.Machine.logits
+
+    def watched(self, found, starts):
+        sizes.append(len(found))
+        return before(self, found, starts)
+
+    monkeypatch.setattr(tox, "PORTION", 300)
+    monkeypatch.setattr(tox.Machine, "logits", watched)
+    assert np.array_equal(tox.scores_of(machine, texts, terms), whole)
+    assert len(sizes) > 5 and max(sizes) <= 300
+    assert len(tox.scores_of(machine, [], terms)) == 0
