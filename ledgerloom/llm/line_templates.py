@@ -11,13 +11,15 @@ Only what can matter meets in a leaf: equal lines have met before by their hash,
 and leaves with a single distinct line or too few lines are not parsed. So lines
 travel as hashes first, and then the text of those to be parsed alone: a bit map
 of fixed size keeps the others back where they are read (a full map would let more
-through, and change no result). A leaf with more than ``crowded`` distinct lines is
-parsed in rounds: lines that agree in a part of their positions meet (two similar
-lines agree in all of one part, as they differ in fewer positions than there are
-parts; of long lines the parts are at most ``PARTS``), many of them in blocks by their
-hash; each round's templates take the place of their lines in the next, another part
-each time, and what is left is parsed as one leaf once it is no more crowded. So no
-task grows with a leaf, and its templates are found whatever its size. Documents of
+through, and change no result). The distinct lines of a leaf are parsed in steps that
+are the same for every leaf: first in blocks of the last ``BLOCK_BITS[0]`` bits of
+their hashes, then the templates found, in place of their lines, in blocks of fewer
+bits, and in the end all that the leaf has left together. So the result depends on
+the lines of a leaf alone; ``crowded`` only says from how many distinct lines on the
+blocks of a leaf are dealt out over tasks instead of being parsed in one, and changes
+no result. The lines of a common template become one in the first step, wherever they
+are parsed; the last step takes the templates that a leaf has left in one task, each
+compared with those alone that can be similar. Documents of
 equal text count once, however often they are copied.
 
 Null text has no lines. Lines of fewer than ``min_tokens`` tokens and lines whose
@@ -30,6 +32,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -47,7 +50,7 @@ DIGIT = re.compile(rb"[0-9]")
 EXACT = b"\n"  # before a line without a template: in no line, so no template's hash
 MAP_BITS = 1 << 24
 LEADING = 3  # leading tokens of the tree
-PARTS = 8  # parts of a line's positions, at most
+BLOCK_BITS = (12, 6, 0)  # bits of a hash that make a block, step by step
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -142,24 +145,37 @@ def _texts_of(narrow: DataFrame, members: DataFrame, min_tokens: int) -> DataFra
 
 
 def parse_leaf(lines: list[list[str]], similar: float) -> tuple[list[int], list[str]]:
-    """Template number of each line (all of one length), and the templates."""
+    """Template number of each line (all of one length), and the templates.
+
+    A line is compared with the templates that hold one of its rarest tokens at the
+    same place: so many of them that a template without any is not similar enough."""
     n = len(lines[0])
     code: dict[str, int] = {}
     rows = np.array([[code.setdefault(t, len(code)) for t in line] for line in lines])
     rows[rows == code.get(VARIABLE, -1)] = -1  # of the lines, too, variable tokens match nothing
     made, count, of = np.empty((8, n), dtype=rows.dtype), 0, []
+    holding: dict[tuple[int, int], list[int]] = {}  # templates by place and token
     for row in rows:
-        best = -1
-        if count:
-            shared = ((made[:count] == row) & (row >= 0)).sum(axis=1)
-            best = int(np.argmax(shared))
-            constant = max(int((row >= 0).sum()), int((made[best] >= 0).sum()), 1)
-            if shared[best] < similar * constant:
+        own = [(i, t) for i, t in enumerate(row.tolist()) if t >= 0]
+        needed, best = math.ceil(similar * len(own) - 1e-9), -1
+        if needed > 0:
+            lists = sorted((holding.get(at, ()) for at in own), key=len)
+            near = np.array(sorted(set().union(*lists[: len(own) - needed + 1])), dtype=np.int64)
+        else:
+            near = np.arange(count)
+        if len(near):
+            shared = ((made[near] == row) & (row >= 0)).sum(axis=1)
+            most = int(np.argmax(shared))
+            best = int(near[most])
+            constant = max(len(own), int((made[best] >= 0).sum()), 1)
+            if shared[most] < similar * constant:
                 best = -1
         if best < 0:
             if count == len(made):
                 made = np.concatenate([made, np.empty_like(made)])
             made[count], best, count = row, count, count + 1
+            for at in own:
+                holding.setdefault(at, []).append(best)
         else:
             made[best][made[best] != row] = -1
         of.append(best)
@@ -167,22 +183,44 @@ def parse_leaf(lines: list[list[str]], similar: float) -> tuple[list[int], list[
     return of, [" ".join(word[int(i)] for i in made[k]) for k in range(count)]
 
 
-def _parsed(members: DataFrame, similar: float) -> DataFrame:
-    """``line_hash, template`` of the distinct lines of leaves, leaf by leaf."""
-
-    def batch_of(rows: list[tuple[int, str]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())],
-            ["line_hash", "template"],
-        )
+def parse_in_steps(
+    lines: list[str], similar: float, steps: tuple[int, ...] = BLOCK_BITS
+) -> list[str]:
+    """Template of each distinct line of a leaf; see above."""
+    now = lines
+    for bits in steps:
+        blocks: dict[int, list[str]] = {}
+        for h, kind in sorted((_hash(t.encode()), t) for t in set(now)):
+            blocks.setdefault(h & (1 << bits) - 1, []).append(kind)
+        after: dict[str, str] = {}
+        for kinds in blocks.values():
+            if len(kinds) > 1:
+                of, made = parse_leaf([t.split(" ") for t in kinds], similar)
+                after.update((t, made[k]) for t, k in zip(kinds, of, strict=True))
+        if after:
+            now = [after.get(t, t) for t in now]
+    return now
+
+
+def _parsed(members: DataFrame, similar: float, steps: tuple[int, ...]) -> DataFrame:
+    """``leaf, line_hash, template`` of the distinct lines of leaves, leaf by leaf."""
+    names = ["leaf", "line_hash", "template"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, hashes, lines, done = None, [], [], []
+        leaf, hashes, lines = None, [], []
+        done: tuple[list, ...] = ([], [], [])
 
         def close() -> None:
-            if lines:
-                of, made = parse_leaf(lines, similar)
-                done.extend((h, made[k]) for h, k in zip(hashes, of, strict=True))
+            done[0].extend([leaf] * len(lines))
+            done[1].extend(hashes)
+            done[2].extend(parse_in_steps(lines, similar, steps))
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.string())
+            columns = [pa.array(c, t) for c, t in zip(done, kinds, strict=True)]
+            for column in done:
+                column.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for at, h, tokens in zip(*(batch.column(c).to_pylist() for c in
@@ -191,45 +229,31 @@ def _parsed(members: DataFrame, similar: float) -> DataFrame:
                     close()
                     leaf, hashes, lines = at, [], []
                 hashes.append(h)
-                lines.append(tokens.split(" "))
-            yield batch_of(done)
-            done.clear()
+                lines.append(tokens)
+            yield batch_of()
         close()
-        yield batch_of(done)
+        yield batch_of()
 
-    placed = members.repartition("leaf").sortWithinPartitions("leaf", "line_hash")
-    return placed.mapInArrow(run, "line_hash long, template string")
+    placed = members.repartition("leaf").sortWithinPartitions("leaf")
+    return placed.mapInArrow(run, "leaf long, line_hash long, template string")
 
 
-def _generalised(lines: DataFrame, similar: float, crowded: int) -> DataFrame:
-    """``line_hash, template`` of ``lines (leaf, line_hash, tokens)`` of crowded leaves,
-    round by round; see above."""
-    tokens = F.split("template", " ")
-    parts = F.least(F.floor((1 - similar) * F.size(tokens) + 1e-9) + 1, F.lit(PARTS)).cast("int")
+def _dealt_out(lines: DataFrame, similar: float) -> DataFrame:
+    """``line_hash, template`` of ``lines (leaf, line_hash, tokens)`` of crowded leaves:
+    the same steps, the blocks of each spread over tasks."""
     state = cut_lineage(lines.select("leaf", "line_hash", F.col("tokens").alias("template")))
-    rounds = state.agg(F.max(parts)).first()[0] or 0
-    for k in range(rounds + 1):
-        whole = k == rounds
-        kinds = state.select("leaf", "template").distinct()
-        if whole:
-            key = F.col("leaf")
-        else:
-            own = F.filter(tokens, lambda _, i: F.pmod(i, parts) == F.pmod(F.lit(k), parts))
-            key = F.xxhash64("leaf", F.array_join(own, " "))
-        keyed = kinds.select(
-            "template", key.alias("key"), F.xxhash64("leaf", "template").alias("line_hash")
-        )
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-        block = F.pmod(F.col("line_hash"), F.ceil(F.col("c") / max(crowded, 64)))
-        met = keyed.join(sizes.where("c > 1"), "key").select(
-            F.xxhash64("key", block).alias("leaf"), "line_hash", F.col("template").alias("tokens")
-        )
-        changed = _parsed(met, similar).select(
-            F.col("line_hash").alias("before"), F.col("template").alias("after")
-        )
-        after = state.join(changed, F.xxhash64("leaf", "template") == F.col("before"), "left")
+    for bits in BLOCK_BITS:
+        own = F.xxhash64("template")
+        block = F.xxhash64("leaf", own.bitwiseAND(F.lit((1 << bits) - 1)))
+        kinds = state.select(
+            block.alias("leaf"), own.alias("line_hash"), F.col("template").alias("tokens")
+        ).distinct()
+        changed = _parsed(kinds, similar, (0,)).toDF("block", "before", "after")
+        same = (block == F.col("block")) & (own == F.col("before"))
         following = cut_lineage(
-            after.select("leaf", "line_hash", F.coalesce("after", "template").alias("template"))
+            state.join(changed, same, "left").select(
+                "leaf", "line_hash", F.coalesce("after", "template").alias("template")
+            )
         )
         delete_checkpoint(state)
         state = following
@@ -268,9 +292,9 @@ def recurring_lines(
     members = cut_lineage(distinct.join(mixed, "leaf").select("leaf", "line_hash", "crowded"))
     texts = _texts_of(narrow, members, min_tokens)
     told = texts.join(members, "line_hash").dropDuplicates(["line_hash"])
-    parsed = _parsed(told.where("not crowded"), similar)
+    parsed = _parsed(told.where("not crowded"), similar, BLOCK_BITS).drop("leaf")
     if not members.where("crowded").isEmpty():
-        parsed = parsed.unionAll(_generalised(told.where("crowded"), similar, crowded))
+        parsed = parsed.unionAll(_dealt_out(told.where("crowded"), similar))
     parsed = cut_lineage(parsed).where(F.col("template").rlike(r"(^| )(?!<\*>( |$))"))
     named = lines.join(
         parsed.select("line_hash", F.xxhash64("template").alias("t")), "line_hash", "left"

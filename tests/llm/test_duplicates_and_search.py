@@ -176,6 +176,48 @@ def test_crowded_leaves_keep_other_templates_apart(spark):
         assert not any(found[i] for i in wanted if i % 4 == 2)
 
 
+def _mixed_lines(count, words, seed):
+    """Lines of one leaf that are alike by chance, some more than others."""
+    rng = random.Random(seed)
+    return sorted({
+        " ".join(["so", "it", "was", *(rng.choice(words[: 2 + 3 * k]) for k in range(1, 8))])
+        for _ in range(count)
+    })
+
+
+def test_what_is_found_does_not_hang_on_where_leaves_are_parsed(spark):
+    """The same decisions with every leaf dealt out, some, or none."""
+    lines = _mixed_lines(600, names_of(24), 5)
+    rows = [(i, f"{line}\nposted today by {line.split()[-1]} on our page") for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [
+        {r.doc_id: r.dropped_lines for r in line_report(df, crowded=crowded).collect()}
+        for crowded in (1, 100, 2_000)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert 0 < sum(0 in d for d in found[0].values()) < len(lines)
+
+
+@pytest.mark.parametrize("similar", [0.0, 0.5, 0.7, 1.0])
+def test_parse_leaf_compares_all_that_can_be_similar(similar):
+    lines = [line.split() for line in _mixed_lines(300, [*names_of(20), "<*>"], 6)]
+    made, of = [], []
+    for line in lines:
+        alike = [sum(a == b != "<*>" for a, b in zip(t, line)) for t in made]
+        best = max(range(len(made)), key=lambda k: (alike[k], -k), default=None)
+        if best is not None:
+            constant = max(*(sum(w != "<*>" for w in t) for t in (line, made[best])), 1)
+            if alike[best] < similar * constant:
+                best = None
+        if best is None:
+            of.append(len(made))
+            made.append(list(line))
+        else:
+            of.append(best)
+            made[best] = [a if a == b else "<*>" for a, b in zip(made[best], line)]
+    assert parse_leaf(lines, similar) == (of, [" ".join(t) for t in made])
+
+
 def test_short_digit_and_long_lines_recur(spark):
     """Lines without a template recur as they stand, long ones from two texts on."""
     long = " ".join(f"word{'abcdefghij'[i % 10]}{'xyzuvw'[i % 6]}" for i in range(60))
