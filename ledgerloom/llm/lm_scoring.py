@@ -1,16 +1,16 @@
 """Language-model scores of whole texts, learned from the rows not held out.
 
-The model is prediction by partial matching (see ``ppm``), its trie counted two
-depths at a time: in each pass tasks count the strings that continue the nodes
-found so far, and Spark adds the counts up. The driver sees the kept nodes of a
-depth, at most ``most_nodes``; the trie that tasks score with is bounded by that
-as well.
-
-The base score is a smoothed unigram model over words. Its word counts have no
-bound, so they stay a table: counts of words that make up at least one part in
-``common`` of all tokens (at most ``common`` words, so no word is a hot key) go
-out with the tasks, the other words of a text are joined with the table by their
-64-bit hashes. A text's score, its count and its words travel in one shuffle.
+The model is prediction by partial matching (see ``ppm``). One pass counts every
+string of a symbol and its context, in the training rows and in all; no string is left
+out. The counts stay a table, dealt out by the latest symbols of the context, and of
+each string the code length of its symbol is worked out there. The driver sees the
+strings of ``SHALLOW + 1`` symbols alone (at most 2^24, by far fewer in any text).
+
+A second pass scores: code lengths of the most frequent strings (at most ``frequent``)
+go out with the tasks, the other strings of a text are joined with the table. So do
+the words of the base score, a smoothed unigram model over words: the most frequent (at
+most ``common``, so no word is a hot key) go out, others are joined by their 64-bit
+hashes. What goes out changes no result. A text's score, its counts, strings and words travel in one shuffle.
 
 Null and empty texts hold the end alone. Repeated rows are scored one by one. If
 nothing is left to learn from, the base score is 0 and a symbol is one of 256.
@@ -19,6 +19,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,64 +27,75 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import id_and_text, lower_words, remainder_of
-from ledgerloom.llm.ppm import END, Trie, stream, sums_of
+from ledgerloom.llm.ppm import (
+    LENGTH,
+    ORDER,
+    SHALLOW,
+    STRING as STRING_BITS,
+    Level,
+    found_in,
+    kept_bits,
+    levels_of,
+    log_probabilities,
+    stream,
+    string_keys,
+    sums_of,
+)
 from ledgerloom.storage import cut_lineage
 
-LEARN, SCORE = 1 << 19, 1 << 17  # bytes of text looked at together
-NAMES = ["row", "word", "times", "doc_id", "score", "base", "n_tokens", "known"]
-WORD, STRING, TEXT = range(3)  # what a count of the first pass is of
+PORTION = 1 << 19  # characters of text looked at together
+NAMES = ["row", "kind", "key", "times", "doc_id", "score", "base", "n_tokens", "known"]
+WORD, STRING, TEXT = range(3)  # what a count is of
+GROUPS = 1 << 18  # strings worked out together, at least
 
 
-def _chunks(batch: pa.RecordBatch, held: int, modulus: int, training: bool):
-    """Ids and texts in portions of some bytes; of training rows or of all."""
+def _portions(batch: pa.RecordBatch):
+    """Ids and texts in portions of some characters."""
     ids, texts, size = [], [], 0
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(),
                             strict=True):
-        if training and remainder_of(doc_id, modulus) == held:
-            continue
         ids.append(doc_id)
         texts.append(text)
         size += len(text)
-        if size >= (LEARN if training else SCORE):
+        if size >= PORTION:
             yield ids, texts
             ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
-def _key_counts(keys, counts, kind: int | None = None) -> pa.RecordBatch:
-    columns = [pa.array(np.asarray(keys, dtype=np.int64)),
-               pa.array(np.asarray(counts, dtype=np.int64))]
-    if kind is None:
-        return pa.RecordBatch.from_arrays(columns, ["key", "n"])
+def _key_counts(kind: int, keys, learned, every) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(x, dtype=np.int64)) for x in (keys, learned, every)]
     kinds = pa.array(np.full(len(columns[0]), kind, dtype=np.int32))
-    return pa.RecordBatch.from_arrays([kinds, *columns], ["kind", "key", "n"])
+    return pa.RecordBatch.from_arrays([kinds, *columns], ["kind", "key", "n", "every"])
 
 
 class Sums:
     """Counts by key, added up whenever many have come together."""
 
-    def __init__(self, most: int = 1_500_000) -> None:
+    def __init__(self, most: int = 1_000_000) -> None:
         self.most, self.held = most, 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.held += len(keys)
-        if self.held > self.most:
-            self.parts = [self.total()]
-            self.held = len(self.parts[0][0])
-            self.most = max(self.most, 2 * self.held)
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        return sums_of(keys, counts)
+    def taken(self, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """The sums, if there are too many to go on with or these are the last."""
+        if not last and 2 * self.held <= 3 * self.most:
+            return None
+        keys, counts = (np.concatenate([np.zeros(0, dtype=np.int64), *x])
+                        for x in (zip(*self.parts, strict=True) if self.parts else ((), ())))
+        sums = sums_of(keys, counts)
+        more = not last and len(sums[0]) <= self.most
+        self.parts = [sums] if more else []
+        self.held = len(sums[0]) if more else 0
+        return None if more else sums
 
 
 def word_hash(word: bytes) -> int:
@@ -91,90 +103,119 @@ def word_hash(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def first_counts(narrow: DataFrame, modulus: int, held: int) -> DataFrame:
-    """``kind, key, n`` over the training rows: words, strings of three symbols
-    (two bytes and what follows, 0 after the end), texts."""
+def counted(narrow: DataFrame, order: int, modulus: int, held: int) -> DataFrame:
+    """``kind, key, n, every``: training occurrences of words, strings and texts, and of
+    strings those in all rows."""
+    both = 1 << 32  # a sum holds all occurrences there, training ones below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         strings, texts_seen = Sums(), 0
+
+        def of_words() -> pa.RecordBatch:
+            n = list(words.values())
+            out = _key_counts(WORD, [word_hash(w) for w in words], n, np.zeros(len(n)))
+            words.clear()
+            return out
+
+        def of_strings(sums) -> pa.RecordBatch:
+            return _key_counts(STRING, sums[0], sums[1] & both - 1, sums[1] >> 32)
+
         for batch in batches:
-            for _, texts in _chunks(batch, held, modulus, training=True):
-                texts_seen += len(texts)
-                data, _ = stream(texts)
-                wide = data.astype(np.int64)
-                third = np.where(data[1:] == END, 0, np.append(wide[2:], 0))
-                strings.add(*sums_of(((wide[:-1] << 8) + wide[1:] << 8) + third))
-                for text in texts:
+            for ids, texts in _portions(batch):
+                out = [remainder_of(i, modulus) == held for i in ids]
+                learned = [t for t, o in zip(texts, out, strict=True) if not o]
+                texts_seen += len(learned)
+                for text in learned:
                     words.update(lower_words(text))
+                others = [t for t, o in zip(texts, out, strict=True) if o]
+                for own, weight in ((learned, both + 1), (others, both)):
+                    if own:
+                        keys, times = sums_of(string_keys(stream(own)[0], order))
+                        strings.add(keys, times * weight)
                 if len(words) > 150_000:
-                    yield _key_counts([word_hash(w) for w in words], list(words.values()), WORD)
-                    words.clear()
-        yield _key_counts([word_hash(w) for w in words], list(words.values()), WORD)
-        yield _key_counts(*strings.total(), STRING)
-        yield _key_counts([0], [texts_seen], TEXT)
+                    yield of_words()
+                sums = strings.taken()
+                if sums is not None:
+                    yield of_strings(sums)
+        yield of_words()
+        yield of_strings(strings.taken(last=True))
+        yield _key_counts(TEXT, [0], [texts_seen], [0])
+
+    parts = narrow.mapInArrow(run, "kind int, key long, n long, every long")
+    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+
+
+def _arrays(df: DataFrame, *types: str) -> list[np.ndarray]:
+    """The columns of a frame of bounded size."""
+    table = df.toArrow()
+    return [c.to_numpy().astype(t) for c, t in zip(table.columns, types, strict=True)]
 
-    counted = narrow.mapInArrow(run, "kind int, key long, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
+def shallow_levels(strings: DataFrame, order: int) -> list[Level]:
+    """The levels of contexts of at most ``SHALLOW`` symbols."""
+    depth, key = min(SHALLOW, order), F.col("key")
+    length = F.least(F.shiftright(key, LENGTH), F.lit(depth))
+    short = key.bitwiseAND(F.lit(kept_bits(depth))).bitwiseOR(F.shiftleft(length, LENGTH))
+    few = strings.where("n > 0").groupBy(short.alias("key")).agg(F.sum("n").alias("n"))
+    return levels_of(*_arrays(few, "int64", "int64"), range(depth + 1), [])
 
-def next_counts(narrow: DataFrame, trie: Trie, depth: int, modulus: int, held: int) -> DataFrame:
-    """``key, n``: strings two longer than the contexts of ``depth``."""
-    shared = narrow.sparkSession.sparkContext.broadcast(trie)
+
+def code_lengths(strings: DataFrame, order: int, shallow: list[Level]) -> DataFrame:
+    """``key, every, value``: of every string the log10 probability of its symbol."""
+    shared = strings.sparkSession.sparkContext.broadcast(shallow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = Sums()
-        for batch in batches:
-            for _, texts in _chunks(batch, held, modulus, training=True):
-                strings.add(*shared.value.count_next(stream(texts)[0], depth))
-        yield _key_counts(*strings.total())
-
-    return narrow.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def learn(
-    df: DataFrame, order: int, most_nodes: int, modulus: int, held: int
-) -> tuple[Trie, DataFrame]:
-    """The trie, and the table ``key, n`` of word counts with a row for the texts."""
-    narrow = id_and_text(df)
-    first = cut_lineage(first_counts(narrow, modulus, held))
-    trie = Trie(most_nodes)
-    strings = first.where(F.col("kind") == STRING).select("key", "n")
-    two = strings.groupBy(F.shiftright("key", 8)).agg(F.sum("n"))  # at most 65,536 rows
-    pairs = _collected(two)
-    singles = np.zeros(256, dtype=np.int64)
-    np.add.at(singles, pairs[:, 0] & 255, pairs[:, 1])
-    trie.start(singles)
-    code, width = trie.code.astype(np.int64), trie.width
-    first_node = trie.child[0][width + code[pairs[:, 0] >> 8]].astype(np.int64)
-    trie.deepen(first_node * width + code[pairs[:, 0] & 255], pairs[:, 1])
-    three = _collected(strings.where((F.col("n") >= trie.least) & (F.shiftright("key", 8) % 256 != END)))
-    a, b, c = three[:, 0] >> 16, three[:, 0] >> 8 & 255, three[:, 0] & 255
-    node = trie.child[1][trie.child[0][width + code[a]].astype(np.int64) * width + code[b]]
-    trie.deepen(node.astype(np.int64) * width + code[c], three[:, 1])
-    while len(trie.child) <= order:
-        counts = cut_lineage(next_counts(narrow, trie, len(trie.child), modulus, held))
-        shorter = counts.groupBy((F.col("key") / width).cast("long")).agg(F.sum("n").alias("n"))
-        one = _collected(shorter.where(F.col("n") >= trie.least))
-        trie.deepen(one[:, 0], one[:, 1])
-        if len(trie.child) <= order:
-            two = _collected(
-                counts.where((F.col("n") >= trie.least) & (F.col("key") % width != 0))
+        waiting: list[list[np.ndarray]] = []
+
+        def done(columns: list[np.ndarray]) -> pa.RecordBatch:
+            _, key, n, every = columns
+            value = log_probabilities(key, n, order, shared.value)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(every), pa.array(value)], ["key", "every", "value"]
             )
-            before, symbol = np.divmod(two[:, 0], width)
-            node = trie.child[-1][before].astype(np.int64)
-            trie.deepen(node * width + symbol, two[:, 1])
-    return trie.prepare(), first.where(F.col("kind").isin(WORD, TEXT))
+
+        for batch in batches:
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(w[0]) for w in waiting) < GROUPS:
+                continue
+            columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last group may go on
+            if cut:
+                yield done([c[:cut] for c in columns])
+            waiting = [[c[cut:] for c in columns]]
+        if waiting:
+            yield done([np.concatenate(c) for c in zip(*waiting, strict=True)])
+
+    latest = F.shiftright(F.col("key").bitwiseAND(F.lit(STRING_BITS)), LENGTH - 8 * (SHALLOW + 1))
+    groups = strings.select(latest.alias("latest"), "key", "n", "every").repartition("latest")
+    return groups.sortWithinPartitions("latest").mapInArrow(
+        run, "key long, every long, value double"
+    )
+
+
+def _step(times: str) -> Column:
+    """Occurrences on a scale of some hundred steps."""
+    return F.floor(F.log2(times) * 8)
 
 
-def _collected(counts: DataFrame) -> np.ndarray:
-    return np.array(counts.collect(), dtype=np.int64).reshape(-1, 2)
+def _least_step(keys: DataFrame, times: str, frequent: int) -> float:
+    """Step of occurrences from which on there are at most ``frequent`` keys."""
+    step = _step(times).alias("step")
+    sizes = keys.groupBy(step).agg(F.count(F.lit(1)).alias("c")).collect()
+    least, many = math.inf, 0
+    for of, c in sorted(sizes, reverse=True):
+        many += c
+        if many > frequent:
+            break
+        least = of
+    return least
 
 
 def lm_scores(
     df: DataFrame,
     order: int = 6,
-    most_nodes: int = 1 << 20,
+    frequent: int = 1 << 21,
     common: int = 1 << 17,
     modulus: int = 7,
     held: int = 2,
@@ -183,35 +224,59 @@ def lm_scores(
 ) -> DataFrame:
     """Base score and model score of every row, both log10; ``held`` is the
     remainder of the crc32 of the id, modulo ``modulus``, that is not learned from."""
+    if not 0 <= order <= ORDER:
+        raise ValueError(f"order has to be 0 to {ORDER}")
     spark = df.sparkSession
     narrow = id_and_text(df, id_col, text_col)
-    trie, counts = learn(narrow, order, most_nodes, modulus, held)
+    counts = cut_lineage(counted(narrow, order, modulus, held))
+    strings = counts.where(F.col("kind") == STRING).drop("kind")
+    lengths = cut_lineage(code_lengths(strings, order, shallow_levels(strings, order)))
+    least_string = _least_step(lengths, "every", frequent)
+    keys, values = _arrays(
+        lengths.where(_step("every") >= F.lit(least_string)).select("key", "value"), "int64", "float64"
+    )
+    by_key = np.argsort(keys)
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     totals = {k: (v, n or 0) for k, v, n in counts.groupBy("kind").agg(
         F.count(F.lit(1)), F.sum("n")).collect()}
     texts = totals.get(TEXT, (0, 0))[1]
     tokens = totals.get(WORD, (0, 0))[1] + texts
     kinds = totals.get(WORD, (0, 0))[0] + (texts > 0)
-    least = max(1, -(-tokens // common))
-    often = _collected(words.where(F.col("n") >= least))
+    least_word = _least_step(words, "n", common)
+    often = _arrays(words.where(_step("n") >= F.lit(least_word)), "int64", "int64")
     norm = np.log10(tokens + kinds + 1)
     own_end = float(np.log10(texts + 1) - norm)
     shared = spark.sparkContext.broadcast(
-        (trie, {h: float(np.log10(n + 1) - norm) for h, n in often.tolist()})
+        (keys[by_key], values[by_key],
+         dict(zip(often[0].tolist(), (np.log10(often[1] + 1) - norm).tolist(), strict=True)))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
+        own_keys, own_values, known = shared.value
         task, seen = TaskContext.get().partitionId(), Counter()
         hash_of: dict[bytes, int] = {}
         for batch in batches:
-            types = (pa.int64(), pa.int64(), pa.int32(), batch.schema.field("doc_id").type,
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(),
+                     batch.schema.field("doc_id").type,
                      pa.float64(), pa.float64(), pa.int64(), pa.int64())
-            for ids, portion in _chunks(batch, held, modulus, training=False):
+
+            def joined(row, kind: int, key, times) -> pa.RecordBatch:
+                n = len(row)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(row, types[0]), pa.array(np.full(n, kind, dtype=np.int32)),
+                     pa.array(key, types[2]), pa.array(times, types[3]),
+                     *(pa.nulls(n, t) for t in types[4:])], NAMES,
+                )
+
+            for ids, portion in _portions(batch):
                 data, starts = stream(portion)
-                score = np.add.reduceat(model.code_lengths(data), starts - 1, dtype=np.float64)
+                found, of = np.unique(string_keys(data, order), return_inverse=True)
+                at, hit = found_in(own_keys, found)
+                value = np.zeros(len(found))
+                value[hit] = own_values[at[hit]]
+                score = np.add.reduceat(value[of], starts - 1)
                 of_row, of_word, of_times, rows = [], [], [], []
-                for doc_id, text, value in zip(ids, portion, score.tolist(), strict=True):
+                for doc_id, text, total in zip(ids, portion, score.tolist(), strict=True):
                     listed = lower_words(text)
                     # rows are told apart by what they hold, equal ones by their number
                     name = xxhash.xxh64_intdigest(f"{doc_id}\x00{text}".encode("utf-8", "replace"))
@@ -232,35 +297,42 @@ def lm_scores(
                             base += n * known_word
                             hits += n
                     of_row.append((row, len(of_word) - before))
-                    rows.append((row, row, 0, doc_id, value, base, len(listed) + 1, hits))
+                    rows.append((row, TEXT, row, 0, doc_id, total, base, len(listed) + 1, hits))
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], NAMES
                 )
-                named = np.repeat([r for r, _ in of_row], [k for _, k in of_row])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(named, pa.int64()), pa.array(of_word, pa.int64()),
-                     pa.array(of_times, pa.int32()), *(pa.nulls(len(named), t) for t in types[3:])],
-                    NAMES,
-                )
+                named = np.array([r for r, _ in of_row], dtype=np.int64)
+                yield joined(np.repeat(named, [k for _, k in of_row]), WORD, of_word, of_times)
+                rest = np.flatnonzero(~hit[of])
+                text_of = np.searchsorted(starts - 1, rest, side="right") - 1
+                yield joined(named[text_of], STRING, found[of[rest]],
+                             np.ones(len(rest), dtype=np.int32))
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
     parts = narrow.mapInArrow(
         run,
-        f"row long, word long, times int, doc_id {kind}, score double, base double, "
+        f"row long, kind int, key long, times int, doc_id {kind}, score double, base double, "
         "n_tokens long, known long",
     )
-    rest = words.where(F.col("n") < least).select(F.col("key").alias("word"), "n")
-    met = parts.join(rest, "word", "left")
-    c = F.coalesce("n", F.lit(0))
+    rare_words = words.where(_step("n") < F.lit(least_word)).select(
+        F.lit(WORD).alias("kind"), "key", "n", (F.log10(F.col("n") + 1) - float(norm)).alias("value")
+    )
+    rare_strings = lengths.where(_step("every") < F.lit(least_string)).select(
+        F.lit(STRING).alias("kind"), "key", F.lit(None).cast("long").alias("n"), "value"
+    )
+    met = parts.join(rare_words.unionAll(rare_strings), ["kind", "key"], "left")
+    is_word, is_string = F.col("kind") == WORD, F.col("kind") == STRING
+    of_word = F.coalesce("value", F.lit(-float(norm)))  # never seen in training
     summed = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("score").alias("score"),
         F.max("n_tokens").alias("n_tokens"),
         F.max("base").alias("base"),
         F.max("known").alias("known"),
-        F.sum(F.col("times") * (F.log10(c + 1) - F.lit(float(norm)))).alias("rare_base"),
-        F.sum(F.when(F.col("times") > 0, F.when(c > 0, F.col("times")))).alias("rare_known"),
+        F.sum(F.when(is_word, F.col("times") * of_word)).alias("rare_base"),
+        F.sum(F.when(is_word & (F.col("n") > 0), F.col("times"))).alias("rare_known"),
+        F.sum(F.when(is_string, F.col("times") * F.col("value"))).alias("rare_score"),
     )
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
     return summed.select(
@@ -269,6 +341,6 @@ def lm_scores(
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base")).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

@@ -1,20 +1,20 @@
-"""Prediction by partial matching over bytes: the trie and the code lengths.
+"""Prediction by partial matching over bytes: strings, their counts, code lengths.
 
 A text is the stream of its lower-cased words, one space apart, and an end symbol.
-A node of the trie is a string of up to ``order + 1`` symbols; read as a context it
-predicts the next symbol by the counts of its children. What is not among them is
-reached by an escape to the next shorter context, where the symbols of the longer
-one are excluded, and in the end by equal shares of the symbols never seen.
-
-The escape of a context counts its distinct children, and the occurrences of the
-children the trie does not keep. A node is kept if it makes up at least one part
-in ``most_nodes`` of all training symbols, so a depth has at most ``most_nodes``
-nodes however large the corpus is, and a kept node's prefix and suffix are kept.
-
-Depths are arrays: ``child[d][node, symbol]`` is the node one deeper (0: none).
-Contexts of all positions of a stream are looked up depth by depth, each depth
-one array operation. All that a context contributes to a code length is a sum of
-values of nodes, prepared when the trie is built.
+A context of up to ``order`` symbols predicts the next symbol by the counts of what
+follows it. What does not is reached by an escape to the next shorter context, where
+the symbols of the longer one are excluded, and in the end by equal shares of the
+symbols never seen. The escape of a context counts its distinct symbols.
+
+A symbol with the symbols before it is one whole number (``string_keys``), and all
+that its code length hangs on are counts of strings that share their latest symbols
+with it. So ``log_probabilities`` takes the distinct strings of some groups, a group
+being all those with the same latest ``SHALLOW + 1`` symbols of context, and the
+levels of the shallow contexts, of which there are few.
+
+``Trie`` is the same model in one process, its children arrays by depth; there a node
+may be kept only if it makes up at least one part in ``most_nodes`` of all symbols,
+and what is left out counts towards the escape.
 """
 
 from __future__ import annotations
@@ -48,6 +48,105 @@ def sums_of(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+ORDER = 6  # symbols of context that a key has room for
+SHALLOW = 2  # depth of the contexts all groups share
+LENGTH, STRING = 56, (1 << 56) - 1  # where a key holds its length, and its string
+
+
+def kept_bits(depth: int) -> int:
+    """The bits of a key that hold the symbol and its latest ``depth`` of context."""
+    return 0xFF | STRING & -(1 << LENGTH - 8 * depth)
+
+
+def string_keys(data: np.ndarray, order: int) -> np.ndarray:
+    """Every symbol of a stream but the first, with its context: the length of that, then
+    the context from its latest symbol on, then the symbol."""
+    wide = data.astype(np.int64)
+    keys = wide[1:].copy()
+    for d in range(1, min(order, len(keys)) + 1):
+        keys[d - 1:] |= wide[:-d] << LENGTH - 8 * d
+    keys |= order << LENGTH
+    ends = np.flatnonzero(data == END)
+    sizes = np.diff(ends)
+    for t in range(1, order):  # a text's start is known by the end symbol alone
+        at = ends[:-1][sizes >= t] + t - 1
+        keys[at] = keys[at] & kept_bits(t) | t << LENGTH
+    return keys
+
+
+def found_in(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys among known ones in order, and whether they are there."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
+def at_depth(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Context of some depth and symbol; of keys that are long enough."""
+    return (keys & STRING) >> LENGTH - 8 * depth << 8 | keys & 0xFF
+
+
+class Level:
+    """Contexts of one depth, what follows them how often, and how much of the level
+    above (one symbol shorter) their symbols take."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, above: Level | None):
+        use = (keys >> LENGTH >= depth) & (counts > 0)
+        self.depth = depth
+        self.child, self.count = sums_of(at_depth(keys[use], depth), counts[use])
+        own = self.child >> 8
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+        self.context = own[first]
+        self.total, self.taken = (np.zeros(len(first), dtype=np.int64) for _ in range(2))
+        if len(first):
+            self.total = np.add.reduceat(self.count, first)
+            if above is not None:
+                shorter, _ = found_in(above.child, own >> 8 << 8 | self.child & 0xFF)
+                self.taken = np.add.reduceat(above.count[shorter], first)
+        self.kinds = np.diff(np.append(first, len(own)))
+
+
+def levels_of(keys: np.ndarray, counts: np.ndarray, depths: range, before: list[Level]) -> list[Level]:
+    out = list(before)
+    for depth in depths:
+        out.append(Level(keys, counts, depth, out[-1] if out else None))
+    return out[len(before):]
+
+
+def log_probabilities(
+    keys: np.ndarray, counts: np.ndarray, order: int, shallow: list[Level]
+) -> np.ndarray:
+    """log10 probability of the symbols of distinct strings, given their contexts;
+    ``counts`` are their training occurrences, which may be 0."""
+    levels = shallow + levels_of(keys, counts, range(len(shallow), order + 1), shallow)
+    never = 256 - len(shallow[0].child)
+    score = np.full(len(keys), -np.log10(max(never, 1)))
+    # of the level above: what the next escape leads to, occurrences, weights
+    last, seen, room, full = score.copy(), None, None, None
+    for level in levels:
+        at = at_depth(keys, level.depth)
+        ctx, valid = found_in(level.context, at >> 8)
+        valid &= keys >> LENGTH >= level.depth
+        rows = np.flatnonzero(valid)
+        ctx, at = ctx[rows], at[rows]
+        child, hit = found_in(level.child, at)
+        n = np.where(hit, level.count[child], 0) if len(level.child) else np.zeros(len(rows))
+        if seen is not None:
+            left = np.log10(np.maximum(full[rows] - level.taken[ctx], room[rows]))
+            up = seen[rows]
+            last[rows] = np.where(
+                up > 0, np.log10(np.maximum(up, 1)), np.log10(room[rows]) + last[rows]
+            ) - left
+        kinds, total = level.kinds[ctx], level.total[ctx]
+        score[rows] = np.where(
+            n > 0, np.log10(np.maximum(n, 1)), np.log10(kinds) + last[rows]
+        ) - np.log10(total + kinds)
+        seen, room, full = (np.zeros(len(keys)) for _ in range(3))
+        seen[rows], room[rows], full[rows] = n, kinds, total + kinds
+    return score
+
+
 class Trie:
     def __init__(self, most_nodes: int = 1 << 20) -> None:
         self.most_nodes = most_nodes

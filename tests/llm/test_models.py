@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from itertools import product
 from zlib import crc32
@@ -124,6 +125,35 @@ def test_scores_of_odd_rows(odd, none):
     assert untrained.score == pytest.approx(-math.log10(256) * (len("one two.") + 1), rel=1e-5)
 
 
+@pytest.mark.parametrize("order,frequent", [(0, 1 << 21), (2, 0), (4, 30), (6, 0), (6, 1 << 21)])
+def test_scores_equal_plain_ppm_whatever_goes_out(spark, order, frequent):
+    """No string is left out, and it does not matter which are joined."""
+    rng = random.Random(order)
+    texts = [
+        " ".join(rng.choice(["ab", "abc", "Bca", "cab", "b\u00e4", "a\x00b", "zz"]) for _ in range(rng.randint(0, 9)))
+        for _ in range(60)
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = [t for i, t in enumerate(texts) if crc32(str(i).encode()) % 7 != 2]
+    rows = lm_scores(df, order=order, frequent=frequent).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        wanted = slow_code(learned, texts[row.doc_id], order)
+        assert row.score == pytest.approx(wanted, rel=1e-9)
+
+
+def test_rare_strings_count_in_large_corpora(spark):
+    """Of some millions of symbols, a string of two or three occurrences still counts."""
+    rows = [(i, "the same words of all the texts " * 120) for i in range(2_000)]
+    rows += [(10_001 + i, "qxz jvk") for i in range(2)] + [(10_050, "qxz jvk"), (10_051, "kvj zxq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [t for i, t in rows if crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(texts)
+    got = {r.doc_id: r.score for r in lm_scores(df).collect()}
+    assert counts["qxz jvk"] >= 2 and len(texts[0]) * counts[texts[0]] > 4 << 20
+    assert got[10_050] - got[10_051] > 10
+
+
 # --- toxicity
 
 
