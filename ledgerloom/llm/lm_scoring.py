@@ -41,7 +41,7 @@ from ledgerloom.llm.ppm import (
     kept_bits,
     levels_of,
     log_probabilities,
-    stream,
+    stream_of,
     string_keys,
     sums_of,
 )
@@ -77,7 +77,7 @@ def _key_counts(kind: int, keys, learned, every) -> pa.RecordBatch:
 class Sums:
     """Counts by key, added up whenever many have come together."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 1_500_000) -> None:
         self.most, self.held = most, 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -87,7 +87,7 @@ class Sums:
 
     def taken(self, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
         """The sums, if there are too many to go on with or these are the last."""
-        if not last and 2 * self.held <= 3 * self.most:
+        if not last and 5 * self.held <= 7 * self.most:
             return None
         keys, counts = (np.concatenate([np.zeros(0, dtype=np.int64), *x])
                         for x in (zip(*self.parts, strict=True) if self.parts else ((), ())))
@@ -124,14 +124,14 @@ def counted(narrow: DataFrame, order: int, modulus: int, held: int) -> DataFrame
         for batch in batches:
             for ids, texts in _portions(batch):
                 out = [remainder_of(i, modulus) == held for i in ids]
-                learned = [t for t, o in zip(texts, out, strict=True) if not o]
+                learned = [lower_words(t) for t, o in zip(texts, out, strict=True) if not o]
                 texts_seen += len(learned)
-                for text in learned:
-                    words.update(lower_words(text))
-                others = [t for t, o in zip(texts, out, strict=True) if o]
+                for listed in learned:
+                    words.update(listed)
+                others = [lower_words(t) for t, o in zip(texts, out, strict=True) if o]
                 for own, weight in ((learned, both + 1), (others, both)):
                     if own:
-                        keys, times = sums_of(string_keys(stream(own)[0], order))
+                        keys, times = sums_of(string_keys(stream_of(own)[0], order))
                         strings.add(keys, times * weight)
                 if len(words) > 150_000:
                     yield of_words()
@@ -254,7 +254,7 @@ def lm_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_keys, own_values, known = shared.value
         task, seen = TaskContext.get().partitionId(), Counter()
-        hash_of: dict[bytes, int] = {}
+        met_words: dict[bytes, float | int] = {}  # values of those known, hashes of others
         for batch in batches:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(),
                      batch.schema.field("doc_id").type,
@@ -269,32 +269,33 @@ def lm_scores(
                 )
 
             for ids, portion in _portions(batch):
-                data, starts = stream(portion)
+                words_of = [lower_words(t) for t in portion]
+                data, starts = stream_of(words_of)
                 found, of = np.unique(string_keys(data, order), return_inverse=True)
                 at, hit = found_in(own_keys, found)
                 value = np.zeros(len(found))
                 value[hit] = own_values[at[hit]]
                 score = np.add.reduceat(value[of], starts - 1)
                 of_row, of_word, of_times, rows = [], [], [], []
-                for doc_id, text, total in zip(ids, portion, score.tolist(), strict=True):
-                    listed = lower_words(text)
+                for doc_id, text, listed, total in zip(ids, portion, words_of, score.tolist(),
+                                                       strict=True):
                     # rows are told apart by what they hold, equal ones by their number
                     name = xxhash.xxh64_intdigest(f"{doc_id}\x00{text}".encode("utf-8", "replace"))
                     seen[name] += 1
                     row = xxhash.xxh64_intdigest(f"{name} {task} {seen[name]}") - (1 << 63)
                     base, hits, before = own_end, int(texts > 0), len(of_word)
                     for word, n in Counter(listed).items():
-                        h = hash_of.get(word)
-                        if h is None:
-                            if len(hash_of) > 100_000:
-                                hash_of.clear()
-                            h = hash_of[word] = word_hash(word)
-                        known_word = known.get(h)
-                        if known_word is None:
-                            of_word.append(h)
+                        own = met_words.get(word)
+                        if own is None:
+                            if len(met_words) > 100_000:
+                                met_words.clear()
+                            own = word_hash(word)
+                            own = met_words[word] = known.get(own, own)
+                        if own.__class__ is int:
+                            of_word.append(own)
                             of_times.append(n)
                         else:
-                            base += n * known_word
+                            base += n * own
                             hits += n
                     of_row.append((row, len(of_word) - before))
                     rows.append((row, TEXT, row, 0, doc_id, total, base, len(listed) + 1, hits))

@@ -29,7 +29,12 @@ END = 0xFF  # no byte of UTF-8
 def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of texts in a row, an end symbol first and after each, and where
     each text's symbols start (from the second on)."""
-    parts = [b" ".join(lower_words(t)) for t in texts]
+    return stream_of([lower_words(t) for t in texts])
+
+
+def stream_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the words of texts."""
+    parts = [b" ".join(w) for w in words]
     sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
     joined = b"\xff" + b"".join([p + b"\xff" for p in parts])
     return np.frombuffer(joined, dtype=np.uint8), np.cumsum(sizes) - sizes + 1
