@@ -413,48 +413,89 @@ def _descend(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, before,
 
 def _newton(blocks: RowBlocks, heads: _Heads, groups, weights, l1, l2, origin):
     """Coefficients (head, penalty, slot) and intercepts to start the descent from, and
-    the passes they took: proximal Newton steps from the null models, whose gradients
-    and curvatures are known. A problem stays at the point that met the optimality
-    conditions best."""
+    the passes they took: proximal Newton steps. Problems of all rows start from the null
+    models, whose gradients and curvatures are known, those of a training set from where
+    the same penalty ended on all rows, or from the null model if that is nearer. A
+    problem stays at the point that met the optimality conditions best."""
     import numpy as np
 
     n_heads, width = heads.mean.shape
     n_lams = len(l1)
-    head = np.repeat(np.arange(n_heads), n_lams)
-    l1, l2 = np.tile(l1, n_heads), np.tile(l2, n_heads)
-    b, b0 = np.zeros((len(head), width)), heads.start[head]
+    b, b0 = np.zeros((n_heads, n_lams, width)), np.repeat(heads.start[:, None], n_lams, axis=1)
     passes = 0
     if width <= NEWTON_SLOTS:
-        g0, g = np.zeros(len(head)), -heads.null_gradient[head]
-        off = _off_optimum(b, g0, g, groups, weights, l1, l2)
         rate = 1 / (1 + np.exp(-heads.start))
         # the intercept's curvature, its products with the slots, and theirs without it
-        own = rate * (1 - rate)
-        curve = own[head], np.zeros((len(head), width)), (4 * own[:, None, None] * heads.bound)[head]
-        left, inner = np.arange(len(head)), 1e-4
-        for _ in range(NEWTON_STEPS):
-            at, at0, h = b[left], b0[left], head[left]
-            new = _curved_step(curve[2], g, at, groups, weights, l1[left], l2[left], heads.unit[h], inner)
-            new0 = at0 - (g0 + (curve[1] * (new - at)).sum(axis=1)) / curve[0]
-            moved = np.maximum(np.abs((new - at) * heads.unit[h]).max(axis=1), np.abs(new0 - at0))
-            fine = np.isfinite(moved)
-            close = fine & (moved <= NEWTON_CLOSE)
-            b[left[close]], b0[left[close]] = new[close], new0[close]
-            busy = fine & ~close
-            left, new, new0, h = left[busy], new[busy], new0[busy], h[busy]
-            if not len(left):
-                break
-            inner = max(1e-3 * float(moved[busy].max()) ** 2, 1e-9)
-            g0, g, curve, more = _curvatures(blocks, heads, h, new0, new, origin)
+        own, among = rate * (1 - rate), 4 * (rate * (1 - rate))[:, None, None] * heads.bound
+        terms = groups, weights, l1, l2
+
+        def null(h):
+            curve = np.full(n_lams, own[h]), np.zeros((n_lams, width)), np.tile(among[h], (n_lams, 1, 1))
+            return np.zeros(n_lams), np.tile(-heads.null_gradient[h], (n_lams, 1)), curve
+
+        every = np.arange(n_lams)
+        off = _off_optimum(b[0], *null(0)[:2], *terms)
+        b[0], b0[0], passes = _newton_steps(
+            blocks, heads, np.zeros(n_lams, dtype=int), every, b[0], b0[0], null(0), off, terms, origin, 1e-4
+        )
+        if n_heads > 1:
+            starts, at, more = _from_whole(blocks, heads, b[0], b0[0], origin)
             passes += more
-            now = _off_optimum(new, g0, g, groups, weights, l1[left], l2[left])
-            better = now < off[left]
-            off[left] = np.where(better, now, off[left])
-            left = left[better]
-            b[left], b0[left] = new[better], new0[better]
-            g0, g, curve = g0[better], g[better], tuple(c[better] for c in curve)
-    shape = n_heads, n_lams
-    return b.reshape(*shape, width), b0.reshape(shape), passes
+            kept = []
+            for h in range(1, n_heads):
+                (own_b, own_b0), (g0, g, curve), bare = starts[h - 1], at[h - 1], null(h)
+                off, now = _off_optimum(b[h], *bare[:2], *terms), _off_optimum(own_b, g0, g, *terms)
+                good = now < off
+                b[h][good], b0[h][good] = own_b[good], own_b0[good]
+                kept.append([
+                    np.where(good, now, off),
+                    *(np.where(good.reshape(-1, *[1] * (x.ndim - 1)), x, y)
+                      for x, y in zip((g0, g, *curve), (*bare[:2], *bare[2]), strict=True)),
+                ])
+            off, g0, g, *curve = (np.concatenate(x) for x in zip(*kept, strict=True))
+            rest, rest0, more = _newton_steps(
+                blocks, heads, np.repeat(np.arange(1, n_heads), n_lams), np.tile(every, n_heads - 1),
+                b[1:].reshape(-1, width), b0[1:].ravel(), (g0, g, tuple(curve)), off, terms, origin, 1e-9,
+            )
+            b[1:], b0[1:] = rest.reshape(b[1:].shape), rest0.reshape(b0[1:].shape)
+            passes += more
+    return b, b0, passes
+
+
+def _newton_steps(
+    blocks: RowBlocks, heads: _Heads, head, lam, b, b0, local, off, terms, origin, inner
+):
+    """Proximal Newton steps of some problems, by head and penalty, from points of which
+    ``local`` holds gradients and curvatures; ``off`` is how far these are off, ``inner``
+    how well the first step is solved."""
+    import numpy as np
+
+    groups, weights, l1, l2 = terms
+    l1, l2, b, b0, off = l1[lam], l2[lam], b.copy(), b0.copy(), off.copy()
+    g0, g, curve = local
+    left, passes = np.arange(len(head)), 0
+    for _ in range(NEWTON_STEPS):
+        at, at0, h = b[left], b0[left], head[left]
+        new = _curved_step(curve[2], g, at, groups, weights, l1[left], l2[left], heads.unit[h], inner)
+        new0 = at0 - (g0 + (curve[1] * (new - at)).sum(axis=1)) / curve[0]
+        moved = np.maximum(np.abs((new - at) * heads.unit[h]).max(axis=1), np.abs(new0 - at0))
+        fine = np.isfinite(moved)
+        close = fine & (moved <= NEWTON_CLOSE)
+        b[left[close]], b0[left[close]] = new[close], new0[close]
+        busy = fine & ~close
+        left, new, new0, h = left[busy], new[busy], new0[busy], h[busy]
+        if not len(left):
+            break
+        inner = max(1e-3 * float(moved[busy].max()) ** 2, 1e-9)
+        g0, g, curve, more = _curvatures(blocks, heads, h, new0, new, origin)
+        passes += more
+        now = _off_optimum(new, g0, g, groups, weights, l1[left], l2[left])
+        better = now < off[left]
+        off[left] = np.where(better, now, off[left])
+        left = left[better]
+        b[left], b0[left] = new[better], new0[better]
+        g0, g, curve = g0[better], g[better], tuple(c[better] for c in curve)
+    return b, b0, passes
 
 
 def _off_optimum(b, g0, g, groups, weights, l1, l2):
@@ -480,61 +521,133 @@ def _curvatures(blocks: RowBlocks, heads: _Heads, head, b0, b, origin):
     import numpy as np
 
     width = b.shape[1]
-    pairs = np.triu_indices(width + 1)
-    mean, scale = heads.mean[0] - origin, heads.scale[0]
-    share = max(1, TOGETHER // (1 + width + len(pairs[0])))
-    g0, g = np.empty(len(head)), np.empty_like(b)
-    own, with_slots, among = np.empty(len(head)), np.empty_like(b), np.empty((*b.shape, width))
-    parts = [slice(i, min(i + share, len(head))) for i in range(0, len(head), share)]
+    size = 1 + width + triangle(width + 1)
+    share = max(1, TOGETHER // size)
+    parts = [slice(i, i + share) for i in range(0, len(head), share)]
+    found = []
     for part in parts:
         h = head[part]
-        slopes = b[part] / heads.scale[h]
-        free = b0[part] - (slopes * (heads.mean[h] - origin)).sum(axis=1)
-        coefs, out = np.concatenate([free[None], slopes.T]), heads.out[h]
+        block = _bent_block(heads, _plain(heads, h, b0[part], b[part], origin), origin, heads.out[h])
+        sums = blocks.sum(block, size * len(h), min(ABREAST, len(h)))
+        found.append(_local(heads, h, sums.reshape(size, len(h)), origin))
+    g0, g, *curve = (np.concatenate(x) for x in zip(*found, strict=True))
+    return g0, g, tuple(curve), len(parts)
+
+
+def _plain(heads: _Heads, head, b0, b, origin):
+    """Coefficients (slot, problem) for unscaled columns counted from ``origin``."""
+    import numpy as np
+
+    slopes = b / heads.scale[head]
+    free = b0 - (slopes * (heads.mean[head] - origin)).sum(axis=1)
+    return np.concatenate([free[None], slopes.T])
+
+
+def _bent_block(heads: _Heads, coefs, origin, out):
+    """For ``RowBlocks.sum``: by problem the sums over the rows outside its fold ``out``
+    that gradient and curvature are worked out from in ``_local``."""
+    width = len(coefs) - 1
+    mean, scale = heads.mean[0] - origin, heads.scale[0]
+
+    def block(x, y, fold):
+        import numpy as np
+
+        pairs = np.triu_indices(width + 1)
+        x = x.less(origin).filled()
+        ones = np.ones((len(x), 1), dtype=np.float32)
+        full = np.hstack([ones, ((x.x - mean) / scale).astype(np.float32)])
+        products = (full[:, pairs[0]] * full[:, pairs[1]]).T
+        sums = np.empty((1 + width + len(products), len(out)))
+        for some in _abreast(len(out)):
+            mu = _rates(x, coefs[:, some])
+            weight = mu.astype(np.float32)
+            weight -= weight * weight
+            mu -= y[:, None]
+            for rows, own in _held_parts(fold, out[some]):
+                mu[rows, own] = weight[rows, own] = 0.0
+            sums[0, some] = mu.sum(axis=0)
+            sums[1 : 1 + width, some] = x.sums(mu)
+            sums[1 + width :, some] = products @ weight
+        return sums.ravel()
+
+    return block
+
+
+def _local(heads: _Heads, h, sums, origin):
+    """Gradients and curvatures of problems of heads ``h`` from the sums of
+    ``_bent_block`` (figure, problem)."""
+    import numpy as np
+
+    width = heads.mean.shape[1]
+    pairs = np.triu_indices(width + 1)
+    scale = heads.scale[0]
+    g0, g = heads.gradient(sums[: 1 + width], h, origin)
+    matrix = np.empty((len(h), width + 1, width + 1))
+    matrix[:, pairs[0], pairs[1]] = matrix[:, pairs[1], pairs[0]] = (sums[1 + width :] / heads.n[h]).T
+    # from columns about the first head's means to those of the problem's own head
+    turn = np.zeros_like(matrix)
+    turn[:, 0, 0] = 1.0
+    slot = np.arange(width)
+    turn[:, slot + 1, slot + 1] = scale / heads.scale[h]
+    turn[:, 1:, 0] = (heads.mean[0] - heads.mean[h]) / heads.scale[h]
+    turn[:, 1:][heads.constant[h]] = 0.0
+    matrix = turn @ matrix @ turn.transpose(0, 2, 1)
+    # a little more, so that rounding leaves no direction bent downwards
+    at = np.arange(width + 1)
+    matrix[:, at, at] *= 1 + 1e-5
+    own = np.maximum(matrix[:, 0, 0], 1e-12)
+    with_slots = matrix[:, 0, 1:]
+    lost = with_slots / own[:, None]
+    among = matrix[:, 1:, 1:] - with_slots[:, :, None] * lost[:, None, :]
+    # gradients of the slots once the intercept follows them
+    return g0, g - lost * g0[:, None], own, with_slots, among
+
+
+def _from_whole(blocks: RowBlocks, heads: _Heads, b, b0, origin):
+    """The points of the first head's problems, and gradients and curvatures there, for
+    every other head; and the passes that took.
+
+    A row lies in one fold alone. So a pass sums up its folds apart, at the points of
+    the problems of all rows, and a training set's sums are those of its folds: all
+    heads are served for what the first one costs."""
+    import numpy as np
+
+    width, folds = b.shape[1], len(heads.n) - 1
+    size = 1 + width + triangle(width + 1)
+    share = max(1, TOGETHER // (size * folds))
+    coefs = _plain(heads, np.zeros(len(b), dtype=int), b0, b, origin)
+    slopes = coefs[1:].T
+    parts = [slice(i, i + share) for i in range(0, len(b), share)]
+    others = 1.0 - np.eye(folds)
+    sums = []
+    for part in parts:
+        some = coefs[:, part]
+        whole = _bent_block(heads, some, origin, np.full(some.shape[1], -1))
 
-        def block(x, y, fold):
+        def block(x, y, fold, whole=whole, shape=(folds, size * some.shape[1])):
             import numpy as np
 
-            x = x.less(origin).filled()
-            ones = np.ones((len(x), 1), dtype=np.float32)
-            full = np.hstack([ones, ((x.x - mean) / scale).astype(np.float32)])
-            products = (full[:, pairs[0]] * full[:, pairs[1]]).T
-            sums = np.empty((1 + width + len(products), len(out)))
-            for some in _abreast(len(out)):
-                mu = _rates(x, coefs[:, some])
-                weight = mu.astype(np.float32)
-                weight -= weight * weight
-                mu -= y[:, None]
-                for rows, own in _held_parts(fold, out[some]):
-                    mu[rows, own] = weight[rows, own] = 0.0
-                sums[0, some] = mu.sum(axis=0)
-                sums[1 : 1 + width, some] = x.sums(mu)
-                sums[1 + width :, some] = products @ weight
-            return sums.ravel()
-
-        rows = 1 + width + len(pairs[0])
-        sums = blocks.sum(block, rows * len(h), min(ABREAST, len(h))).reshape(rows, len(h))
-        g0[part], g[part] = heads.gradient(sums[: 1 + width], h, origin)
-        matrix = np.empty((len(h), width + 1, width + 1))
-        matrix[:, pairs[0], pairs[1]] = matrix[:, pairs[1], pairs[0]] = (sums[1 + width :] / heads.n[h]).T
-        # from columns about the first head's means to those of the problem's own head
-        turn = np.zeros_like(matrix)
-        turn[:, 0, 0] = 1.0
-        slot = np.arange(width)
-        turn[:, slot + 1, slot + 1] = scale / heads.scale[h]
-        turn[:, 1:, 0] = (heads.mean[0] - heads.mean[h]) / heads.scale[h]
-        turn[:, 1:][heads.constant[h]] = 0.0
-        matrix = turn @ matrix @ turn.transpose(0, 2, 1)
-        # a little more, so that rounding leaves no direction bent downwards
-        at = np.arange(width + 1)
-        matrix[:, at, at] *= 1 + 1e-5
-        own[part] = np.maximum(matrix[:, 0, 0], 1e-12)
-        with_slots[part] = matrix[:, 0, 1:]
-        lost = with_slots[part] / own[part, None]
-        among[part] = matrix[:, 1:, 1:] - with_slots[part][:, :, None] * lost[:, None, :]
-        # gradients of the slots once the intercept follows them
-        g[part] -= lost * g0[part, None]
-    return g0, g, (own, with_slots, among), len(parts)
+            out = np.zeros(shape)
+            for f in np.unique(fold):
+                rows = fold == f
+                out[f] = whole(x.where(rows), y[rows], fold[rows])
+            return out.ravel()
+
+        side_by_side = max(1, min(ABREAST, some.shape[1]) // folds)  # rows of a fold are so few
+        found = blocks.sum(block, folds * size * some.shape[1], side_by_side)
+        sums.append((others @ found.reshape(folds, -1)).reshape(folds, size, -1))
+    sums = np.concatenate(sums, axis=2)
+    starts, at = [], []
+    for h in range(1, folds + 1):
+        head = np.full(len(b), h)
+        own0, own, *curve = _local(heads, head, sums[h - 1], origin)
+        at.append((own0, own, tuple(curve)))
+        # a column constant within the set goes to the intercept
+        starts.append((
+            np.where(heads.constant[h], 0.0, slopes * heads.scale[h]),
+            coefs[0] + slopes @ (heads.mean[h] - origin),
+        ))
+    return starts, at, len(parts)
 
 
 def _curved_step(curve, g, start, groups, weights, l1, l2, unit, tol, sweeps=2_000):

@@ -430,3 +430,19 @@ def test_newton_starts_of_groups_and_rare_outcomes(people, monkeypatch):
     alone = group_lasso_cv(d, "row_id", groups, folds=3, n_lambda=20, ratio=1e-2)
     assert np.allclose(found.coefs, alone.coefs, rtol=1e-4, atol=1e-4)
     assert found.passes < alone.passes
+
+
+def test_training_sets_start_from_the_path_of_all_rows(people, monkeypatch):
+    """Newton passes over all rows come first, for their problems alone; the training
+    sets of the folds take part in few of them."""
+    seen, summed = [], penalized._curvatures
+
+    def counted(blocks, heads, head, *rest):
+        seen.append(len(head))
+        return summed(blocks, heads, head, *rest)
+
+    monkeypatch.setattr(penalized, "_curvatures", counted)
+    d = design(people, "preference", TERMS, intercept=False)
+    penalized_cv(d, "row_id", 1.0, folds=10, n_lambda=20)
+    assert seen[0] <= 20
+    assert sum(seen) < 3 * 11 * 20
