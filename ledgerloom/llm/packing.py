@@ -35,6 +35,9 @@ from ledgerloom.llm.tokens import encoder
 from ledgerloom.storage import cut_lineage
 
 
+TEXTS = 512  # texts whose ids are held together
+
+
 class Rooms:
     """Segment tree over rooms ``0 .. capacity``: which of them have open windows."""
 
@@ -121,7 +124,7 @@ def cut_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         encode = encoder(tokenizer_path).encode
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             ids_of = encode(batch.column("text").to_pylist())
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):

@@ -78,6 +78,22 @@ def test_encoder_equals_the_library(documents, ids_of):
         assert np.frombuffer(ids, dtype="<u4").tolist() == ids_of(text)
 
 
+def test_encoder_keeps_what_comes_again():
+    """Chunks that a corpus has once are not held, those that come again are; Latin
+    letters and signs after them have the library's ids."""
+    rng = random.Random(3)
+    encoder = Encoder(FILE)
+    letters, signs = "abtheèéßøÀÞİıǅ×ª'´ſ", [".", ",%%%", "&&&", "'s", ".'", "½", "_-", ""]
+    texts = [
+        " ".join("".join(rng.choices(letters, k=12)) + rng.choice(signs) for _ in range(40)) + " again, again"
+        for _ in range(50)
+    ]
+    assert encoder.latin
+    assert encoder.encode(texts) == encoder.whole(texts)
+    assert b"again" in encoder.young and b"again," in encoder.young
+    assert len(encoder.young) + len(encoder.old) < 200  # of 2,000 chunks
+
+
 def test_encoder_falls_back_to_whole_texts():
     encoder = Encoder(path("byte_bpe_50k.json"))
     assert not encoder.by_chunk
