@@ -49,6 +49,12 @@ BLOCK_ROWS = 1_024  # buckets of a partial sum in one row
 OVERSAMPLED = 8  # directions of the sketch beyond those kept
 BLOCK_ITEMS = 64  # items whose words are counted together
 SKETCH_WORDS = 65_536  # words whose passages are summed together
+PORTION = 1 << 18  # characters of texts whose words are found together
+LONG_WORD = 32  # bytes from which on a word is hashed by itself
+ORDINARY, PUNCTUATION, BLANK = range(3)
+KINDS = bytes(
+    PUNCTUATION if c in EDGE else BLANK if c in b" \t\n\r\x0b\x0c" else ORDINARY for c in range(256)
+)
 
 
 def raw_words(text: str | None) -> list[bytes]:
@@ -63,31 +69,107 @@ def stripped(words: list[bytes]) -> list[bytes]:
     return [w.strip(EDGE) or w for w in words]
 
 
+def bucket_of(word: bytes, buckets: int) -> int:
+    """Bucket of a word, punctuation around it aside."""
+    return crc32(word.strip(EDGE) or word) % buckets
+
+
 class Buckets(dict):
-    """Bucket of a word, punctuation around it aside; ``trim`` keeps it small."""
+    """Buckets of the words of single texts."""
 
     def __init__(self, buckets: int) -> None:
         super().__init__()
         self.buckets = buckets
 
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = crc32(word.strip(EDGE) or word) % self.buckets
+        found = self[word] = bucket_of(word, self.buckets)
         return found
 
-    def trim(self, most: int = 400_000) -> None:
-        if len(self) > most:
-            self.clear()
-
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-_KNOWN: dict[int, Buckets] = {}
+def _crc_table() -> np.ndarray:
+    """What zlib's crc32 makes of each byte."""
+    table = np.arange(256, dtype=np.int64)
+    for _ in range(8):
+        table = (table >> 1) ^ np.where(table & 1, 0xEDB88320, 0)
+    return table
+
 
+CRC = _crc_table()
 
-def buckets_of(buckets: int) -> Buckets:
-    """The words a worker has met, kept from task to task; bounded by ``trim``."""
-    return _KNOWN.setdefault(buckets, Buckets(buckets))
+
+def _crc32_of(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """crc32 of many short stretches of bytes, a byte of each at a time."""
+    order = np.argsort((-sizes).astype(np.int16), kind="stable")  # the longest first
+    begin, crc = starts[order], np.full(len(starts), 0xFFFFFFFF, dtype=np.int64)
+    longer = len(sizes) - np.cumsum(np.bincount(sizes))
+    for at, many in enumerate(longer[:-1].tolist()):  # stretches that have a byte there
+        own = crc[:many]
+        crc[:many] = CRC[(own ^ symbols[begin[:many] + at]) & 0xFF] ^ (own >> 8)
+    out = np.empty_like(crc)
+    out[order] = crc ^ 0xFFFFFFFF
+    return out
+
+
+@dataclass
+class Text:
+    """Words of a text: their buckets, and where they lie in some bytes."""
+
+    buckets: np.ndarray
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def terms(self, first: int, last: int) -> list[bytes]:
+        """The words from one number to another."""
+        first, last = max(0, first), min(last, len(self.starts))
+        return stripped(self.data[self.starts[first] : self.ends[last - 1]].split()) if first < last else []
+
+
+def _found(texts: list[str | None], buckets: int) -> Iterator[Text]:
+    parts = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    data = b"\n".join([b"", *parts, b""])
+    symbols = np.frombuffer(data, dtype=np.uint8)
+    kinds = np.frombuffer(data.translate(KINDS), dtype=np.uint8)
+    blank = kinds == BLANK
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = turns[::2], turns[1::2]
+    low, high = starts.copy(), ends.copy()
+    long = ends - starts >= LONG_WORD
+    # punctuation around a word is left aside, unless there is nothing else
+    at = np.flatnonzero((kinds[low] == PUNCTUATION) & ~long)
+    while len(at):
+        low[at] += 1
+        at = at[kinds[low[at]] == PUNCTUATION]
+    at = np.flatnonzero((kinds[high - 1] == PUNCTUATION) & ~long & (low < high))
+    while len(at):
+        high[at] -= 1
+        at = at[kinds[high[at] - 1] == PUNCTUATION]
+    bare = low == high
+    low[bare], high[bare] = starts[bare], ends[bare]
+    sizes = np.where(long, 0, high - low)
+    ids = _crc32_of(symbols, low, sizes) % buckets
+    for k in np.flatnonzero(long).tolist():
+        ids[k] = bucket_of(data[starts[k] : ends[k]], buckets)
+    offsets = np.cumsum([1, *(len(p) + 1 for p in parts)])
+    cuts = np.searchsorted(starts, offsets)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield Text(ids[a:b], data, starts[a:b], ends[a:b])
+
+
+def words_found(texts: list[str | None], buckets: int) -> Iterator[Text]:
+    """The words of each text, found for many texts at a time."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= PORTION:
+            yield from _found(part, buckets)
+            part, size = [], 0
+    if part:
+        yield from _found(part, buckets)
 
 
 @dataclass
@@ -151,36 +233,40 @@ class Frequencies:
 
 
 class Passages:
-    """Word counts of texts cut into passages, as sparse unit rows, all of them together:
-    of row i the columns and values from ``cuts[i]`` on."""
+    """Word counts of texts cut into passages, as unit rows, all of them together. Of
+    passage i the words are ``words[heads[i] : heads[i] + long[i]]``."""
 
     def __init__(self, texts: list[np.ndarray], buckets: int, length: int) -> None:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        words = np.concatenate([np.zeros(0, dtype=np.int64), *texts])
-        self.words = np.bincount(words, minlength=buckets)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        passage = np.cumsum(place % length == 0) - 1 if len(words) else words
-        keys, times = np.unique(passage * buckets + words, return_counts=True)
-        self.row, self.cols = np.divmod(keys, buckets)
-        self.cuts = np.flatnonzero(np.diff(self.row, prepend=-1))
-        values = times.astype(np.float64)
-        norms = np.sqrt(np.add.reduceat(values**2, self.cuts)) if len(keys) else values
-        self.values = (values / np.maximum(norms[self.row], 1e-12)).astype(np.float32)
+        self.words = np.concatenate([np.zeros(0, dtype=np.int64), *texts])
+        self.counts = np.bincount(self.words, minlength=buckets)
+        place = np.arange(len(self.words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.heads = np.flatnonzero(place % length == 0)
+        self.long = np.diff(np.append(self.heads, len(self.words)))
+        # the norm of a row, from how often the passage holds each of its buckets
+        keys = np.sort(np.repeat(np.arange(len(self.heads)), self.long) * buckets + self.words)
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        times = np.diff(np.append(first, len(keys))).astype(np.float64)
+        squares = np.bincount(keys[first] // buckets, times**2, minlength=len(self.heads))
+        self.norms = np.sqrt(np.maximum(squares, 1e-24))
 
     def add_sketch(self, total: np.ndarray, basis: np.ndarray) -> np.ndarray:
         """Add A'A times ``basis``, of these rows, to ``total``; words by column."""
-        if not len(self.cols):
-            return self.words
-        along = np.take(basis, self.cols, axis=0)
-        along *= self.values[:, None].astype(basis.dtype)
-        across = np.add.reduceat(along, self.cuts)
-        order = np.argsort(self.cols, kind="stable")
-        cols = self.cols[order]
-        first = np.flatnonzero(np.diff(cols, prepend=-1))
-        np.take(across, self.row[order], axis=0, out=along)
-        along *= self.values[order][:, None].astype(basis.dtype)
-        total[cols[first]] += np.add.reduceat(along, first)
-        return self.words
+        if not len(self.words):
+            return self.counts
+        # the rows times the basis: the first words of all passages, then the second ones
+        order = np.argsort(-self.long, kind="stable")
+        heads = self.heads[order]
+        across = np.zeros((len(heads), basis.shape[1]), dtype=basis.dtype)
+        longer = len(heads) - np.cumsum(np.bincount(self.long))
+        for at, many in enumerate(longer[:-1].tolist()):
+            across[:many] += basis[self.words[heads[:many] + at]]
+        along = np.empty(across.shape[::-1])
+        along[:, order] = (across / self.norms[order, None] ** 2).T
+        # and those by column: every word of a passage takes its sums
+        for of, sums in enumerate(along):
+            total[:, of] += np.bincount(self.words, np.repeat(sums, self.long), minlength=len(total))
+        return self.counts
 
 
 def _sum_arrays(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -225,11 +311,11 @@ def counted_sketch(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, basis = np.zeros((buckets, wide)), random_basis(buckets, wide, seed)
-        memo, held, words = buckets_of(buckets), np.zeros(buckets), np.zeros(buckets)
+        held, words = np.zeros(buckets), np.zeros(buckets)
         texts, size, n = [], 0, 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = memo.of(raw_words(text))
+            for text in words_found(batch.column("text").to_pylist(), buckets):
+                ids = text.buckets
                 held[ids] += 1  # once for each bucket, however often it is named
                 n += 1
                 # a long text in parts of whole passages
@@ -240,7 +326,6 @@ def counted_sketch(
                     if size >= SKETCH_WORDS:
                         words += Passages(texts, buckets, length).add_sketch(sketch, basis)
                         texts, size = [], 0
-                memo.trim()
         words += Passages(texts, buckets, length).add_sketch(sketch, basis)
         whole = np.column_stack([sketch, held, words])
         yield _blocks_of(np.concatenate([whole, np.full((1, wide + 2), n)]))
@@ -306,7 +391,7 @@ class Searcher:
                  min_cosine: float, min_common: float, sure_common: float,
                  min_answer: float) -> None:
         buckets = len(vectors)
-        self.buckets = buckets_of(buckets)
+        self.buckets, known = buckets, Buckets(buckets)
         self.vectors = np.append(vectors, np.zeros((1, vectors.shape[1])), axis=0).astype(np.float32)
         self.min_cosine, self.min_common = min_cosine, min_common
         self.sure_common, self.min_answer = sure_common, min_answer
@@ -321,11 +406,11 @@ class Searcher:
             for i in range(0, len(group), BLOCK_ITEMS)
         ]
         for scale, group in parts:
-            rows = np.stack([self.vectors[self.buckets.of(i.words)].sum(axis=0) for i in group])
+            rows = np.stack([self.vectors[known.of(i.words)].sum(axis=0) for i in group])
             norms = np.linalg.norm(rows, axis=1, keepdims=True)
             places = np.full((len(group), max(len(i.words) for i in group)), buckets, dtype=np.int32)
             for of, item in zip(places, group, strict=True):
-                of[: len(item.words)] = self.buckets.of(item.words)
+                of[: len(item.words)] = known.of(item.words)
             # of each bucket that is not frequent, how many of an item's words it has
             own = np.setdiff1d(np.unique(places), [buckets])
             own = own[~frequent[own]]
@@ -350,20 +435,19 @@ class Searcher:
     def search(self, texts: list[str | None]) -> list[dict[int, tuple[object, float, float, bool]]]:
         """For each text its items: ``item, cosine, common share, answer found``."""
         found: list[dict[int, tuple[object, float, float, bool]]] = [{} for _ in texts]
-        part: list[tuple[int, list[bytes], int, int]] = []
+        part: list[tuple[int, Text, int, int]] = []
         size = 0
-        for t, text in enumerate(texts):
-            words = raw_words(text)
-            self.buckets.trim()
+        for t, text in enumerate(words_found(texts, self.buckets)):
+            many = len(text.buckets)
             # a long text comes in portions that overlap by the longest window
-            for start in range(0, len(words), self.portion - self.longest):
-                end = min(start + self.portion, len(words))
-                part.append((t, words, start, end))
+            for start in range(0, many, self.portion - self.longest):
+                end = min(start + self.portion, many)
+                part.append((t, text, start, end))
                 size += end - start
                 if size >= PART_WORDS:
                     self._search_part(part, found)
                     part, size = [], 0
-                if end == len(words):
+                if end == many:
                     break
         self._search_part(part, found)
         return found
@@ -375,9 +459,9 @@ class Searcher:
         ids, firsts, sizes, at = [], [], [], 0
         around, lows, froms, upto = [], [], [], 0  # portions with what may lie in a region
         pad = np.full(STEP, nothing, dtype=np.int64)
-        for _, words, start, end in part:
+        for _, text, start, end in part:
             low = max(0, start - self.longest)
-            near_ids = self.buckets.of(words[low : end + self.longest])
+            near_ids = text.buckets[low : end + self.longest]
             own = near_ids[start - low : end - low]
             around.append(near_ids)
             lows.append(start - low)
@@ -430,10 +514,10 @@ class Searcher:
             near = np.flatnonzero(cosines >= self.min_cosine)
             for c in near.tolist():
                 w, k = int(of_window[c]), int(of_item[c])
-                t, words, start, end = part[place[w]]
+                t, text, start, end = part[place[w]]
                 base = bounds[place[w]]
                 if place[w] not in clean:
-                    clean[place[w]] = stripped(words[max(0, start - self.longest) : end + self.longest])
+                    clean[place[w]] = text.terms(start - self.longest, end + self.longest)
                 region = clean[place[w]][low[w] - base : high[w] - base]
                 share, answer = self.verify(items[k], region)
                 old = found[t].get(id(items[k]))

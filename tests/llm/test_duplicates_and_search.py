@@ -345,6 +345,32 @@ def test_the_latent_space_is_of_all_documents(spark, monkeypatch):
     assert np.allclose((some @ space) @ (some @ space).T, (some @ exact) @ (some @ exact).T, rtol=0.02, atol=1e-6)
 
 
+def test_words_of_many_texts_have_the_buckets_of_single_words(monkeypatch):
+    rng = random.Random(4)
+    signs = "ab.,!?'\"()-é數\x1c\u00a0 \t\n\r\x0b\x0c"
+    texts = [t for _, t in ROWS] + ["", " ", "...", "x" * 31, "x" * 32, "." * 40 + "x" + "." * 40, "\ud800 A"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(300))) for _ in range(300)]
+    for portion in (1, 1 << 18):
+        monkeypatch.setattr(latent, "PORTION", portion)
+        found = list(latent.words_found(texts, 1 << 14))
+        assert len(found) == len(texts)
+        for text, own in zip(texts, found, strict=True):
+            words = latent.raw_words(text)
+            assert own.buckets.tolist() == latent.Buckets(1 << 14).of(words).tolist()
+            assert own.terms(-5, len(words) + 5) == latent.stripped(words)
+            assert own.terms(2, 7) == latent.stripped(words[2:7])
+
+
+def test_words_are_not_hashed_one_by_one(monkeypatch):
+    """A search over words never met before has nothing to do for each of them in Python."""
+    item = latent.Item(1, latent.terms("an item of some words"), [])
+    search = latent.Searcher([item], np.ones((64, 2)), np.zeros(64, dtype=bool), 0.05, 0.6, 0.8, 0.5).search
+    calls = []
+    monkeypatch.setattr(latent, "crc32", lambda w, before=latent.crc32: calls.append(w) or before(w))
+    found = search([" ".join(f"new{i}" for i in range(5_000)), "here an item of some words is", "w" * 50])
+    assert [len(f) for f in found] == [0, 1, 0] and calls == [b"w" * 50]
+
+
 def test_passages_of_many_texts():
     """Cut, counted and normed as text by text."""
     rng = np.random.default_rng(2)
