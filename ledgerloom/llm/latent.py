@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import id_and_text
+from ledgerloom.llm.words import BLANKS, CRC32, LONG_WORD, crc_of, word_bounds, words_by_text
 
 EDGE = b".,;:!?\"'()[]"
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
@@ -50,10 +51,9 @@ OVERSAMPLED = 8  # directions of the sketch beyond those kept
 BLOCK_ITEMS = 64  # items whose words are counted together
 SKETCH_WORDS = 65_536  # words whose passages are summed together
 PORTION = 1 << 18  # characters of texts whose words are found together
-LONG_WORD = 32  # bytes from which on a word is hashed by itself
 ORDINARY, PUNCTUATION, BLANK = range(3)
 KINDS = bytes(
-    PUNCTUATION if c in EDGE else BLANK if c in b" \t\n\r\x0b\x0c" else ORDINARY for c in range(256)
+    PUNCTUATION if c in EDGE else BLANK if c in BLANKS else ORDINARY for c in range(256)
 )
 
 
@@ -89,30 +89,6 @@ class Buckets(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def _crc_table() -> np.ndarray:
-    """What zlib's crc32 makes of each byte."""
-    table = np.arange(256, dtype=np.int64)
-    for _ in range(8):
-        table = (table >> 1) ^ np.where(table & 1, 0xEDB88320, 0)
-    return table
-
-
-CRC = _crc_table()
-
-
-def _crc32_of(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """crc32 of many short stretches of bytes, a byte of each at a time."""
-    order = np.argsort((-sizes).astype(np.int16), kind="stable")  # the longest first
-    begin, crc = starts[order], np.full(len(starts), 0xFFFFFFFF, dtype=np.int64)
-    longer = len(sizes) - np.cumsum(np.bincount(sizes))
-    for at, many in enumerate(longer[:-1].tolist()):  # stretches that have a byte there
-        own = crc[:many]
-        crc[:many] = CRC[(own ^ symbols[begin[:many] + at]) & 0xFF] ^ (own >> 8)
-    out = np.empty_like(crc)
-    out[order] = crc ^ 0xFFFFFFFF
-    return out
-
-
 @dataclass
 class Text:
     """Words of a text: their buckets, and where they lie in some bytes."""
@@ -133,9 +109,7 @@ def _found(texts: list[str | None], buckets: int) -> Iterator[Text]:
     data = b"\n".join([b"", *parts, b""])
     symbols = np.frombuffer(data, dtype=np.uint8)
     kinds = np.frombuffer(data.translate(KINDS), dtype=np.uint8)
-    blank = kinds == BLANK
-    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    starts, ends = turns[::2], turns[1::2]
+    starts, ends = word_bounds(kinds == BLANK)
     low, high = starts.copy(), ends.copy()
     long = ends - starts >= LONG_WORD
     # punctuation around a word is left aside, unless there is nothing else
@@ -150,11 +124,10 @@ def _found(texts: list[str | None], buckets: int) -> Iterator[Text]:
     bare = low == high
     low[bare], high[bare] = starts[bare], ends[bare]
     sizes = np.where(long, 0, high - low)
-    ids = _crc32_of(symbols, low, sizes) % buckets
+    ids = (crc_of(symbols, low, sizes, CRC32) % buckets).astype(np.int64)
     for k in np.flatnonzero(long).tolist():
         ids[k] = bucket_of(data[starts[k] : ends[k]], buckets)
-    offsets = np.cumsum([1, *(len(p) + 1 for p in parts)])
-    cuts = np.searchsorted(starts, offsets)
+    cuts = words_by_text(starts, parts)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield Text(ids[a:b], data, starts[a:b], ends[a:b])
 

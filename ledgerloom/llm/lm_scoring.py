@@ -10,7 +10,7 @@ A second pass scores: code lengths of the most frequent strings (at most ``frequ
 go out with the tasks, the other strings of a text are joined with the table. So do
 the words of the base score, a smoothed unigram model over words: the most frequent (at
 most ``common``, so no word is a hot key) go out, others are joined by their 64-bit
-hashes. What goes out changes no result. A text's score, its counts, strings and words travel in one shuffle.
+hashes (the checksum of a short word, XXH64 of a long one). What goes out changes no result. A text's score, its counts, strings and words travel in one shuffle.
 
 Null and empty texts hold the end alone. Repeated rows are scored one by one. If
 nothing is left to learn from, the base score is 0 and a symbol is one of 256.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import id_and_text, lower_words, remainder_of
+from ledgerloom.llm.common import id_and_text, remainder_of
 from ledgerloom.llm.ppm import (
+    END,
     LENGTH,
     ORDER,
     SHALLOW,
@@ -41,16 +43,18 @@ from ledgerloom.llm.ppm import (
     kept_bits,
     levels_of,
     log_probabilities,
-    stream_of,
     string_keys,
     sums_of,
 )
+from ledgerloom.llm.words import BLANKS, CRC64, LONG_WORD, crc_of, word_bounds, words_by_text
 from ledgerloom.storage import cut_lineage
 
 PORTION = 1 << 19  # characters of text looked at together
 NAMES = ["row", "kind", "key", "times", "doc_id", "score", "base", "n_tokens", "known"]
 WORD, STRING, TEXT = range(3)  # what a count is of
 GROUPS = 1 << 18  # strings worked out together, at least
+MOST_WORDS = 1 << 19  # different words counted together
+BETWEEN = bytes(c == END or c in BLANKS for c in range(256))
 
 
 def _portions(batch: pa.RecordBatch):
@@ -91,7 +95,7 @@ class Sums:
             return None
         keys, counts = (np.concatenate([np.zeros(0, dtype=np.int64), *x])
                         for x in (zip(*self.parts, strict=True) if self.parts else ((), ())))
-        sums = sums_of(keys, counts)
+        sums = sums_of(keys, counts, "stable")
         more = not last and len(sums[0]) <= self.most
         self.parts = [sums] if more else []
         self.held = len(sums[0]) if more else 0
@@ -103,20 +107,59 @@ def word_hash(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+@dataclass
+class Portion:
+    """Texts as a stream of symbols (see ``ppm``), and their words; of text i those from
+    ``cuts[i]`` to ``cuts[i + 1]``."""
+
+    data: bytes
+    symbols: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    cuts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Portion:
+        parts = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        data = b"\xff".join([b"", *parts, b""])  # no byte of UTF-8
+        blank = np.frombuffer(data.translate(BETWEEN), dtype=bool)
+        starts, ends = word_bounds(blank)
+        portion = cls(data, np.frombuffer(bytearray(data), dtype=np.uint8), starts, ends,
+                      words_by_text(starts, parts))
+        text_of = portion.text_of
+        kept = ~blank | (portion.symbols == END)
+        # one space between words
+        gaps = ends[:-1][text_of[1:] == text_of[:-1]]
+        portion.symbols[gaps], kept[gaps] = 0x20, True
+        portion.symbols = portion.symbols[kept]
+        return portion
+
+    @property
+    def text_of(self) -> np.ndarray:
+        """The number of every word's text."""
+        return np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
+
+    def words(self) -> np.ndarray:
+        """A 64-bit hash of every word."""
+        sizes = self.ends - self.starts
+        long = sizes >= LONG_WORD
+        keys = crc_of(np.frombuffer(self.data, dtype=np.uint8), self.starts,
+                      np.where(long, 0, sizes), CRC64).view(np.int64)
+        for k in np.flatnonzero(long).tolist():
+            keys[k] = word_hash(self.data[self.starts[k] : self.ends[k]])
+        return keys
+
+
 def counted(narrow: DataFrame, order: int, modulus: int, held: int) -> DataFrame:
     """``kind, key, n, every``: training occurrences of words, strings and texts, and of
     strings those in all rows."""
     both = 1 << 32  # a sum holds all occurrences there, training ones below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        strings, texts_seen = Sums(), 0
+        words, strings, texts_seen = Sums(MOST_WORDS), Sums(), 0
 
-        def of_words() -> pa.RecordBatch:
-            n = list(words.values())
-            out = _key_counts(WORD, [word_hash(w) for w in words], n, np.zeros(len(n)))
-            words.clear()
-            return out
+        def of_words(sums) -> pa.RecordBatch:
+            return _key_counts(WORD, *sums, np.zeros(len(sums[0])))
 
         def of_strings(sums) -> pa.RecordBatch:
             return _key_counts(STRING, sums[0], sums[1] & both - 1, sums[1] >> 32)
@@ -124,21 +167,23 @@ def counted(narrow: DataFrame, order: int, modulus: int, held: int) -> DataFrame
         for batch in batches:
             for ids, texts in _portions(batch):
                 out = [remainder_of(i, modulus) == held for i in ids]
-                learned = [lower_words(t) for t, o in zip(texts, out, strict=True) if not o]
+                learned = [t for t, o in zip(texts, out, strict=True) if not o]
+                others = [t for t, o in zip(texts, out, strict=True) if o]
                 texts_seen += len(learned)
-                for listed in learned:
-                    words.update(listed)
-                others = [lower_words(t) for t, o in zip(texts, out, strict=True) if o]
                 for own, weight in ((learned, both + 1), (others, both)):
                     if own:
-                        keys, times = sums_of(string_keys(stream_of(own)[0], order))
+                        portion = Portion.of(own)
+                        keys, times = sums_of(string_keys(portion.symbols, order))
                         strings.add(keys, times * weight)
-                if len(words) > 150_000:
-                    yield of_words()
+                        if own is learned:
+                            words.add(*sums_of(portion.words()))
+                sums = words.taken()
+                if sums is not None:
+                    yield of_words(sums)
                 sums = strings.taken()
                 if sums is not None:
                     yield of_strings(sums)
-        yield of_words()
+        yield of_words(words.taken(last=True))
         yield of_strings(strings.taken(last=True))
         yield _key_counts(TEXT, [0], [texts_seen], [0])
 
@@ -246,15 +291,14 @@ def lm_scores(
     often = _arrays(words.where(_step("n") >= F.lit(least_word)), "int64", "int64")
     norm = np.log10(tokens + kinds + 1)
     own_end = float(np.log10(texts + 1) - norm)
+    by_word = np.argsort(often[0])
     shared = spark.sparkContext.broadcast(
-        (keys[by_key], values[by_key],
-         dict(zip(often[0].tolist(), (np.log10(often[1] + 1) - norm).tolist(), strict=True)))
+        (keys[by_key], values[by_key], often[0][by_word], np.log10(often[1][by_word] + 1) - norm)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_keys, own_values, known = shared.value
+        own_keys, own_values, known, known_values = shared.value
         task, seen = TaskContext.get().partitionId(), Counter()
-        met_words: dict[bytes, float | int] = {}  # values of those known, hashes of others
         for batch in batches:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(),
                      batch.schema.field("doc_id").type,
@@ -268,45 +312,39 @@ def lm_scores(
                      *(pa.nulls(n, t) for t in types[4:])], NAMES,
                 )
 
-            for ids, portion in _portions(batch):
-                words_of = [lower_words(t) for t in portion]
-                data, starts = stream_of(words_of)
-                found, of = np.unique(string_keys(data, order), return_inverse=True)
-                at, hit = found_in(own_keys, found)
-                value = np.zeros(len(found))
-                value[hit] = own_values[at[hit]]
-                score = np.add.reduceat(value[of], starts - 1)
-                of_row, of_word, of_times, rows = [], [], [], []
-                for doc_id, text, listed, total in zip(ids, portion, words_of, score.tolist(),
-                                                       strict=True):
+            for ids, texts_of in _portions(batch):
+                portion, many, named = Portion.of(texts_of), len(texts_of), []
+                for doc_id, text in zip(ids, texts_of, strict=True):
                     # rows are told apart by what they hold, equal ones by their number
                     name = xxhash.xxh64_intdigest(f"{doc_id}\x00{text}".encode("utf-8", "replace"))
                     seen[name] += 1
-                    row = xxhash.xxh64_intdigest(f"{name} {task} {seen[name]}") - (1 << 63)
-                    base, hits, before = own_end, int(texts > 0), len(of_word)
-                    for word, n in Counter(listed).items():
-                        own = met_words.get(word)
-                        if own is None:
-                            if len(met_words) > 100_000:
-                                met_words.clear()
-                            own = word_hash(word)
-                            own = met_words[word] = known.get(own, own)
-                        if own.__class__ is int:
-                            of_word.append(own)
-                            of_times.append(n)
-                        else:
-                            base += n * own
-                            hits += n
-                    of_row.append((row, len(of_word) - before))
-                    rows.append((row, TEXT, row, 0, doc_id, total, base, len(listed) + 1, hits))
-                columns = zip(*rows, strict=True)
+                    named.append(xxhash.xxh64_intdigest(f"{name} {task} {seen[name]}") - (1 << 63))
+                named = np.array(named, dtype=np.int64)
+                ends = np.flatnonzero(portion.symbols == END)  # one before each text, and the last
+                found, of = np.unique(string_keys(portion.symbols, order), return_inverse=True)
+                at, hit = found_in(own_keys, found)
+                value = np.zeros(len(found))
+                value[hit] = own_values[at[hit]]
+                score = np.add.reduceat(value[of], ends[:-1])
+                words_met, text_of = portion.words(), portion.text_of
+                at, often_met = found_in(known, words_met)
+                own = text_of[often_met]
+                base = own_end + np.bincount(own, known_values[at[often_met]], minlength=many)
+                hits = int(texts > 0) + np.bincount(own, minlength=many)
+                columns = (named, np.full(many, TEXT, dtype=np.int32), named, np.zeros(many, dtype=np.int32),
+                           ids, score, base, np.diff(portion.cuts) + 1, hits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], NAMES
                 )
-                named = np.array([r for r, _ in of_row], dtype=np.int64)
-                yield joined(np.repeat(named, [k for _, k in of_row]), WORD, of_word, of_times)
+                words_met, text_of = words_met[~often_met], text_of[~often_met]
+                by_text = np.lexsort((words_met, text_of))
+                words_met, text_of = words_met[by_text], text_of[by_text]
+                other = (words_met[1:] != words_met[:-1]) | (text_of[1:] != text_of[:-1])
+                first = np.flatnonzero(np.append(len(words_met) > 0, other))
+                yield joined(named[text_of[first]], WORD, words_met[first],
+                             np.diff(np.append(first, len(words_met))).astype(np.int32))
                 rest = np.flatnonzero(~hit[of])
-                text_of = np.searchsorted(starts - 1, rest, side="right") - 1
+                text_of = np.searchsorted(ends, rest, side="right") - 1
                 yield joined(named[text_of], STRING, found[of[rest]],
                              np.ones(len(rest), dtype=np.int32))
 

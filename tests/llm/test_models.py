@@ -5,15 +5,18 @@ from itertools import product
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import lm_scoring
+from ledgerloom.llm.common import lower_words
 from ledgerloom.llm.language_id import (
     address, declared, gram_counts, grams, page_language, visible,
 )
 from ledgerloom.llm.line_crf import Field, line_quality, lines_of
 from ledgerloom.llm.lm_scoring import lm_scores
-from ledgerloom.llm.ppm import END, Trie, stream
+from ledgerloom.llm.ppm import END, Trie, stream, stream_of
 from ledgerloom.llm.toxicity import Machine, sigmoid, toxicity
 from tests.llm.conftest import ROWS, key
 
@@ -157,6 +160,43 @@ def test_rare_strings_count_in_large_corpora(spark):
 # --- toxicity
 
 
+def test_portions_equal_words_of_single_texts():
+    rng = random.Random(6)
+    signs = "aB.é數\x1c\u00a0 \t\n\r\x0b\x0c"
+    texts = [t or "" for _, t in ROWS] + ["", " ", " a ", "x" * 31, "x" * 32, "X" * 40]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(120))) for _ in range(300)]
+    hashes = {}
+    for some in (texts, [""], texts[-1:]):
+        portion, lists = lm_scoring.Portion.of(some), [lower_words(t) for t in some]
+        data, _ = stream_of(lists)
+        assert portion.symbols.tobytes() == data.tobytes()
+        assert np.diff(portion.cuts).tolist() == [len(w) for w in lists]
+        keys = portion.words().tolist()
+        for word, key_of in zip([w for words in lists for w in words], keys, strict=True):
+            assert hashes.setdefault(word, key_of) == key_of
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_words_of_texts_are_not_hashed_one_by_one(spark, monkeypatch):
+    """Counting has nothing to do in Python for each different word of usual length."""
+    calls, parts = [], []
+    monkeypatch.setattr(lm_scoring, "word_hash",
+                        lambda w, before=lm_scoring.word_hash: calls.append(w) or before(w))
+
+    class Narrow:
+        def mapInArrow(self, run, kinds):
+            parts.append(run)
+            return spark.createDataFrame([], kinds)
+
+    lm_scoring.counted(Narrow(), 3, 7, 2)
+    texts = [" ".join(f"new{i}" for i in range(2_000)), "y" * 40 + " new1"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [3, 3], "text": texts})
+    rows = [r for out in parts[0](iter([batch])) for r in out.to_pylist()]
+    assert sorted(r["n"] for r in rows if r["kind"] == lm_scoring.WORD) == [1] * 2_000 + [2]
+    assert calls == [b"y" * 40]
+
+
+
 def test_machine_equals_all_pairs():
     rng = np.random.default_rng(2)
     machine = Machine(0.3, rng.normal(size=20), rng.normal(size=(20, 3)))
