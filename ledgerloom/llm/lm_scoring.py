@@ -53,7 +53,8 @@ PORTION = 1 << 19  # characters of text looked at together
 NAMES = ["row", "kind", "key", "times", "doc_id", "score", "base", "n_tokens", "known"]
 WORD, STRING, TEXT = range(3)  # what a count is of
 GROUPS = 1 << 18  # strings worked out together, at least
-MOST_WORDS = 1 << 19  # different words counted together
+MOST_WORDS = 1 << 18  # different words counted together
+COUNT_ROWS = 1 << 17  # counts handed over together
 BETWEEN = bytes(c == END or c in BLANKS for c in range(256))
 
 
@@ -93,9 +94,9 @@ class Sums:
         """The sums, if there are too many to go on with or these are the last."""
         if not last and 5 * self.held <= 7 * self.most:
             return None
-        keys, counts = (np.concatenate([np.zeros(0, dtype=np.int64), *x])
-                        for x in (zip(*self.parts, strict=True) if self.parts else ((), ())))
-        sums = sums_of(keys, counts, "stable")
+        columns = [np.concatenate([np.zeros(0, dtype=np.int64), *(p[k] for p in self.parts)]) for k in (0, 1)]
+        self.parts = []
+        sums = sums_of(columns.pop(0), columns.pop(), "stable")  # nothing else holds them
         more = not last and len(sums[0]) <= self.most
         self.parts = [sums] if more else []
         self.held = len(sums[0]) if more else 0
@@ -158,11 +159,13 @@ def counted(narrow: DataFrame, order: int, modulus: int, held: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, strings, texts_seen = Sums(MOST_WORDS), Sums(), 0
 
-        def of_words(sums) -> pa.RecordBatch:
-            return _key_counts(WORD, *sums, np.zeros(len(sums[0])))
-
-        def of_strings(sums) -> pa.RecordBatch:
-            return _key_counts(STRING, sums[0], sums[1] & both - 1, sums[1] >> 32)
+        def rows_of(kind: int, sums) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(sums[0]), COUNT_ROWS):
+                keys, n = (x[at : at + COUNT_ROWS] for x in sums)
+                if kind == STRING:
+                    yield _key_counts(kind, keys, n & both - 1, n >> 32)
+                else:
+                    yield _key_counts(kind, keys, n, np.zeros(len(n)))
 
         for batch in batches:
             for ids, texts in _portions(batch):
@@ -177,14 +180,13 @@ def counted(narrow: DataFrame, order: int, modulus: int, held: int) -> DataFrame
                         strings.add(keys, times * weight)
                         if own is learned:
                             words.add(*sums_of(portion.words()))
-                sums = words.taken()
-                if sums is not None:
-                    yield of_words(sums)
-                sums = strings.taken()
-                if sums is not None:
-                    yield of_strings(sums)
-        yield of_words(words.taken(last=True))
-        yield of_strings(strings.taken(last=True))
+                for kind, counts in ((WORD, words), (STRING, strings)):
+                    sums = counts.taken()
+                    if sums is not None:
+                        yield from rows_of(kind, sums)
+                    sums = None
+        yield from rows_of(WORD, words.taken(last=True))
+        yield from rows_of(STRING, strings.taken(last=True))
         yield _key_counts(TEXT, [0], [texts_seen], [0])
 
     parts = narrow.mapInArrow(run, "kind int, key long, n long, every long")
